@@ -7,6 +7,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm import common
 
@@ -41,8 +42,17 @@ def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, 1024)
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import simhash
+
+    found = simhash.components(common.table(spark, sf_dir, "documents"), size=3, radius=3)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_codes, op3_sequence_packing)}
+    return {f.__name__: f for f in (op1_token_codes, op3_sequence_packing, op7_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
