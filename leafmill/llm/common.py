@@ -65,19 +65,15 @@ def fold(id_col: str | Column, modulus: int) -> Column:
 def labelled_sample(
     labels: DataFrame, label: str, modulus: int, held_out: int, rows: int
 ) -> DataFrame:
-    """At most ``rows`` labelled ids outside the held-out fold, balanced by class.
+    """At most ``rows`` labelled ids outside the held-out fold.
 
-    Half the bound goes to each class, lowest hash of the id first, so the
-    choice depends on ids alone. Conflicting labels of one id take the larger.
+    Lowest hash of the id first, so the choice depends on ids alone and keeps
+    the classes' shares. Conflicting labels of one id take the larger.
     """
     usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
         .where(fold("doc_id", modulus) != held_out)
         .groupBy("doc_id")
         .agg(F.max(label).cast("int").alias("y"))
-        .withColumn("h", F.xxhash64("doc_id"))
     )
-    halves = [
-        usable.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows // 2) for y in (0, 1)
-    ]
-    return halves[0].unionByName(halves[1]).select("doc_id", "y")
+    return usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

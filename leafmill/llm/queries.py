@@ -33,6 +33,33 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_documents(segments)
 
 
+def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import toxicity
+
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(common.fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "n_passages",
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import quality
+
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(common.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import packing
 
@@ -52,7 +79,7 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_codes, op3_sequence_packing, op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op5_quality_classifier, op7_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -213,3 +213,15 @@ def with_end(ids: np.ndarray, bounds: np.ndarray, end: int) -> tuple[np.ndarray,
     n = len(bounds) - 1
     out = np.insert(ids, bounds[1:], np.uint32(end)) if n else ids
     return out, bounds + np.arange(n + 1, dtype=np.int64)
+
+
+def filter_rows(docs, keep: Callable[[pa.Array], np.ndarray], text_col: str = "text"):
+    """Rows whose text ``keep`` accepts, all columns unchanged."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
