@@ -82,7 +82,10 @@ def segments(scores: np.ndarray, where: np.ndarray) -> list[tuple[int, int, floa
 
 
 def scan(texts: pa.Array, model: Model, cache: dict[str, float]) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-    """(words, maximal segments) of every text."""
+    """(words, maximal segments) of every text.
+
+    A word right after the same word adds nothing: repetition is no evidence.
+    """
     flat, rows = units.words(texts, lower=False)
     codes, distinct = units.coded(flat)
     if len(cache) > 400_000:
@@ -92,7 +95,10 @@ def scan(texts: pa.Array, model: Model, cache: dict[str, float]) -> Iterator[tup
             cache[w] = model.weight(w)
     weights = np.fromiter((cache[w] for w in distinct), dtype=np.float64, count=len(distinct))
     per_word = weights[codes] if len(codes) else np.zeros(0)
-    positive = np.flatnonzero(per_word > 0)
+    again = np.zeros(len(codes), dtype=bool)
+    again[1:] = codes[1:] == codes[:-1]
+    again[rows[:-1][rows[:-1] < len(codes)]] = False
+    positive = np.flatnonzero((per_word > 0) & ~again)
     cuts = np.searchsorted(positive, rows)
     for i in range(len(texts)):
         mine = positive[cuts[i] : cuts[i + 1]]
@@ -163,14 +169,15 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
 
 def log_odds(
-    rows: list, n1: int, n0: int, least_z: float = 4.0, prior: float = 100.0, least_stem: float = 1.0
+    rows: list, n1: int, n0: int, least_z: float = 4.0, prior: float = 100.0, least: float = 1.5
 ) -> Model:
     """Word and stem log-odds with Dirichlet priors; insignificant ones drop.
 
     ``rows``: (kind, term, toxic documents, clean documents). The variance of
     a log-odds is the sum of reciprocal smoothed counts. Words are told from
     their corpus share and their stem; a stem speaks for unseen words only if
-    the lower end of its interval is at least ``least_stem``.
+    the lower end of its interval is above ``least``, and words of less than
+    ``least`` score nothing.
     """
 
     def odds(a: float, b: float, pa_: float, pb: float) -> tuple[float, float]:
@@ -185,14 +192,14 @@ def log_odds(
             stems[term] = odds(a, b, share, share)
     # v / z is the standard error: v - 1.64 v / z is the lower end.
     lows = {t: v - 1.64 * v / z for t, (v, z) in stems.items() if v > 0 and z >= least_z}
-    model = Model({}, {t: low for t, low in lows.items() if low >= least_stem})
+    model = Model({}, {t: low for t, low in lows.items() if low >= least})
     for kind, term, a, b in rows:
         if kind == 0:
             stem = model.stem.get(term[:STEM], 0.0) if len(term) > STEM else 0.0
             share = (a + b + 0.5) / (n1 + n0)
             lean = 1 / (1 + np.exp(-stem))
             v, z = odds(a, b, 2 * share * lean, 2 * share * (1 - lean))
-            if abs(z) >= least_z:
+            if abs(z) >= least_z and abs(v) >= least:
                 model.word[term] = v
             elif stem:
                 model.word[term] = min(v, stem) if v > 0 else 0.0
