@@ -78,8 +78,20 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import audio
+
+    return audio.digest(audio.store_texts(common.table(spark, sf_dir, "documents")))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import licenses
+
+    return licenses.scan(common.table(spark, sf_dir, "documents")).drop("blocks")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op5_quality_classifier, op7_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op5_quality_classifier, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
