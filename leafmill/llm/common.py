@@ -47,6 +47,13 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """What ``materialize`` wrote, as a second source with columns of its own."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._leafmill_path)
+    out._leafmill_path = df._leafmill_path
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote; call once nothing lazy reads it."""
     path = getattr(df, "_leafmill_path", None)

@@ -47,6 +47,18 @@ def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from leafmill.llm import bpe
+
+    return bpe.round_trip(
+        common.table(spark, sf_dir, "documents"),
+        tokenizer_path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import quality
 
@@ -91,7 +103,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op5_quality_classifier, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan)}
+    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op4_byte_level_bpe, op5_quality_classifier, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
