@@ -81,6 +81,13 @@ def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, 1024)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import ann
+
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, factor=0.5)
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import simhash
 
@@ -103,7 +110,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op4_byte_level_bpe, op5_quality_classifier, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan)}
+    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op4_byte_level_bpe, op5_quality_classifier, op6_nearest_neighbours, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
