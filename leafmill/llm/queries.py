@@ -109,8 +109,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(common.table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafmill.llm import lines
+
+    return lines.dedup(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op4_byte_level_bpe, op5_quality_classifier, op6_nearest_neighbours, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan)}
+    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op4_byte_level_bpe, op5_quality_classifier, op6_nearest_neighbours, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -385,3 +385,108 @@ def components(
     lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
     of_print = named.join(lows, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def _set_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have that Jaccard similarity."""
+    x = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+    y = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for sa, sb in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (np.frombuffer(s.as_buffer(), dtype="<u8") for s in (sa, sb))
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                whole = len(p) + len(q) - shared
+                keep.append(whole == 0 or shared >= similarity * whole)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(
+    docs: DataFrame, radius: int = 9, similarity: float = 0.8, size: int = 5, print_size: int = 3,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """(doc_id, node, label): node names a text, label its group.
+
+    Texts are candidates if fingerprints over ``print_size`` words differ in
+    at most ``radius`` bits (about what a Jaccard similarity of 0.8 leaves),
+    and linked if their sets of ``size``-word shingles reach ``similarity``.
+    Texts of one fingerprint are compared with the first of them. In groups
+    with many more candidate pairs than members, each member is compared with
+    its best connected neighbours (see ``thin``).
+    """
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    prints = common.materialize(_named_prints(named, print_size), "fingerprints")
+    reps = common.materialize(prints.groupBy("fp").agg(F.min("node").alias("rep")), "nodes")
+    found = links(reps.select("fp"), radius).where("verified")
+    pairs = found.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).distinct()
+    other = common.reread(reps)
+    by_rep = (
+        pairs.join(reps.select(F.col("fp").alias("p"), F.col("rep").alias("a")), "p")
+        .join(other.select(F.col("fp").alias("q"), F.col("rep").alias("b")), "q")
+        .select("a", "b")
+    )
+    same = common.reread(prints).join(common.reread(reps), "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = common.materialize(by_rep.unionByName(same), "pairs")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(common.reread(pairs).select(F.col("b").alias("node"))).distinct()
+    texts = named.withColumn("node", F.xxhash64("text")).join(needed, "node", "left_semi").dropDuplicates(["node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in units.slices(batch.column(1)):
+                hashes, bounds = shingle_hashes(part, size)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, len(part)),
+                        pa.array([np.unique(hashes[a:b]).astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                    ],
+                    names=["node", "s"],
+                )
+
+    shingles = common.materialize(texts.select("node", "text").mapInArrow(sets, "node long, s binary"), "sets")
+    near = _set_pairs(common.reread(pairs), shingles, similarity)
+    labels = connected_components(near)
+    return common.reread(prints).join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+
+
+def _named_prints(named: DataFrame, size: int) -> DataFrame:
+    """(doc_id, fp, node): fingerprint and hash of each row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in units.slices(batch.column(2)):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(at, len(texts)),
+                        pa.array(row_fingerprints(texts, size).view(np.int64)),
+                        batch.column(1).slice(at, len(texts)),
+                    ],
+                    names=["doc_id", "fp", "node"],
+                )
+
+    return named.select("doc_id", F.xxhash64("text").alias("node"), "text").mapInArrow(run, "doc_id long, fp long, node long")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows that stand first (by id, then text hash) in their near-duplicate
+    group, all columns unchanged. Rows of equal id and text are one document;
+    a null id orders first; null texts count as empty ones."""
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "node")).alias("f"))
+    keys = first.select(
+        F.coalesce("f.doc_id", F.lit(0)).alias("leafmill_id"), F.col("f.known").alias("leafmill_known"), F.col("f.node").alias("leafmill_node")
+    )
+    keyed = docs.withColumns(
+        {
+            "leafmill_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
+            "leafmill_known": F.col(id_col).isNotNull(),
+            "leafmill_node": F.xxhash64(F.coalesce(text_col, F.lit(""))),
+        }
+    )
+    by = ["leafmill_id", "leafmill_known", "leafmill_node"]
+    return keyed.dropDuplicates(by).join(keys, by, "left_semi").select(*docs.columns)
