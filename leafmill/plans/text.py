@@ -85,7 +85,7 @@ def _show(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "pos", "text")
 
 
-KEY, LANGUAGE = ["doc_id"], F.col("language")
+KEY = ["doc_id"]
 
 
 @query(
@@ -124,12 +124,12 @@ def drop_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_out(_blocks("lines", FIGURE)))
 def collapse_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(clean.collapse_figures(_lines(spark, sf_dir), KEY, LANGUAGE))
+    return _show(clean.collapse_figures(_lines(spark, sf_dir), KEY, F.col("language")))
 
 
 @query(_out(_blocks("lines", SUPPORT)))
 def collapse_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(clean.collapse_charts(_lines(spark, sf_dir), KEY, LANGUAGE))
+    return _show(clean.collapse_charts(_lines(spark, sf_dir), KEY, F.col("language")))
 
 
 @query(_out(_orphans("lines")))
@@ -146,19 +146,19 @@ def multiset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_out(_orphans(_blocks(_MATCHED, FIGURE))))
 def clean_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(clean.clean_lines(_lines(spark, sf_dir), KEY, LANGUAGE))
+    return _show(clean.clean_lines(_lines(spark, sf_dir), KEY, F.col("language")))
 
 
 @query(_out(_blocks(_headers(_trimmed(_numbers("lines"))), SUPPORT)))
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _show(clean.clean_text_lines(_lines(spark, sf_dir), KEY, LANGUAGE))
+    return _show(clean.clean_text_lines(_lines(spark, sf_dir), KEY, F.col("language")))
 
 
 @query(
     f"""WITH {fx.LINES_SQL} SELECT doc_id, string_agg(t, chr(10) ORDER BY pos) AS text FROM (SELECT *, {T} AS t FROM {_orphans(_blocks(_MATCHED, FIGURE))}) GROUP BY doc_id"""
 )
 def clean_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.page_text(clean.clean_lines(_lines(spark, sf_dir), KEY, LANGUAGE), KEY)
+    return clean.page_text(clean.clean_lines(_lines(spark, sf_dir), KEY, F.col("language")), KEY)
 
 
 _PAGE_TEXT = f"(SELECT doc_id, any_value(language) AS language, string_agg({T}, chr(10) ORDER BY pos) AS text FROM {_blocks('lines', FIGURE)} GROUP BY doc_id)"
@@ -171,11 +171,11 @@ _PROSE = f"(({CJK} >= 8 AND ({PUNCT} OR length(t) >= 28)) OR (len(regexp_extract
     SELECT doc_id, warned AND NOT usable AS review, CASE WHEN usable THEN '{chars.FIGURE_NOTE}' WHEN warned THEN 'low contrast' ELSE '' END AS notes FROM u"""
 )
 def warning_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = clean.collapse_figures(_lines(spark, sf_dir), KEY, LANGUAGE)
+    lines = clean.collapse_figures(_lines(spark, sf_dir), KEY, F.col("language"))
     language = lines.groupBy("doc_id").agg(F.first("language").alias("language"))
     pages = clean.page_text(lines, KEY).join(language, "doc_id")
     warnings = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("low contrast")))
-    review, notes = clean.warning_policy(warnings, F.col("text"), LANGUAGE)
+    review, notes = clean.warning_policy(warnings, F.col("text"), F.col("language"))
     return pages.select("doc_id", review.alias("review"), F.array_join(notes, "|").alias("notes"))
 
 
