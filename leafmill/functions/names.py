@@ -103,3 +103,29 @@ def status_route(status: Column) -> Column:
 
 def strip_or_null(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
+
+
+def rotations_error(text: Column, files: Column) -> tuple[Column, Column]:
+    """(rotations, error_code) of a JSON list, one right angle for each file."""
+    parsed = F.from_json(text, "array<string>")
+    right = F.forall(parsed, lambda x: F.coalesce(x.isin("0", "90", "180", "270"), F.lit(False)))
+    error = F.when(parsed.isNull() | ~F.regexp_like(text, F.lit(r"^\s*\[")) | (F.size(parsed) != files), "invalid_rotations").when(~right, "invalid_rotation")
+    return F.when(error.isNull(), F.transform(parsed, lambda x: x.cast("int"))), error
+
+
+def short_date(ts: Column) -> Column:
+    """Day, short month and year."""
+    return F.date_format(ts, "d MMM yyyy")
+
+
+def iso_time(ts: Column) -> Column:
+    """ISO 8601 in UTC with microseconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def strict_zip(*arrays: Column) -> Column:
+    """Positional zip; null where the lengths differ."""
+    same = F.lit(True)
+    for a in arrays[1:]:
+        same &= F.size(a) == F.size(arrays[0])
+    return F.when(same, F.arrays_zip(*arrays))

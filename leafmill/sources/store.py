@@ -30,6 +30,39 @@ def write_documents_json(documents: DataFrame, path: str) -> None:
     documents.write.option("ignoreNullFields", "false").json(path)
 
 
+#: Column names of the cloud tables where they differ from the records'.
+RENAMES = {"title_text": "title", "voice": "tts_voice", "source_path": "source_storage_path", "text": "extracted_text", "audio_path": "audio_storage_path"}
+
+
+def to_records(rows: DataFrame) -> DataFrame:
+    """Flat rows under the records' names; missing warnings are an empty list."""
+    out = rows.select([F.col(c).alias(RENAMES.get(c, c)) for c in rows.columns])
+    if "warning_messages" in out.columns:
+        out = out.withColumn("warning_messages", F.coalesce("warning_messages", F.array().cast("array<string>")))
+    return out
+
+
+def to_rows(records: DataFrame) -> DataFrame:
+    back = {v: k for k, v in RENAMES.items()}
+    return records.select([F.col(c).alias(back.get(c, c)) for c in records.columns])
+
+
+def find_page(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted (document_id, page_number) with the page, or an error code."""
+    found = pages.withColumn("lm_found", F.lit(True))
+    joined = wanted.join(found, ["document_id", "page_number"], "left")
+    return joined.withColumn("error_code", F.when(F.col("lm_found").isNull(), "page_not_found")).drop("lm_found")
+
+
+def concat_sources(*tables: DataFrame) -> DataFrame:
+    """Bag union with each row's source, in the order given."""
+    out = [t.withColumn("source_ordinal", F.lit(k)) for k, t in enumerate(tables)]
+    whole = out[0]
+    for t in out[1:]:
+        whole = whole.unionByName(t)
+    return whole
+
+
 def scan(table: DataFrame, newest_first: str = "updated_at") -> DataFrame:
     return table.orderBy(F.desc(newest_first))
 

@@ -122,3 +122,42 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
     done = want.where("user_id = 2").first()
     assert done.completed and done.position_seconds == 0
+
+
+def test_empty_slots_take_their_best_candidate(spark):
+    body = "這是頁面的正文，內容很長很長很長。"
+    lines = spark.createDataFrame([(1, 0, body, 0.95, 300.0, 40.0, 900.0)], LINE)
+    new = spark.createDataFrame(
+        [(1, 0, "遺漏的一行文字現在可以補回來", 0.87, 100.0, 60.0, 800.0), (1, 1, "同一處另一個較差的讀法不要用", 0.86, 101.0, 60.0, 800.0)], LINE
+    )
+    bands = spark.createDataFrame([(1, 90.0, 120.0)], "page long, top double, bottom double")
+    got = layout.merge_top_lines(new, lines, ["page"], bands=bands).orderBy("pos").collect()
+    assert [r.text for r in got] == ["遺漏的一行文字現在可以補回來", body]
+    assert [r.text for r in layout.merge_top_lines(new, lines, ["page"]).collect()] == [body]
+
+
+def test_recovery_is_wanted(spark):
+    body = "這是頁面的正文，內容很長很長很長。"
+    rows = [(1, k, body, 0.9, 50.0 + 30 * k, 0.0, 9.0) for k in range(4)]  # early, several
+    rows += [(2, 0, body, 0.9, 500.0, 0.0, 9.0), (3, 0, "short", 0.9, 10.0, 0.0, 9.0)]  # late; no body
+    rows += [(4, 0, "Head", 0.9, 10.0, 0.0, 9.0)] + [(4, k, body, 0.9, 50.0 + 30 * k, 0.0, 9.0) for k in range(1, 4)]
+    got = {r.page: r.recover for r in layout.needs_top_recovery(spark.createDataFrame(rows, LINE), ["page"]).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_sweep_and_ink(spark):
+    first = spark.createDataFrame([(1, 200.0, 40.0)], "page long, first_y double, gap double")
+    got = [(r.top, r.bottom) for r in layout.sweep_bands(first, ["page"]).orderBy("pos").collect()]
+    assert got[0] == (60.0, 128.0) and got[-1] == (146.0, 214.0) and len(got) == 5
+    pixels = spark.createDataFrame([(1, x, y, 20 if y == 3 and x < 4 else 255) for x in range(6) for y in range(5)], "page long, x int, y int, grey int")
+    assert {r.y: r.ink for r in layout.ink_counts(pixels, ["page"], 1, 6).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}
+
+
+def test_rotations_and_rows(spark):
+    df = spark.createDataFrame([("[0, 90]", 2), ("[0]", 2), ("[45, 0]", 2), ("{", 1), ("[]", 0), ('["x"]', 1)], "t string, n int")
+    rotations, error = names.rotations_error(F.col("t"), F.col("n"))
+    got = [(r.a, r.e) for r in df.select(rotations.alias("a"), error.alias("e")).collect()]
+    assert got == [([0, 90], None), (None, "invalid_rotations"), (None, "invalid_rotation"), (None, "invalid_rotations"), ([], None), (None, "invalid_rotation")]
+    rows = spark.createDataFrame([(1, None)], "text int, warning_messages array<string>")
+    assert store.to_records(rows).first().asDict() == {"extracted_text": 1, "warning_messages": []}
+    assert store.to_rows(store.to_records(rows)).columns == rows.columns
