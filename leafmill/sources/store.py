@@ -30,8 +30,12 @@ def write_documents_json(documents: DataFrame, path: str) -> None:
     documents.write.option("ignoreNullFields", "false").json(path)
 
 
-#: Column names of the cloud tables where they differ from the records'.
-RENAMES = {"title_text": "title", "voice": "tts_voice", "source_path": "source_storage_path", "text": "extracted_text", "audio_path": "audio_storage_path"}
+# Columns of the stored tables whose records are named otherwise.
+RENAMES = {
+    "library_document_id": "library_book_id",
+    "original_image_storage_path": "original_image_path",
+    "processed_image_storage_path": "processed_image_path",
+}
 
 
 def to_records(rows: DataFrame) -> DataFrame:

@@ -158,6 +158,6 @@ def test_rotations_and_rows(spark):
     rotations, error = names.rotations_error(F.col("t"), F.col("n"))
     got = [(r.a, r.e) for r in df.select(rotations.alias("a"), error.alias("e")).collect()]
     assert got == [([0, 90], None), (None, "invalid_rotations"), (None, "invalid_rotation"), (None, "invalid_rotations"), ([], None), (None, "invalid_rotation")]
-    rows = spark.createDataFrame([(1, None)], "text int, warning_messages array<string>")
-    assert store.to_records(rows).first().asDict() == {"extracted_text": 1, "warning_messages": []}
+    rows = spark.createDataFrame([("a.png", None)], "original_image_storage_path string, warning_messages array<string>")
+    assert store.to_records(rows).first().asDict() == {"original_image_path": "a.png", "warning_messages": []}
     assert store.to_rows(store.to_records(rows)).columns == rows.columns
