@@ -4,10 +4,10 @@ A document's lines are hashed; a rolling hash over the last lines' hashes puts
 a chunk boundary wherever it hits a pattern, so boundaries follow content and
 inserted lines shift nothing else. Boundaries also stand where the number of
 documents that hold a line changes, which parts a shared passage from its
-surroundings, and around long lines (wrapped passages by themselves). A chunk
-of several lines, or of one long line, all of whose lines occur elsewhere, is
-compared byte by byte with the other chunks of its hash; its first place in
-the corpus stays, every other is removed.
+surroundings, and around long lines (wrapped passages by themselves). Chunks
+of a passage of several lines that all occur elsewhere, and such long lines,
+are compared byte by byte with the other chunks of their hash; the first place
+in the corpus stays, every other is removed.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from leafmill.llm import common, units
 
 #: A line of so many words is a passage of its own.
 LONG_WORDS = 50
-#: A chunk shorter than this is left alone, however often it occurs.
+#: A passage of fewer words is left alone, however often it occurs.
 LEAST_WORDS = 20
 #: Lines in the rolling window, and the mean number of lines between cuts.
 WINDOW, MEAN = 2, 4
@@ -61,8 +61,8 @@ def _heads(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(first line, end line, hash) of the chunks of shared lines that are
-    long enough to be removed if they repeat."""
+    """(first line, end line, hash) of the chunks that go if they repeat: those
+    of passages of several shared lines, and shared long lines."""
     n = len(hashes)
     held = [shared.get(h, 0) for h in hashes.tolist()]
     out, first, rolling = [], 0, 0
@@ -80,16 +80,22 @@ def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int]) -> list
         rolling = (rolling * 0x9E3779B97F4A7C15 + values[i]) & mask
         if i - first >= WINDOW:
             rolling = (rolling - values[i - WINDOW] * weight) & mask
-        # Never after one short line: a removable chunk has several.
+        # Not after a chunk's first line: chunks of several lines.
         if i > first and (rolling >> 40) % MEAN == 0 and i + 1 < n:
             out.append((first, i + 1))
             first = i + 1
     if first < n:
         out.append((first, n))
+    # A run of lines of one document count is one shared passage, however the
+    # rolling hash cuts it; its size decides, so that no short chunk survives.
+    edges = [0, *(i for i in range(1, n) if held[i] != held[i - 1]), n]
+    run_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges)) if n else np.zeros(0, np.int64)
+    run_words = np.add.reduceat(words, edges[:-1]) if n else words
     kept = []
     for a, b in out:
-        total = int(words[a:b].sum())
-        if held[a] and (b - a > 1 or total >= LONG_WORDS) and total >= LEAST_WORDS:
+        run = run_of[a]
+        passage = edges[run + 1] - edges[run] > 1 and run_words[run] >= LEAST_WORDS
+        if held[a] and (passage or words[a] >= LONG_WORDS):
             kept.append((a, b, digest(hashes[a:b].tobytes()) >> 1))
     return kept
 
@@ -128,7 +134,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     # Documents that hold each line; a document counts once.
     each = lined.select("k1", "k2", F.explode(F.array_distinct("hashes")).alias("h"))
-    shared = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that both sides of the join are plain exchanges and a line
+    # that a third of all documents hold can be split over tasks.
+    shared = common.materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     of_doc = (
         each.join(shared, "h")
         .groupBy("k1", "k2")
@@ -156,7 +164,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.collect_list(F.struct("a", "b", "g")).alias("at"))
     )
     # The bytes of every chunk whose hash repeats, for the comparison.
-    texts = keyed.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "at")
+    texts = keyed.join(wanted.hint("merge"), ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "at")
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +181,9 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     found = common.materialize(texts.mapInArrow(bytes_of, "k1 long, k2 long, a long, b long, g long, chunk string"), "chunks")
     # Grouping by the text itself compares bytes; the hash only deals it out.
-    first = found.groupBy("g", "chunk").agg(F.min(F.struct("k1", "k2", "a")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = common.materialize(
+        found.groupBy("g", "chunk").agg(F.min(F.struct("k1", "k2", "a")).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first"
+    )
     again = common.reread(found)
     drop = (
         again.join(first, ["g", "chunk"])
@@ -205,7 +215,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     cuts = repeated_chunks(docs, id_col, text_col).select(
         F.col("k1").alias("leafmill_k1"), F.col("k2").alias("leafmill_k2"), F.col("cuts").alias("leafmill_cuts")
     )
-    joined = docs.withColumns({"leafmill_k1": keys[0], "leafmill_k2": keys[1]}).join(cuts, ["leafmill_k1", "leafmill_k2"], "left")
+    joined = docs.withColumns({"leafmill_k1": keys[0], "leafmill_k2": keys[1]}).join(cuts.hint("merge"), ["leafmill_k1", "leafmill_k2"], "left")
     columns = docs.columns
     joined = joined.select(*columns, "leafmill_cuts")
     at, last = columns.index(text_col), len(columns)
