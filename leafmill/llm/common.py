@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_ROOT: list[str] = []
+_WRITTEN: list[DataFrame] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +45,17 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._leafmill_path = path
+    _WRITTEN.append(out)
     return out
 
 
+def clear_scratch() -> None:
+    """Delete every scratch table of this process, once all results that read
+    them are stored elsewhere."""
+    while _WRITTEN:
+        discard(_WRITTEN.pop())
+
+
 def reread(df: DataFrame) -> DataFrame:
     """What ``materialize`` wrote, as a second source with columns of its own."""
     out = df.sparkSession.read.schema(df.schema).parquet(df._leafmill_path)
