@@ -120,4 +120,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The one exact operator that SQL expresses; the others hold tokenizers,
+    hashes, learned scores or searches, and are tested by brute force."""
+    from leafmill.llm import oracles
+
+    return {"op9_license_scan": oracles.license_scan()}

@@ -128,3 +128,13 @@ def test_containment_join_is_exact(spark):
                     if len(words & block) >= licenses.THETA * len(words) - 1e-9:
                         want.add(name)
         assert got[k] == want, k
+
+
+def test_op9_against_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = con.sql(queries.oracle_sql()["op9_license_scan"])
+    got = queries.op9_license_scan(spark, small).select(want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
