@@ -31,8 +31,17 @@ NAMES = (
 
 def _per_row(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over rows given by first positions (n + 1)."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
-    return total[rows[1:]] - total[rows[:-1]]
+    out = np.zeros(len(rows) - 1)
+    full = rows[1:] > rows[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, rows[:-1][full], dtype=np.float64)
+    return out
+
+
+def _per_span(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over non-empty spans in order; they may touch."""
+    bounds = np.stack([starts, ends], axis=1).ravel()
+    return np.add.reduceat(np.append(values, values.dtype.type(0)), bounds, dtype=np.int64)[::2]
 
 
 def _runs_of_row(codes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,11 +86,9 @@ def features(texts: pa.Array) -> np.ndarray:
         marked = _CLASS[last] == 8
         odd = np.isin(last, np.frombuffer(b"!&%$#*|", dtype=np.uint8))
         stop = np.isin(last, np.frombuffer(b".?", dtype=np.uint8))
-        cum_low = np.concatenate([[0], np.cumsum(kinds == 2)])
-        cum_up = np.concatenate([[0], np.cumsum(kinds == 3)])
-        upper = (cum_up[ends] - cum_up[starts] > 0) & (cum_low[ends] == cum_low[starts])
+        upper = (_per_span(kinds == 3, starts, ends) > 0) & (_per_span(kinds == 2, starts, ends) == 0)
     else:
-        marked = odd = stop = upper = np.zeros(0)
+        marked = odd = stop = upper = np.zeros(0, dtype=bool)
     line_starts, line_ends, line_rows = units.runs(data != 0x0A, offsets)
     line_codes = (
         units.coded(units.strings(data[data != 0x0A], line_ends - line_starts))[0]

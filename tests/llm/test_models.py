@@ -113,6 +113,13 @@ def test_trees_fit_and_flatten():
     assert quality.fit(np.zeros((0, 4)), np.zeros(0)).score(x).shape == (600,)
 
 
+def test_statistics_do_not_depend_on_the_batch(corpus):
+    texts = [r["text"] for r in corpus[:40]] + ["", "A", "AB", " ", "", "x"]
+    whole = statistics.features(pa.array(texts))
+    assert (np.concatenate([statistics.features(pa.array([t])) for t in texts]) == whole).all()
+    assert statistics.features(pa.array([], pa.string())).shape == (0, len(statistics.NAMES))
+
+
 def test_statistics_of_simple_texts():
     got = statistics.features(pa.array(["", "a a b", "AB!! CD!!\nAB!! CD!!"]))
     at = {n: k for k, n in enumerate(statistics.NAMES)}
