@@ -434,7 +434,8 @@ def near_duplicates(
     same = common.reread(prints).join(common.reread(reps), "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     pairs = common.materialize(by_rep.unionByName(same), "pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(common.reread(pairs).select(F.col("b").alias("node"))).distinct()
-    texts = named.withColumn("node", F.xxhash64("text")).join(needed, "node", "left_semi").dropDuplicates(["node"])
+    # Copies collapse before they are dealt out by text.
+    texts = named.withColumn("node", F.xxhash64("text")).dropDuplicates(["node"]).join(needed.hint("merge"), "node", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,4 +490,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         }
     )
     by = ["leafmill_id", "leafmill_known", "leafmill_node"]
-    return keyed.dropDuplicates(by).join(keys, by, "left_semi").select(*docs.columns)
+    return keyed.dropDuplicates(by).join(keys.hint("merge"), by, "left_semi").select(*docs.columns)
