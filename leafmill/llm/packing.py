@@ -237,13 +237,14 @@ def pieces(
     )
 
 
-def pack(cut: DataFrame, size: int, rank_rows: int = 20_000) -> DataFrame:
+def pack(cut: DataFrame, size: int) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table of pieces.
 
     Ranks within a length are dealt in two steps, since one length may hold a
-    third of all pieces: pieces are spread over sub-groups of about
-    ``rank_rows`` by a hash, each sub-group counts once, and a row's rank is
-    its place in its sub-group plus the sizes of those before. Ties (repeated
+    third of all pieces: n pieces of a length are spread by a hash over about
+    the square root of n sub-groups, and a row's rank is its place in its
+    sub-group plus the sizes of those before, so that neither the sub-groups
+    nor their number grow faster than that root. Ties (repeated
     rows) get different ranks in any order. No pieces give no rows.
     """
     spark = cut.sparkSession
@@ -253,7 +254,7 @@ def pack(cut: DataFrame, size: int, rank_rows: int = 20_000) -> DataFrame:
     for row in cut.groupBy("length").count().collect():  # at most ``size`` rows
         histogram[row["length"]] = row["count"]
     table = slots(plan(histogram, size))
-    groups = np.maximum(1, -(-histogram // rank_rows))
+    groups = np.maximum(1, np.ceil(np.sqrt(histogram))).astype(np.int64)
     of_length = F.array(*[F.lit(int(g)) for g in groups])
     salted = cut.withColumn(
         "lm_group",
