@@ -6,6 +6,9 @@ objects are made only for the distinct strings of a batch.
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -104,11 +107,15 @@ def words(texts: pa.Array, lower: bool) -> tuple[pa.Array, np.ndarray]:
     return strings(ASCII_LOWER[kept] if lower else kept, ends - starts), rows
 
 
-def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def chunks(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Rows cut where no pre-token of the byte-level patterns can cross: before
     a space or newline that a surely solid character follows, and between a
-    letter (ASCII, or U+00C0-00FF but for the two signs there) and a mark."""
+    letter (ASCII, or U+00C0-00FF but for the two signs there) and a mark. ``lower`` puts A-Z
+    in lower case, unless a combining mark stands anywhere: with one, a capital
+    and its small letter may compose differently."""
     offsets, data = buffers(texts)
+    if lower and not ((data == 0xCC) | (data == 0xCD)).any():
+        data = ASCII_LOWER[data]
     n = len(data)
     if not n:
         return pa.array([], pa.string()), np.zeros(len(offsets), dtype=np.int64)
@@ -155,8 +162,8 @@ class UnitEncoder:
     speed-up with a byte bound: beyond it the cache starts afresh.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 96 << 20):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 96 << 20, lower: bool = False):
+        self.encode, self.limit, self.lower = encode, limit, lower
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -170,7 +177,7 @@ class UnitEncoder:
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             for w, ids in zip(part, self.encode(part), strict=True):
-                known[w] = np.asarray(ids, dtype=np.uint32).tobytes()
+                known[w] = array("I", ids).tobytes()
             self.held += sum(map(len, part)) + 140 * len(part)
         found = [known[w] for w in distinct]
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
@@ -178,7 +185,7 @@ class UnitEncoder:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows laid end to end, first id of each row, n + 1)."""
-        units, rows = chunks(texts)
+        units, rows = chunks(texts, self.lower)
         codes, distinct = coded(units)
         store, sizes = self.lookup(distinct)
         starts = np.zeros(len(sizes), dtype=np.int64)
@@ -190,21 +197,41 @@ class UnitEncoder:
 _ENCODERS: dict[str, UnitEncoder] = {}
 
 
+_PLAIN = re.compile(r"[\n\x20-\x40\x5B-\x7E]*")
+
+
 def library_encoder(path: str) -> UnitEncoder:
     """One encoder per worker process over a ``tokenizers`` file.
 
-    Strings of special tokens inside a text are ordinary text.
+    Strings of special tokens inside a text are ordinary text. Where the file
+    composes, lower-cases and squeezes white space first, that does nothing to
+    small ASCII letters, marks and single spaces: such pieces skip the step.
     """
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        steps = (described.get("normalizer") or {}).get("normalizers", [])
+        lower = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        plain = whole
+        if lower:
+            plain = Tokenizer.from_str(json.dumps(described | {"normalizer": None}))
+            plain.encode_special_tokens = True
+
+        def run(tokenizer: Tokenizer, batch: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
         def encode(batch: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+            if plain is whole:
+                return run(whole, batch)
+            easy = [_PLAIN.fullmatch(w) is not None for w in batch]
+            found = [iter(run(t, [w for w, e in zip(batch, easy, strict=True) if e == k])) for k, t in ((False, whole), (True, plain))]
+            return [next(found[e]) for e in easy]
 
-        _ENCODERS[path] = UnitEncoder(encode)
+        _ENCODERS[path] = UnitEncoder(encode, lower=lower)
     return _ENCODERS[path]
 
 
