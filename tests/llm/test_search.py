@@ -105,6 +105,68 @@ def test_near_duplicates_stage(spark):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def shingles(text, size=5):
+    words = re.findall("[^\x20\x09-\x0d]+", text.translate(LOWER))
+    return {" ".join(words[k : k + size]) for k in range(max(len(words) - size + 1, 1))} if words else set()
+
+
+def jaccard_groups(texts):
+    """Least index of each text's group, from all pairs."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def found_groups(spark, texts, **options):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = simhash.near_duplicates(docs, **options).collect()
+    low = {}
+    for r in rows:
+        low[r.label] = min(low.get(r.label, r.doc_id), r.doc_id)
+    return [low[r.label] for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def dense_texts():
+    """One group of many candidate pairs, most of them below 0.8, whose texts
+    hold together by chains."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):
+        copy = [f"w{j}" for j in range(150)]
+        for mark, changes in (("x", 5), ("z", 2)):
+            for at in rng.choice(150, changes, replace=False):
+                copy[at] = f"{mark}{k}y{at}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def dense_texts():
+    """One group of many candidate pairs, most of them below 0.8, whose texts
+    hold together by chains."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):
+        copy = [f"w{j}" for j in range(150)]
+        for mark, changes in (("x", 5), ("z", 2)):
+            for at in rng.choice(150, changes, replace=False):
+                copy[at] = f"{mark}{k}y{at}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("block", [1024, 50])
+def test_dense_groups_lose_no_link(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    texts = dense_texts()
+    want = jaccard_groups(texts)
+    assert 1 < len(set(want)) < 120
+    assert found_groups(spark, texts) == want
+
+
 def nearest(ids, vectors, k=5):
     out = {}
     m = np.array(vectors, dtype=np.float64)
