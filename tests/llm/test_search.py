@@ -167,6 +167,34 @@ def test_dense_groups_lose_no_link(spark, monkeypatch, block):
     assert found_groups(spark, texts) == want
 
 
+def edited_texts():
+    """120 pairs at 0.8 to 0.9: a block replaced, words appended or scattered."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(120):
+        n = int(rng.integers(60, 400))
+        words, share = [f"p{k}w{j}" for j in range(n)], rng.uniform(0.81, 0.9)
+        if k % 3 == 0:
+            m = int(n * (1 - share) / (1 + share)) - 4
+            at = int(rng.integers(0, n - m))
+            copy = [*words[:at], *(f"p{k}n{j}" for j in range(m)), *words[at + m :]]
+        elif k % 3 == 1:
+            copy = words + [f"p{k}n{j}" for j in range(int(n / share) - n)]
+        else:
+            copy = list(words)
+            for at in rng.choice(n, max(1, int(n * (1 - share) / (1 + share) / 5)), replace=False):
+                copy[at] = f"p{k}n{at}"
+        texts += [" ".join(words), " ".join(copy)]
+    return texts
+
+
+def test_pairs_just_over_the_threshold_are_found(spark):
+    texts = edited_texts()
+    want = jaccard_groups(texts)
+    assert sum(want[k] == want[k + 1] for k in range(0, 240, 2)) >= 115
+    assert found_groups(spark, texts) == want
+
+
 def nearest(ids, vectors, k=5):
     out = {}
     m = np.array(vectors, dtype=np.float64)
