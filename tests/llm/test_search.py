@@ -195,6 +195,23 @@ def test_pairs_just_over_the_threshold_are_found(spark):
     assert found_groups(spark, texts) == want
 
 
+def repetitive_texts():
+    """Texts of equal fingerprint, in six groups that share one word alone."""
+    out = []
+    for g in range(6):
+        words = [f"g{g}w{j}" for j in range(120)]
+        out += [" ".join(["again"] * 1500 + words[:60] + [f"t{t}"] + words[60:]) for t in range(3)]
+    return out
+
+
+def test_texts_of_one_fingerprint_meet_each_other(spark):
+    texts = repetitive_texts()
+    assert len({fingerprint(t) for t in texts}) == 1
+    want = jaccard_groups(texts)
+    assert want == [k // 3 * 3 for k in range(18)]
+    assert found_groups(spark, texts) == want
+
+
 def nearest(ids, vectors, k=5):
     out = {}
     m = np.array(vectors, dtype=np.float64)
