@@ -3,8 +3,8 @@
 A document's lines are hashed; a rolling hash over the last lines' hashes puts
 a chunk boundary wherever it hits a pattern, so boundaries follow content and
 inserted lines shift nothing else. Boundaries also stand where the number of
-documents that hold a line changes, which parts a shared passage from its
-surroundings, and around long lines (wrapped passages by themselves). Chunks
+documents that hold two adjacent lines falls, which parts a shared passage from
+its surroundings, and around long lines (wrapped passages by themselves). Chunks
 of a passage of several lines that all occur elsewhere, and such long lines,
 are compared byte by byte with the other chunks of their hash; the first place
 in the corpus stays, every other is removed.
@@ -60,11 +60,23 @@ def _heads(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def line_pairs(hashes: np.ndarray) -> np.ndarray:
+    """One hash for each line and its next."""
+    return hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ (hashes[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int]) -> list[tuple[int, int, int]]:
     """(first line, end line, hash) of the chunks that go if they repeat: those
-    of passages of several shared lines, and shared long lines."""
+    of passages of several lines, and shared long lines.
+
+    ``shared`` has the document counts over 1 of pairs of adjacent lines (see
+    ``line_pairs``) and of long lines. A passage is a longest run of lines
+    whose pairs are all shared; its size decides, however it is cut.
+    """
     n = len(hashes)
-    held = [shared.get(h, 0) for h in hashes.tolist()]
+    pairs = [shared.get(h, 0) for h in line_pairs(hashes).tolist()] if n else []
+    around = [0, *pairs, 0]
+    level = [max(around[i], around[i + 1]) for i in range(n)]
     out, first, rolling = [], 0, 0
     mask = (1 << 64) - 1
     weight = pow(0x9E3779B97F4A7C15, WINDOW, 1 << 64)
@@ -72,7 +84,8 @@ def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int]) -> list
     for i in range(n):
         alone = words[i] >= LONG_WORDS
         fresh = i == first
-        if not fresh and (alone or held[i] != held[i - 1] or words[i - 1] >= LONG_WORDS or i - first >= MAX_LINES):
+        # A pair in fewer documents than a pair beside it: other holders.
+        if not fresh and (alone or not pairs[i - 1] or pairs[i - 1] < max(level[i - 1], level[i]) or words[i - 1] >= LONG_WORDS or i - first >= MAX_LINES):
             out.append((first, i))
             first, fresh = i, True
         if fresh:
@@ -80,22 +93,22 @@ def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int]) -> list
         rolling = (rolling * 0x9E3779B97F4A7C15 + values[i]) & mask
         if i - first >= WINDOW:
             rolling = (rolling - values[i - WINDOW] * weight) & mask
-        # Not after a chunk's first line: chunks of several lines.
-        if i > first and (rolling >> 40) % MEAN == 0 and i + 1 < n:
+        # Chunks of several lines: not after a chunk's first line, nor before a passage's last.
+        if i > first and (rolling >> 40) % MEAN == 0 and i + 2 < n and pairs[i + 1] == pairs[i]:
             out.append((first, i + 1))
             first = i + 1
     if first < n:
         out.append((first, n))
-    # A run of lines of one document count is one shared passage, however the
-    # rolling hash cuts it; its size decides, so that no short chunk survives.
-    edges = [0, *(i for i in range(1, n) if held[i] != held[i - 1]), n]
+    edges = [0, *(i for i in range(1, n) if not pairs[i - 1]), n]
     run_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges)) if n else np.zeros(0, np.int64)
     run_words = np.add.reduceat(words, edges[:-1]) if n else words
     kept = []
     for a, b in out:
         run = run_of[a]
         passage = edges[run + 1] - edges[run] > 1 and run_words[run] >= LEAST_WORDS
-        if held[a] and (passage or words[a] >= LONG_WORDS):
+        # One short line between other holders may stand anywhere: it stays.
+        whole = b - a > 1 or words[a] >= LEAST_WORDS
+        if (passage and whole) or (words[a] >= LONG_WORDS and shared.get(values[a], 0)):
             kept.append((a, b, digest(hashes[a:b].tobytes()) >> 1))
     return kept
 
@@ -119,21 +132,23 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at, texts in units.slices(batch.column(2)):
                 _, _, hashes, words, rows = line_table(texts)
                 size = pa.array(rows.astype(np.int32))
+                seen = [np.append(line_pairs(hashes[a:b]), hashes[a:b][words[a:b] >= LONG_WORDS]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         batch.column(1).slice(at, len(texts)),
                         pa.ListArray.from_arrays(size, pa.array(hashes.view(np.int64))),
                         pa.ListArray.from_arrays(size, pa.array(words.astype(np.int32))),
+                        pa.array([x.view(np.int64) for x in seen], pa.list_(pa.int64())),
                     ],
-                    names=["k1", "k2", "hashes", "words"],
+                    names=["k1", "k2", "hashes", "words", "seen"],
                 )
 
     lined = common.materialize(
-        keyed.mapInArrow(hashed, "k1 long, k2 long, hashes array<long>, words array<int>"), "lines"
+        keyed.mapInArrow(hashed, "k1 long, k2 long, hashes array<long>, words array<int>, seen array<long>"), "lines"
     )
-    # Documents that hold each line; a document counts once.
-    each = lined.select("k1", "k2", F.explode(F.array_distinct("hashes")).alias("h"))
+    # Documents that hold each pair of lines or long line; a document counts once.
+    each = lined.select("k1", "k2", F.explode(F.array_distinct("seen")).alias("h"))
     # Written, so that both sides of the join are plain exchanges and a line
     # that a third of all documents hold can be split over tasks.
     shared = common.materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")

@@ -278,6 +278,24 @@ def test_shared_passages_go_and_their_surroundings_stay(spark):
     assert all(got[k] == f"{unique(k)}\n{unique(200 + k, 1)}" for k in (5, 6))
 
 
+def dedup_texts(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in lines.dedup(docs).orderBy("doc_id").collect()]
+
+
+def test_passages_with_lines_of_unequal_counts_go(spark):
+    """Paragraphs with a blank line between, which nearly all texts hold, and
+    a passage of which another text holds one line."""
+    first, second = (" ".join(f"{p}{j}" for j in range(30)) for p in ("first", "second"))
+    wrapped = [" ".join(f"wrap{k}w{j}" for j in range(12)) for k in range(5)]
+    texts = [f"own {k}\n{first}\n\n{second}\nend {k}" for k in range(3)]
+    texts += [f"own {k}\n\nend {k}" for k in range(3, 8)]
+    texts += ["\n".join([f"own {k}", *wrapped, f"end {k}"]) for k in range(8, 11)]
+    texts += [f"own 11\n{wrapped[2]}\nend 11"]
+    want = [t if k in (0, 8) else f"own {k}\nend {k}" if k in (1, 2, 9, 10) else t for k, t in enumerate(texts)]
+    assert dedup_texts(spark, texts) == want
+
+
 def test_line_dedup_odd_rows(spark, odd):
     got = lines.dedup(odd)
     assert got.schema == odd.schema
