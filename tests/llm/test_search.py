@@ -296,6 +296,17 @@ def test_passages_with_lines_of_unequal_counts_go(spark):
     assert dedup_texts(spark, texts) == want
 
 
+def test_passages_beside_shared_lines_of_equal_count_go(spark):
+    """Each passage stands beside a line that another text holds too, so that
+    its count equals the passage's."""
+    texts, want = [], []
+    for k in range(20):
+        passage = "\n".join(" ".join(f"p{k}l{i}w{j}" for j in range(12)) for i in range(5))
+        texts += [f"own {k} a\nheader {k}\n{passage}\nend {k} a", f"own {k} b\n{passage}\nend {k} b", f"own {k} c\nheader {k}\nend {k} c"]
+        want += [texts[-3], f"own {k} b\nend {k} b", texts[-1]]
+    assert dedup_texts(spark, texts) == want
+
+
 def test_line_dedup_odd_rows(spark, odd):
     got = lines.dedup(odd)
     assert got.schema == odd.schema
