@@ -28,10 +28,8 @@ from leafmill.llm.graph import connected_components
 HOT_BUCKET = 4096
 #: Cost of comparing a candidate, where sending a probe row costs 1.
 COMPARE = 0.02
-#: Texts sampled to rank shingles, and slots of the table of ranks.
-SAMPLE, SLOTS = 40_000, 1 << 22
-#: Texts and bytes of a block of a crowded group.
-BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
+#: Bytes of text, and shingles, that are worked on at once.
+SLICE, RUN = 1 << 20, 1 << 16
 
 
 def shingle_spans(texts: pa.Array, size: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,24 +59,30 @@ def shingle_hashes(texts: pa.Array, size: int, seed: int = 42) -> tuple[np.ndarr
     from xxhash import xxh64_intdigest as digest
 
     joined, first, last, bounds = shingle_spans(texts, size)
-    values = [digest(joined[a:b], seed) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-    return np.array(values, dtype=np.uint64), bounds
-
-
-def row_fingerprints(texts: pa.Array, size: int) -> np.ndarray:
-    """A bit is one if it is set in over half of a row's shingle hashes."""
-    hashes, bounds = shingle_hashes(texts, size)
-    ones = np.zeros((len(texts), 64), dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 18):
-        part = hashes[at : at + (1 << 18)]
+    out = np.empty(len(first), dtype=np.uint64)
+    for at in range(0, len(first), RUN):
+        ends = zip(first[at : at + RUN].tolist(), last[at : at + RUN].tolist(), strict=True)
+        out[at : at + RUN] = np.fromiter((digest(joined[a:b], seed) for a, b in ends), dtype=np.uint64)
+    return out, bounds
+
+
+def majority(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Fingerprints: a bit is one if set in over half of a row's hashes."""
+    ones = np.zeros((len(bounds) - 1, 64), dtype=np.int64)
+    for at in range(0, len(hashes), RUN):
+        part = hashes[at : at + RUN]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         low = int(np.searchsorted(bounds, at, side="right")) - 1
         high = int(np.searchsorted(bounds, at + len(part), side="left"))
         rows = np.arange(low, high)
         rows = rows[bounds[rows + 1] > np.maximum(bounds[rows], at)]
         ones[rows] += np.add.reduceat(bits, np.maximum(bounds[rows] - at, 0), axis=0, dtype=np.int64)
-    majority = 2 * ones > np.diff(bounds)[:, None]
-    return np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
+    most = 2 * ones > np.diff(bounds)[:, None]
+    return np.packbits(most, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def row_fingerprints(texts: pa.Array, size: int) -> np.ndarray:
+    return majority(*shingle_hashes(texts, size))
 
 
 def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,7 +93,7 @@ def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in units.slices(batch.column(1)):
+            for at, texts in units.slices(batch.column(1), SLICE):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)).cast(pa.int64()),
@@ -389,242 +393,3 @@ def components(
     lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
     of_print = named.join(lows, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
-
-
-def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; wordless texts have none."""
-    hashes, bounds = shingle_hashes(texts, size)
-    return [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def prefix(shingles: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in the order of rank, then hash, of which any set of
-    that Jaccard similarity has one among its own first shingles too.
-
-    Two such sets share ``similarity`` of the larger at least, so they can't
-    differ in all of either's first n - similarity * n + 1. Empty sets, which
-    count as equal, share one stand-in.
-    """
-    n = len(shingles)
-    if not n:
-        return np.zeros(1, dtype=np.uint64)
-    return shingles[np.argsort(ranks, kind="stable")[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
-
-
-def shingle_ranks(named: DataFrame, size: int) -> np.ndarray:
-    """For shingles by hash modulo SLOTS: 16 log2(n + 1), n being how many of
-    a sample of texts (SAMPLE to twice as many) have them.
-
-    Prefixes hold the rarest shingles, so that texts that only have a passage
-    in common seldom become candidates; the ranks change no result.
-    """
-    step = max(1, named.count() // SAMPLE)
-    some = named.where(F.pmod("node", F.lit(step)) == 0).dropDuplicates(["node"]).select("text")
-    pieces = 256
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.uint32)
-        for batch in batches:
-            for _, part in units.slices(batch.column(0)):
-                flat = np.concatenate(shingle_sets(part, size))
-                counts += np.bincount((flat % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-        if counts.any():
-            rows = [x.tobytes() for x in counts.reshape(pieces, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array(rows, pa.binary())], names=["piece", "counts"])
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[piece] = total.get(piece, 0) + np.frombuffer(x, dtype=np.uint32).astype(np.int64)
-        codes = [np.minimum(16 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(codes, pa.binary())], names=["piece", "codes"])
-
-    counts = some.mapInArrow(counted, "piece int, counts binary").repartition(common.shuffle_partitions(named.sparkSession), "piece")
-    ranks = np.zeros((pieces, SLOTS // pieces), dtype=np.uint8)
-    for row in counts.mapInArrow(summed, "piece int, codes binary").collect():  # SLOTS bytes whatever the corpus
-        ranks[row["piece"]] = np.frombuffer(row["codes"], dtype=np.uint8)
-    return ranks.ravel()
-
-
-def _leaders(shingles: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles, the least node of each, and links of the other nodes
-    to it, each once."""
-    by = np.lexsort((nodes, shingles))
-    shingles, nodes = shingles[by], nodes[by]
-    head = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(by) else by
-    least = np.repeat(nodes[head], np.diff(np.append(head, len(by))))
-    apart = least != nodes
-    pairs = np.unique(np.stack([least[apart], nodes[apart]], axis=1), axis=0)
-    return shingles[head], nodes[head], pairs[:, 0], pairs[:, 1]
-
-
-def candidate_groups(named: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(node, label): texts chained by shared prefix shingles. Any two texts
-    of that similarity are in one group; texts alone have no row."""
-    ranks = shingle_ranks(named, size)
-    n_parts = common.shuffle_partitions(named.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, part in units.slices(batch.column(1)):
-                sets = shingle_sets(part, size)
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                rank = ranks[flat % np.uint64(SLOTS)]
-                ends = np.cumsum([len(x) for x in sets])
-                firsts = [prefix(x, rank[e - len(x) : e], similarity) for x, e in zip(sets, ends, strict=True)]
-                if not firsts:
-                    continue
-                owners = np.repeat(ids[at : at + len(part)], [len(x) for x in firsts])
-                # Texts of one batch meet here; each shingle goes on once.
-                shingles, least, a, b = _leaders(np.concatenate(firsts), owners)
-                bucket = (shingles % np.uint64(n_parts)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0]))
-                groups = np.split(by, edges[1:])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([-1, *bucket[by][edges].tolist()], pa.int64()),
-                        pa.array([a.tobytes(), *(shingles[g].tobytes() for g in groups)], pa.binary()),
-                        pa.array([b.tobytes(), *(least[g].tobytes() for g in groups)], pa.binary()),
-                    ],
-                    names=["bucket", "a", "b"],
-                )
-
-    def numbers(column: pa.Array, kind: type) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(numbers(x.column(1), np.uint64), numbers(x.column(2), np.int64)) for x in batches]
-        if held:
-            _, _, a, b = _leaders(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(numbers(x.column(k), np.int64)) for k in (1, 2)], names=["a", "b"])
-
-    found = common.materialize(named.select("node", "text").mapInArrow(run, "bucket long, a binary, b binary"), "prefixes")
-    far = found.where("bucket >= 0").repartition(n_parts, "bucket").mapInArrow(meet, "a long, b long")
-    near = common.reread(found).where("bucket < 0").mapInArrow(unpack, "a long, b long")
-    labels = connected_components(near.unionByName(far))
-    common.discard(found)
-    return labels
-
-
-def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join exactly the sets that chains of pairs of that Jaccard
-    similarity join. Every set is compared with all not yet joined to it."""
-    n = len(sets)
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(n), sizes)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    places = np.concatenate([[0], np.cumsum(sizes)])
-    holders = owner[np.argsort(token, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(token))])
-    alone, out = np.ones(n, dtype=bool), []
-    for first in range(n):
-        queue = [first] if alone[first] else []
-        alone[first] = False
-        while queue and alone.any():
-            me = queue.pop()
-            shared = np.zeros(n, dtype=np.int64)
-            mine = token[places[me] : places[me + 1]]
-            for at in range(0, len(mine), 1024):
-                low, high = starts[mine[at : at + 1024]], starts[mine[at : at + 1024] + 1]
-                count = high - low
-                spots = np.arange(count.sum()) + np.repeat(low - np.cumsum(count) + count, count)
-                shared += np.bincount(holders[spots], minlength=n)
-            near = np.flatnonzero(alone & (shared >= similarity * (sizes[me] + sizes - shared)))
-            alone[near] = False
-            out += [(me, k) for k in near.tolist()]
-            queue += near.tolist()
-    return out
-
-
-def _tile_links(similarity: float, size: int):
-    """For rows (tile, node, text) sorted by tile: the links in each tile."""
-
-    def found(nodes: list[int], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-        where = np.unique(np.array(nodes), return_index=True)[1]
-        every = pa.concat_arrays(texts).take(pa.array(where))
-        sets = [x for _, part in units.slices(every) for x in shingle_sets(part, size)]
-        ids = np.array(nodes)[where]
-        pairs = np.array(forest(sets, similarity), dtype=np.int64).reshape(-1, 2)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, k]]) for k in (0, 1)], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, nodes, texts = None, [], []
-        for batch in batches:
-            tile_of = batch.column(0).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(tile_of)) + 1).tolist(), len(tile_of)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                if nodes and tile != tile_of[a]:
-                    yield from found(nodes, texts)
-                    nodes, texts = [], []
-                tile = tile_of[a]
-                nodes += batch.column(1).slice(a, b - a).to_pylist()
-                texts.append(batch.column(2).slice(a, b - a))
-        if nodes:
-            yield from found(nodes, texts)
-
-    return run
-
-
-def near_duplicates(
-    docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, node, label): node names a text, label its group.
-
-    Texts are linked if their sets of ``size``-word shingles reach the Jaccard
-    ``similarity``; groups are what the links join. The search is exact: texts
-    that share no prefix shingle can't reach it (see ``prefix``), and of those
-    chained by prefix shingles each is compared with all that no link joins to
-    it yet. Large candidate groups are dealt to tiles of two blocks each, so
-    that every two members meet in a tile of bounded size.
-    """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    named = named.withColumn("node", F.xxhash64("text"))
-    groups = candidate_groups(named, similarity, size)
-    # Copies collapse before they are dealt out by text.
-    texts = named.select("node", "text").dropDuplicates(["node"]).join(groups.hint("merge"), "node")
-    texts = common.materialize(texts.select("node", "label", "text", F.octet_length("text").alias("bytes")), "candidates")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK_ROWS), F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("long")
-    crowded = common.materialize(texts.groupBy("label").agg(blocks.alias("nb")).where("nb > 1"), "crowded")
-    own = F.pmod(F.xxhash64("node"), F.col("nb"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("nb"), F.lit(1)) - 1))
-    dealt = common.reread(texts).join(crowded, "label", "left").select("label", "nb", "node", "text", F.coalesce(own, F.lit(0)).alias("x"), other.alias("y"))
-    tile = F.when(F.col("nb").isNull(), F.col("label")).otherwise(F.xxhash64("label", F.least("x", "y"), F.greatest("x", "y")))
-    n_parts = common.shuffle_partitions(docs.sparkSession)
-    near = (
-        dealt.select(tile.alias("tile"), "node", "text")
-        .repartition(n_parts, "tile")
-        .sortWithinPartitions("tile")
-        .mapInArrow(_tile_links(similarity, size), "a long, b long")
-    )
-    labels = connected_components(near)
-    return named.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows that stand first (by id, then text hash) in their near-duplicate
-    group, all columns unchanged. Rows of equal id and text are one document;
-    a null id orders first; null texts count as empty ones."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "node")).alias("f"))
-    keys = first.select(
-        F.coalesce("f.doc_id", F.lit(0)).alias("leafmill_id"), F.col("f.known").alias("leafmill_known"), F.col("f.node").alias("leafmill_node")
-    )
-    keyed = docs.withColumns(
-        {
-            "leafmill_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)),
-            "leafmill_known": F.col(id_col).isNotNull(),
-            "leafmill_node": F.xxhash64(F.coalesce(text_col, F.lit(""))),
-        }
-    )
-    by = ["leafmill_id", "leafmill_known", "leafmill_node"]
-    return keyed.dropDuplicates(by).join(keys.hint("merge"), by, "left_semi").select(*docs.columns)

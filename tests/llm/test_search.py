@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafmill.llm import ann, graph, lines, queries, simhash
+from leafmill.llm import ann, graph, lines, neardup, queries, simhash
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -99,10 +99,10 @@ def test_near_duplicates_stage(spark):
     changed = [*base[:100], "new", *base[101:]]
     rows = [(5, " ".join(base)), (3, " ".join(changed)), (4, " ".join(base)), (9, " ".join(f"x{k}" for k in range(200))), (9, " ".join(f"x{k}" for k in range(200))), (None, "lonely"), (11, None), (12, "")]
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
-    kept = simhash.keep_one(docs)
+    kept = neardup.keep_one(docs)
     assert kept.schema == docs.schema
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [11, 3, 9, None]
-    assert simhash.keep_one(docs.limit(0)).count() == 0
+    assert neardup.keep_one(docs.limit(0)).count() == 0
 
 
 def shingles(text, size=5):
@@ -123,7 +123,7 @@ def jaccard_groups(texts):
 
 def found_groups(spark, texts, **options):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    rows = simhash.near_duplicates(docs, **options).collect()
+    rows = neardup.near_duplicates(docs, **options).collect()
     low = {}
     for r in rows:
         low[r.label] = min(low.get(r.label, r.doc_id), r.doc_id)
@@ -144,23 +144,9 @@ def dense_texts():
     return texts
 
 
-def dense_texts():
-    """One group of many candidate pairs, most of them below 0.8, whose texts
-    hold together by chains."""
-    rng = np.random.default_rng(5)
-    texts = []
-    for k in range(60):
-        copy = [f"w{j}" for j in range(150)]
-        for mark, changes in (("x", 5), ("z", 2)):
-            for at in rng.choice(150, changes, replace=False):
-                copy[at] = f"{mark}{k}y{at}"
-            texts.append(" ".join(copy))
-    return texts
-
-
-@pytest.mark.parametrize("block", [1024, 50])
+@pytest.mark.parametrize("block", [1024, 50, 7])
 def test_dense_groups_lose_no_link(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
     texts = dense_texts()
     want = jaccard_groups(texts)
     assert 1 < len(set(want)) < 120
