@@ -36,10 +36,6 @@ def page_file(number: Column) -> Column:
     return F.format_string("page-%04d.png", number)
 
 
-def archive_member(number: Column, extension: str) -> Column:
-    return F.format_string(f"part-%03d{extension}", number)
-
-
 def owned_path(path: Column, user: Column) -> Column:
     """Whether the first folder of a storage path is the user's."""
     return F.split(path, "/")[0] == user
@@ -85,24 +81,22 @@ def display_title(recording_title: Column, original_filename: Column, title: Col
     return F.coalesce(recording_title, original_filename, title)
 
 
+# Wording for a document's status.
+STATUS_LABELS = {
+    "uploaded": "Text not started", "normalizing_pages": "Preparing pages", "inspecting": "Checking pages",
+    "extracting_text": "Reading text", "running_ocr": "Reading text", "text_ready": "Ready for audio",
+    "generating_audio": "Creating audio", "ready": "Ready to listen", "failed": "Needs attention",
+}
+
+
 def status_label(status: Column) -> Column:
-    """Wording for a document status."""
-    words = {
-        "uploaded": "Uploaded", "normalizing_pages": "Preparing pages", "inspecting": "Inspecting",
-        "extracting_text": "Extracting text", "running_ocr": "Reading pages", "text_ready": "Text ready",
-        "generating_audio": "Creating audio", "ready": "Ready", "failed": "Needs attention",
-    }
-    pairs = [x for k, v in words.items() for x in (F.lit(k), F.lit(v))]
+    pairs = [F.lit(x) for pair in STATUS_LABELS.items() for x in pair]
     return F.create_map(*pairs)[status]
 
 
 def status_route(status: Column) -> Column:
-    """Where a document opens: player, text review or processing."""
-    return F.when(status == "ready", "player").when(status.isin("text_ready", "generating_audio"), "audio").otherwise("processing")
-
-
-def strip_or_null(c: Column) -> Column:
-    return F.nullif(strip(c), F.lit(""))
+    """Where a document opens: the player once there is text, else processing."""
+    return F.when(status.isin("ready", "text_ready", "generating_audio"), "listen").otherwise("processing")
 
 
 def rotations_error(text: Column, files: Column) -> tuple[Column, Column]:
@@ -114,8 +108,8 @@ def rotations_error(text: Column, files: Column) -> tuple[Column, Column]:
 
 
 def short_date(ts: Column) -> Column:
-    """Day, short month and year."""
-    return F.date_format(ts, "d MMM yyyy")
+    """Short month and day, hour and minute."""
+    return F.date_format(ts, "MMM d, h:mm a")
 
 
 def iso_time(ts: Column) -> Column:

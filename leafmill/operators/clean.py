@@ -36,8 +36,8 @@ def trim_blank_ends(lines: DataFrame, key: list[str], pos: str = "pos") -> DataF
     return marked.where(F.col(pos).between(F.col("lm_first"), F.col("lm_last"))).drop("lm_first", "lm_last")
 
 
-def drop_headers(lines: DataFrame, key: list[str], pos: str = "pos") -> DataFrame:
-    """Without running headers, top titles and blank lines.
+def header_lines(lines: DataFrame, key: list[str], pos: str = "pos") -> DataFrame:
+    """With ``lm_header``: running headers, top titles and blank lines.
 
     Only the first four positions and the last are looked at; a short title
     counts at the first two, if one of the three lines below it is prose.
@@ -53,8 +53,13 @@ def drop_headers(lines: DataFrame, key: list[str], pos: str = "pos") -> DataFram
     )
     title = (F.col("lm_i") <= 1) & (F.char_length(text) <= 16) & ~chars.has_prose_marks(text) & (chars.cjk(text) >= 4) & F.col("lm_below")
     looked_at = (F.col("lm_i") < 4) | (F.col("lm_i") == F.col("lm_n") - 1)
-    gone = looked_at & (chars.is_running_header(text) | title)
-    return marked.where(~gone & (text != "")).drop("lm_prose", "lm_i", "lm_n", "lm_below")
+    gone = (looked_at & (chars.is_running_header(text) | title)) | (text == "")
+    return marked.withColumn("lm_header", gone).drop("lm_prose", "lm_i", "lm_n", "lm_below")
+
+
+def drop_headers(lines: DataFrame, key: list[str], pos: str = "pos") -> DataFrame:
+    """Without running headers, top titles and blank lines."""
+    return header_lines(lines, key, pos).where(~F.col("lm_header")).drop("lm_header")
 
 
 def keep_matching(lines: DataFrame, survivors: DataFrame, key: list[str], pos: str = "pos") -> DataFrame:
@@ -117,9 +122,15 @@ def drop_orphans(lines: DataFrame, key: list[str], pos: str = "pos") -> DataFram
 
 def clean_lines(lines: DataFrame, key: list[str], language: Column, pos: str = "pos") -> DataFrame:
     """The production order over laid-out lines; rows are the lines that stay."""
-    sure = drop_unsure(lines)
-    numbered = trim_blank_ends(drop_page_numbers(sure), key, pos)
-    matched = keep_matching(sure, drop_headers(numbered, key, pos), key, pos)
+    # Flags instead of filters, so that one exchange by page serves all steps:
+    # headers are judged among the lines that aren't page numbers, and of each
+    # text as many lines stay as survive, the first ones.
+    sure = drop_unsure(lines).repartition(*key).withColumn("lm_on", ~chars.is_page_number(F.col("text")))
+    marked = header_lines(sure, [*key, "lm_on"], pos).withColumn("lm_text", chars.strip(F.col("text")))
+    alike = Window.partitionBy(*key, "lm_text")
+    left = F.sum((F.col("lm_on") & ~F.col("lm_header")).cast("int")).over(alike)
+    counted = marked.withColumns({"lm_left": left, "lm_rank": F.row_number().over(alike.orderBy(pos))})
+    matched = counted.where(F.col("lm_rank") <= F.col("lm_left")).select(*lines.columns)
     return drop_orphans(collapse_figures(matched, key, language, pos), key, pos)
 
 

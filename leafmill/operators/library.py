@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import chars
 
+# The states of a running job, and the order of a folder's status.
 ACTIVE = ("normalizing_pages", "inspecting", "extracting_text", "running_ocr", "generating_audio")
 #: The first of these that any member has is the folder's status.
 PRIORITY = (
@@ -20,9 +21,15 @@ def owned_by(table: DataFrame, user: str | int | None, column: str = "user_id")
     return table if user is None else table.where(F.col(column) == user)
 
 
-def authorize(documents: DataFrame, document_id, user) -> DataFrame:
-    """The document if it is the user's; otherwise nothing, as if absent."""
-    return owned_by(documents.where(F.col("id") == document_id), user)
+def authorize(documents: DataFrame, asked: DataFrame) -> DataFrame:
+    """Asked (id, asker) with the document's columns if it is the asker's;
+    one of another owner is reported as one that doesn't exist. A null asker
+    (no sign-in) may see all."""
+    found = documents.withColumn("lm_found", F.lit(True))
+    joined = asked.join(found, "id", "left")
+    mine = F.coalesce("lm_found", F.lit(False)) & (F.col("asker").isNull() | F.coalesce(F.col("user_id") == F.col("asker"), F.lit(False)))
+    seen = [F.when(mine, F.col(c)).alias(c) for c in documents.columns if c != "id"]
+    return joined.select("id", "asker", *seen, F.when(~mine, "book_not_found").alias("error_code"))
 
 
 def status_rank(status: Column) -> Column:
@@ -43,8 +50,10 @@ def folder_ids(recordings: DataFrame, owner: str = "user_id") -> DataFrame:
     marked = recordings.withColumns({"lm_key": chars.casefold(chars.strip(F.col("title"))), "lm_assigned": assigned})
     marked = marked.withColumn("lm_assigned", F.coalesce("lm_assigned", F.lit(False)))
     order = F.struct("created_at", (-F.unix_micros(F.col("updated_at").cast("timestamp"))).alias("u"), "id")
-    heads = marked.where(~F.col("lm_assigned")).groupBy(owner, "lm_key").agg(F.min_by("id", order).alias("lm_head"))
-    free = marked.where(~F.col("lm_assigned")).join(heads, [owner, "lm_key"]).withColumn("folder_id", F.col("lm_head")).drop("lm_head")
+    heads = marked.where(~F.col("lm_assigned")).groupBy(F.col(owner).alias("lm_owner"), F.col("lm_key").alias("lm_title")).agg(F.min_by("id", order).alias("folder_id"))
+    # Without sign-in there is no owner, and a title may be missing: null equals null.
+    same = F.col(owner).eqNullSafe(F.col("lm_owner")) & F.col("lm_key").eqNullSafe(F.col("lm_title"))
+    free = marked.where(~F.col("lm_assigned")).join(heads, same).drop("lm_owner", "lm_title")
     fixed = marked.where("lm_assigned").withColumn("folder_id", target)
     return free.select(fixed.columns).unionByName(fixed).drop("lm_key", "lm_assigned")
 
@@ -66,11 +75,18 @@ def folders(recordings: DataFrame, owner: str = "user_id") -> DataFrame:
     return rolled.withColumn("processing_status", status).drop("lm_rank")
 
 
+def folder_listing(recordings: DataFrame, owner: str = "user_id") -> DataFrame:
+    """``folders`` with their place in their owner's listing, newest first."""
+    order = Window.partitionBy(owner).orderBy(F.desc("latest_recording_at"), "folder_id")
+    return folders(recordings, owner).withColumn("place", F.row_number().over(order))
+
+
 def folder_members(recordings: DataFrame, owner: str = "user_id") -> DataFrame:
-    """Members of each folder, newest first, with the "Recording n" fallback."""
+    """Members of each folder, newest first, titled by their own title, their
+    file's name, or "Recording n". Flat rows, as a folder may hold very many."""
     order = Window.partitionBy(owner, "folder_id").orderBy(F.desc("updated_at"), F.desc("id"))
     placed = folder_ids(recordings, owner).withColumn("position", F.row_number().over(order))
-    name = F.coalesce("recording_title", F.concat(F.lit("Recording "), F.col("position").cast("string")))
+    name = F.coalesce("recording_title", "original_filename", F.concat(F.lit("Recording "), F.col("position").cast("string")))
     return placed.select(owner, "folder_id", "position", "id", name.alias("display_title"), "status")
 
 

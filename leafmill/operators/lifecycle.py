@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import chars
 
+# The states of pages and segments that a job still has to do, the
+# states of documents that a job of each kind leaves, and its last words.
 UNFINISHED = ("pending", "running_ocr", "extracting")
+UNSPOKEN = ("pending", "generating")
+TEXT_RUNNING, AUDIO_RUNNING = ("extracting_text", "running_ocr"), ("generating_audio",)
+TEXT_STOPPED = "Page text preparation stopped before it finished."
+AUDIO_STOPPED = "Audio preparation stopped before it finished."
 
 
 def unfinished(pages: DataFrame) -> DataFrame:
@@ -51,6 +57,31 @@ def retry_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def _when(table: DataFrame, condition: Column, changes: dict[str, Column]) -> DataFrame:
+    """``table`` with columns changed where the condition holds."""
+    hold = F.coalesce(condition, F.lit(False))
+    new = {c: F.when(hold, v.cast(table.schema[c].dataType.simpleString())).otherwise(F.col(c)) for c, v in changes.items() if c in table.columns}
+    return table.withColumns(new)
+
+
+PAGE_KEY = ["document_id", "page_number"]
+
+
+def retry(documents: DataFrame, pages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, pages) after the retry requests that ``retry_pages`` grants:
+    pages wait again without error and warnings, their documents run."""
+    granted = retry_pages(pages, wanted).where(F.col("error_code").isNull())
+    marks = granted.select(*PAGE_KEY, F.lit(True).alias("lm_again")).distinct()
+    again = _when(
+        pages.join(marks, PAGE_KEY, "left"), F.col("lm_again"),
+        {"processing_status": F.lit("pending"), "error_message": F.lit(None), "warning_messages": F.array().cast("array<string>")},
+    )
+    status = F.when(F.bool_or(F.col("document_status") == "running_ocr"), "running_ocr").otherwise("extracting_text")
+    runs = granted.groupBy(F.col("document_id").alias("id")).agg(status.alias("lm_status"))
+    moved = _when(documents.join(runs, "id", "left"), F.col("lm_status").isNotNull(), {"status": F.col("lm_status"), "error_message": F.lit(None)})
+    return moved.select(*documents.columns), again.select(*pages.columns)
+
+
 def complete_embedded(pages: DataFrame) -> DataFrame:
     """Embedded pages complete if they have text and fail if not."""
     mine = (F.col("extraction_method") == "embedded_text") & F.col("processing_status").isin(*UNFINISHED)
@@ -84,26 +115,52 @@ def finalize_audio(segments: DataFrame) -> DataFrame:
     )
 
 
-def edit_text(pages: DataFrame, edits: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages with manual texts, and segments without those of edited documents.
+def edit_text(documents: DataFrame, pages: DataFrame, segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, pages, segments, refused) after manual texts.
 
-    ``edits``: document_id, page_number, new_text. A blank edit is ignored.
+    ``edits``: document_id, page_number, new_text. An edited page is complete,
+    without error and warnings; its document loses its segments and is ready
+    if all its pages are complete, else failed with the number of failed ones.
+    ``refused`` has the edits that are blank or name no page, with error_code.
     """
-    good = edits.withColumn("new_text", chars.strip(F.col("new_text"))).where("new_text <> ''")
-    edited = pages.join(good, ["document_id", "page_number"], "left")
-    new = edited.withColumns(
-        {
-            "extracted_text": F.coalesce("new_text", "extracted_text"),
-            "processing_status": F.when(F.col("new_text").isNotNull(), "completed").otherwise(F.col("processing_status")),
-        }
-    ).select(*pages.columns)
-    touched = good.join(pages, ["document_id", "page_number"], "left_semi").select("document_id").distinct()
-    return new, segments.join(touched, "document_id", "left_anti")
+    clean = edits.withColumn("new_text", chars.strip(F.col("new_text")))
+    known = pages.select(*PAGE_KEY).distinct().withColumn("lm_known", F.lit(True))
+    blank = F.coalesce(F.col("new_text") == "", F.lit(True))
+    error = F.when(blank, "page_text_required").when(F.col("lm_known").isNull(), "page_not_found")
+    judged = clean.join(known, PAGE_KEY, "left").withColumn("error_code", error).drop("lm_known")
+    good = judged.where("error_code IS NULL").drop("error_code")
+    new = _when(
+        pages.join(good, PAGE_KEY, "left"), F.col("new_text").isNotNull(),
+        {"extracted_text": F.col("new_text"), "processing_status": F.lit("completed"), "error_message": F.lit(None), "warning_messages": F.array().cast("array<string>")},
+    ).select(*pages.columns)
+    touched = good.select("document_id").distinct()
+    n = F.count_if(F.col("processing_status") == "failed")
+    counted = new.join(touched, "document_id", "left_semi").groupBy(F.col("document_id").alias("id")).agg(
+        n.alias("lm_failed"), F.bool_and(F.col("processing_status") == "completed").alias("lm_done")
+    )
+    message = F.when(~F.col("lm_done"), F.concat(F.col("lm_failed").cast("string"), F.when(F.col("lm_failed") == 1, " page").otherwise(" pages"), F.lit(" still need attention.")))
+    moved = _when(
+        documents.join(counted, "id", "left"), F.col("lm_done").isNotNull(),
+        {"status": F.when(F.col("lm_done"), "text_ready").otherwise("failed"), "error_message": message},
+    ).select(*documents.columns)
+    return moved, new, segments.join(touched, "document_id", "left_anti"), judged.where("error_code IS NOT NULL")
+
 
+def mark_interrupted(documents: DataFrame, pages: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, pages, segments) after a restart: documents of running jobs
+    fail with the job's message, and with them what the job had still to do."""
+    text, audio = F.col("status").isin(*TEXT_RUNNING), F.col("status").isin(*AUDIO_RUNNING)
+    stopped = documents.where(text | audio).select(F.col("id").alias("document_id"), text.alias("lm_text"))
+    message = F.when(text, TEXT_STOPPED).otherwise(AUDIO_STOPPED)
+    failed = _when(documents.withColumn("lm_message", message), text | audio, {"error_message": F.col("lm_message"), "status": F.lit("failed")})
 
-def mark_interrupted(documents: DataFrame, running: tuple[str, ...] = ("extracting_text", "running_ocr", "generating_audio")) -> DataFrame:
-    """Running documents as failed, e.g. after a restart."""
-    return documents.withColumn("status", F.when(F.col("status").isin(*running), "failed").otherwise(F.col("status")))
+    def fail(table: DataFrame, of_text: bool, open_: tuple[str, ...], said: str) -> DataFrame:
+        mine = stopped.where(F.col("lm_text") == of_text).select("document_id", F.lit(True).alias("lm_stopped"))
+        hit = F.col("lm_stopped") & F.col("processing_status").isin(*open_)
+        changed = _when(table.join(mine, "document_id", "left"), hit, {"error_message": F.lit(said), "processing_status": F.lit("failed")})
+        return changed.select(*table.columns)
+
+    return failed.select(*documents.columns), fail(pages, True, UNFINISHED, TEXT_STOPPED), fail(segments, False, UNSPOKEN, AUDIO_STOPPED)
 
 
 def recover_segments(segments: DataFrame, files: DataFrame, extension: str = "mp3") -> DataFrame:
@@ -158,6 +215,26 @@ def crop_edit_error(document_status: Column, page_status: Column, method: Column
     )
 
 
+def edit_crops(documents: DataFrame, pages: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, refused) after crop edits: a page whose crop may be edited takes
+    it, loses its text and error, and waits.
+
+    ``edits``: document_id, page_number, new_left, new_top, new_right,
+    new_bottom. ``pages`` has processed_image_path; ``refused`` error_code.
+    """
+    state = documents.select(F.col("id").alias("document_id"), F.col("status").alias("lm_status"))
+    path = F.col("processed_image_path")
+    judged = edits.join(pages.select(*PAGE_KEY, "processing_status", "extraction_method", path, F.lit(True).alias("lm_known")), PAGE_KEY, "left")
+    error = F.when(F.col("lm_known").isNull(), "page_not_found").otherwise(
+        crop_edit_error(F.col("lm_status"), F.col("processing_status"), F.col("extraction_method"), path)
+    )
+    judged = judged.join(state, "document_id", "left").withColumn("error_code", error).select(*edits.columns, "error_code")
+    good = judged.where("error_code IS NULL").drop("error_code").withColumn("lm_new", F.lit(True))
+    sides = {f"crop_{side}": F.col(f"new_{side}") for side in ("left", "top", "right", "bottom")}
+    rest = {"extracted_text": F.lit(""), "error_message": F.lit(None), "processing_status": F.lit("pending")}
+    return _when(pages.join(good, PAGE_KEY, "left"), F.col("lm_new"), sides | rest).select(*pages.columns), judged.where("error_code IS NOT NULL")
+
+
 def resume_flags(status: Column, failed_pages: Column, pending_pages: Column) -> Column:
     """What the text view offers: retry, resume, or nothing."""
     return F.when((pending_pages > 0) & status.isin("uploaded", "failed"), "resume").when(failed_pages > 0, "retry").otherwise("none")

@@ -9,6 +9,7 @@ from leafmill.functions import chars
 from leafmill.operators import layout
 from leafmill.plans.catalogue import query
 from leafmill.sources import fixtures as fx
+from leafmill.sources import media
 
 _K = f"regexp_replace(text, '[{chars.SPACE}]+', '', 'g')"
 _CJK = f"len(regexp_extract_all(text, '{chars.CJK_BODY}'))"
@@ -110,6 +111,15 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.longest_run(_runs(spark, sf_dir), ["user_id"], 3)
 
 
+@query(
+    f"""WITH {_SERIES}, d AS (SELECT user_id, y, y - row_number() OVER (PARTITION BY user_id ORDER BY y) AS i FROM series WHERE ink / 100.0::DOUBLE >= 0.3), r AS (SELECT user_id, min(y) AS top, max(y) + 1 AS bottom FROM d GROUP BY user_id, i)
+    SELECT user_id, top, bottom FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bottom - top DESC, top) AS k FROM r WHERE bottom - top >= 2) WHERE k = 1"""
+)
+def paper_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _series(spark, sf_dir).withColumn("share", F.col("ink") / 100.0)
+    return media.dense_band(rows, ["user_id"], 0.3, 2)
+
+
 _BANDS = "SELECT l_orderkey % 500 AS page, l_quantity AS top, l_quantity + l_linenumber * 10 AS bottom, CAST(row_number() OVER (PARTITION BY l_orderkey % 500 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT) AS pos FROM lineitem"
 
 
@@ -125,11 +135,11 @@ def unique_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.unique_bands(_bands(spark, sf_dir), ["page"])
 
 
-_FEW = f"few AS (SELECT page, top, bottom, CAST(20 + page % 15 AS DOUBLE) AS gap FROM ({_BANDS}) WHERE pos <= 5)"
+_FEW = f"few AS (SELECT page, top, bottom, CAST(20 + page % 15 AS DOUBLE) AS gap FROM ({_BANDS}))"
 
 
 def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bands(spark, sf_dir).where("pos <= 5").selectExpr("page", "top", "bottom", "CAST(20 + page % 15 AS DOUBLE) AS gap")
+    return _bands(spark, sf_dir).selectExpr("page", "top", "bottom", "CAST(20 + page % 15 AS DOUBLE) AS gap")
 
 
 @query(
@@ -166,24 +176,31 @@ def normalize_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First lines of documents like an earlier first line of their source.
+    """Turns of a conversation that are like an earlier one of it."""
+    turns = fx.conversations(spark, sf_dir).select("document_id", "page_number", "text")
+    other = turns.select("document_id", F.col("page_number").alias("other"), F.col("text").alias("earlier"))
+    pairs = turns.join(other, "document_id").where(F.col("other") < F.col("page_number"))
+    return pairs.where(layout.similar_column(F.col("text"), F.col("earlier"))).select("document_id", "page_number", "other")
 
-    Candidates share a source and their first word, in place of all pairs.
-    """
-    first = fx.table(spark, sf_dir, "documents").select(
-        "source", F.split(F.col("text"), " ")[0].alias("word"), "doc_id", F.substring(F.split("text", "\n")[0], 1, 200).alias("line")
+
+def top_line_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, lines and bands: slightly changed copies of lines, some moved
+    above their page's body, and the strip above it as a band."""
+    lines = _placed(spark, sf_dir)
+    some = lines.where("pos % 4 = 0").withColumns(
+        {"text": F.concat("text", F.lit(" x")), "confidence": F.least(F.lit(1.0), F.col("confidence") + 0.3)}
     )
-    other = first.select("source", "word", F.col("doc_id").alias("other_id"), F.col("line").alias("other"))
-    pairs = first.join(other, ["source", "word"]).where("other_id < doc_id")
-    return pairs.where(layout.similar_column(F.col("line"), F.col("other"))).select("doc_id", "other_id")
+    moved = lines.where("pos % 4 = 2").withColumns(
+        {"text": F.concat(F.reverse("text"), F.lit(" y")), "y_min": F.col("y_min") - 400.0, "confidence": F.least(F.lit(1.0), F.col("confidence") + 0.4)}
+    )
+    bands = lines.groupBy("doc_id").agg((F.min("y_min") - 300.0).alias("top"), (F.min("y_min") - 20.0).alias("bottom"))
+    return some.unionByName(moved), lines, bands
 
 
 @query()
 def merge_top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines merged with slightly changed copies of themselves as candidates."""
-    lines = _placed(spark, sf_dir)
-    some = lines.where("pos % 4 = 0").withColumns({"text": F.concat("text", F.lit(" x")), "confidence": F.least(F.lit(1.0), F.col("confidence") + 0.3)})
-    return layout.merge_top_lines(some, lines, KEY)
+    candidates, lines, bands = top_line_input(spark, sf_dir)
+    return layout.merge_top_lines(candidates, lines, KEY, bands=bands)
 
 
 @query()

@@ -22,7 +22,7 @@ foldered AS (
 
 
 @query(
-    f"""WITH {_FOLDERED} SELECT user_id, folder_id, arg_max(title, (updated_at, id)) AS title, count(*) AS recording_count,
+    f"""WITH {_FOLDERED} SELECT user_id, folder_id, first(title ORDER BY updated_at DESC, id DESC) AS title, count(*) AS recording_count,
     CAST(sum(total_pages) AS BIGINT) AS total_pages, bool_or(status IN {library.ACTIVE}) AS processing_active,
     coalesce(string_agg(DISTINCT target_language, ',' ORDER BY target_language), '') AS target_languages,
     max(updated_at) AS latest_recording_at,
@@ -33,9 +33,17 @@ def library_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.folders(fx.recordings(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_FOLDERED}, f AS (SELECT user_id, folder_id, max(updated_at) AS latest_recording_at FROM foldered GROUP BY 1, 2)
+    SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY latest_recording_at DESC, folder_id) AS INT) AS place FROM f"""
+)
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.folder_listing(fx.recordings(spark, sf_dir)).select("user_id", "folder_id", "latest_recording_at", "place")
+
+
 @query(
     f"""WITH {_FOLDERED}, placed AS (SELECT *, row_number() OVER (PARTITION BY user_id, folder_id ORDER BY updated_at DESC, id DESC) AS p FROM foldered)
-    SELECT user_id, folder_id, CAST(p AS INT) AS position, id, coalesce(recording_title, 'Recording ' || p) AS display_title, status FROM placed"""
+    SELECT user_id, folder_id, CAST(p AS INT) AS position, id, coalesce(recording_title, original_filename, 'Recording ' || p) AS display_title, status FROM placed"""
 )
 def folder_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.folder_members(fx.recordings(spark, sf_dir))
@@ -46,9 +54,17 @@ def owner_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.owned_by(fx.recordings(spark, sf_dir), 7).select("id", "title", "status")
 
 
-@query(f"WITH {fx.RECORDINGS_SQL} SELECT id, user_id, status FROM recordings WHERE id = 8 AND user_id = 999")
+_ASKED = "SELECT o_orderkey * 2 AS id, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 100 END AS asker FROM orders"
+
+
+@query(
+    f"""WITH {fx.RECORDINGS_SQL}, asked AS ({_ASKED}), j AS (SELECT a.id, asker, r.user_id, status, r.id IS NOT NULL AND (asker IS NULL OR coalesce(r.user_id = asker, false)) AS mine
+      FROM asked a LEFT JOIN recordings r ON r.id = a.id)
+    SELECT id, asker, CASE WHEN mine THEN user_id END AS user_id, CASE WHEN mine THEN status END AS status, CASE WHEN NOT mine THEN 'book_not_found' END AS error_code FROM j"""
+)
 def authorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.authorize(fx.recordings(spark, sf_dir), 8, 999).select("id", "user_id", "status")
+    asked = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey * 2 AS id", "CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 100 END AS asker")
+    return library.authorize(fx.recordings(spark, sf_dir).select("id", "user_id", "status"), asked)
 
 
 @query(
@@ -204,6 +220,18 @@ def parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query(
+    """SELECT event_id, CAST(event_id % 5 + 1 AS INT) AS segment, CAST(event_id % 100 AS DOUBLE) / 4 AS position, event_id % 3 = 0 AS completed FROM events WHERE event_id % 7 > 0
+    UNION ALL SELECT event_id, NULL, NULL, NULL FROM events WHERE event_id % 7 = 0"""
+)
+def saved_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress as players keep it, some of it broken."""
+    saved = F.to_json(F.expr("named_struct('segmentNumber', CAST(event_id % 5 + 1 AS INT), 'positionSeconds', CAST(event_id % 100 AS DOUBLE) / 4, 'completed', event_id % 3 = 0)"))
+    text = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(saved)
+    r = progress.parse_saved(text)
+    return fx.table(spark, sf_dir, "events").select("event_id", r["segmentNumber"].alias("segment"), r["positionSeconds"].alias("position"), r["completed"].alias("completed"))
+
+
 @query(
     f"""WITH {fx.RECORDINGS_SQL}, x AS (SELECT user_id, list_sort(list_distinct(list(upper(target_language[1]) || target_language[2:]) FILTER (WHERE target_language IS NOT NULL))) AS l FROM recordings GROUP BY 1)
     SELECT user_id, CASE WHEN len(l) <= 2 THEN coalesce(array_to_string(l, ', '), '') ELSE len(l) || ' languages' END AS summary FROM x"""

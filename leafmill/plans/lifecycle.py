@@ -65,30 +65,83 @@ def complete_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.complete_embedded(fx.pages(spark, sf_dir)).select("document_id", "page_number", "processing_status")
 
 
-_EDITS = "SELECT o_orderkey AS document_id, 1 AS page_number, CASE WHEN o_orderkey % 6 = 0 THEN '  ' ELSE concat(' Edited ', o_orderkey, ' ') END AS new_text FROM orders WHERE o_orderkey % 3 = 0"
+_FAIL = "(processing_status = 'failed')"
+_STATES = f"""docs AS (SELECT id, status, CASE WHEN status = 'failed' THEN 'broken' END AS error_message FROM recordings)"""
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.recordings(spark, sf_dir).select("id", "status", F.when(F.col("status") == "failed", "broken").alias("error_message"))
+
+
+_WANTED = "SELECT o_orderkey AS document_id, CAST(o_orderkey % 4 + 1 AS INT) AS page_number FROM orders"
+_RETRIED = f"""{fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, {_STATES}, g AS (SELECT p.document_id, p.page_number, p.extraction_method FROM pages_ p JOIN ({_WANTED}) w
+  ON w.document_id = p.document_id AND w.page_number = p.page_number WHERE {_FAIL})"""
+
+
+def _retried(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    wanted = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS document_id", "CAST(o_orderkey % 4 + 1 AS INT) AS page_number")
+    return lifecycle.retry(_documents(spark, sf_dir), fx.pages(spark, sf_dir), wanted)
 
 
 @query(
-    f"""WITH {fx.PAGES_SQL}, e AS (SELECT document_id, page_number, trim(new_text) AS t FROM ({_EDITS}) WHERE trim(new_text) <> '')
-    SELECT p.document_id, p.page_number, coalesce(t, extracted_text) AS extracted_text, CASE WHEN t IS NOT NULL THEN 'completed' ELSE processing_status END AS processing_status
-    FROM pages_ p LEFT JOIN e ON e.document_id = p.document_id AND e.page_number = p.page_number"""
+    f"""WITH {_RETRIED} SELECT d.id, CASE WHEN g.document_id IS NULL THEN status WHEN extraction_method = 'ocr' THEN 'running_ocr' ELSE 'extracting_text' END AS status,
+    CASE WHEN g.document_id IS NULL THEN error_message END AS error_message FROM docs d LEFT JOIN g ON g.document_id = d.id"""
 )
-def manual_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retry_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retried(spark, sf_dir)[0]
+
+
+@query(
+    f"""WITH {_RETRIED} SELECT p.document_id, p.page_number, CASE WHEN g.document_id IS NULL THEN processing_status ELSE 'pending' END AS processing_status,
+    CASE WHEN g.document_id IS NULL THEN error_message END AS error_message, CASE WHEN g.document_id IS NULL THEN array_to_string(warning_messages, '|') ELSE '' END AS warnings
+    FROM pages_ p LEFT JOIN g ON g.document_id = p.document_id AND g.page_number = p.page_number"""
+)
+def retry_page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _retried(spark, sf_dir)[1]
+    return pages.select("document_id", "page_number", "processing_status", "error_message", F.array_join("warning_messages", "|").alias("warnings"))
+
+
+_EDITS = "SELECT o_orderkey AS document_id, CASE WHEN o_orderkey % 15 = 0 THEN 99 ELSE 1 END AS page_number, CASE WHEN o_orderkey % 6 = 0 THEN '  ' ELSE concat(' Edited ', o_orderkey, ' ') END AS new_text FROM orders WHERE o_orderkey % 3 = 0"
+_EDITED = f"""{fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, {_STATES}, edits AS ({_EDITS}),
+e AS (SELECT document_id, page_number, trim(new_text) AS t FROM edits WHERE trim(new_text) <> '' AND (document_id, page_number) IN (SELECT (document_id, page_number) FROM pages_)),
+edited AS (SELECT p.document_id, p.page_number, coalesce(t, extracted_text) AS extracted_text, CASE WHEN t IS NOT NULL THEN 'completed' ELSE processing_status END AS processing_status,
+  CASE WHEN t IS NULL THEN error_message END AS error_message, CASE WHEN t IS NULL THEN array_to_string(warning_messages, '|') ELSE '' END AS warnings
+  FROM pages_ p LEFT JOIN e ON e.document_id = p.document_id AND e.page_number = p.page_number)"""
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     fx.table(spark, sf_dir, "orders").createOrReplaceTempView("leafmill_orders")
     edits = spark.sql(_EDITS.replace("FROM orders", "FROM leafmill_orders"))
-    pages, _ = lifecycle.edit_text(fx.pages(spark, sf_dir), edits, fx.segments(spark, sf_dir))
-    return pages.select("document_id", "page_number", "extracted_text", "processing_status")
+    return lifecycle.edit_text(_documents(spark, sf_dir), fx.pages(spark, sf_dir), fx.segments(spark, sf_dir), edits)
+
+
+@query(f"WITH {_EDITED} SELECT * FROM edited")
+def manual_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _edited(spark, sf_dir)[1]
+    return pages.select("document_id", "page_number", "extracted_text", "processing_status", "error_message", F.array_join("warning_messages", "|").alias("warnings"))
 
 
 @query(
-    f"""WITH {fx.SEGMENTS_SQL}, e AS (SELECT document_id FROM ({_EDITS}) WHERE trim(new_text) <> '')
-    SELECT document_id, segment_number FROM segments WHERE document_id NOT IN (SELECT document_id FROM e)"""
+    f"""WITH {_EDITED}, c AS (SELECT document_id, count(*) FILTER (WHERE {_FAIL}) AS n, bool_and(processing_status = 'completed') AS d FROM edited WHERE document_id IN (SELECT document_id FROM e) GROUP BY 1)
+    SELECT id, CASE WHEN d THEN 'text_ready' WHEN NOT d THEN 'failed' ELSE status END AS status,
+    CASE WHEN d THEN NULL WHEN NOT d THEN n || CASE WHEN n = 1 THEN ' page' ELSE ' pages' END || ' still need attention.' ELSE error_message END AS error_message
+    FROM docs LEFT JOIN c ON c.document_id = id"""
 )
+def documents_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir)[0]
+
+
+@query(f"WITH {fx.SEGMENTS_SQL}, {_EDITED} SELECT document_id, segment_number FROM segments WHERE document_id NOT IN (SELECT document_id FROM e)")
 def segments_after_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx.table(spark, sf_dir, "orders").createOrReplaceTempView("leafmill_orders")
-    edits = spark.sql(_EDITS.replace("FROM orders", "FROM leafmill_orders"))
-    _, left = lifecycle.edit_text(fx.pages(spark, sf_dir), edits, fx.segments(spark, sf_dir))
-    return left.select("document_id", "segment_number")
+    return _edited(spark, sf_dir)[2].select("document_id", "segment_number")
+
+
+@query(
+    f"""WITH {_EDITED} SELECT document_id, page_number, CASE WHEN trim(new_text) = '' THEN 'page_text_required' ELSE 'page_not_found' END AS error_code FROM edits
+    WHERE trim(new_text) = '' OR (document_id, page_number) NOT IN (SELECT (document_id, page_number) FROM pages_)"""
+)
+def refused_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir)[3].select("document_id", "page_number", "error_code")
 
 
 _FILES = "SELECT document_id, concat('audio/segment-000', segment_number, '.mp3') AS path FROM segments WHERE document_id % 2 = 0 AND segment_number % 2 = 1 AND segment_number < 10"
@@ -127,11 +180,61 @@ def audio_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.admit_audio_job(fx.recordings(spark, sf_dir), pages, segments, drafts, _files(segments))
 
 
+_STOPPED = f"""{fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, {fx.SEGMENTS_SQL}, {_STATES}, run AS (SELECT id AS document_id, status = 'generating_audio' AS audio FROM docs WHERE status IN ('extracting_text', 'running_ocr', 'generating_audio'))"""
+
+
+def _interrupted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    segments = fx.segments(spark, sf_dir).withColumn("error_message", F.lit(None).cast("string"))
+    return lifecycle.mark_interrupted(_documents(spark, sf_dir), fx.pages(spark, sf_dir), segments)
+
+
 @query(
-    f"""WITH {fx.RECORDINGS_SQL} SELECT id, CASE WHEN status IN ('extracting_text', 'running_ocr', 'generating_audio') THEN 'failed' ELSE status END AS status FROM recordings"""
+    f"""WITH {_STOPPED} SELECT id, CASE WHEN audio IS NULL THEN status ELSE 'failed' END AS status,
+    CASE WHEN audio THEN '{lifecycle.AUDIO_STOPPED}' WHEN NOT audio THEN '{lifecycle.TEXT_STOPPED}' ELSE error_message END AS error_message FROM docs LEFT JOIN run ON document_id = id"""
 )
 def mark_interrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.mark_interrupted(fx.recordings(spark, sf_dir)).select("id", "status")
+    return _interrupted(spark, sf_dir)[0]
+
+
+@query(
+    f"""WITH {_STOPPED}, x AS (SELECT p.*, coalesce(NOT audio AND {_OPEN}, false) AS hit FROM pages_ p LEFT JOIN run USING (document_id))
+    SELECT document_id, page_number, CASE WHEN hit THEN 'failed' ELSE processing_status END AS processing_status, CASE WHEN hit THEN '{lifecycle.TEXT_STOPPED}' ELSE error_message END AS error_message FROM x"""
+)
+def interrupted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _interrupted(spark, sf_dir)[1].select("document_id", "page_number", "processing_status", "error_message")
+
+
+@query(
+    f"""WITH {_STOPPED}, x AS (SELECT s.*, coalesce(audio AND processing_status IN {lifecycle.UNSPOKEN}, false) AS hit FROM segments s LEFT JOIN run USING (document_id))
+    SELECT document_id, segment_number, CASE WHEN hit THEN 'failed' ELSE processing_status END AS processing_status, CASE WHEN hit THEN '{lifecycle.AUDIO_STOPPED}' END AS error_message FROM x"""
+)
+def interrupted_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _interrupted(spark, sf_dir)[2].select("document_id", "segment_number", "processing_status", "error_message")
+
+
+_CROPPED = f"""{fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, j AS (SELECT pages_.*, CASE WHEN page_number > 2 OR document_id % 2 = 1 THEN 'none' WHEN extraction_method <> 'ocr' OR document_id % 8 = 0 THEN 'page_crop_unavailable'
+  WHEN status <> 'uploaded' OR processing_status <> 'pending' THEN 'page_crop_not_editable' END AS error_code FROM pages_ LEFT JOIN recordings ON id = document_id)"""
+
+
+def _cropped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = fx.pages(spark, sf_dir).withColumn("processed_image_path", F.when(F.col("document_id") % 8 != 0, F.lit("pages/page-0001.png")))
+    edits = fx.pages(spark, sf_dir).where("page_number <= 2 AND document_id % 2 = 0").selectExpr(
+        "document_id", "page_number", "0.1D AS new_left", "0.2D AS new_top", "0.8D AS new_right", "0.9D AS new_bottom"
+    )
+    return lifecycle.edit_crops(fx.recordings(spark, sf_dir), pages, edits)
+
+
+@query(
+    f"""WITH {_CROPPED} SELECT document_id, page_number, CASE WHEN error_code IS NULL THEN 0.1::DOUBLE ELSE crop_left END AS crop_left, CASE WHEN error_code IS NULL THEN 0.9::DOUBLE ELSE crop_bottom END AS crop_bottom,
+    CASE WHEN error_code IS NULL THEN '' ELSE extracted_text END AS extracted_text, CASE WHEN error_code IS NOT NULL THEN error_message END AS error_message, processing_status FROM j"""
+)
+def crop_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cropped(spark, sf_dir)[0].select("document_id", "page_number", "crop_left", "crop_bottom", "extracted_text", "error_message", "processing_status")
+
+
+@query(f"WITH {_CROPPED} SELECT document_id, page_number, error_code FROM j WHERE error_code <> 'none'")
+def refused_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cropped(spark, sf_dir)[1].select("document_id", "page_number", "error_code")
 
 
 @query(

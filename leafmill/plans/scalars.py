@@ -104,9 +104,10 @@ def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.RECORDINGS_SQL} SELECT id, concat(user_id, '/', id, '/', printf('segment-%04d.mp3', segment_count)) AS path, printf('page-%04d.png', total_pages) AS page,
-    coalesce(recording_title, title) AS display_title, CASE WHEN status = 'ready' THEN 'player' WHEN status IN ('text_ready', 'generating_audio') THEN 'audio' ELSE 'processing' END AS route,
-    id % 2 = 0 AS owned FROM recordings"""
+    f"""WITH {fx.RECORDINGS_SQL} SELECT id, concat_ws('/', user_id, id, printf('segment-%04d.mp3', segment_count)) AS path, printf('page-%04d.png', total_pages) AS page,
+    coalesce(recording_title, original_filename, title) AS display_title, CASE WHEN status IN ('ready', 'text_ready', 'generating_audio') THEN 'listen' ELSE 'processing' END AS route,
+    CASE {" ".join(f"WHEN status = '{k}' THEN '{v}'" for k, v in names.STATUS_LABELS.items())} END AS label,
+    CASE WHEN user_id IS NOT NULL THEN id % 2 = 0 END AS owned, CASE WHEN id % 4 = 1 THEN original_filename ELSE concat('take ', id, '.pdf') END AS pdf, concat(CASE WHEN id % 3 = 0 THEN 'a.b' ELSE 'photo' END, '.jpg') AS jpg FROM recordings"""
 )
 def storage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     user, doc = F.col("user_id").cast("string"), F.col("id").cast("string")
@@ -114,11 +115,31 @@ def storage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.when(F.col("id") % 2 == 0, path).otherwise(F.concat(F.lit("x"), path))
     return fx.recordings(spark, sf_dir).select(
         "id", path.alias("path"), names.page_file(F.col("total_pages")).alias("page"),
-        names.display_title(F.col("recording_title"), F.lit(None).cast("string"), F.col("title")).alias("display_title"),
-        names.status_route(F.col("status")).alias("route"), names.owned_path(other, user).alias("owned"),
+        names.display_title(F.col("recording_title"), F.col("original_filename"), F.col("title")).alias("display_title"),
+        names.status_route(F.col("status")).alias("route"), names.status_label(F.col("status")).alias("label"), names.owned_path(other, user).alias("owned"),
+        names.with_pdf(F.coalesce("original_filename", F.concat(F.lit("take "), doc))).alias("pdf"),
+        names.as_jpg(F.when(F.col("id") % 3 == 0, "a.b.png").otherwise("photo.jpeg")).alias("jpg"),
     )
 
 
+@query(
+    f"""WITH {fx.RECORDINGS_SQL} SELECT id, strftime(updated_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS iso, strftime(updated_at, '%b ') || day(updated_at) || ', ' || ((hour(updated_at) + 11) % 12 + 1) || strftime(updated_at, ':%M %p') AS short FROM recordings"""
+)
+def record_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("updated_at")
+    return fx.recordings(spark, sf_dir).select("id", names.iso_time(at).alias("iso"), names.short_date(at).alias("short"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE concat('0:', o_orderkey, '|', '90:', o_orderkey % 9) END AS zipped FROM orders")
+def zip_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and their rotations by position; none if their numbers differ."""
+    files = F.array(F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 9).cast("string")).alias("file")
+    turns = F.when(F.col("o_orderkey") % 3 == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(90))).alias("turn")
+    rows = fx.table(spark, sf_dir, "orders").select("o_orderkey", files, turns)
+    said = F.transform(names.strict_zip(F.col("turn"), F.col("file")), lambda z: F.concat_ws(":", z["turn"].cast("string"), z["file"]))
+    return rows.select("o_orderkey", F.when(said.isNotNull(), F.concat_ws("|", said)).alias("zipped"))
+
+
 @query(
     """SELECT doc_id, round(least(8.0, greatest(1.2, length(text) / 35.0::DOUBLE)), 6) AS mock, round(least(120.0, greatest(1.0, length(text) / 6.0::DOUBLE)), 6) AS fallback,
     CAST(floor(least(8.0::DOUBLE, greatest(1.2::DOUBLE, length(text) / 35.0::DOUBLE)) * 16000) AS BIGINT) AS frames FROM documents"""

@@ -68,18 +68,46 @@ def assign_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.PAGES_SQL}, {fx.RECORDINGS_SQL}, r AS (
+    f"""WITH {fx.PAGES_SQL}, {fx.RECORDINGS_SQL}, {fx.SEGMENTS_SQL}, r AS (
       SELECT 'page' AS entity, CAST(document_id AS VARCHAR) || '/' || page_number AS id, unnest(list_filter([
         CASE WHEN rotation_degrees NOT IN (0, 90, 180, 270) THEN 'rotation' END,
         CASE WHEN NOT coalesce(crop_right IS NOT NULL AND crop_left >= 0 AND crop_left < crop_right AND crop_right <= 1 AND crop_top >= 0 AND crop_top < crop_bottom AND crop_bottom <= 1, false) THEN 'crop' END],
         lambda x: x IS NOT NULL)) AS rule FROM pages_)
-    SELECT entity, id, rule FROM r UNION ALL SELECT 'document', CAST(id AS VARCHAR), 'language' FROM recordings WHERE target_language NOT IN ('cantonese', 'mandarin', 'english')"""
+    SELECT entity, id, rule FROM r UNION ALL SELECT 'document', CAST(id AS VARCHAR), 'language' FROM recordings WHERE target_language NOT IN ('cantonese', 'mandarin', 'english')
+    UNION ALL SELECT 'segment', CAST(document_id AS VARCHAR) || '/' || segment_number, 'duration' FROM segments WHERE segment_number % 7 = 0
+    UNION ALL SELECT 'progress', CAST(event_id AS VARCHAR), 'playback_speed' FROM events WHERE CAST(event_id % 40 AS DOUBLE) / 10 NOT BETWEEN 0.5 AND 3"""
 )
 def constraint_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fx.pages(spark, sf_dir).withColumn("id", F.concat_ws("/", "document_id", "page_number"))
     docs = fx.recordings(spark, sf_dir).withColumns({"source_type": F.lit("pdf"), "id": F.col("id").cast("string")})
     found = [store.violations(pages, store.page_rules()).withColumn("entity", F.lit("page")), store.violations(docs, store.document_rules()).withColumn("entity", F.lit("document"))]
-    return found[0].unionByName(found[1])
+    segments = fx.segments(spark, sf_dir).withColumns({"id": F.concat_ws("/", "document_id", "segment_number"), "duration_seconds": F.when(F.col("segment_number") % 7 == 0, -1.0).otherwise(1.0)})
+    saved = fx.table(spark, sf_dir, "events").selectExpr("CAST(event_id AS STRING) AS id", "1 AS current_segment_number", "0D AS position_seconds", "CAST(event_id % 40 AS DOUBLE) / 10 AS playback_speed")
+    found += [store.violations(segments, store.segment_rules()).withColumn("entity", F.lit("segment")), store.violations(saved, store.progress_rules()).withColumn("entity", F.lit("progress"))]
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+@query(
+    f"""WITH {fx.PAGES_SQL}, w AS (SELECT o_orderkey AS document_id, CAST(o_orderkey % 5 + 1 AS INT) AS page_number FROM orders)
+    SELECT w.document_id, w.page_number, p.processing_status, CASE WHEN p.document_id IS NULL THEN 'page_not_found' END AS error_code
+    FROM w LEFT JOIN pages_ p ON p.document_id = w.document_id AND p.page_number = w.page_number"""
+)
+def find_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS document_id", "CAST(o_orderkey % 5 + 1 AS INT) AS page_number")
+    return store.find_page(fx.pages(spark, sf_dir), wanted).select("document_id", "page_number", "processing_status", "error_code")
+
+
+@query(
+    f"""WITH {fx.PAGES_SQL}, {fx.SEGMENTS_SQL} SELECT document_id, page_number, 0 AS source_ordinal FROM pages_ UNION ALL SELECT document_id, page_number, 1 FROM segments
+    UNION ALL SELECT document_id, page_number, 2 FROM pages_ WHERE processing_status = 'failed'"""
+)
+def concat_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, segments = fx.pages(spark, sf_dir), fx.segments(spark, sf_dir)
+    key = ["document_id", "page_number"]
+    return store.concat_sources(pages.select(*key), segments.select(*key), pages.where("processing_status = 'failed'").select(*key))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

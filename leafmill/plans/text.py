@@ -204,10 +204,10 @@ _HEAD = f"(length(t) <= 40 AND regexp_matches(t, '^[「《]') AND NOT regexp_mat
 
 def _no_lookaround(x: str) -> str:
     """Remove white space between CJK characters, twice since matches share
-    their ends, then one space a run."""
+    their ends; every other one becomes a space."""
     once = f"regexp_replace({x}, '({_W})[{S}]+({_W})', '\\1\\2', 'g')"
     twice = f"regexp_replace({once}, '({_W})[{S}]+({_W})', '\\1\\2', 'g')"
-    return f"regexp_replace({twice}, '[{S}]+', ' ', 'g')"
+    return f"regexp_replace({twice}, '[{S}]', ' ', 'g')"
 
 
 _PARAS = f"""paras AS (SELECT doc_id, para, {_no_lookaround("string_agg(t, chr(10) ORDER BY pos)")} AS text FROM (SELECT *, sum(CASE WHEN before OR h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS para FROM

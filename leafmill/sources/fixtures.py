@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 RECORDING = {
     "id": "o_orderkey",
-    "user_id": "o_custkey % 100",
+    "user_id": "CASE WHEN o_orderkey % 17 > 0 THEN o_custkey % 100 END",
     "title": "CASE o_orderkey % 7 WHEN 0 THEN '  Straße ' WHEN 1 THEN 'STRASSE' WHEN 2 THEN 'Night walk' "
-    "WHEN 3 THEN 'night WALK ' ELSE o_orderpriority END",
+    "WHEN 3 THEN 'night WALK ' WHEN 4 THEN NULL ELSE o_orderpriority END",
+    "original_filename": "CASE WHEN o_orderkey % 4 = 1 THEN concat('scan-', CAST(o_orderkey AS STRING), '.pdf') END",
     "recording_title": "CASE WHEN o_orderkey % 3 = 0 THEN concat('Take ', CAST(o_orderkey % 10 AS STRING)) END",
-    "library_document_id": "CASE WHEN o_orderkey % 5 = 0 THEN CAST(floor(o_orderkey / 3) AS BIGINT) WHEN o_orderkey % 11 = 0 THEN o_orderkey END",
+    "library_document_id": "CASE WHEN o_orderkey % 35 = 0 THEN o_orderkey + 1000000000 WHEN o_orderkey % 5 = 0 THEN CAST(floor(o_orderkey / 3) AS BIGINT) WHEN o_orderkey % 11 = 0 THEN o_orderkey END",
     "status": "CASE o_orderkey % 9 WHEN 0 THEN 'uploaded' WHEN 1 THEN 'normalizing_pages' WHEN 2 THEN 'inspecting' "
     "WHEN 3 THEN 'extracting_text' WHEN 4 THEN 'running_ocr' WHEN 5 THEN 'text_ready' WHEN 6 THEN 'generating_audio' "
     "WHEN 7 THEN 'ready' ELSE 'failed' END",
@@ -35,6 +36,8 @@ PAGE = {
     "THEN 'completed' ELSE 'pending' END",
     "extraction_method": "CASE WHEN l_suppkey % 2 = 0 THEN 'ocr' ELSE 'embedded_text' END",
     "extracted_text": "CASE WHEN l_partkey % 5 = 0 THEN '   ' ELSE concat('Page of part ', CAST(l_partkey AS STRING)) END",
+    "error_message": "CASE WHEN l_returnflag = 'R' AND l_partkey % 3 = 0 THEN 'unreadable' END",
+    "warning_messages": "CASE WHEN l_suppkey % 3 = 0 THEN split('low contrast', '#') END",
     "rotation_degrees": "CAST(l_linenumber * 45 % 360 AS INT)",
     "crop_left": "l_discount",
     "crop_top": "l_tax",
@@ -74,6 +77,7 @@ CHINESE_LINES = [
     (-3, "english", 5, "After that winter the harbour stayed empty for a long time.", 0.9), (-3, "english", 6, "", 0.1), (-3, "english", 7, "204", 0.9),
     (-4, "", 0, "「前言」", 0.9), (-4, "", 1, "《海的故事》", 0.9), (-4, "", 2, "從前有一個村子", 0.9), (-4, "", 3, "在海邊。", 0.9),
     (-4, "", 4, "", 0.9), (-4, "", 5, "漁民", 0.9), (-4, "", 6, "", 0.9), (-4, "", 7, "The sea is wide", 0.9), (-4, "", 8, "and deep.", 0.9),
+    (-5, "", 0, "Two  spaces stay \t and  海  邊 do not", 0.9), (-5, "", 1, "海  a  b\u3000 邊", 0.9),
 ]
 
 

@@ -71,7 +71,7 @@ def test_lookalikes_become_plain(spark):
 
 
 def test_spaces_and_lines(spark):
-    assert column(spark, ["海 邊　a  b 海"], chars.squeeze_spaces) == ["海邊 a b 海"]
+    assert column(spark, ["海 邊　a  b\t 海　 邊"], chars.squeeze_spaces) == ["海邊 a  b  海邊"]
     assert column(spark, ["海\n邊\na"], chars.join_lines) == ["海邊 a"]
     assert column(spark, ["a\r\nb\n", "", "\n"], chars.split_lines) == [["a", "b"], [], [""]]
 
@@ -89,18 +89,20 @@ def test_fragments_glue_to_the_merged_tail(spark):
 def test_seconds_agree(spark):
     texts = ["海邊的早晨，很美。", "It's a well-known word", "", "été 12 ° x", "「」" + chr(0x2F08)]
     got = column(spark, texts, chars.spoken_seconds)
-    assert got == pytest.approx([segment.seconds(t) for t in texts])
+    assert got == pytest.approx([segment.Timed(t).prefixes(0, len(t))[-1] for t in texts])
+    assert segment.Timed("a-b-c d").prefixes(0, 7).tolist() == pytest.approx([0, 1 / 2.6, 1 / 2.6, 1 / 2.6, 1 / 2.6, 2 / 2.6, 2 / 2.6, 3 / 2.6])
 
 
 def test_long_texts_split_at_sentences():
     limits = segment.Limits(characters=20)
-    parts = segment.split_long("One two three. Four five six seven. Eight nine ten eleven twelve", limits)
+    parts = segment.cuts("One two three. Four five six seven. Eight nine ten eleven twelve", limits)
     assert all(len(p) <= 21 for p in parts) and " ".join(parts).startswith("One two three.")
 
 
-def test_short_tail_merges():
-    limits = segment.Limits(characters=200)
-    assert segment.merge_tail(["A first piece.", "tail"], limits) == ["A first piece.\n\ntail"]
+def test_short_tail_merges(spark):
+    df = spark.createDataFrame([(["A first piece.", "tail"],), (["Alone."],), ([],)], "t array<string>")
+    got = [r.t for r in df.select(segment.merge_short_tail(F.col("t"), segment.Limits(characters=200)).alias("t")).collect()]
+    assert got == [["A first piece.\n\ntail"], ["Alone."], []]
 
 
 def test_packing(spark):
