@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import io
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,21 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import common
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 4096, 256
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 1024, 256
+#: Rounding of a cosine of unit vectors, and of a small distance made of one.
+TIE, NEAR = 1e-12, 1e-6
+
+
+def distance(cosine: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2 - 2 * cosine, 0))
+
+
+def unit_rows(raw: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, so that squares neither vanish nor overflow."""
+    if not len(raw):
+        return raw
+    out = raw / np.abs(raw).max(axis=1, keepdims=True)
+    return out / np.sqrt((out**2).sum(axis=1, keepdims=True))
 
 
 def usable(vector: str) -> Column:
@@ -46,9 +61,7 @@ class Tree:
         _, first, entry = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
         entry = entry.ravel()
         raw = vectors[first]
-        scale = np.abs(raw).max(axis=1, keepdims=True)
-        unit = raw / scale
-        unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
+        unit = unit_rows(raw)
         order = np.arange(len(raw))
         nodes: list[list[int]] = []
         mus: list[float] = []
@@ -66,7 +79,7 @@ class Tree:
             far = unit[rows] @ unit[rows[(hi - lo) // 2]]
             pick = int(np.argmin(far))  # a vantage point at the edge splits best
             rows[[0, pick]] = rows[[pick, 0]]
-            d = np.sqrt(np.maximum(2 - 2 * (unit[rows[1:]] @ unit[rows[0]]), 0))
+            d = distance(unit[rows[1:]] @ unit[rows[0]])
             by = np.argsort(d, kind="stable")
             rows[1:] = rows[1:][by]
             half = (hi - lo - 1) // 2
@@ -81,29 +94,47 @@ class Tree:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, unit=self.unit, raw=self.raw.astype(np.float64), ids=self.ids, id_rows=self.id_rows, nodes=self.nodes, mu=self.mu)
+        np.savez(out, raw=self.raw, ids=self.ids, id_rows=self.id_rows, nodes=self.nodes, mu=self.mu)
         return out.getvalue()
 
     @classmethod
-    def load(cls, raw: bytes) -> Tree:
-        z = np.load(io.BytesIO(raw))
-        return cls(*(z[c] for c in ("unit", "raw", "ids", "id_rows", "nodes", "mu")))
+    def load(cls, blob: bytes) -> Tree:
+        z = np.load(io.BytesIO(blob))
+        return cls(unit_rows(z["raw"]), *(z[c] for c in ("raw", "ids", "id_rows", "nodes", "mu")))
+
+    def walk(self, queries: np.ndarray, reach, visit) -> None:
+        """Show each leaf and vantage point to the queries that can't skip it:
+        ``visit(who, low, high, cosines)``; ``reach(who)`` is how far around a
+        query one must look, as it is known by then."""
+        stack: list[tuple[int, np.ndarray, np.ndarray, int, int]] = [(0, np.arange(len(queries)), np.zeros(len(queries)), -1, 0)]
+        while stack:
+            node, who, d, parent, side = stack.pop()
+            if parent >= 0:  # decided late, with the bounds as they are now
+                near = reach(who)
+                who = who[d - near <= self.mu[parent]] if side == 0 else who[d + near >= self.mu[parent]]
+            if not len(who):
+                continue
+            lo, hi, inner, outer = self.nodes[node]
+            if inner < 0:
+                if hi > lo:
+                    visit(who, lo, hi, queries[who] @ self.unit[lo:hi].T)
+                continue
+            sims = queries[who] @ self.unit[lo]
+            visit(who, lo, lo + 1, sims[:, None])
+            d = distance(sims)
+            stack += [(outer, who, d, node, 1), (inner, who, d, node, 0)]
 
-    def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
-        """Rows of the k best distinct vectors for each unit query (-1: none)."""
+    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) for the k best distinct vectors of each unit query and
+        all that tie with the last of them within rounding."""
         n = len(queries)
-        tau = np.full(n, 2.0 + 1e-9)
-        best_s = np.full((n, k), -np.inf)
-        best_i = np.full((n, k), -1, dtype=np.int64)
+        tau = np.full(n, 2.0)
+        best = np.full((n, k), -np.inf)
 
         def offer(who: np.ndarray, lo: int, hi: int, sims: np.ndarray) -> None:
-            s = np.concatenate([best_s[who], sims], axis=1)
-            i = np.concatenate([best_i[who], np.broadcast_to(np.arange(lo, hi), sims.shape)], axis=1)
-            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-            best_s[who] = np.take_along_axis(s, top, axis=1)
-            best_i[who] = np.take_along_axis(i, top, axis=1)
-            worst = best_s[who].min(axis=1)
-            tau[who] = np.minimum(tau[who], np.sqrt(np.maximum(2 - 2 * worst, 0)) + 1e-9)
+            s = np.concatenate([best[who], sims], axis=1)
+            best[who] = -np.partition(-s, k - 1, axis=1)[:, :k]
+            tau[who] = np.minimum(tau[who], distance(best[who].min(axis=1)))
 
         # A dive to each query's own leaf gives a first bound on its k-th distance.
         at = np.zeros(n, dtype=np.int64)
@@ -113,33 +144,25 @@ class Tree:
             if not len(live):
                 break
             node = at[live]
-            d = np.sqrt(np.maximum(2 - 2 * (queries[live] * self.unit[self.nodes[node, 0]]).sum(axis=1), 0))
+            d = distance((queries[live] * self.unit[self.nodes[node, 0]]).sum(axis=1))
             at[live] = np.where(d < self.mu[node], inner[live], self.nodes[node, 3])
         for leaf in np.unique(at):
             who = np.flatnonzero(at == leaf)
             lo, hi = self.nodes[leaf, :2]
             if hi - lo >= k:
                 sims = queries[who] @ self.unit[lo:hi].T
-                kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1]
-                tau[who] = np.minimum(tau[who], np.sqrt(np.maximum(2 - 2 * kth, 0)) + 1e-9)
-        stack: list[tuple[int, np.ndarray, np.ndarray, int, int]] = [(0, np.arange(n), np.zeros(n), -1, 0)]
-        while stack:
-            node, who, d, parent, side = stack.pop()
-            if parent >= 0:  # decided late, with the bounds as they are now
-                reach = factor * tau[who]
-                who = who[d - reach <= self.mu[parent]] if side == 0 else who[d + reach >= self.mu[parent]]
-            if not len(who):
-                continue
-            lo, hi, inner, outer = self.nodes[node]
-            if inner < 0:
-                if hi > lo:
-                    offer(who, lo, hi, queries[who] @ self.unit[lo:hi].T)
-                continue
-            sims = queries[who] @ self.unit[lo]
-            offer(who, lo, lo + 1, sims[:, None])
-            d = np.sqrt(np.maximum(2 - 2 * sims, 0))
-            stack += [(outer, who, d, node, 1), (inner, who, d, node, 0)]
-        return best_i
+                tau[who] = np.minimum(tau[who], distance(-np.partition(-sims, k - 1, axis=1)[:, k - 1]))
+        self.walk(queries, lambda who: factor * tau[who] + NEAR, offer)
+        # A second walk, within the final bounds, gathers what is good enough.
+        least = best.min(axis=1) - TIE
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def gather(who: np.ndarray, lo: int, hi: int, sims: np.ndarray) -> None:
+            q, row = np.nonzero(sims >= least[who][:, None])
+            found.append((who[q], row + lo))
+
+        self.walk(queries, lambda who: factor * tau[who] + NEAR, gather)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (at[:0], at[:0])
 
 
 def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,8 +185,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     dimension meet. A row of the query's own id is no candidate. Scores are
     cosines of the original vectors in double precision; ties go to smaller
     ids. Fewer candidates than k: all of them. Repeated rows count once for
-    each id. Shards and query blocks are bounded; each pair of them is a task
-    of its own.
+    each id. Other columns are ignored; an empty table gives no rows. Shards
+    and query blocks are bounded.
     """
     one = vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")
@@ -183,46 +206,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
             "tree": pa.array([tree.dump()], pa.binary()),
         })
 
+    def bundle(table: pa.Table) -> pa.Table:
+        ids, vectors = table.column("id").to_numpy(), _matrix(table.column("v"))
+        return pa.table({"dim": table.column("dim").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
+
     index = common.materialize(
         keyed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"), "trees", codec="none"
     )
-    dealt = index.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tree")
-    asked = ask.select(
-        F.size("v").alias("dim"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(blocks)).cast("int").alias("block"),
-        "id", "v",
-    )
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list[np.ndarray]] = {"query_id": [], "vec_id": [], "score": []}
-        q_ids = right.column("id").to_numpy()
-        raw = _matrix(right.column("v"))
-        for blob in left.column("tree").to_pylist() if len(q_ids) else []:
-            tree = Tree.load(blob)
-            unit = raw / np.abs(raw).max(axis=1, keepdims=True)
-            unit /= np.sqrt((unit**2).sum(axis=1, keepdims=True))
-            found = tree.search(unit, min(k + 3, max(1, len(tree.unit))), factor)
-            who, slot = np.nonzero(found >= 0)
-            rows = found[who, slot]
-            score = exact_cosine(raw[who], tree.raw[rows])
-            # Of equal vectors only the k + 1 smallest ids can matter.
-            many = np.minimum(np.diff(tree.id_rows)[rows], k + 1)
-            at = np.repeat(tree.id_rows[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            query, vec, score = np.repeat(q_ids[who], many), tree.ids[at], np.repeat(score, many)
-            keep = query != vec
-            query, vec, score = query[keep], vec[keep], score[keep]
-            order = np.lexsort((vec, -score, query))
-            query, vec, score = query[order], vec[order], score[order]
-            first = np.searchsorted(query, query)
-            keep = np.arange(len(query)) - first < k
-            for name, x in zip(out, (query, vec, score), strict=True):
-                out[name].append(x[keep])
-        kinds = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-        return pa.table({c: pa.array(np.concatenate(out[c]) if out[c] else np.zeros(0, kinds[c])) for c in out})
-
-    key = ("dim", "shard", "block")
-    found = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(search, "query_id long, vec_id long, score double")
+    asked = ask.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(blocks)).cast("int")})
+    asked = common.materialize(asked.groupBy("dim", "block").applyInArrow(bundle, "dim int, ids binary, vectors binary"), "queries", codec="none")
+    # Queries go to the trees, block by block; each tree is sent once and stays.
+    none = F.lit(None).cast("binary")
+    trees = index.select("dim", "shard", F.lit(0).alias("kind"), "tree", none.alias("ids"), none.alias("vectors"))
+    visits = asked.join(common.reread(index).select("dim", "shard"), "dim").select("dim", "shard", F.lit(1).alias("kind"), none.alias("tree"), "ids", "vectors")
+
+    def nearest_of(tree: Tree, q_ids: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+        who, rows = tree.search(unit_rows(raw), min(k + 1, max(1, len(tree.unit))), factor)
+        score = np.concatenate([exact_cosine(raw[who[a : a + 65536]], tree.raw[rows[a : a + 65536]]) for a in range(0, max(len(who), 1), 65536)])
+        # Of equal vectors only the k + 1 smallest ids can matter.
+        many = np.minimum(np.diff(tree.id_rows)[rows], k + 1)
+        at = np.repeat(tree.id_rows[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        query, vec, score = np.repeat(q_ids[who], many), tree.ids[at], np.repeat(score, many)
+        keep = query != vec
+        query, vec, score = query[keep], vec[keep], score[keep]
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (query, vec, score)], names=["query_id", "vec_id", "score"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, of = None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, shard, kind = (batch.column(c)[row].as_py() for c in range(3))
+                if kind == 0:
+                    tree, of = Tree.load(batch.column(3)[row].as_py()), (dim, shard)
+                elif of == (dim, shard):
+                    q_ids = np.frombuffer(batch.column(4)[row].as_py(), dtype=np.int64)
+                    yield nearest_of(tree, q_ids, np.frombuffer(batch.column(5)[row].as_py(), dtype=np.float64).reshape(len(q_ids), dim))
+
+    met = trees.unionByName(visits).repartition(common.shuffle_partitions(vectors.sparkSession), "dim", "shard")
+    found = met.sortWithinPartitions("dim", "shard", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
