@@ -1,13 +1,14 @@
 """License scans: set-similarity containment join of text blocks and templates.
 
-A block is a line, or a window of lines, of a document. A template matches a
-block that holds at least a share theta of the template's distinct words. The
-join is exact: template words are put in one global order, rarest in the
-corpus first; a block that contains enough of a template must share a word
-with the template's prefix (its first |T| - ceil(theta |T|) + 1 words), must
-have at least ceil(theta |T|) known words, and, given which prefix word is the
-first shared, must still be able to collect the rest (positional filter).
-Survivors are verified on the full sets.
+The blocks of a template are all runs of consecutive words of a document that
+are at most ``stretch`` times as long as the template, wherever lines break. A
+template matches a block that holds at least a share theta of the template's
+distinct words. The join is exact: template words are put in one global order,
+rarest in the corpus first; a block that contains enough of a template must
+share a word with the template's prefix (its first |T| - ceil(theta |T|) + 1
+words), must have at least ceil(theta |T|) known words, and, given which prefix
+word is the first shared, must still be able to collect the rest (positional
+filter). Survivors are verified on the full sets.
 
 Phrases whose words must stand consecutively (the base labels) are found on
 the word sequence itself.
@@ -43,21 +44,20 @@ TEMPLATES = {
     "all-rights": "all rights reserved",
 }
 
-THETA = 0.9
+THETA, STRETCH = 0.9, 2
 
 WORD = np.zeros(256, dtype=bool)
 WORD[0x30:0x3A] = WORD[0x61:0x7B] = WORD[0x80:] = True
 
 
-def license_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """(codes, distinct words, first word of each row, line of each word)."""
+def license_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(codes, distinct words, first word of each row)."""
     offsets, data = units.buffers(texts)
     low = units.ASCII_LOWER[data]
     solid = WORD[low]
     starts, ends, rows = units.runs(solid, offsets)
     codes, distinct = units.coded(units.strings(low[solid], ends - starts)) if len(starts) else (np.zeros(0, np.int64), [])
-    line = np.concatenate([[0], np.cumsum(data == 0x0A)])[starts] if len(starts) else np.zeros(0, np.int64)
-    return codes, distinct, rows, line
+    return codes, distinct, rows
 
 
 def phrase_hits(codes: np.ndarray, distinct: list[str], rows: np.ndarray, phrases: list[list[str]]) -> list[np.ndarray]:
@@ -88,7 +88,7 @@ def template_frequencies(docs: DataFrame, templates: dict[str, str], text_col: s
         total: dict[str, int] = {}
         for batch in batches:
             for _, texts in units.slices(batch.column(0)):
-                codes, distinct, _, _ = license_words(texts)
+                codes, distinct, _ = license_words(texts)
                 n = np.bincount(codes, minlength=len(distinct)) if len(codes) else []
                 for w, c in zip(distinct, n, strict=True):
                     if w in wanted:
@@ -103,57 +103,70 @@ def template_frequencies(docs: DataFrame, templates: dict[str, str], text_col: s
 class Templates:
     """Templates under one global word order, with prefixes and bounds."""
 
-    def __init__(self, templates: dict[str, str], frequency: dict[str, int], theta: float):
-        words = sorted(frequency, key=lambda w: (frequency[w], w))
-        self.rank = {w: k for k, w in enumerate(words)}
-        self.sets, self.need, self.prefix = {}, {}, {}
-        for name, text in templates.items():
-            ranks = sorted({self.rank[w] for w in text.split()})
-            need = ceil(theta * len(ranks) - 1e-9)
-            self.sets[name], self.need[name] = ranks, need
-            for position, r in enumerate(ranks[: len(ranks) - need + 1]):
-                self.prefix.setdefault(r, []).append((name, position))
-
-    def matches(self, block: set[int]) -> list[tuple[str, float]]:
-        """(template, containment) of every template the block holds enough of.
-
-        ``block``: ranks of its distinct template words.
-        """
-        seen: dict[str, bool] = {}
-        for r in sorted(block):
-            for name, position in self.prefix.get(r, ()):
-                if name not in seen:
-                    # Positional filter: words before this one are not shared.
-                    left = len(self.sets[name]) - position
-                    seen[name] = min(left, len(block)) >= self.need[name]
+    def __init__(self, templates: dict[str, str], frequency: dict[str, int], theta: float, stretch: float):
+        order = sorted(frequency, key=lambda w: (frequency[w], w))
+        self.rank = {w: k for k, w in enumerate(order)}
+        self.names = sorted(templates)
+        self.sets, self.need, self.reach = {}, {}, {}
+        for name in self.names:
+            words = templates[name].split()
+            ranks = np.array(sorted({self.rank[w] for w in words}), dtype=np.int64)
+            self.sets[name], self.need[name], self.reach[name] = ranks, ceil(theta * len(ranks) - 1e-9), int(stretch * len(words))
+        self.rarest = np.unique(np.concatenate([self.prefix(t) for t in self.names])) if self.names else np.zeros(0, np.int64)
+
+    def prefix(self, name: str) -> np.ndarray:
+        return self.sets[name][: len(self.sets[name]) - self.need[name] + 1]
+
+    def candidates(self, known: np.ndarray) -> list[str]:
+        """Templates that a text with these distinct ranks may hold enough of."""
         out = []
-        for name, alive in seen.items():
-            if alive:
-                share = sum(r in block for r in self.sets[name])
-                if share >= self.need[name]:
-                    out.append((name, share / len(self.sets[name])))
+        for name in self.names:
+            mine = self.sets[name]
+            shared = np.flatnonzero(np.isin(self.prefix(name), known))
+            # Words before the first shared one are missing; the rest must do.
+            if len(shared) and min(len(mine) - int(shared[0]), len(known)) >= self.need[name]:
+                out.append(name)
         return out
 
-
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, theta: float = THETA, window: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def best_block(self, name: str, at: np.ndarray, ranks: np.ndarray) -> tuple[float, int, int] | None:
+        """(containment, first word, last word) of the best block: most of the
+        template's words, then the earliest. ``at``: places of known words."""
+        mine = np.isin(ranks, self.sets[name])
+        at, ranks = at[mine].tolist(), ranks[mine].tolist()
+        held: dict[int, int] = {}
+        best, span, low = 0, (0, 0), 0
+        for high, rank in enumerate(ranks):
+            held[rank] = held.get(rank, 0) + 1
+            while at[high] - at[low] >= self.reach[name]:
+                held[ranks[low]] -= 1
+                if not held[ranks[low]]:
+                    del held[ranks[low]]
+                low += 1
+            if len(held) > best:
+                best, span = len(held), (at[low], at[high])
+        return (best / len(self.sets[name]), *span) if best >= self.need[name] else None
+
+
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, theta: float = THETA, stretch: float = STRETCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: base places, base labels, all labels, score.
 
-    Blocks are all runs of up to ``window`` consecutive lines (a notice may be
-    wrapped). Labels of templates join the base labels. ``score`` is the best
+    Labels of templates join the base labels. ``score`` is the best
     containment, 1 if a base phrase stands in the text, else 0 without match.
     ``blocks`` lists (label, first word, last word, containment) of the best
-    block of each template. Null or empty text: no words, nulls, empty labels.
+    block of each template, of equal ones the earliest. Null or empty text: no
+    words, nulls, empty labels. Repeated rows stay repeated, null ids stay, an
+    empty table gives no rows, other columns are ignored. The time for a text
+    is linear in its words.
     """
-    model = Templates(templates, template_frequencies(docs, templates, text_col), theta)
+    model = Templates(templates, template_frequencies(docs, templates, text_col), theta, stretch)
     phrases = [p.split() for p in PHRASES]
     names = list(PHRASES.values())
-    rarest = np.array(sorted(model.prefix), dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_kind = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("containment", pa.float64())]))
         for batch in batches:
             for at, texts in units.slices(batch.column(1)):
-                codes, distinct, rows, line = license_words(texts)
+                codes, distinct, rows = license_words(texts)
                 n = len(texts)
                 rank = np.array([model.rank.get(w, -1) for w in distinct] or [-1], dtype=np.int64)
                 hits = phrase_hits(codes, distinct, rows, phrases)
@@ -169,23 +182,13 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, theta: float =
                 best: list[dict[str, tuple[float, int, int]]] = [{} for _ in range(n)]
                 ranks = rank[codes] if len(codes) else np.zeros(0, np.int64)
                 known = np.flatnonzero(ranks >= 0)
-                seeds = known[np.isin(ranks[known], rarest)]
-                # Lines with a prefix word anchor the windows that can match.
-                anchors = sorted({(int(np.searchsorted(rows, s, side="right")) - 1, int(line[s])) for s in seeds})
-                for o, l in anchors:
-                    lo, hi = rows[o], rows[o + 1]
-                    mine = known[np.searchsorted(known, lo) : np.searchsorted(known, hi)]
-                    of_line = line[mine]
-                    for a in range(l - window + 1, l + 1):
-                        i = int(np.searchsorted(of_line, max(a, line[lo])))
-                        for b in range(max(l, a), a + window):
-                            j = int(np.searchsorted(of_line, b, side="right"))
-                            part = mine[i:j]
-                            if not len(part):
-                                continue
-                            for name, share in model.matches(set(ranks[part].tolist())):
-                                if share > best[o].get(name, (0.0, 0, 0))[0]:
-                                    best[o][name] = (share, int(part[0] - lo), int(part[-1] - lo))
+                seeds = known[np.isin(ranks[known], model.rarest)]
+                for o in np.unique(np.searchsorted(rows, seeds, side="right") - 1).tolist():
+                    mine = known[np.searchsorted(known, rows[o]) : np.searchsorted(known, rows[o + 1])]
+                    for name in model.candidates(np.unique(ranks[mine])):
+                        found = model.best_block(name, mine - rows[o], ranks[mine])
+                        if found:
+                            best[o][name] = found
                 none = first < 0
                 yield pa.RecordBatch.from_arrays(
                     [

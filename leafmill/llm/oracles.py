@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from leafmill.llm.licenses import PHRASES, TEMPLATES, THETA
+from leafmill.llm.licenses import PHRASES, STRETCH, TEMPLATES, THETA
 
 _LOW = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 _WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -14,22 +14,22 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-def license_scan(window: int = 4) -> str:
-    """Phrase places by position; templates against every window of lines."""
+def license_scan(stretch: int = STRETCH) -> str:
+    """Phrase places by position; templates against every run of words."""
     places = " UNION ALL ".join(
         f"SELECT doc_id, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {_list(p.split())})) AS pos FROM words"
         for p, label in PHRASES.items()
     )
-    shares = " UNION ALL ".join(
-        f"SELECT doc_id, '{name}' AS label, max(len(list_intersect(b, {_list(sorted(set(t.split())))}))) / {len(set(t.split()))}::DOUBLE AS share FROM blocks GROUP BY doc_id "
-        f"HAVING max(len(list_intersect(b, {_list(sorted(set(t.split())))}))) >= ceil({THETA} * {len(set(t.split()))} - 1e-9)"
-        for name, t in TEMPLATES.items()
-    )
-    known = _list(sorted({w for t in TEMPLATES.values() for w in t.split()}))
+    shares = []
+    for name, text in TEMPLATES.items():
+        known = _list(sorted(set(text.split())))
+        n, reach = len(set(text.split())), stretch * len(text.split())
+        starts = f"list_filter(range(1, len(w) + 1), lambda i: list_contains({known}, w[i]))"
+        held = f"list_transform({starts}, lambda i: len(list_intersect(list_distinct(w[i : i + {reach - 1}]), {known})))"
+        shares.append(f"SELECT doc_id, '{name}' AS label, list_max({held}) / {n}::DOUBLE AS share FROM words WHERE list_max({held}) >= ceil({THETA} * {n} - 1e-9)")
+    shares = " UNION ALL ".join(shares)
     return f"""WITH low AS (SELECT doc_id, {_LOW} AS t FROM documents),
     words AS (SELECT doc_id, {_WORDS.format("t")} AS w FROM low),
-    lines AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: list_intersect(list_distinct({_WORDS.format("x")}), {known})) AS l FROM low),
-    blocks AS (SELECT doc_id, list_distinct(flatten(l[i : i + n])) AS b FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines), range({window}) r(n)),
     places AS ({places}),
     base AS (SELECT doc_id, count(*) AS n, min(pos) AS f, max(pos) AS g, list(DISTINCT label) AS b FROM places GROUP BY doc_id),
     shares AS ({shares}),
