@@ -3,11 +3,11 @@
 A document's lines are hashed; a rolling hash over the last lines' hashes puts
 a chunk boundary wherever it hits a pattern, so boundaries follow content and
 inserted lines shift nothing else. Boundaries also stand where the number of
-documents that hold two adjacent lines falls, which parts a shared passage from
+places that hold two adjacent lines falls, which parts a shared passage from
 its surroundings, and around long lines (wrapped passages by themselves). Chunks
-of a passage of several lines that all occur elsewhere, and such long lines,
-are compared byte by byte with the other chunks of their hash; the first place
-in the corpus stays, every other is removed.
+of a passage of several lines that all occur elsewhere, in other documents or
+the same, and such long lines, are compared byte by byte with the other chunks
+of their hash; the first place in the corpus stays, every other is removed.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from leafmill.llm import common, units
 
 #: A line of so many words is a passage of its own.
 LONG_WORDS = 50
-#: A passage of fewer words is left alone, however often it occurs.
-LEAST_WORDS = 20
+#: A line of so many words that other holders cut off a passage goes with it.
+PART_WORDS = 20
 #: Lines in the rolling window, and the mean number of lines between cuts.
 WINDOW, MEAN = 2, 4
 MAX_LINES = 32
@@ -65,13 +65,14 @@ def line_pairs(hashes: np.ndarray) -> np.ndarray:
     return hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ (hashes[1:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int]) -> list[tuple[int, int, int]]:
+def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int], least_words: int = 0, long_words: int = LONG_WORDS) -> list[tuple[int, int, int]]:
     """(first line, end line, hash) of the chunks that go if they repeat: those
     of passages of several lines, and shared long lines.
 
-    ``shared`` has the document counts over 1 of pairs of adjacent lines (see
+    ``shared`` has the counts over 1 of pairs of adjacent lines (see
     ``line_pairs``) and of long lines. A passage is a longest run of lines
-    whose pairs are all shared; its size decides, however it is cut.
+    whose pairs are all shared, of two lines with words and ``least_words``
+    words at least, however it is cut. Blank lines are no lines of their own.
     """
     n = len(hashes)
     pairs = [shared.get(h, 0) for h in line_pairs(hashes).tolist()] if n else []
@@ -82,10 +83,10 @@ def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int]) -> list
     weight = pow(0x9E3779B97F4A7C15, WINDOW, 1 << 64)
     values = hashes.tolist()
     for i in range(n):
-        alone = words[i] >= LONG_WORDS
+        alone = words[i] >= long_words
         fresh = i == first
         # A pair in fewer documents than a pair beside it: other holders.
-        if not fresh and (alone or not pairs[i - 1] or pairs[i - 1] < max(level[i - 1], level[i]) or words[i - 1] >= LONG_WORDS or i - first >= MAX_LINES):
+        if not fresh and (alone or not pairs[i - 1] or pairs[i - 1] < max(level[i - 1], level[i]) or words[i - 1] >= long_words or i - first >= MAX_LINES):
             out.append((first, i))
             first, fresh = i, True
         if fresh:
@@ -101,14 +102,14 @@ def chunk(hashes: np.ndarray, words: np.ndarray, shared: dict[int, int]) -> list
         out.append((first, n))
     edges = [0, *(i for i in range(1, n) if not pairs[i - 1]), n]
     run_of = np.repeat(np.arange(len(edges) - 1), np.diff(edges)) if n else np.zeros(0, np.int64)
-    run_words = np.add.reduceat(words, edges[:-1]) if n else words
+    run_words, run_lines = (np.add.reduceat(x, edges[:-1]) if n else words for x in (words, (words > 0).astype(np.int64)))
     kept = []
     for a, b in out:
         run = run_of[a]
-        passage = edges[run + 1] - edges[run] > 1 and run_words[run] >= LEAST_WORDS
+        passage = run_lines[run] > 1 and run_words[run] >= least_words
         # One short line between other holders may stand anywhere: it stays.
-        whole = b - a > 1 or words[a] >= LEAST_WORDS
-        if (passage and whole) or (words[a] >= LONG_WORDS and shared.get(values[a], 0)):
+        whole = np.count_nonzero(words[a:b]) > 1 or words[a:b].sum() >= PART_WORDS
+        if (passage and whole) or (words[a] >= long_words and shared.get(values[a], 0)):
             kept.append((a, b, digest(hashes[a:b].tobytes()) >> 1))
     return kept
 
@@ -122,7 +123,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 0, long_words: int = LONG_WORDS) -> DataFrame:
     """(k1, k2, cuts): lines to remove from each document, as flat pairs of
     first and end line. Documents that lose nothing have no row."""
     keyed = _keyed(docs, id_col, text_col)
@@ -132,26 +133,30 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for at, texts in units.slices(batch.column(2)):
                 _, _, hashes, words, rows = line_table(texts)
                 size = pa.array(rows.astype(np.int32))
-                seen = [np.append(line_pairs(hashes[a:b]), hashes[a:b][words[a:b] >= LONG_WORDS]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
+                seen = [
+                    np.unique(np.append(line_pairs(hashes[a:b]), hashes[a:b][words[a:b] >= long_words]), return_counts=True)
+                    for a, b in zip(rows[:-1], rows[1:], strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
                         batch.column(1).slice(at, len(texts)),
                         pa.ListArray.from_arrays(size, pa.array(hashes.view(np.int64))),
                         pa.ListArray.from_arrays(size, pa.array(words.astype(np.int32))),
-                        pa.array([x.view(np.int64) for x in seen], pa.list_(pa.int64())),
+                        pa.array([x.view(np.int64) for x, _ in seen], pa.list_(pa.int64())),
+                        pa.array([x for _, x in seen], pa.list_(pa.int64())),
                     ],
-                    names=["k1", "k2", "hashes", "words", "seen"],
+                    names=["k1", "k2", "hashes", "words", "seen", "times"],
                 )
 
     lined = common.materialize(
-        keyed.mapInArrow(hashed, "k1 long, k2 long, hashes array<long>, words array<int>, seen array<long>"), "lines"
+        keyed.mapInArrow(hashed, "k1 long, k2 long, hashes array<long>, words array<int>, seen array<long>, times array<long>"), "lines"
     )
-    # Documents that hold each pair of lines or long line; a document counts once.
-    each = lined.select("k1", "k2", F.explode(F.array_distinct("seen")).alias("h"))
+    # Places that hold each pair of lines or long line.
+    each = lined.select("k1", "k2", F.explode(F.arrays_zip("seen", "times")).alias("s")).select("k1", "k2", F.col("s.seen").alias("h"), F.col("s.times").alias("t"))
     # Written, so that both sides of the join are plain exchanges and a line
     # that a third of all documents hold can be split over tasks.
-    shared = common.materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    shared = common.materialize(each.groupBy("h").agg(F.sum("t").alias("n")).where("n > 1"), "shared")
     of_doc = (
         each.join(shared, "h")
         .groupBy("k1", "k2")
@@ -165,7 +170,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for k1, k2, hashes, words, hs, ns in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
                 h = np.array(hashes, dtype=np.int64).view(np.uint64)
                 known = dict(zip(np.array(hs, dtype=np.int64).view(np.uint64).tolist(), ns, strict=True))
-                out += [(k1, k2, a, b, g) for a, b, g in chunk(h, np.array(words), known)]
+                out += [(k1, k2, a, b, g) for a, b, g in chunk(h, np.array(words, dtype=np.int64), known, least_words, long_words)]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "a", "b", "g"])
 
@@ -218,16 +223,22 @@ def remove_lines(text: str | None, cuts: list[int] | None) -> str | None:
     return "\n".join(lines)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", least_words: int = 0, long_words: int = LONG_WORDS
+) -> DataFrame:
     """All rows and columns, with repeated chunks of lines removed from texts.
 
+    Passages of fewer than ``least_words`` words stay; a line of ``long_words``
+    words is a passage by itself.
+
     The copy of the smallest (id, hash of the text, line) stays. A document may
     end up empty; null text stays null; identical rows lose the same lines; a
     null id orders first. ``length_col``, if there, is set to the new length of
-    changed texts.
+    changed texts. Other columns stay as they are, whatever their names; an
+    empty table gives no rows.
     """
     keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))), F.xxhash64(F.col(id_col).isNull(), F.coalesce(text_col, F.lit("")))]
-    cuts = repeated_chunks(docs, id_col, text_col).select(
+    cuts = repeated_chunks(docs, id_col, text_col, least_words, long_words).select(
         F.col("k1").alias("leafmill_k1"), F.col("k2").alias("leafmill_k2"), F.col("cuts").alias("leafmill_cuts")
     )
     joined = docs.withColumns({"leafmill_k1": keys[0], "leafmill_k2": keys[1]}).join(cuts.hint("merge"), ["leafmill_k1", "leafmill_k2"], "left")
