@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,10 +25,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a private one only where
-    the setting is absent (tests on one machine)."""
+    the setting is absent and all runs on this machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if not re.match(r"local(\[|\Z)", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append(tempfile.mkdtemp(prefix="leafmill-"))
         atexit.register(shutil.rmtree, _OWN_ROOT[0], ignore_errors=True)
@@ -93,3 +97,12 @@ def labelled_sample(
         .agg(F.max(label).cast("int").alias("y"))
     )
     return usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """Of each doc_id the row whose text has the smallest hash; null texts as
+    empty ones. An aggregate, so copies of one id combine map-side."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    text = F.coalesce("text", F.lit(""))
+    first = F.min(F.struct(F.xxhash64(text).alias("h"), text.alias("text"), *rest)).alias("first")
+    return rows.groupBy("doc_id").agg(first).select("doc_id", "first.text", *[f"first.{c}" for c in rest])

@@ -4,11 +4,11 @@ Each word scores its log-odds between toxic and clean labelled documents,
 estimated from document counts with informative Dirichlet priors: a word's
 prior follows its stem (leading characters), and a stem's prior the corpus, so
 an unseen form of a known stem scores by the stem and an unknown word nothing.
-A constant drift per word makes clean text score downwards. A linear scan
-finds every maximal segment of a document; their scores are calibrated as
-extreme values (expected number of chance segments K n exp(-lambda S), fitted
-on clean documents), and the evidence of a document's best segments is mapped
-to a probability by a logistic curve.
+A constant drift per word makes clean text score downwards, and words that
+clean documents favour more so. A linear scan finds every maximal segment of a
+document; their scores are calibrated as extreme values (expected number of
+chance segments K n exp(-lambda S), fitted on clean documents), and the evidence
+of a document's best segments is mapped to a probability by a logistic curve.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from leafmill.llm import common, units
 
 #: The word model and its calibration see at most this many labelled documents.
 SAMPLE_ROWS = 12_000
-#: At most this many words and stems of significant log-odds are kept.
-VOCABULARY = 50_000
 STEM = 4
 DRIFT = 0.5
 MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])) + "«»“”‘’…–—¡¿"
@@ -55,19 +53,15 @@ class Model:
         return self.stem.get(w[:STEM], 0.0) - DRIFT if len(w) > STEM else -DRIFT
 
 
-def segments(scores: np.ndarray, where: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of one document, in linear time.
-
-    ``where`` holds the positions of positive words and ``scores`` their
-    scores; every other word scores -DRIFT. Segments are (first, last, score)
-    and never overlap; each is the best extension of its parts in both
-    directions (Ruzzo and Tompa's definition).
+def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of one document's word scores, in linear
+    time. Segments are (first, last, score) and never overlap; each is the best
+    extension of its parts in both directions (Ruzzo and Tompa's definition).
     """
     stack: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
-    total, previous = 0.0, -1
-    for p, s in zip(where.tolist(), scores.tolist(), strict=True):
-        left = total - DRIFT * (p - previous - 1)
-        total, previous = left + s, p
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    where = np.flatnonzero(scores > 0)
+    for p, left, total in zip(where.tolist(), sums[where].tolist(), sums[where + 1].tolist(), strict=True):
         first, before = p, left
         while True:
             k = len(stack) - 1
@@ -84,7 +78,8 @@ def segments(scores: np.ndarray, where: np.ndarray) -> list[tuple[int, int, floa
 def scan(texts: pa.Array, model: Model, cache: dict[str, float]) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """(words, maximal segments) of every text.
 
-    A word right after the same word adds nothing: repetition is no evidence.
+    A word right after the same word scores as an unknown one: repetition is
+    no evidence either way.
     """
     flat, rows = units.words(texts, lower=False)
     codes, distinct = units.coded(flat)
@@ -98,28 +93,27 @@ def scan(texts: pa.Array, model: Model, cache: dict[str, float]) -> Iterator[tup
     again = np.zeros(len(codes), dtype=bool)
     again[1:] = codes[1:] == codes[:-1]
     again[rows[:-1][rows[:-1] < len(codes)]] = False
-    positive = np.flatnonzero((per_word > 0) & ~again)
-    cuts = np.searchsorted(positive, rows)
+    per_word[again] = -DRIFT
+    some = np.add.reduceat(np.append(per_word > 0, False), rows[:-1]) if len(texts) else rows
     for i in range(len(texts)):
-        mine = positive[cuts[i] : cuts[i + 1]]
-        yield int(rows[i + 1] - rows[i]), segments(per_word[mine], mine - rows[i]) if len(mine) else []
+        a, b = int(rows[i]), int(rows[i + 1])
+        yield b - a, segments(per_word[a:b]) if a < b and some[i] else []
 
 
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> tuple[float, float]:
     """-log p of the best segment alone, and of the best r segments together.
 
-    Normalised scores x = lambda S - log(K n) of independent chance segments
-    follow an extreme-value law; the sum T of the r largest has tail
-    exp(-T) T^(r-1) / (r! (r-1)!), and the r that says most is taken, at the
-    price of r looks.
+    Normalised scores x = lambda S - log(K n) of chance segments follow an
+    extreme-value law: those of x or more number a Poisson variable of mean
+    exp(-x). That r of them reach the r-th largest has at most the probability
+    exp(r - m) (m / r)^r, m = exp(-x_r) < r; the r that says most is taken, at
+    the price of r looks.
     """
-    x = np.sort([model.lam * s - np.log(model.k * max(n, 1)) for _, _, s in found])[::-1][:32]
+    x = np.sort([model.lam * s - np.log(model.k * max(n, 1)) for _, _, s in found])[::-1]
     if not len(x):
         return 0.0, 0.0
-    total = np.maximum(np.cumsum(x), 1e-9)
-    r = np.arange(1, len(x) + 1)
-    factorials = np.cumsum(np.log(r))
-    nats = total - (r - 1) * np.log(total) + 2 * factorials - np.log(r) - np.log(r)
+    r, m = np.arange(1, len(x) + 1), np.exp(-np.clip(x, -50, 50))
+    nats = np.where(m < r, r * (np.log(r) + x) - r + m, 0.0) - np.log(r)
     return float(np.clip(x[0], 0, 40)), float(np.log1p(np.clip(nats.max(), 0, 400)))
 
 
@@ -241,16 +235,17 @@ def calibrate(model: Model, facts: list[tuple[int, float, list, int]]) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Model:
     """Learn from at most ``rows`` labelled documents outside the held-out fold.
 
-    The terms kept are the ``vocabulary`` most lopsided ones seen in three
-    documents or more; only they come to the driver.
+    Of several rows of one id the one of smallest text hash counts. Terms of
+    three documents or more come to the driver; their number is bounded by the
+    sample. Without labels of both kinds every score is the same.
     """
     chosen = common.labelled_sample(labels, label, modulus, held_out, rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sample = common.materialize(
-        text.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("y", F.coalesce("text", F.lit("")).alias("text")),
+        common.one_text_each(text.join(F.broadcast(chosen), "doc_id")).select("y", "text"),
         "labelled",
     )
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -262,9 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         .groupBy("kind", "term")
         .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
         .where("a + b >= 3")
-        .withColumn("lean", F.abs(F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))) * F.sqrt(F.col("a") + F.col("b")))
-        .orderBy(F.desc("lean"), "kind", "term")
-        .limit(vocabulary)
+        .orderBy("kind", "term")
     )
     model = log_odds([(r["kind"], r["term"], r["a"], r["b"]) for r in terms.collect()], n1, n0)
 
@@ -275,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
             for at, texts in units.slices(batch.column(1)):
                 found = list(scan(texts, model, cache))
                 yield pa.RecordBatch.from_pylist(
-                    [{"y": labels_[at + i], "n": n, "s": sorted((s for _, _, s in segs), reverse=True)[:64]} for i, (n, segs) in enumerate(found)],
+                    [{"y": labels_[at + i], "n": n, "s": sorted((s for _, _, s in segs), reverse=True)} for i, (n, segs) in enumerate(found)],
                     schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))]),
                 )
 
@@ -291,7 +284,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_passages, passages) of every row.
 
     ``passages`` are the significant segments as (first word, last word,
-    score). A null or empty text scores like a text without any segment.
+    score). A null or empty text scores like a text without any segment; equal
+    texts score alike; repeated rows and null ids stay; an empty table gives no
+    rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +316,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """Rows below ``threshold``, with all their columns as they were."""
+    """Rows below ``threshold``, with all their columns as they were, whatever
+    their names; null texts count as empty ones, repeated rows stay."""
     cache: dict[str, float] = {}
     return units.filter_rows(docs, lambda texts: scores(texts, model, cache) < threshold)
