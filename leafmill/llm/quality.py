@@ -107,12 +107,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     """Fit on a bounded sample of labelled documents outside the held-out fold.
 
     Only statistics of the text enter; at most ``rows`` feature rows come to
-    the driver (repeated documents count once).
+    the driver. Of several rows of one id the one of smallest text hash counts.
+    Without labels of both kinds every score is the same.
     """
     chosen = common.labelled_sample(labels, label, modulus, held_out, rows)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # at most ``rows`` ids
-    found = _feature_rows(joined).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(rows).toArrow()
+    joined = common.one_text_each(text.join(F.broadcast(chosen), "doc_id"))  # at most ``rows`` ids
+    found = _feature_rows(joined.select("doc_id", "y", "text")).orderBy(F.xxhash64("doc_id")).limit(rows).toArrow()
     y = found.column("y").to_numpy().astype(np.float64)
     x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(len(y), len(statistics.NAMES))
     return fit(x, y)
@@ -124,7 +125,9 @@ def scores(texts: pa.Array, forest: Forest) -> np.ndarray:
 
 
 def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """(doc_id, score) of every row; null text scores as an empty one."""
+    """(doc_id, score) of every row; null text scores as an empty one, equal
+    texts score alike, repeated rows and null ids stay, an empty table gives no
+    rows, other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,5 +139,6 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
-    """Rows of at least ``threshold``, with all their columns as they were."""
+    """Rows of at least ``threshold``, with all their columns as they were,
+    whatever their names; null texts count as empty ones, repeated rows stay."""
     return units.filter_rows(docs, lambda texts: scores(texts, forest) >= threshold)
