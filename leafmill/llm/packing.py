@@ -47,51 +47,58 @@ def _fits_inside(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(counts: np.ndarray, room: int, width: int, effort: int) -> list[tuple[int, ...]]:
+def fillings(counts: np.ndarray, room: int, width: int | None = None, effort: int | None = None) -> list[tuple[int, ...]]:
     """Undominated sets of lengths of sum at most ``room``, least waste first.
 
-    ``width`` bounds how many are returned, ``effort`` the nodes visited;
-    larger items are tried first, so sets of few large items come early and
-    later sets that they dominate are skipped.
+    Sets to which one more piece could be added are dominated by those with
+    it and left out. At each step the length that closes the gap is tried
+    first, then all others from the largest down. ``width`` bounds how many
+    sets are returned and ``effort`` the nodes visited; None of both gives all.
     """
     lengths = [int(v) for v in np.flatnonzero(counts[: room + 1])[::-1] if v]
     if not lengths:
         return [()]
-    smallest, found, visited = lengths[-1], [], 0
+    place = {v: k for k, v in enumerate(lengths)}
+    found: list[tuple[int, tuple[int, ...]]] = []
+    visited = exact = 0
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-    while stack and visited < effort:
+    while stack and (effort is None or visited < effort):
         k, left, chosen = stack.pop()
         visited += 1
-        if left < smallest or k >= len(lengths):
-            found.append((left, chosen))
-            if left == 0 and len(found) >= 4 * width:
-                break
-            continue
-        nexts = []
-        while k < len(lengths) and lengths[k] > left:
-            k += 1
-        if k == len(lengths):
-            found.append((left, chosen))
+        used = {v: chosen.count(v) for v in set(chosen)}
+        fits = [j for j in range(k, len(lengths)) if lengths[j] <= left and used.get(lengths[j], 0) < counts[lengths[j]]]
+        if not fits:
+            # Undominated only if no other piece, even a larger one, still fits.
+            if not any(lengths[j] <= left and used.get(lengths[j], 0) < counts[lengths[j]] for j in range(k)):
+                found.append((left, chosen))
+                exact += left == 0
+                if width is not None and exact >= 4 * width:
+                    break
             continue
-        for j in range(k, min(k + 6, len(lengths))):
-            v = lengths[j]
-            if chosen.count(v) < counts[v]:
-                nexts.append((j, left - v, (*chosen, v)))
-        for j in range(k + 6, len(lengths)):  # the one that closes the gap exactly, if any
-            v = lengths[j]
-            if v <= left // 2 and counts[left - v] and left - v <= v:
-                nexts.append((j, left - v, (*chosen, v)))
-                break
-        stack += reversed(nexts) if nexts else []
-        if not nexts:
-            found.append((left, chosen))
+        closing = place.get(left)
+        if closing in fits[1:]:
+            fits.remove(closing)
+            fits.insert(0, closing)
+        stack += [(j, left - lengths[j], (*chosen, lengths[j])) for j in reversed(fits[:effort])]
     kept: list[tuple[int, tuple[int, ...]]] = []
     for waste, items in sorted(set(found), key=lambda x: (x[0], len(x[1]), [-v for v in x[1]])):
-        if len(kept) >= width:
+        if width is not None and len(kept) >= width:
             break
         if not any(_fits_inside(items, other) for _, other in kept):
             kept.append((waste, items))
-    return [items for _, items in kept] or [()]
+    return [items for _, items in kept] or [best_single(counts, room)]
+
+
+def best_single(counts: np.ndarray, room: int) -> tuple[int, ...]:
+    """The largest pieces that fit, one after another."""
+    out: list[int] = []
+    while room:
+        fit = [int(v) for v in np.flatnonzero(counts[: room + 1])[::-1] if v and counts[v] > out.count(int(v))]
+        if not fit:
+            break
+        out.append(fit[0])
+        room -= fit[0]
+    return tuple(out)
 
 
 def _applied(counts: np.ndarray, items: tuple[int, ...]) -> int:
@@ -126,13 +133,18 @@ def best_fit_decreasing(counts: np.ndarray, size: int) -> list[Pattern]:
         out.append(Pattern(tuple(items), times))
 
 
-def plan(counts: np.ndarray, size: int, nodes: int = 4000, width: int = 6, effort: int = 400) -> list[Pattern]:
+def plan(counts: np.ndarray, size: int, nodes: int | None = 1000, width: int | None = 6, effort: int | None = 100) -> list[Pattern]:
     """Patterns for a histogram of lengths (``counts[v]`` pieces of length v).
 
-    Depth-first bin completion under a node budget; the budget bounds time on
-    the driver, never what is packed. Stops once the incumbent meets the lower
-    bound of whole sequences.
+    Depth-first bin completion. ``nodes``, ``width`` (fillings tried at a node)
+    and ``effort`` (steps to enumerate them) bound time on the driver, never
+    what is packed; None for all three is exhaustive. Best-fit decreasing gives
+    the first incumbent, and completes the search's choices to further ones at
+    the first nodes and every fiftieth. Stops once the incumbent meets the
+    lower bound of whole sequences.
     """
+    if nodes is width is effort is None:
+        return exhaustive(counts, size)
     counts = np.asarray(counts, dtype=np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     bound = max(-(-total // size), int(counts[size // 2 + 1 :].sum()))
@@ -153,7 +165,7 @@ def plan(counts: np.ndarray, size: int, nodes: int = 4000, width: int = 6, effor
     if not total or best_n <= bound:
         return best
     stack = [(counts.copy(), 0, (), None)]
-    while stack and spent < nodes and best_n > bound:
+    while stack and (nodes is None or spent < nodes) and best_n > bound:
         left, waste, chosen, _ = stack.pop()
         if waste > allowed():
             continue
@@ -161,6 +173,10 @@ def plan(counts: np.ndarray, size: int, nodes: int = 4000, width: int = 6, effor
             best, best_n = list(chosen), sum(p.count for p in chosen)
             continue
         spent += 1
+        if spent <= 50 or spent % 50 == 0:
+            whole = [*chosen, *best_fit_decreasing(left, size)]
+            if (n := sum(p.count for p in whole)) < best_n:
+                best, best_n = whole, n
         nexts = []
         for items in choices(left):
             times = _applied(left, items)
@@ -173,6 +189,32 @@ def plan(counts: np.ndarray, size: int, nodes: int = 4000, width: int = 6, effor
     return best
 
 
+def exhaustive(counts: np.ndarray, size: int) -> list[Pattern]:
+    """The least number of sequences, by all undominated fillings, one sequence
+    at a time: for small histograms, as the work grows with their partitions."""
+    counts = np.asarray(counts, dtype=np.int64)
+    weights = np.arange(len(counts))
+    best = best_fit_decreasing(counts, size)
+    best_n = sum(p.count for p in best)
+    stack: list[tuple[np.ndarray, tuple[Pattern, ...]]] = [(counts.copy(), ())]
+    seen: dict[bytes, int] = {}
+    while stack:
+        left, chosen = stack.pop()
+        if len(chosen) + -(-int(left @ weights) // size) >= best_n or seen.get(left.tobytes(), best_n) <= len(chosen):
+            continue
+        seen[left.tobytes()] = len(chosen)
+        if not left[1:].any():
+            best, best_n = list(chosen), len(chosen)
+            continue
+        largest = int(np.flatnonzero(left)[-1])
+        left[largest] -= 1
+        for rest in reversed(fillings(left, size - largest)):
+            after = left.copy()
+            np.subtract.at(after, list(rest), 1)
+            stack.append((after, (*chosen, Pattern((largest, *rest), 1))))
+    return best
+
+
 def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     """Per length: rows (first rank, first sequence, offset) in rank order."""
     out: dict[int, list[tuple[int, int, int]]] = {}
@@ -202,7 +244,9 @@ def pieces(
 ) -> DataFrame:
     """Token pieces of every document: whole if it fits, else full pieces
     after a first one that takes the remainder. ``with_ids`` adds the ids
-    (little-endian 32-bit) themselves."""
+    (little-endian 32-bit) themselves. Null text is an empty one, of the end id
+    alone; repeated rows and null ids stay; an empty table gives no rows; other
+    columns are ignored."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = units.library_encoder(tokenizer_path)
