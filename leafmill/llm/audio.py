@@ -186,7 +186,9 @@ UNIT = 576
 
 def store_texts(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): UTF-8 bytes as telephony codes in WAVE files,
-    padded with 255 to a positive multiple of ``UNIT``, written and read back."""
+    padded with 255 to a positive multiple of ``UNIT``, written and read back.
+    Null text is an empty one; repeated rows and null ids stay; an empty table
+    gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,9 +210,23 @@ def store_texts(docs: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", t
     return common.materialize(stored, "media")
 
 
+def _runs_of(media: list[bytes], rows: int = 256, size: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(first, files): runs of bounded number and bytes, or of one file."""
+    at, held = 0, 0
+    for k, x in enumerate(media):
+        if k > at and (k - at >= rows or held + len(x) > size):
+            yield at, media[at:k]
+            at, held = k, 0
+        held += len(x)
+    if at < len(media):
+        yield at, media[at:]
+
+
 def digest(stored: DataFrame) -> DataFrame:
-    """Digests of stored media, from the bytes read back.
+    """Digests of stored media, from the bytes read back, and ``pcm``: the
+    media decoded and resampled, as 16 kHz 16-bit WAVE, to be stored with them.
 
+    Equal media give equal values; a row for each row of ``stored``.
     ``feature`` tells the three codecs' readings of the payload: for the
     resampled PCM of mu-law and A-law expansion its crc32 and peak, for ADPCM
     its crc32, then zero crossings and root mean square of the mu-law signal.
@@ -219,8 +235,7 @@ def digest(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             media = batch.column(2).to_pylist()
-            for at in range(0, len(media), 256):
-                part = media[at : at + 256]
+            for at, part in _runs_of(media):
                 codes = [parse(x)[2] for x in part]
                 raw = np.frombuffer(b"".join(codes), dtype=np.uint8)
                 ends = np.cumsum([len(c) for c in codes])
@@ -232,11 +247,14 @@ def digest(stored: DataFrame) -> DataFrame:
                 crossing[starts] = 0
                 power = np.add.reduceat(mu.astype(np.int64) ** 2, starts)
                 crossings = np.add.reduceat(crossing, starts)
-                features = []
+                features, resampled = [], []
                 for k, (i, j) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                     x, y = double_rate(mu[i:j]), double_rate(a[i:j])
                     z = double_rate(blocks[i // ADPCM_BLOCK : j // ADPCM_BLOCK].ravel())
                     rms = int(np.sqrt(power[k] / (j - i)))
+                    kind = parse(part[k])[0]
+                    heard = x if kind == FORMATS["mulaw"] else y if kind == FORMATS["alaw"] else z
+                    resampled.append(wav(heard.astype("<i2").tobytes(), "pcm", TARGET))
                     features.append(
                         f"mulaw:{zlib.crc32(x):08x}/{int(np.abs(x.astype(np.int32)).max())};"
                         f"alaw:{zlib.crc32(y):08x}/{int(np.abs(y.astype(np.int32)).max())};"
@@ -244,20 +262,21 @@ def digest(stored: DataFrame) -> DataFrame:
                     )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, 256),
-                        batch.column(1).slice(at, 256),
+                        batch.column(0).slice(at, len(part)),
+                        batch.column(1).slice(at, len(part)),
                         pa.array([len(c) for c in codes], pa.int64()),
                         pa.array([hashlib.sha256(c).hexdigest() for c in codes]),
                         pa.array([zlib.crc32(c[-32:]) for c in codes], pa.int64()),
                         pa.array([len(x) for x in part], pa.int64()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in part]),
                         pa.array(features),
+                        pa.array(resampled, pa.binary()),
                     ],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"],
                 )
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-        "media_bytes long, media_sha256 string, feature string",
+        "media_bytes long, media_sha256 string, feature string, pcm binary",
     )
