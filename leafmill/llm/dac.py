@@ -98,7 +98,7 @@ def encode(ids: np.ndarray) -> bytes:
 class Segment:
     """Random access into the bytes of one segment."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes | pa.Buffer):
         view = memoryview(raw)
         if bytes(view[:4]) != MAGIC:
             raise ValueError("not a segment of directly addressable codes")
@@ -243,7 +243,55 @@ def write_segments(
     ordered = coded.repartitionById(n, F.col("shard")).sortWithinPartitions(
         "shard", F.col("id").asc_nulls_first(), "ids"
     )
-    return common.materialize(ordered.mapInArrow(segments, SEGMENTS), "segments", codec="lz4")
+    # Not compressed: what a block codec packs can't be addressed.
+    return common.materialize(ordered.mapInArrow(segments, SEGMENTS), "segments", codec="none")
+
+
+def read_tokens(segments: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, position, token) for asked (doc_id, position) of stored codes.
+
+    Only segments whose shard and range of ids may hold an asked document are
+    joined, and of their codes only the blocks of the asked positions are read.
+    A position outside its document gives null; of rows of equal id the first
+    stored answers; an id that isn't stored gives null; a repeated question is
+    answered as often; a null id or position has no row.
+    """
+    wanted = asked.where("doc_id IS NOT NULL AND position IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, seq, raw, null in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                ids = np.frombuffer(raw, dtype="<i8")
+                known = np.flatnonzero(~np.unpackbits(np.frombuffer(null, dtype=np.uint8))[: len(ids)].astype(bool))
+                n = len(known)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[known]), pa.array(np.full(n, shard, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(known)],
+                    names=["doc_id", "shard", "seq", "row"],
+                )
+
+    where = segments.select("shard", "seq", "doc_ids", "doc_null").mapInArrow(documents, "doc_id long, shard int, seq int, row long")
+    first = where.groupBy("doc_id").agg(F.min(F.struct("shard", "seq", "row")).alias("at")).select("doc_id", "at.*")
+    placed = wanted.join(first, "doc_id", "left")
+    questions = placed.where("shard IS NOT NULL").groupBy("shard", "seq", F.pmod(F.xxhash64("doc_id", "position"), F.lit(256)).alias("part")).agg(
+        F.collect_list(F.struct("doc_id", "row", "position")).alias("asked")  # salted; a segment's questions are dealt to 256 rows
+    )
+    whole = common.reread(segments).join(questions, ["shard", "seq"]).select("doc_lengths", "codes", "asked")
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lengths = np.frombuffer(batch.column(0)[k].as_py(), dtype="<i8")
+                starts = np.cumsum(lengths) - lengths
+                segment = Segment(batch.column(1)[k].as_buffer())
+                questions = batch.column(2)[k].as_py()
+                found = [segment[int(starts[q["row"]]) + q["position"]] if 0 <= q["position"] < lengths[q["row"]] else None for q in questions]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([q[c] for q in questions], pa.int64()) for c in ("doc_id", "position")] + [pa.array(found, pa.int64())],
+                    names=["doc_id", "position", "token"],
+                )
+
+    answers = whole.mapInArrow(answer, "doc_id long, position long, token long")
+    return answers.unionByName(placed.where("shard IS NULL").select("doc_id", "position", F.lit(None).cast("long").alias("token")))
 
 
 def read_documents(segments: DataFrame) -> DataFrame:
