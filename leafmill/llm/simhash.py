@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import common, units
-from leafmill.llm.graph import connected_components
+from leafmill.llm.graph import connected_components, local_labels
 
 #: Members of a bucket beyond which it is dealt to tiles.
 HOT_BUCKET = 4096
@@ -233,20 +233,6 @@ def probes(nodes: DataFrame, scheme: Scheme) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "bucket long, role byte, fp long")
 
 
-def _labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest index reachable from each of n indices over links a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def thin(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links that keep all components, without a group's every pair.
 
@@ -263,7 +249,7 @@ def thin(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     order = np.lexsort((other, -degree[other], me))
     me, other = me[order], other[order]
     first = np.flatnonzero(np.concatenate([[True], me[1:] != me[:-1]]))
-    root = _labels(i, j, len(ends))
+    root = local_labels(i, j, len(ends))
     return (
         np.concatenate([ends[me[first]], ends]),
         np.concatenate([ends[other[first]], ends[root]]),
@@ -330,8 +316,9 @@ def _bucket_links(radius: int):
 def tiles(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Deal the rows of crowded buckets to tiles of two blocks each.
 
-    A bucket of n members has b = n / (HOT_BUCKET / 2) blocks by hash; members
-    own the b tiles of their row and visit those of their column, so every two
+    A bucket of n rows, members and visiting probes, has b = n / (HOT_BUCKET / 2)
+    blocks by hash; members own the b tiles of their row and visit those of
+    their column, visitors go to the tiles of their column, so every two
     members, and every member and probe, meet in a tile of bounded size.
     """
     half = HOT_BUCKET // 2
@@ -359,8 +346,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     scheme = choose_scheme(n, ones, both, radius)
     rows = probes(nodes, scheme)
     sizes = (
-        probes(nodes, Scheme(scheme.bits, tuple(min(t, 0) for t in scheme.radii), 0.0))
-        .groupBy("bucket")
+        rows.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("members"))
         .where(F.col("members") > HOT_BUCKET)
     )
