@@ -8,6 +8,12 @@ def corpus(small):
     return pq.read_table(f"{small}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
 
 
+@pytest.fixture(scope="session")
+def medium(small):
+    """A folder with more labels than the smallest has."""
+    return small.replace("sf0.001", "sf0.01")
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empties, repeats, ties, long and strange texts, clashing columns."""

@@ -30,3 +30,49 @@ def test_first_stage_rejects_mostly_poor_documents(spark, small):
     gone = truth.join(kept, "doc_id", "left_anti")
     assert gone.where("quality = 1").count() <= 0.05 * truth.where("quality = 1").count()
     assert gone.where("quality = 0").count() >= 0.8 * truth.where("quality = 0").count()
+
+
+def test_stages_handle_odd_rows(spark, small, odd):
+    """Nulls, repeats, ties, long texts and clashing columns, and no rows."""
+    rows = odd.withColumnsRenamed({"label": "leafmill_text", "node": "n"}).withColumn("y", odd["start"])
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, small)
+        assert out.schema == rows.schema, name
+        kept[name] = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        assert stage(spark, rows.limit(0), small).count() == 0
+    every = sorted(((r.doc_id, r.text) for r in rows.collect()), key=repr)
+    assert kept["line_dedup"] == every
+    for name in ("quality_classifier", "toxicity"):
+        assert all(x in every for x in kept[name])
+    # One row each: the copies (1 and 2), all without words, and the rest.
+    texts = [t for _, t in kept["simhash_near_dedup"]]
+    assert texts.count("a b c d e f") == 1 and sum(not (t or "").split() for t in texts) == 1
+    assert {t for _, t in every if (t or "").split()} == {t for t in texts if (t or "").split()}
+    assert (1, "a b c d e f") in kept["simhash_near_dedup"] and (None, None) in kept["simhash_near_dedup"]
+    packed = corpus_pipeline.STAGES[-1][1](spark, rows, small)
+    assert packed.select("doc_id", "piece").where("piece = 0").count() == len(every)
+    assert corpus_pipeline.STAGES[-1][1](spark, rows.limit(0), small).count() == 0
+
+
+def test_near_dedup_by_brute_force(spark, small):
+    """The stage's choice over the whole table against all pairs."""
+    import re
+
+    docs = common.table(spark, small, "documents")
+    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()))
+    sets = []
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else {""})
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    want = [rows[k][0] for k in sorted(set(root))]
+    for n in (3, 11):  # whatever the partitions
+        got = corpus_pipeline.near_dedup_stage(spark, docs.repartition(n), small)
+        assert sorted(r.doc_id for r in got.collect()) == want
+    assert len(want) < len(rows)

@@ -234,6 +234,24 @@ def test_factor_one_is_exact_and_copies_tie(spark):
     assert got == {q: [v for v, _ in x] for q, x in want.items()}
 
 
+@pytest.mark.parametrize("factor", [0.5, 1.0])
+def test_scaled_vectors_tie_by_exact_score_and_id(spark, factor):
+    """More vectors of one direction than k, and many equal scores besides."""
+    rng = np.random.default_rng(4)
+    vectors = np.round(rng.normal(size=(300, 4)), 2) + 0.001
+    for k in range(0, 300, 5):
+        vectors[k] = [1.0 * (k + 1), 0, 0, 0]
+    for k in range(1, 300, 5):
+        vectors[k] = [1.0, 1.0, 0, 0]
+    rows = [(int(k), [float(x) for x in v]) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), factor=factor, shard_rows=90, block_rows=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = nearest([r[0] for r in rows], [r[1] for r in rows])
+    assert got == {q: [v for v, _ in x] for q, x in want.items()}
+
+
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (1, [nan, 1.0]), (2, [inf, 1.0]), (3, [None, 1.0]), (4, [1.0, 1.0]), (None, [1.0, 0.0]), (5, []), (6, [1.0, 0.0, 0.0])]
@@ -293,6 +311,69 @@ def test_passages_beside_shared_lines_of_equal_count_go(spark):
     assert dedup_texts(spark, texts) == want
 
 
+def test_short_chunks_and_repeats_within_a_text_go(spark):
+    short = "\n".join(["one two three", "four five six", "seven eight nine"])
+    texts = [f"own {k} a\n{short}\nown {k} b" for k in range(4)]
+    twice = "\n".join(" ".join(f"twice{i}w{j}" for j in range(12)) for i in range(5))
+    texts.append(f"begin\n{twice}\nmiddle\n{twice}\nend")
+    texts += ["left 5\n\nAll rights reserved.\nright 5", "left 6\n\nAll rights reserved.\nright 6"]  # one line with words
+    want = [texts[0], *(f"own {k} a\nown {k} b" for k in (1, 2, 3)), f"begin\n{twice}\nmiddle\nend", *texts[5:]]
+    assert dedup_texts(spark, texts) == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in lines.dedup(docs, least_words=20).orderBy("doc_id").collect()][:4] == texts[:4]
+
+
+def plain_dedup(texts, least_words=0):
+    """Chunks by the operator's boundaries, everything else by plain loops."""
+    from collections import Counter
+
+    split = [t.split("\n") for t in texts]
+    hashes = [np.array([xxhash.xxh64_intdigest(x) for x in s], dtype=np.uint64) for s in split]
+    words = [np.array([len(x.split()) for x in s]) for s in split]
+    seen = Counter()
+    for h, w in zip(hashes, words):
+        seen.update(lines.line_pairs(h).tolist() + h[w >= lines.LONG_WORDS].tolist())
+    shared = {h: n for h, n in seen.items() if n > 1}
+    first, out = {}, []
+    for k, (s, h, w) in enumerate(zip(split, hashes, words)):
+        gone = set()
+        for a, b, _ in lines.chunk(h, w, shared, least_words):
+            if first.setdefault("\n".join(s[a:b]), (k, a)) != (k, a):
+                gone |= set(range(a, b))
+        out.append("\n".join(x for i, x in enumerate(s) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_by_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    pool = ["", *(" ".join(f"p{k}x{j}" for j in range(int(rng.integers(1, 15)))) for k in range(30)), LONG_LINE]
+    passages = [[pool[int(k)] for k in rng.integers(0, len(pool), int(rng.integers(2, 12)))] for _ in range(8)]
+    texts = []
+    for k in range(60):
+        parts = []
+        for i in range(int(rng.integers(0, 5))):
+            parts += passages[int(rng.integers(0, 8))] if rng.random() < 0.5 else [f"u{k} {i} {j}" for j in range(3)]
+        texts.append("\n".join(parts))
+    got = dedup_texts(spark, texts)
+    assert got == plain_dedup(texts)
+    assert sum(map(len, got)) < 0.7 * sum(map(len, texts))
+
+
+def test_planted_passages_leave_but_one_copy(spark):
+    """Passages of over 50 words in varying surroundings, by plain counting."""
+    rng = np.random.default_rng(9)
+    passages = ["\n".join(" ".join(f"q{p}l{i}w{j}" for j in range(13)) for i in range(5)) for p in range(12)]
+    texts = []
+    for k in range(90):
+        body = [f"unique {k} line {i} " + " ".join(f"z{k}i{i}j{j}" for j in range(8)) for i in range(4)]
+        body.insert(int(rng.integers(0, 5)), passages[k % 12])
+        texts.append("\n".join(body))
+    got = dedup_texts(spark, texts)
+    assert [sum(p in t for t in got) for p in passages] == [1] * 12
+    assert all(all(x in g.split("\n") for x in t.split("\n") if x.startswith("unique")) for t, g in zip(texts, got))
+
+
 def test_line_dedup_odd_rows(spark, odd):
     got = lines.dedup(odd)
     assert got.schema == odd.schema

@@ -56,6 +56,20 @@ def test_op1_odd_rows(spark, odd):
     assert dac.read_documents(dac.write_segments(odd.limit(0), path, 2)).count() == 0
 
 
+def test_single_tokens_are_read_from_the_stored_codes(spark, small, corpus, odd):
+    encode, path = library("word_bpe_49k.json"), queries.tokenizer_path("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    stored = dac.write_segments(docs, path, 2, segment_tokens=500)
+    rows = corpus[::7]
+    ids = {r["doc_id"]: encode(r["text"]) for r in rows}
+    asked = [(d, p) for d, x in ids.items() for p in {0, len(x) // 2, len(x) - 1, len(x), -1}] + [(-5, 0), (rows[0]["doc_id"], 0), (None, 1)]
+    got = dac.read_tokens(stored, spark.createDataFrame(asked, "doc_id long, position long")).collect()
+    want = [(d, p, ids[d][p] if d in ids and 0 <= p < len(ids[d]) else None) for d, p in asked if d is not None]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    empty = dac.write_segments(odd.limit(0), path, 2)
+    assert [r.token for r in dac.read_tokens(empty, spark.createDataFrame([(1, 0)], "doc_id long, position long")).collect()] == [None]
+
+
 def check_packing(rows, size=1024):
     by = {}
     for r in rows:
@@ -130,6 +144,41 @@ def test_plan_is_optimal_on_small_cases(items):
     assert sum(p.count for p in plan) == fewest(sorted(items, reverse=True), 20)
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(3, 20), min_size=9, max_size=13))
+def test_exhaustive_plans_are_optimal(items):
+    counts = np.bincount(items, minlength=21)
+    best = packing.plan(counts, 20, nodes=None, width=None, effort=None)
+    used = np.zeros(21, dtype=int)
+    for p in best:
+        assert sum(p.lengths) <= 20
+        np.add.at(used, list(p.lengths), p.count)
+    assert (used == counts).all()
+    fewest_ = sum(p.count for p in best)
+    assert fewest_ == fewest(sorted(items, reverse=True), 20)
+    assert fewest_ <= sum(p.count for p in packing.plan(counts, 20))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=9), st.integers(1, 20))
+def test_fillings_are_the_undominated_sets(items, room):
+    from itertools import combinations
+
+    counts = np.bincount(items, minlength=room + 1)
+    every = {tuple(sorted(c, reverse=True)) for n in range(len(items) + 1) for c in combinations(items, n) if sum(c) <= room}
+    want = set()
+    for c in every:
+        rest = list(items)
+        for v in c:
+            rest.remove(v)
+        if not any(v <= room - sum(c) for v in rest):
+            want.add(c)
+    got = packing.fillings(counts, room)
+    assert set(got) <= want
+    # Each other maximal set fits into one that was kept.
+    assert all(any(packing._fits_inside(c, g) for g in got) for c in want)
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_op4_matches_the_library(spark, small, corpus, odd, wide):
     import tiktoken
