@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,46 @@ def rotated_size(width: Column, height: Column, rotation: Column) -> tuple[Colum
     return F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
 
 
+# What a camera's orientation mark asks for, as quarter turns
+# clockwise after a mirroring from left to right.
+ORIENTATIONS = {1: (False, 0), 2: (True, 0), 3: (False, 2), 4: (True, 2), 5: (True, 3), 6: (False, 1), 7: (True, 1), 8: (False, 3)}
+
+
+def turned(x: Column, y: Column, width: Column, height: Column, quarters: Column) -> tuple[Column, Column]:
+    """Where a pixel comes to lie after quarter turns clockwise."""
+    return (
+        F.when(quarters == 1, height - 1 - y).when(quarters == 2, width - 1 - x).when(quarters == 3, y).otherwise(x),
+        F.when(quarters == 1, x).when(quarters == 2, height - 1 - y).when(quarters == 3, width - 1 - x).otherwise(y),
+    )
+
+
+def upright_pixels(pixels: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """Pixels (key, x, y, …) put upright: by the orientation mark, then turned
+    by ``rotation`` degrees, then cut to the crop and moved to its corner.
+
+    ``sizes``: key, width, height, orientation, rotation, crop_left, crop_top,
+    crop_right, crop_bottom (null: no crop). Pixels of images without a size go.
+    """
+    columns = pixels.columns
+    marks = F.create_map(*[F.lit(v) for k, (mirror, turns) in ORIENTATIONS.items() for v in (k, turns + 4 * mirror)])
+    mark = F.coalesce(F.try_element_at(marks, F.coalesce("orientation", F.lit(1))), F.lit(0))
+    joined = pixels.join(sizes, key).withColumns({"lm_mirror": mark >= 4, "lm_turns": mark % 4})
+    flipped = joined.withColumn("x", F.when(F.col("lm_mirror"), F.col("width") - 1 - F.col("x")).otherwise(F.col("x")))
+    out = flipped
+    for quarters in (F.col("lm_turns"), (F.col("rotation") / 90).cast("int")):
+        x, y = turned(F.col("x"), F.col("y"), F.col("width"), F.col("height"), quarters)
+        w, h = rotated_size(F.col("width"), F.col("height"), quarters * 90)
+        out = out.withColumns({"x": x, "y": y, "width": w, "height": h})
+    sides = [F.col(f"crop_{s}") for s in ("left", "top", "right", "bottom")]
+    box = F.when(sides[0].isNotNull(), crop_pixels(*sides, F.col("width"), F.col("height")))
+    cut = out.withColumn("lm_box", box)
+    inside = F.col("lm_box").isNull() | (
+        (F.col("x") >= F.col("lm_box.left")) & (F.col("x") < F.col("lm_box.right")) & (F.col("y") >= F.col("lm_box.top")) & (F.col("y") < F.col("lm_box.bottom"))
+    )
+    moved = {"x": F.col("x") - F.coalesce("lm_box.left", F.lit(0)), "y": F.col("y") - F.coalesce("lm_box.top", F.lit(0))}
+    return cut.where(inside).withColumns(moved).select(*columns)
+
+
 def move_crop(low: Column, high: Column, by: Column) -> tuple[Column, Column]:
     """Shift an extent within [0, 1], its size kept."""
     shift = F.least(1 - high, F.greatest(-low, by))

@@ -85,6 +85,30 @@ def move_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "orders").select("o_orderkey", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"), F.round(resized, 6).alias("resized"))
 
 
+_PIXELS = "SELECT l_orderkey AS image, CAST(l_partkey % 8 AS INT) AS x, CAST(l_suppkey % 6 AS INT) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2, 3"
+
+
+@query(
+    f"""WITH p AS (SELECT *, CAST(image % 9 AS INT) AS o, CAST(image % 4 AS INT) AS r FROM ({_PIXELS})),
+    m AS (SELECT image, n, r, CASE WHEN o IN (2, 4, 5, 7) THEN 7 - x ELSE x END AS x, y, CASE o WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 1 WHEN 7 THEN 1 WHEN 8 THEN 3 ELSE 0 END AS q FROM p),
+    a AS (SELECT image, n, r, CASE q WHEN 1 THEN 5 - y WHEN 2 THEN 7 - x WHEN 3 THEN y ELSE x END AS x, CASE q WHEN 1 THEN x WHEN 2 THEN 5 - y WHEN 3 THEN 7 - x ELSE y END AS y,
+      CASE WHEN q IN (1, 3) THEN 6 ELSE 8 END AS w, CASE WHEN q IN (1, 3) THEN 8 ELSE 6 END AS h FROM m),
+    b AS (SELECT image, n, CASE r WHEN 1 THEN h - 1 - y WHEN 2 THEN w - 1 - x WHEN 3 THEN y ELSE x END AS x, CASE r WHEN 1 THEN x WHEN 2 THEN h - 1 - y WHEN 3 THEN w - 1 - x ELSE y END AS y,
+      CASE WHEN r IN (1, 3) THEN h ELSE w END AS w, CASE WHEN r IN (1, 3) THEN w ELSE h END AS h FROM a),
+    c AS (SELECT *, CASE WHEN image % 5 > 0 THEN CAST(floor(0.25 * w) AS INT) ELSE 0 END AS l, CASE WHEN image % 5 > 0 THEN CAST(floor(0.75 * w) AS INT) ELSE w END AS e FROM b)
+    SELECT image, CAST(x - l AS INT) AS x, CAST(y AS INT) AS y, n FROM c WHERE x >= l AND x < e"""
+)
+def upright_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.table(spark, sf_dir, "lineitem").createOrReplaceTempView("leafmill_lineitem")
+    pixels = spark.sql(_PIXELS.replace("FROM lineitem", "FROM leafmill_lineitem"))
+    sides = {"left": 0.25, "top": 0.0, "right": 0.75, "bottom": 1.0}
+    crop = {f"crop_{s}": F.when(F.col("image") % 5 > 0, F.lit(v)) for s, v in sides.items()}
+    sizes = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image")).distinct().selectExpr(
+        "image", "8 AS width", "6 AS height", "CAST(image % 9 AS INT) AS orientation", "CAST(image % 4 AS INT) * 90 AS rotation"
+    )
+    return geometry.upright_pixels(pixels, sizes.withColumns(crop), ["image"])
+
+
 _UPLOAD = {
     "kind": "CASE p_partkey % 2 WHEN 0 THEN 'pdf' ELSE 'images' END",
     "name": "CASE p_partkey % 5 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'b.jpeg' WHEN 2 THEN 'c' WHEN 3 THEN 'd.png' ELSE 'e.pdf' END",

@@ -97,19 +97,46 @@ def mock_speech(text: str) -> bytes:
 
 
 def synthesize(segments: DataFrame, provider: Speech = mock_speech, text: str = "source_text") -> DataFrame:
-    """Segments with ``audio`` (null where the provider gives none) and
+    """Segments with ``audio`` (null where the provider gives none or fails) and
     ``duration_seconds`` of a WAVE result. The provider loads once a task."""
 
+    def heard(said: str) -> bytes | None:
+        try:
+            return provider(said)
+        except (OSError, ValueError, RuntimeError):  # one failed text fails alone
+            return None
+
     @F.pandas_udf("audio binary, duration_seconds double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            audio = [None if t is None else provider(t) for t in texts]
+            audio = [None if t is None else heard(t) for t in texts]
             lengths = [None if a is None else wave.open(io.BytesIO(a)).getnframes() / wave.open(io.BytesIO(a)).getframerate() for a in audio]
             yield pd.DataFrame({"audio": audio, "duration_seconds": lengths})
 
     return segments.withColumn("lm_speech", run(F.col(text))).select("*", "lm_speech.*").drop("lm_speech")
 
 
+NO_AUDIO = "Could not create audio for this segment."
+
+
+def speak(segments: DataFrame, provider: Speech = mock_speech, extension: str = "wav") -> DataFrame:
+    """Segments after an audio run: completed ones as they were, each other one
+    with its audio, path and duration, or failed with a message where the
+    provider gives none. Storing the ``audio`` column is a write of its own, so
+    a store that fails later leaves the outcome as it is."""
+    todo = F.coalesce(F.col("processing_status") != "completed", F.lit(True))
+    spoken = synthesize(segments.withColumn("lm_text", F.when(todo, F.col("source_text"))).drop("audio", "duration_seconds"), provider, "lm_text")
+    done = todo & F.col("audio").isNotNull()
+    path = F.concat(F.lit("audio/"), F.format_string(f"segment-%04d.{extension}", "segment_number"))
+    return spoken.withColumns(
+        {
+            "audio_storage_path": F.when(done, path).otherwise(F.col("audio_storage_path")),
+            "error_message": F.when(todo & ~done, F.lit(NO_AUDIO)),
+            "processing_status": F.when(todo, F.when(done, "completed").otherwise("failed")).otherwise(F.col("processing_status")),
+        }
+    ).drop("lm_text")
+
+
 def recognize(pages: DataFrame, provider: Reader | None, image: str = "content") -> DataFrame:
     """Pages with recognised ``text`` and ``confidence``; without a provider
     (recognition disabled) an ``error_code`` instead."""

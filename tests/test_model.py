@@ -145,6 +145,18 @@ def test_mock_speech_and_disabled_reading(spark):
     assert media.recognize(df, None).first().error_code == "ocr_disabled"
 
 
+def test_speaking_completes_or_fails_segment_by_segment(spark):
+    def provider(text):
+        if "bad" in text:
+            raise RuntimeError
+        return media.mock_speech(text)
+
+    rows = [(1, "a text", "pending", None), (2, "bad", "failed", None), (3, "kept", "completed", "audio/old.mp3"), (4, None, "generating", None)]
+    df = spark.createDataFrame(rows, "segment_number int, source_text string, processing_status string, audio_storage_path string")
+    got = {r.segment_number: (r.processing_status, r.audio_storage_path, r.error_message, r.duration_seconds) for r in media.speak(df, provider).collect()}
+    assert got == {1: ("completed", "audio/segment-0001.wav", None, 1.2), 2: ("failed", None, media.NO_AUDIO, None), 3: ("completed", "audio/old.mp3", None, None), 4: ("failed", None, media.NO_AUDIO, None)}
+
+
 def test_progress_stream_equals_batch(spark, tmp_path):
     rows = [(1, "d", dt.datetime(2024, 1, 1, 0, k), k, k % 3 + 1, float(k), 1.0, k % 4 == 0, 3) for k in range(20)]
     rows += [(2, "d", dt.datetime(2024, 1, 1), 50, 3, 9.0, 1.5, True, 3)]
