@@ -62,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each table written before the next."""
+    """All stages over ``documents``, each table written before the next; what a
+    stage wrote for itself, and its input, are deleted once its output stands."""
     docs = common.table(spark, sf_dir, "documents")
+    mark = common.written()
     for name, stage in STAGES[:-1]:
         docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.clear_scratch(keep=docs, since=mark)
     return STAGES[-1][1](spark, docs, sf_dir)
