@@ -53,11 +53,19 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def clear_scratch() -> None:
-    """Delete every scratch table of this process, once all results that read
-    them are stored elsewhere."""
-    while _WRITTEN:
-        discard(_WRITTEN.pop())
+def clear_scratch(keep: DataFrame | None = None, since: int = 0) -> None:
+    """Delete the scratch tables of this process, but for ``keep``, once all
+    results that read them are stored elsewhere; with ``since`` (an earlier
+    ``written()``) only later ones."""
+    for table_ in _WRITTEN[since:]:
+        if table_ is not keep:
+            discard(table_)
+    _WRITTEN[since:] = [] if keep is None else [keep]
+
+
+def written() -> int:
+    """How many scratch tables there are, as a mark for ``clear_scratch``."""
+    return len(_WRITTEN)
 
 
 def reread(df: DataFrame) -> DataFrame:

@@ -168,18 +168,16 @@ def write_segments(
     documents, and the coded tokens. Segments end at document ends, after
     ``segment_tokens`` tokens. The rows are a Parquet table in the scratch
     folder, so Spark's committer publishes whole tasks only and any store will
-    do. Null text is an empty text, a null id sorts first, rows of equal id
-    stand by their tokens' bytes, repeated rows are written as often as they
-    occur; an empty table gives no rows.
+    do. Null text is an empty text, a null id sorts first, repeated rows are
+    written as often as they occur; an empty table gives no rows. Rows of equal
+    id stand by a hash of their text, which deals those of a very frequent id
+    to several shards, and then by their tokens' bytes.
     """
     spark = docs.sparkSession
     n = common.shuffle_partitions(spark)
-    cuts = (
-        docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 20 * n)).first()[0]
-        if n > 1
-        else None
-    )
-    cuts = np.unique(np.array(cuts or [], dtype=np.int64))
+    ids_ = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long"))
+    cuts = docs.agg(F.percentile_approx(ids_, [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+    cuts = np.array(cuts or [], dtype=np.int64)  # an id of many rows is a cut several times
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = units.library_encoder(tokenizer_path)
@@ -188,9 +186,12 @@ def write_segments(
                 ids, bounds = units.with_end(*encoder.texts(texts), end_id)
                 keys = batch.column(0).slice(at, len(texts)).cast(pa.int64())
                 known = keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+                low, high = (np.searchsorted(cuts, known, side=side) for side in ("left", "right"))
+                share = batch.column(2).slice(at, len(texts)).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(40)
+                shard = low + (share.astype(np.int64) * (high - low + 1) >> 24)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.searchsorted(cuts, known, side="right").astype(np.int32)),
+                        pa.array(shard.astype(np.int32)),
                         keys,
                         pa.array(
                             [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
@@ -237,7 +238,8 @@ def write_segments(
         if held:
             yield emit()
 
-    coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    hashed = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    coded = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), hashed.alias("h")).mapInArrow(
         tokens, "shard int, id long, ids binary"
     )
     ordered = coded.repartitionById(n, F.col("shard")).sortWithinPartitions(

@@ -80,6 +80,52 @@ def test_op8_by_brute_force(spark, small, corpus, odd):
     assert audio.digest(audio.store_texts(odd.limit(0))).count() == 0
 
 
+def expand_one(code, law):
+    """A sample by the companding rule, bit by bit."""
+    if law == "mulaw":
+        code = ~code & 255
+        size = (((code & 15) * 2 + 33) << (code >> 4 & 7)) - 33
+        return 4 * (-size if code & 128 else size)
+    code ^= 0x55
+    exponent, mantissa = code >> 4 & 7, code & 15
+    size = 2 * mantissa + 1 if exponent == 0 else (2 * mantissa + 33) << (exponent - 1)
+    return 8 * (size if code & 128 else -size)
+
+
+def doubled(samples):
+    """Twice the rate, sample by sample; a neighbour beyond the ends repeats."""
+    n, out = len(samples), []
+    for k, x in enumerate(samples):
+        a, c, d = samples[max(k - 1, 0)], samples[min(k + 1, n - 1)], samples[min(k + 2, n - 1)]
+        out += [x, max(-32768, min(32767, (9 * (x + c) - a - d + 8) >> 4))]
+    return out
+
+
+def test_op8_features_and_pcm_by_plain_loops(spark, corpus):
+    import math
+    import struct
+
+    texts = sorted((r["text"] for r in corpus if r["text"]), key=len)[:12] + ["", "é😀", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in audio.digest(audio.store_texts(docs)).collect()}
+    for k, text in enumerate(texts):
+        _, full = payload(text)
+        head = b"WAVEfmt " + struct.pack("<IHHIIHHH", 18, 7, 1, 8000, 8000, 1, 8, 0) + b"data" + struct.pack("<I", len(full))
+        media = b"RIFF" + struct.pack("<I", len(head) + len(full)) + head + full
+        assert (got[k].media_bytes, got[k].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        heard = {law: [expand_one(b, law) for b in full] for law in ("mulaw", "alaw")}
+        mu, a = (doubled(heard[law]) for law in ("mulaw", "alaw"))
+        z = doubled([v for i in range(0, len(full), 36) for v in adpcm_one(full[i : i + 36])])
+        crc = {n: f"{zlib.crc32(struct.pack(f'<{len(v)}h', *v)):08x}" for n, v in (("mu", mu), ("a", a), ("z", z))}
+        signs = [x < 0 for x in heard["mulaw"]]
+        crossings = sum(p != q for p, q in zip(signs, signs[1:]))
+        rms = int(math.sqrt(sum(x * x for x in heard["mulaw"]) / len(full)))
+        want = f"mulaw:{crc['mu']}/{max(map(abs, mu))};alaw:{crc['a']}/{max(map(abs, a))};adpcm:{crc['z']};zc:{crossings};rms:{rms}"
+        assert got[k].feature == want
+        form, rate, data = audio.parse(bytes(got[k].pcm))
+        assert (form, rate) == (1, 16000) and data == struct.pack(f"<{len(mu)}h", *mu)
+
+
 def base(text):
     words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(LOWER))
     hits = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]

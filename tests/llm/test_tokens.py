@@ -70,6 +70,18 @@ def test_single_tokens_are_read_from_the_stored_codes(spark, small, corpus, odd)
     assert [r.token for r in dac.read_tokens(empty, spark.createDataFrame([(1, 0)], "doc_id long, position long")).collect()] == [None]
 
 
+def test_op1_deals_a_frequent_id_to_several_shards(spark):
+    path, encode = queries.tokenizer_path("word_bpe_49k.json"), library("word_bpe_49k.json")
+    rows = [(7 if k % 3 else k if k % 2 else None, f"text number {k} of many") for k in range(300)]
+    stored = dac.write_segments(spark.createDataFrame(rows, "doc_id long, text string"), path, 2, segment_tokens=64)
+    got = dac.read_documents(stored).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d))
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array(encode(t), dtype="<u4").tobytes()) for _, t in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    sizes = [r.n for r in stored.groupBy("shard").agg({"n_tokens": "sum"}).toDF("shard", "n").collect()]
+    assert len(sizes) == 3 and max(sizes) < 0.5 * sum(sizes)
+
+
 def check_packing(rows, size=1024):
     by = {}
     for r in rows:
