@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from leafmill.plans import layout, library, lifecycle, scalars, storage, text  # noqa: F401
+    from leafmill.plans import layout, library, lifecycle, media, scalars, storage, text  # noqa: F401
 
     return QUERIES, ORACLES

@@ -207,3 +207,66 @@ def merge_top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ink_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _series(spark, sf_dir).withColumn("ink", F.col("ink") * (F.col("y") % 40 < 12).cast("int"))
     return layout.ink_bands(rows, ["user_id"], gap=20, width=400, first_y=60)
+
+
+_VERDICTS = f"""v AS (SELECT doc_id, pos, length({_K}) AS k, {_K} AS bare, {_CJK} AS n, confidence, x_min, y_min, {_PUNCT} AS marks FROM p)"""
+
+
+@query(
+    f"""WITH {_PLACED}, {_VERDICTS} SELECT doc_id, pos, (k <= 2 AND NOT regexp_matches(bare, '[\\pL\\pN]')) OR (confidence < 0.5 AND k <= 12) AS noise, confidence >= 0.9 AND x_min <= 62 AS trust,
+    confidence >= 0.86 AND k >= 12 AND n >= 8 AND x_min <= 110 AS fill, y_min IS NOT NULL AND k > 14 AND (marks OR n >= 8) AS body FROM v"""
+)
+def line_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, sure, x = F.col("text"), F.col("confidence"), F.col("x_min")
+    left = F.lit(2.0)
+    return _placed(spark, sf_dir).select(
+        "doc_id", "pos", layout.is_noise(text, sure).alias("noise"), layout.trusted(sure, x, left).alias("trust"),
+        layout.fills_slot(text, sure, x, left).alias("fill"), layout.is_body_line(text, F.col("y_min")).alias("body"),
+    )
+
+
+@query(
+    f"""WITH {_PLACED}, k AS (SELECT DISTINCT doc_id, {_K} AS k FROM p WHERE pos % 3 = 0)
+    SELECT p.doc_id, p.pos FROM p WHERE (p.doc_id, {_K}) NOT IN (SELECT (doc_id, k) FROM k)"""
+)
+def unknown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a page that say what none of every third of its lines says."""
+    lines = _placed(spark, sf_dir)
+    frames = layout.page_frames(lines.where("pos % 3 = 0"), KEY, 1000.0).select("doc_id", "lm_keys")
+    joined = lines.join(frames, KEY, "left")
+    known = F.coalesce(F.array_contains("lm_keys", chars.key(F.col("text"))), F.lit(False))
+    return joined.where(~known).select("doc_id", "pos")
+
+
+@query(
+    f"""WITH {_PLACED}, b AS (SELECT *, {_BODY} AS body, length({_K}) AS k FROM p), m AS (SELECT *, min(CASE WHEN body THEN y_min END) OVER (PARTITION BY doc_id) AS y FROM b),
+    r AS (SELECT doc_id, count(*) FILTER (WHERE body) AS n, min(y) AS y, coalesce(bool_or(y_min < y AND y_min <= 180 AND k BETWEEN 4 AND 24), false) AS header FROM m GROUP BY 1)
+    SELECT doc_id, doc_id % 7 = 0 OR n = 0 OR coalesce(y > 180 OR (n < 3 AND y > 120), false) OR header AS recover FROM r"""
+)
+def top_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _placed(spark, sf_dir)
+    seen = lines.select("doc_id").distinct().where("doc_id % 7 = 0").withColumn("seen", F.lit(True))
+    return layout.needs_top_recovery(lines, KEY, seen)
+
+
+@query(
+    """WITH f AS (SELECT o_orderkey AS page, CAST(o_custkey % 900 AS DOUBLE) AS first_y, CAST(20 + o_orderkey % 60 AS DOUBLE) AS gap FROM orders),
+    p AS (SELECT *, greatest(0.0, round_even(first_y - 3.5 * gap, 0)) AS low, least(1000.0, round_even(first_y + 0.35 * gap, 0)) AS high, greatest(48.0, round_even(1.7 * gap, 0)) AS tall FROM f),
+    t AS (SELECT page, unnest(range(5)) AS pos, low, greatest(0.0, high - low - tall) / 4 AS step, tall FROM p WHERE high > low)
+    SELECT page, CAST(pos AS INT) AS pos, round_even(low + step * pos, 0) AS top, least(1000.0, round_even(low + step * pos, 0) + tall) AS bottom FROM t"""
+)
+def sweep_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page", "CAST(o_custkey % 900 AS DOUBLE) AS first_y", "CAST(20 + o_orderkey % 60 AS DOUBLE) AS gap")
+    return layout.sweep_bands(first, ["page"])
+
+
+_GREYS = "SELECT l_orderkey % 300 AS page, CAST(l_partkey % 50 AS INT) AS x, CAST(l_suppkey % 40 AS INT) AS y, CAST(l_quantity * 5 AS INT) AS grey FROM lineitem"
+
+
+@query(
+    f"""WITH g AS ({_GREYS}), i AS (SELECT * FROM g WHERE x BETWEEN 5 AND 44), d AS (SELECT page, min(grey) AS dark FROM i GROUP BY 1 HAVING min(grey) <= 230)
+    SELECT page, y, count(*) FILTER (WHERE grey < least(235, greatest(160, dark + 80))) AS ink FROM i JOIN d USING (page) GROUP BY page, y"""
+)
+def ink_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fx.table(spark, sf_dir, "lineitem").createOrReplaceTempView("leafmill_lineitem")
+    return layout.ink_counts(spark.sql(_GREYS.replace("FROM lineitem", "FROM leafmill_lineitem")), ["page"], 5, 45)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import chars
 from leafmill.operators import clean, segment
-from leafmill.plans.catalogue import query
+from leafmill.plans.catalogue import ORACLES, query
 from leafmill.sources import fixtures as fx
 
 S = chars.SPACE
@@ -241,6 +241,38 @@ def pack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("document_id", F.posexplode("c").alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
+_JOINED = "SELECT document_id, CASE WHEN len(c) > 1 AND {last} < 30 AND len({both}) <= 600 AND {whole} <= 420 THEN list_append(c[1 : len(c) - 2], {both}) ELSE c END AS c FROM c"
+_BOTH = "(c[len(c) - 1] || chr(10) || chr(10) || c[len(c)])"
+
+
+@query(
+    ORACLES["pack_segments"].split("SELECT document_id, unnest(range")[0]
+    + ", j AS (" + _JOINED.format(last=_spoken("c[len(c)]"), both=_BOTH, whole=_spoken(_BOTH)) + ") SELECT document_id, unnest(range(len(c))) AS chunk, unnest(c) AS text FROM j"
+)
+def join_short_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = segment.Limits(characters=600)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("page_number", "text"))), lambda r: r["text"])
+    packed = fx.conversations(spark, sf_dir).where("text <> ''").groupBy("document_id").agg(segment.merge_short_tail(segment.pack(rows, 600), limits).alias("c"))
+    return packed.select("document_id", F.posexplode("c").alias("chunk", "text")).withColumn("chunk", F.col("chunk").cast("long"))
+
+
+def _glued(a: str, x: str) -> str:
+    n = f"len(regexp_extract_all({x}, '{_W}'))"
+    title = f"(length({a}) <= 40 AND regexp_matches({a}, '^[「《]') AND NOT regexp_matches({a}, '[{chars.HEADING_STOPS}]$'))"
+    return f"({n} BETWEEN 1 AND 8 AND {n} * 2 >= length({x}) AND NOT {title} AND regexp_matches({a}, '{_W}$') AND regexp_matches({x}, '^{_W}'))"
+
+
+@query(
+    f"""WITH {fx.LINES_SQL}, {_PARAS}, l AS (SELECT doc_id, list(text ORDER BY para) AS t FROM paras GROUP BY 1),
+    m AS (SELECT doc_id, list_reduce(list_transform(t, lambda x: [x]), lambda a, x: CASE WHEN {_glued("a[len(a)]", "x[1]")} THEN list_append(a[1 : len(a) - 1], a[len(a)] || x[1]) ELSE list_concat(a, x) END) AS t FROM l)
+    SELECT doc_id, unnest(range(len(t))) AS place, unnest(t) AS text FROM m"""
+)
+def glue_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segment._page_arrays(segment.paragraphs(_lines(spark, sf_dir), KEY), KEY)
+    merged = rows.select("doc_id", F.posexplode(segment.merge_fragments(F.col("texts"))).alias("place", "text"))
+    return merged.withColumn("place", F.col("place").cast("long"))
+
+
 @query("SELECT conv_id AS document_id, CAST(turn + 1 AS INT) AS page_number, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS segment_number FROM conversations")
 def number_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.number_segments(fx.conversations(spark, sf_dir).select("document_id", "page_number"), "document_id", ["page_number"])
