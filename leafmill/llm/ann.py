@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import common
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 1024, 256
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 8192, 512, 256
 #: Rounding of a cosine of unit vectors, and of a small distance made of one.
 TIE, NEAR = 1e-12, 1e-6
 
@@ -184,8 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     empty, zero or non-finite vectors, take no part, and only vectors of one
     dimension meet. A row of the query's own id is no candidate. Scores are
     cosines of the original vectors in double precision; ties go to smaller
-    ids. Fewer candidates than k: all of them. Repeated rows count once for
-    each id. Other columns are ignored; an empty table gives no rows. Shards
+    ids. Fewer candidates than k: all of them. Repeated rows count as often as
+    they occur. Other columns are ignored; an empty table gives no rows. Shards
     and query blocks are bounded.
     """
     one = vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(
@@ -193,7 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     )
     ask = queries.where(F.col(id_col).isNotNull() & usable(vector_col)).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")
-    ).dropDuplicates(["id"])
+    ).groupBy("id").agg(F.min("v").alias("v"))  # one vector for each query id
     n = one.count()
     shards = max(1, math.ceil(n / shard_rows))
     blocks = max(1, math.ceil(ask.count() / block_rows))
@@ -221,10 +221,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     visits = asked.join(common.reread(index).select("dim", "shard"), "dim").select("dim", "shard", F.lit(1).alias("kind"), none.alias("tree"), "ids", "vectors")
 
     def nearest_of(tree: Tree, q_ids: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-        who, rows = tree.search(unit_rows(raw), min(k + 1, max(1, len(tree.unit))), factor)
-        score = np.concatenate([exact_cosine(raw[who[a : a + 65536]], tree.raw[rows[a : a + 65536]]) for a in range(0, max(len(who), 1), 65536)])
-        # Of equal vectors only the k + 1 smallest ids can matter.
-        many = np.minimum(np.diff(tree.id_rows)[rows], k + 1)
+        # Rows of the query's own id are no candidates, so that many more are sought.
+        own = np.unique(tree.ids[np.isin(tree.ids, q_ids)], return_counts=True)[1].max(initial=1)
+        who, rows = tree.search(unit_rows(raw), min(k + int(own), max(1, len(tree.unit))), factor)
+        score = np.concatenate([exact_cosine(raw[who[a : a + 16384]], tree.raw[rows[a : a + 16384]]) for a in range(0, max(len(who), 1), 16384)])
+        # Of equal vectors only so many of the smallest ids can matter.
+        many = np.minimum(np.diff(tree.id_rows)[rows], k + int(own))
         at = np.repeat(tree.id_rows[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         query, vec, score = np.repeat(q_ids[who], many), tree.ids[at], np.repeat(score, many)
         keep = query != vec

@@ -252,6 +252,13 @@ def test_scaled_vectors_tie_by_exact_score_and_id(spark, factor):
     assert got == {q: [v for v, _ in x] for q, x in want.items()}
 
 
+def test_a_query_with_many_vectors_of_its_own_id(spark):
+    rows = [(50, [1.0, 0.01 * k]) for k in range(20)] + [(k, [1.0, 0.5 + 0.01 * k]) for k in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id = 50 AND embedding[1] = 0"), factor=1.0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (1, [nan, 1.0]), (2, [inf, 1.0]), (3, [None, 1.0]), (4, [1.0, 1.0]), (None, [1.0, 0.0]), (5, []), (6, [1.0, 0.0, 0.0])]
