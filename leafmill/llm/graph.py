@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import common
 
-#: Links that are contracted at once.
+#: Links that are contracted at once, and up to which a task takes all of them.
 HELD = 1 << 20
 
 
@@ -56,21 +56,35 @@ def contract(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(_stars, "a long, b long")
 
 
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, label) of all links that come, which are HELD at most."""
+    held = [np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in batches if batch.num_rows]
+    if held:
+        ends, flat = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        root = local_labels(*flat.reshape(2, -1), len(ends))
+        yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(ends[root])], names=["node", "label"])
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node reachable over ``links``.
 
     ``links`` has columns ``a`` and ``b`` of longs; direction, repeats and
     self-links don't matter, null ends are ignored. Links are contracted as
     they come and again by their larger node, so that what one task found is
-    one hop wide. Then each round takes the least label among a node and its
-    neighbours, and the label of that label, so the rounds grow with the
-    logarithm of a chain's length. Rounds are written to the scratch folder. No
-    links give no rows.
+    one hop wide. If HELD or fewer are left, one task finishes them. Otherwise
+    each round takes the least label among a node and its neighbours, and the
+    label of that label, and is written to the scratch folder, until nothing
+    changes. No links give no rows.
     """
     ends = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     stars = contract(contract(ends).repartition(common.shuffle_partitions(links.sparkSession), "a"))
     ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     edges = common.materialize(stars.select(ways.alias("e")).select("e.a", "e.b").distinct(), "edges")
+    if edges.count() <= 2 * HELD:  # each link stands in both directions
+        one = edges.where("a > b").coalesce(1).mapInArrow(_roots, "node long, label long")
+        labels = common.materialize(one, "labels")
+        common.discard(edges)
+        return labels
     labels = common.materialize(
         edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")),
         "labels",

@@ -87,7 +87,9 @@ def test_scheme_covers_the_radius():
             assert sorted(b for g in s.bits for b in g) == list(range(64))
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("held", [1 << 20, 3])
+def test_components_of_chains(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
     chain = [(k, k + 1) for k in range(60)] + [(100, 101), (7, 7), (None, 3)]
     got = {r.node: r.label for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
@@ -144,9 +146,10 @@ def dense_texts():
     return texts
 
 
-@pytest.mark.parametrize("block", [1024, 50, 7])
-def test_dense_groups_lose_no_link(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "held"), [(1024, 1 << 20), (50, 8), (7, 1 << 20)])
+def test_dense_groups_lose_no_link(spark, monkeypatch, block, held):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
+    monkeypatch.setattr(graph, "HELD", held)
     texts = dense_texts()
     want = jaccard_groups(texts)
     assert 1 < len(set(want)) < 120
