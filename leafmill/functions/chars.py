@@ -220,7 +220,18 @@ def is_short_fragment(text: Column) -> Column:
 def spoken_seconds(c: Column) -> Column:
     """Estimated speaking time: CJK characters, words, other characters
     outside ASCII, and pauses."""
-    return count(c, CJK_WIDE) / 3.8 + count(c, WORD) / 2.6 + count(c, OTHER_SPOKEN) / 3.2 + count(c, PAUSES) * 0.2
+    pauses = F.char_length(c) - F.char_length(F.translate(c, PAUSES[1:-1], ""))
+    return count(c, CJK_WIDE) / 3.8 + count(c, WORD) / 2.6 + count(c, OTHER_SPOKEN) / 3.2 + pauses * 0.2
+
+
+#: No character takes longer: one outside ASCII that is a pause too.
+SLOWEST = 1 / 3.2 + 0.2
+
+
+def lasts_longer(c: Column, seconds: float) -> Column:
+    """Whether the speaking time is above a bound; texts too short for it
+    whatever they hold aren't counted through."""
+    return (F.char_length(c) > int(seconds / SLOWEST)) & (spoken_seconds(c) > seconds)
 
 
 def casefold(c: Column) -> Column:
