@@ -255,14 +255,14 @@ def candidate_groups(named: DataFrame, similarity: float, size: int) -> DataFram
     )
     heads = common.materialize(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     alike = common.reread(prints).join(heads, "fp").where("node <> head")
-    near = simhash.links(heads.select("fp"), RADIUS)
+    near = common.materialize(simhash.links(heads.select("fp"), RADIUS), "near")
     ends = [common.reread(heads).select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in ("a", "b")]
     close = near.join(ends[0], "a").join(ends[1], "b")
     edges = mates.select(F.col("node").alias("a"), F.col("lead").alias("b"))
     for more, a, b in ((chained, "lead", "other"), (alike, "node", "head"), (close, "a_head", "b_head")):
         edges = edges.unionByName(more.select(F.col(a).alias("a"), F.col(b).alias("b")))
     labels = connected_components(edges)
-    for table in (packs, found, leads, prints, heads):
+    for table in (packs, found, leads, prints, heads, near):
         common.discard(table)
     return labels
 

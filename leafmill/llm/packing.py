@@ -14,8 +14,10 @@ find their places by rank within their length.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,20 +68,25 @@ def fillings(counts: np.ndarray, room: int, width: int | None = None, effort: in
         k, left, chosen = stack.pop()
         visited += 1
         used = {v: chosen.count(v) for v in set(chosen)}
-        fits = [j for j in range(k, len(lengths)) if lengths[j] <= left and used.get(lengths[j], 0) < counts[lengths[j]]]
+        first = bisect_left(lengths, -left, key=lambda v: -v)  # the largest that fits
+
+        def free(j: int) -> bool:
+            return used.get(lengths[j], 0) < counts[lengths[j]]
+
+        budget = len(lengths) if effort is None else max(effort - visited, 1)
+        fits = list(islice(filter(free, range(max(k, first), len(lengths))), budget))
         if not fits:
             # Undominated only if no other piece, even a larger one, still fits.
-            if not any(lengths[j] <= left and used.get(lengths[j], 0) < counts[lengths[j]] for j in range(k)):
+            if not any(map(free, range(first, k))):
                 found.append((left, chosen))
                 exact += left == 0
                 if width is not None and exact >= 4 * width:
                     break
             continue
         closing = place.get(left)
-        if closing in fits[1:]:
-            fits.remove(closing)
-            fits.insert(0, closing)
-        stack += [(j, left - lengths[j], (*chosen, lengths[j])) for j in reversed(fits[:effort])]
+        if closing is not None and closing >= k and closing != fits[0] and free(closing):
+            fits = [closing, *(j for j in fits if j != closing)]
+        stack += [(j, left - lengths[j], (*chosen, lengths[j])) for j in reversed(fits)]
     kept: list[tuple[int, tuple[int, ...]]] = []
     for waste, items in sorted(set(found), key=lambda x: (x[0], len(x[1]), [-v for v in x[1]])):
         if width is not None and len(kept) >= width:
@@ -133,7 +140,7 @@ def best_fit_decreasing(counts: np.ndarray, size: int) -> list[Pattern]:
         out.append(Pattern(tuple(items), times))
 
 
-def plan(counts: np.ndarray, size: int, nodes: int | None = 1000, width: int | None = 6, effort: int | None = 100) -> list[Pattern]:
+def plan(counts: np.ndarray, size: int, nodes: int | None = 400, width: int | None = 6, effort: int | None = 100) -> list[Pattern]:
     """Patterns for a histogram of lengths (``counts[v]`` pieces of length v).
 
     Depth-first bin completion. ``nodes``, ``width`` (fillings tried at a node)

@@ -372,7 +372,7 @@ def components(
     """
     prints = common.materialize(fingerprints(docs, size, id_col, text_col), "fingerprints")
     nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
-    found = connected_components(links(nodes, radius))
+    found = connected_components(common.materialize(links(nodes, radius), "near"))
     named = nodes.join(found.select(F.col("node").alias("fp"), "label"), "fp", "left").select(
         "fp", "low", F.coalesce("label", "fp").alias("label")
     )

@@ -6,6 +6,9 @@ objects are made only for the distinct strings of a batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import re
 from array import array
@@ -13,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -41,8 +45,9 @@ def text_array(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column.fill_null("")])
 
 
-def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) pieces of at most ``limit`` bytes, or of one row."""
+    _forget_encoders()
     column = text_array(column)
     n = len(column)
     if not n:
@@ -162,7 +167,7 @@ class UnitEncoder:
     speed-up with a byte bound: beyond it the cache starts afresh.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 96 << 20, lower: bool = False):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 64 << 20, lower: bool = False):
         self.encode, self.limit, self.lower = encode, limit, lower
         self.known: dict[str, bytes] = {}
         self.held = 0
@@ -195,6 +200,23 @@ class UnitEncoder:
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
+_STAGE: list[int] = []
+
+
+def _stage() -> int:
+    task = TaskContext.get()
+    return task.stageId() if task else -1
+
+
+def _forget_encoders() -> None:
+    """Drop the encoders of another stage, whose caches this process would hold
+    for as long as it is used again."""
+    if _ENCODERS and _STAGE != [_stage()]:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 _PLAIN = re.compile(r"[\n\x20-\x40\x5B-\x7E]*")
@@ -207,6 +229,8 @@ def library_encoder(path: str) -> UnitEncoder:
     composes, lower-cases and squeezes white space first, that does nothing to
     small ASCII letters, marks and single spaces: such pieces skip the step.
     """
+    _forget_encoders()
+    _STAGE[:] = [_stage()]
     if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
