@@ -19,7 +19,11 @@ from leafmill.streaming import progress
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
     return f"{root.rstrip('/')}/leafmill-plans/{uuid.uuid4().hex}"
 
 
