@@ -169,7 +169,7 @@ def word_blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str = "doc_
 
         block = _Block(compiled, buckets)
         for batch in batches:
-            for at, texts in units.slices(batch.column(1)):
+            for at, texts in units.slices(batch.column(1), units.WIDE):
                 block.add(batch.column(0).slice(at, len(texts)).cast(pa.int64()), texts)
                 if block.size >= BLOCK_BYTES:
                     yield from emit(block)

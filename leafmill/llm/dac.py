@@ -182,7 +182,7 @@ def write_segments(
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = units.library_encoder(tokenizer_path)
         for batch in batches:
-            for at, texts in units.slices(batch.column(1)):
+            for at, texts in units.slices(batch.column(1), units.WIDE):
                 ids, bounds = units.with_end(*encoder.texts(texts), end_id)
                 keys = batch.column(0).slice(at, len(texts)).cast(pa.int64())
                 known = keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)

@@ -258,7 +258,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = units.library_encoder(tokenizer_path)
         for batch in batches:
-            for at, texts in units.slices(batch.column(1)):
+            for at, texts in units.slices(batch.column(1), units.WIDE // 2):
                 ids, bounds = units.with_end(*encoder.texts(texts), end_id)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 n = np.diff(bounds)

@@ -45,6 +45,10 @@ def text_array(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column.fill_null("")])
 
 
+#: Slices for encoders, which look each distinct piece up once a slice.
+WIDE = 4 << 20
+
+
 def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, rows) pieces of at most ``limit`` bytes, or of one row."""
     _forget_encoders()
