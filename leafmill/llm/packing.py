@@ -127,10 +127,10 @@ def best_fit_decreasing(counts: np.ndarray, size: int) -> list[Pattern]:
         items, room = [int(present[-1])], size - int(present[-1])
         taken = {items[0]: 1}
         while room:
-            fit = [v for v in present[: np.searchsorted(present, room, side="right")][::-1] if left[v] > taken.get(int(v), 0)]
-            if not fit:
+            fitting = present[: np.searchsorted(present, room, side="right")][::-1]
+            v = next((int(v) for v in fitting if left[v] > taken.get(int(v), 0)), None)
+            if v is None:
                 break
-            v = int(fit[0])
             items.append(v)
             taken[v] = taken.get(v, 0) + 1
             room -= v
