@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leafmill.functions.chars import strip
-
 
 def file_stem(path: Column) -> Column:
     """Last part of a path without its last extension; a leading dot and a
