@@ -147,6 +147,9 @@ class Segment:
         return int(self.read(i, i + 1)[0])
 
 
+#: Tokens that a reader of whole segments decodes at once.
+RUN_TOKENS = 1 << 18
+
 SEGMENTS = (
     "shard int, seq int, start long, n_tokens long, doc_ids binary, doc_null binary, "
     "doc_lengths binary, codes binary"
@@ -316,10 +319,14 @@ def read_documents(segments: DataFrame) -> DataFrame:
                 null = np.unpackbits(np.frombuffer(row["doc_null"], dtype=np.uint8))[: len(ids)]
                 lengths = np.frombuffer(row["doc_lengths"], dtype="<i8")
                 ends = np.cumsum(lengths)
-                sums = [
-                    zlib.crc32(segment.read(int(e - m), int(e)).astype("<u4"))
-                    for e, m in zip(ends, lengths, strict=True)
-                ]
+                sums: list[int] = []
+                while len(sums) < len(ends):  # runs of documents, decoded together
+                    first = len(sums)
+                    low = int(ends[first] - lengths[first])
+                    last = max(int(np.searchsorted(ends, low + RUN_TOKENS, side="right")), first + 1)
+                    run = memoryview(segment.read(low, int(ends[last - 1])).astype("<u4").tobytes())
+                    edges = (4 * (ends[first:last] - low)).tolist()
+                    sums += [zlib.crc32(run[a:b]) for a, b in zip([0, *edges[:-1]], edges, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, mask=null.astype(bool)),

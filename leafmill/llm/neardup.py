@@ -337,7 +337,7 @@ def _block_links(similarity: float, size: int):
     return _by_key(work)
 
 
-def _blocks(texts: DataFrame, rows: Column | None = None) -> DataFrame:
+def _blocks(texts: DataFrame) -> DataFrame:
     """(label, nb): into how many blocks a label's texts are dealt."""
     count = F.count(F.lit(1)) / F.lit(BLOCK_ROWS)
     return texts.groupBy("label").agg(F.ceil(F.greatest(count, F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("long").alias("nb"))

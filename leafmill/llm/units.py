@@ -10,9 +10,10 @@ import contextlib
 import ctypes
 import gc
 import json
+import os
 import re
-from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -173,32 +174,42 @@ class UnitEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 64 << 20, lower: bool = False):
         self.encode, self.limit, self.lower = encode, limit, lower
-        self.known: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
         self.held = 0
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def lookup(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all strings laid end to end as uint32, ids per string)."""
-        known = self.known
-        missing = [w for w in distinct if w not in known]
-        if self.held > self.limit:
-            known = self.known = {w: known[w] for w in distinct if w in known}
-            self.held = sum(map(len, known)) + 130 * len(known)
+    def _learn(self, missing: list[str]) -> None:
+        ids, ends = [self.ids], [self.ends]
+        total = int(self.ends[-1])
         for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for w, ids in zip(part, self.encode(part), strict=True):
-                known[w] = array("I", ids).tobytes()
-            self.held += sum(map(len, part)) + 140 * len(part)
-        found = [known[w] for w in distinct]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        return np.frombuffer(b"".join(found), dtype=np.uint32), sizes
+            found = self.encode(missing[at : at + 4096])
+            size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            ids.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(size.sum())))
+            ends.append(total + np.cumsum(size))
+            total += int(size.sum())
+        first = len(self.known)
+        self.known.update(zip(missing, range(first, first + len(missing)), strict=True))
+        self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
+        self.held = 4 * total + 140 * len(self.known)
+
+    def lookup(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids laid end to end, first id and number of ids of each string)."""
+        if self.held > self.limit:
+            self._clear()
+        missing = [w for w in distinct if w not in self.known]
+        if missing:
+            self._learn(missing)
+        at = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        return self.ids, self.ends[at], self.ends[at + 1] - self.ends[at]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows laid end to end, first id of each row, n + 1)."""
         units, rows = chunks(texts, self.lower)
         codes, distinct = coded(units)
-        store, sizes = self.lookup(distinct)
-        starts = np.zeros(len(sizes), dtype=np.int64)
-        np.cumsum(sizes[:-1], out=starts[1:])
+        store, starts, sizes = self.lookup(distinct)
         where, bounds = expand(codes, starts, sizes)
         return store[where], bounds[rows]
 
@@ -236,6 +247,8 @@ def library_encoder(path: str) -> UnitEncoder:
     _forget_encoders()
     _STAGE[:] = [_stage()]
     if path not in _ENCODERS:
+        # A task has one core: the library's own threads would only spin on the others.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -255,9 +268,13 @@ def library_encoder(path: str) -> UnitEncoder:
         def encode(batch: list[str]) -> list[list[int]]:
             if plain is whole:
                 return run(whole, batch)
-            easy = [_PLAIN.fullmatch(w) is not None for w in batch]
-            found = [iter(run(t, [w for w, e in zip(batch, easy, strict=True) if e == k])) for k, t in ((False, whole), (True, plain))]
-            return [next(found[e]) for e in easy]
+            hard = [k for k, w in enumerate(batch) if not _PLAIN.fullmatch(w)]
+            skip = set(hard)
+            found: list = [None] * len(batch)
+            for tokenizer, some in ((whole, hard), (plain, [k for k in range(len(batch)) if k not in skip])):
+                for k, ids in zip(some, run(tokenizer, [batch[k] for k in some]), strict=True):
+                    found[k] = ids
+            return found
 
         _ENCODERS[path] = UnitEncoder(encode, lower=lower)
     return _ENCODERS[path]
