@@ -172,7 +172,7 @@ class UnitEncoder:
     speed-up with a byte bound: beyond it the cache starts afresh.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 64 << 20, lower: bool = False):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 128 << 20, lower: bool = False):
         self.encode, self.limit, self.lower = encode, limit, lower
         self._clear()
 
