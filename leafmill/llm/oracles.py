@@ -39,3 +39,22 @@ def license_scan(stretch: int = STRETCH) -> str:
     coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b, []), coalesce(m, [])))), ','), '') AS labels,
     CAST(CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(s, 0) END AS DOUBLE) AS score
     FROM words w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN best ON best.doc_id = w.doc_id"""
+
+
+def centroid_clustering(k: int = 16, rounds: int = 3, dim: int = 64, seed: int = 1) -> str:
+    """Every distance to every centroid, in integers, round by round."""
+    far = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    steps = [
+        f"""kept AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * e::DOUBLE) AS BIGINT)) AS v FROM embeddings
+          WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS n, v FROM kept QUALIFY n < {k})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (SELECT x.row, x.vec_id, x.v, min(struct_pack(d := {far}, n := c.n)) AS best FROM kept x, c{r} c GROUP BY x.row, x.vec_id, x.v)")
+        steps.append(f"s{r} AS (SELECT n, i, sum(e) AS s, count(*) AS m FROM (SELECT best.n AS n, unnest(range(1, {dim + 1})) AS i, unnest(v) AS e FROM a{r}) GROUP BY n, i)")
+        steps.append(f"m{r} AS (SELECT n, list(CAST((s - (((s % m) + m) % m)) // m AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY n)")
+        steps.append(f"c{r + 1} AS (SELECT c.n, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.n = c.n)")
+    last = f"a{rounds}"
+    return f"""WITH {", ".join(steps)}
+    SELECT vec_id, CAST(best.n AS INT) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.n) AS BIGINT) AS cluster_inertia,
+    CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM {last} JOIN c{rounds} c ON c.n = best.n"""

@@ -115,13 +115,43 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of secrets in every document."""
+    from leafmill.llm import secrets
+
+    return secrets.digest(secrets.scan(common.table(spark, sf_dir, "documents")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector, one row for each component;
+    a deviation beyond a long is null."""
+    from leafmill.llm import whitening
+
+    vectors, form = common.table(spark, sf_dir, "embeddings"), {"scale": 64.0, "offset": 1_000_000}
+    whole = whitening.transform(vectors, whitening.fit(vectors, 16, **form), **form)
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c")
+    return whole.select("vec_id", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "identity_error", each).select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error"
+    )
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and exact distance of every vector; numbers beyond a long are null."""
+    from leafmill.llm import clustering
+
+    found = clustering.cluster(common.table(spark, sf_dir, "embeddings"), k=16, rounds=3, dim=64, seed=1, scale=64.0)
+    text = F.array_join(F.transform("centroid", lambda v: v.cast("string")), ",")
+    longs = [F.expr(f"try_cast({c} AS BIGINT)").alias(c) for c in ("distance", "cluster_inertia", "inertia")]
+    return found.select("vec_id", "cluster", *longs, F.sha2(text.cast("binary"), 256).alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op4_byte_level_bpe, op5_quality_classifier, op6_nearest_neighbours, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_token_codes, op2_toxic_passages, op3_sequence_packing, op4_byte_level_bpe, op5_quality_classifier, op6_nearest_neighbours, op7_simhash_near_dedup, op8_telephony_audio, op9_license_scan, op10_line_dedup, op11_secret_scan, op12_embedding_whitening, op13_centroid_clustering)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The one exact operator that SQL expresses; the others hold tokenizers,
+    """The exact operators that SQL expresses; the others hold tokenizers,
     hashes, learned scores or searches, and are tested by brute force."""
     from leafmill.llm import oracles
 
-    return {"op9_license_scan": oracles.license_scan()}
+    return {"op9_license_scan": oracles.license_scan(), "op13_centroid_clustering": oracles.centroid_clustering()}
