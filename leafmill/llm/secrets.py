@@ -220,6 +220,10 @@ def written(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, the hash of their spans, and all spans as text."""
-    count = {f"n_{k.name}": F.size(F.filter("spans", lambda s, n=k.name: s["kind"] == n)).cast("long") for k in KINDS if k.base}
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    count = {f"n_{k.name}": number(k.name) for k in KINDS if k.base}
     base = written(F.filter("spans", lambda s: s["base"]))
     return found.select("doc_id", *[c.alias(n) for n, c in count.items()], F.sha2(base.cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

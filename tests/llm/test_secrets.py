@@ -33,7 +33,11 @@ def row(doc, text):
 
 def test_op11_by_plain_searches(spark, small, corpus, odd):
     columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
-    for rows, got in (([(r["doc_id"], r["text"]) for r in corpus], queries.op11_secret_scan(spark, small)), ([(r.doc_id, r.text) for r in odd.collect()], secrets.digest(secrets.scan(odd)))):
+    rng = random.Random(1)
+    mixed = [(k, "".join(rng.choices(PIECES, k=rng.randrange(60)))) for k in range(300)]
+    table = spark.createDataFrame(mixed, "doc_id long, text string")
+    assert sum(len(base(t)) for _, t in mixed) > 300
+    for rows, got in ((mixed, secrets.digest(secrets.scan(table))), ([(r["doc_id"], r["text"]) for r in corpus], queries.op11_secret_scan(spark, small)), ([(r.doc_id, r.text) for r in odd.collect()], secrets.digest(secrets.scan(odd)))):
         assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted((row(*r) for r in rows), key=repr)
     assert secrets.scan(odd.limit(0)).count() == 0
 
