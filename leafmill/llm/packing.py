@@ -4,17 +4,20 @@ Pieces of documents are packed into sequences of a fixed size. Pieces of one
 length are interchangeable, so the search runs over the histogram of lengths
 (at most ``size`` numbers, whatever the corpus): around the largest length
 that is left it enumerates undominated fillings, applies the chosen one to as
-many sequences as the counts allow, and goes on; a depth-first search over the
-choices is pruned by the waste that the incumbent still allows, the first
-incumbent being best-fit decreasing. The plan is a list of patterns, each
-using up at least one length, hence at most ``size`` of them. Documents then
-find their places by rank within their length.
+many sequences as the counts allow, and goes on; branches are pruned by the
+waste that the incumbent still allows, best-fit solutions being incumbents.
+Fractional fillings tell how few sequences there can be, and leave bin
+completion only the remainder of a large corpus to search. The plan is a list
+of patterns, a few for each length at most. Documents then find their places by
+rank within their length.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -140,62 +143,208 @@ def best_fit_decreasing(counts: np.ndarray, size: int) -> list[Pattern]:
         out.append(Pattern(tuple(items), times))
 
 
-def plan(counts: np.ndarray, size: int, nodes: int | None = 400, width: int | None = 6, effort: int | None = 100) -> list[Pattern]:
+def lower_bound(counts: np.ndarray, size: int) -> int:
+    """Sequences that any packing needs. For every threshold a up to half a
+    sequence: pieces longer than half need one each, and what pieces from a to
+    a half of a sequence don't find beside those (none beside pieces longer than
+    ``size - a``) needs more. Threshold 0 is the bound by volume."""
+    length = np.arange(len(counts))
+    above = lambda x: np.append(np.cumsum(x[::-1])[::-1], 0)
+    n, total = above(counts), above(counts * length)
+    half = size // 2 + 1
+    a = np.arange(size // 2 + 1)
+    alone, paired = n[size - a + 1], n[half] - n[size - a + 1]
+    beside = paired * size - (total[half] - total[size - a + 1])
+    return int((alone + paired + np.maximum(0, -(-(total[a] - total[half] - beside) // size))).max(initial=0))
+
+
+def plan(counts: np.ndarray, size: int, nodes: int | None = 1000, width: int | None = 6, effort: int | None = 400, work: float = 1e9) -> list[Pattern]:
     """Patterns for a histogram of lengths (``counts[v]`` pieces of length v).
 
-    Depth-first bin completion. ``nodes``, ``width`` (fillings tried at a node)
-    and ``effort`` (steps to enumerate them) bound time on the driver, never
-    what is packed; None for all three is exhaustive. Best-fit decreasing gives
-    the first incumbent, and completes the search's choices to further ones at
-    the first nodes and every fiftieth. Stops once the incumbent meets the
-    lower bound of whole sequences.
+    Best-fit decreasing is the first incumbent. While it uses more sequences
+    than the lower bound, fractional fillings (``relax``) raise that bound, and
+    their whole multiples, the rest being packed by bin completion, are the next
+    incumbent; should that not settle it, bin completion starts from all pieces.
+    ``nodes``, ``width`` and ``effort`` are those of ``complete`` and ``work``
+    that of ``relax``: they bound time on the driver, never what is packed. None
+    for the first three is exhaustive. Stops as soon as the bound is met, and is
+    never worse than best-fit decreasing.
     """
     if nodes is width is effort is None:
         return exhaustive(counts, size)
     counts = np.asarray(counts, dtype=np.int64)
-    total = int((counts * np.arange(len(counts))).sum())
-    bound = max(-(-total // size), int(counts[size // 2 + 1 :].sum()))
     best = best_fit_decreasing(counts, size)
-    best_n = sum(p.count for p in best)
-    spent = 0
+    bound, known = lower_bound(counts, size), used(best)
+    if known <= bound:
+        return best
+    fractions, least = relax(counts, size, known, work)
+    bound = max(bound, least)
+    left, whole = counts.copy(), []
+    for items, times in fractions:
+        need = {v: items.count(v) for v in items}
+        n = min(int(times + 1e-9), *(int(left[v]) // k for v, k in need.items()))
+        if n > 0:
+            for v, k in need.items():
+                left[v] -= n * k
+            whole.append(Pattern(items, n))
+    rest = complete(left, size, max(bound - used(whole), lower_bound(left, size)), nodes, width, effort)
+    if used(whole) + used(rest) < known:
+        best, known = [*whole, *rest], used(whole) + used(rest)
+    if known > bound and not whole:
+        best = min(best, complete(counts, size, bound, nodes, width, effort), key=used)
+    return best
 
-    def allowed() -> int:
-        return (best_n - 1) * size - total
 
-    # Each frame: counts left, waste so far, patterns chosen, fillings to try.
-    def choices(left: np.ndarray) -> list[tuple[int, ...]]:
-        largest = int(np.flatnonzero(left)[-1])
-        rest = left.copy()
-        rest[largest] -= 1
-        return [(largest, *f) for f in fillings(rest, size - largest, width, effort)]
+def used(patterns: list[Pattern]) -> int:
+    """Number of sequences."""
+    return sum(p.count for p in patterns)
 
-    if not total or best_n <= bound:
-        return best
-    stack = [(counts.copy(), 0, (), None)]
-    while stack and (nodes is None or spent < nodes) and best_n > bound:
-        left, waste, chosen, _ = stack.pop()
-        if waste > allowed():
+
+def complete(counts: np.ndarray, size: int, bound: int, nodes: int | None, width: int | None, effort: int | None) -> list[Pattern]:
+    """Bin completion: branch and bound over undominated fillings around the
+    largest piece that is left, each used as often as the counts allow.
+
+    Branches whose waste exceeds what the incumbent leaves are cut. Of the open
+    branches that with the fewest departures from the first choice comes next,
+    the deepest of those first: a dive, then dives that depart from it once, and
+    so on. Best-fit completions of a branch are incumbents, at the first nodes
+    and wherever the search departs anew. At most ``nodes`` nodes, ``width``
+    fillings at each, ``effort`` steps to list them; done once ``bound`` is met.
+    """
+    total = int(counts @ np.arange(len(counts)))
+    best = best_fit_decreasing(counts, size)
+    known, spent, serial = used(best), 0, 0
+    # (departures, -depth, serial, counts before, filling, times, waste, patterns before)
+    heap: list[tuple] = [(0, 0, 0, counts, (), 0, 0, ())]
+    while heap and known > bound and (nodes is None or spent < nodes):
+        departures, depth, fresh, before, items, times, waste, chosen = heapq.heappop(heap)
+        if waste > (known - 1) * size - total:
             continue
+        spent += 1
+        left = before
+        if items:
+            left = before.copy()
+            np.subtract.at(left, list(items), times)
+            chosen = (*chosen, Pattern(items, times))
         if not left[1:].any():
-            best, best_n = list(chosen), sum(p.count for p in chosen)
+            best, known = list(chosen), used(chosen)
             continue
-        spent += 1
-        if spent <= 50 or spent % 50 == 0:
-            whole = [*chosen, *best_fit_decreasing(left, size)]
-            if (n := sum(p.count for p in whole)) < best_n:
-                best, best_n = whole, n
-        nexts = []
-        for items in choices(left):
-            times = _applied(left, items)
-            after = left.copy()
-            np.subtract.at(after, list(items), times)
-            w = waste + times * (size - sum(items))
-            if w <= allowed():
-                nexts.append((after, w, (*chosen, Pattern(items, times)), None))
-        stack += reversed(nexts)
+        if spent <= 50 or fresh:
+            found = [*chosen, *best_fit_decreasing(left, size)]
+            if used(found) < known:
+                best, known = found, used(found)
+        largest = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[largest] -= 1
+        for rank, more in enumerate(fillings(rest, size - largest, width, effort)):
+            whole = (largest, *more)
+            times = _applied(left, whole)
+            w = waste + times * (size - sum(whole))
+            if w <= (known - 1) * size - total:
+                serial += 1
+                heapq.heappush(heap, (departures + (rank > 0), depth - 1, serial if rank else 0, left, whole, times, w, chosen))
     return best
 
 
+def best_values(lengths: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per room from 0 to ``size``: the greatest total value of lengths that fit
+    (each as often as wished), and the last of them, 0 where the room's end
+    stays empty. A length worth no more than a shorter one is never taken."""
+    worth = values > np.concatenate([[1e-12], np.maximum.accumulate(values)[:-1].clip(1e-12)])
+    lengths, values = lengths[worth], values[worth]
+    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    fit = np.searchsorted(lengths, np.arange(size + 1), side="right").tolist()
+    for room in range(int(lengths[0]) if len(lengths) else size + 1, size + 1):
+        offers = best[room - lengths[: fit[room]]] + values[: fit[room]]
+        k = int(offers.argmax())
+        better = offers[k] > best[room - 1] + 1e-12
+        best[room], last[room] = (offers[k], lengths[k]) if better else (best[room - 1], 0)
+    return best, last
+
+
+def relax(counts: np.ndarray, size: int, known: int, work: float) -> tuple[list[tuple[tuple[int, ...], float]], int]:
+    """(fillings with fractional times, lower bound): the packing problem
+    without whole numbers, by generating fillings as they are needed.
+
+    The times solve a linear program by the simplex method. Its prices say what
+    a piece of each length is worth; a filling worth more than a sequence, the
+    best around each length, joins the program until there is none, or until
+    pivots times the square of the number of lengths exceed ``work``, or the
+    bound shows that fewer than ``known`` sequences are impossible.
+    """
+    lengths = np.flatnonzero(counts)
+    lengths = lengths[lengths > 0]
+    m, need = len(lengths), counts[lengths].astype(np.float64)
+    place = {int(v): k for k, v in enumerate(lengths)}
+
+    def column(items: tuple[int, ...]) -> np.ndarray:
+        return np.bincount([place[v] for v in items], minlength=m).astype(np.float64)
+
+    # Fractional best fit: every filling uses up a length, so they are a basis.
+    fillings_, times, left, present = [], [], need.copy(), lengths.tolist()
+    while present:
+        items, room = [present[-1]], size - present[-1]
+        while k := bisect_right(present, room):
+            items.append(present[k - 1])
+            room -= items[-1]
+        share = {v: items.count(v) for v in items}
+        t = min(left[place[v]] / n for v, n in share.items())
+        for v, n in share.items():
+            left[place[v]] -= n * t
+        gone = [v for v in share if left[place[v]] < 1e-9]
+        fillings_ += [tuple(items), *((v,) for v in gone[1:])]
+        times += [t, *(0.0 for _ in gone[1:])]
+        present = [v for v in present if v not in gone]
+
+    def inverse() -> np.ndarray:
+        return np.linalg.inv(np.array([column(f) for f in fillings_]).T)
+
+    x, basis, bound = np.array(times), inverse(), 0
+    pool, names = np.zeros((m, 0)), []
+    for pivot in range(1, 2 + int(work / m**2)):
+        prices = basis.sum(axis=0)
+        worth = prices @ pool
+        if not len(names) or worth.max() <= 1 + 1e-7:
+            values, last = best_values(lengths, prices.clip(0), size)
+            # Prices at which no filling is worth more than one bound the sequences.
+            bound = max(bound, math.ceil(float(prices.clip(0) @ need) / max(float(values[size]), 1.0) - 1e-6))
+            around = prices.clip(0) + values[size - lengths]
+            fresh = []
+            for k in np.argsort(-around)[: max(64, m // 4)].tolist():
+                if around[k] > 1 + 1e-7:
+                    items, room = [int(lengths[k])], size - int(lengths[k])
+                    while room > 0:
+                        items += [int(last[room])] if last[room] else []
+                        room -= int(last[room]) or 1
+                    fresh.append(tuple(sorted(items, reverse=True)))
+            fresh = list(dict.fromkeys(fresh))
+            if bound >= known or not fresh:
+                break
+            if len(names) > 4 * m + 400:  # the least promising fillings may come again
+                kept = np.argsort(-worth)[: 2 * m + 200]
+                pool, names = pool[:, kept], [names[k] for k in kept]
+            pool, names = np.column_stack([pool, *map(column, fresh)]), names + fresh
+            worth = prices @ pool
+            if worth.max() <= 1 + 1e-7:
+                break
+        enters = int(worth.argmax())
+        d = basis @ pool[:, enters]
+        ratio = np.where(d > 1e-7, x / np.where(d > 1e-7, d, 1), np.inf)
+        leaves = int(np.where(ratio <= ratio.min() + 1e-9, d, 0).argmax())  # of equals the safest pivot
+        x = (x - ratio[leaves] * d).clip(0)
+        x[leaves] = max(ratio[leaves], 0)
+        row = basis[leaves] / d[leaves]
+        basis = basis - np.outer(d, row)
+        basis[leaves], fillings_[leaves] = row, names[enters]
+        if pivot % 128 == 0:  # rounding is swept out
+            try:
+                basis = inverse()
+            except np.linalg.LinAlgError:  # too much of it: the times so far are as good as any
+                break
+            x = (basis @ need).clip(0)
+    return list(zip(fillings_, x.tolist(), strict=True)), bound
+
+
 def exhaustive(counts: np.ndarray, size: int) -> list[Pattern]:
     """The least number of sequences, by all undominated fillings, one sequence
     at a time: for small histograms, as the work grows with their partitions."""

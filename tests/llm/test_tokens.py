@@ -217,3 +217,48 @@ def test_op4_empty_and_full_output(spark, odd):
 @given(st.lists(st.integers(0, 2**31 - 1), max_size=300))
 def test_varints(values):
     assert bpe.unvarints(bpe.varints(np.array(values, dtype=np.int64))).tolist() == values
+
+
+def uniform(low, high, pieces, seed=1):
+    return np.bincount(np.random.default_rng(seed).integers(low, high + 1, pieces), minlength=1025)
+
+
+def nine_lengths(seed):
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(1025, dtype=np.int64)
+    counts[rng.choice(np.arange(150, 600), 9, replace=False)] = rng.integers(100, 600, 9)
+    return counts
+
+
+@pytest.mark.parametrize(
+    "counts,excess",
+    [(uniform(250, 420, 20_000), 0.001), (uniform(1, 1024, 20_000), 0.001), (uniform(342, 900, 20_000), 0.001), (uniform(200, 350, 5000), 0.01), *((nine_lengths(k), 0) for k in range(6))],
+)
+def test_plans_of_production_budgets_are_near_the_bound(counts, excess):
+    plan = packing.plan(counts, 1024)
+    packed = np.zeros(1025, dtype=np.int64)
+    for p in plan:
+        assert sum(p.lengths) <= 1024 and p.count > 0
+        for v in p.lengths:
+            packed[v] += p.count
+    assert (packed == counts).all()
+    bound, best_fit = packing.lower_bound(counts, 1024), packing.used(packing.best_fit_decreasing(counts, 1024))
+    bound = max(bound, packing.relax(counts, 1024, best_fit, 1e9)[1])
+    assert bound <= packing.used(plan) <= min(best_fit, bound * (1 + excess) + 1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_bounds_hold(items):
+    counts = np.bincount(items, minlength=21)
+    least = fewest(sorted(items, reverse=True), 20)
+    _, relaxed = packing.relax(counts, 20, 10**6, 1e9)
+    assert packing.lower_bound(counts, 20) <= least and relaxed <= least
+
+
+def test_relaxation_finds_what_greedy_fillings_miss():
+    """Threes and quarters: best fit mixes them, the optimum doesn't."""
+    for k in range(4):
+        counts = nine_lengths(k)
+        _, bound = packing.relax(counts, 1024, 10**9, 1e9)
+        assert packing.used(packing.plan(counts, 1024)) == bound
