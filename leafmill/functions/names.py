@@ -40,8 +40,16 @@ def owned_path(path: Column, user: Column) -> Column:
 
 
 def inside(path: Column) -> Column:
-    """Whether a relative path stays below its folder."""
-    return ~F.regexp_like(path, F.lit(r"^/|(^|/)\.\.(/|\z)"))
+    """Whether a relative path stays in its folder: no step up leaves it, at the
+    path's end or on the way."""
+    parts = F.split(path, "/")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(True).alias("ok"))
+
+    def walk(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.when(part.isin("", "."), 0).when(part == "..", -1).otherwise(1)
+        return F.struct(depth.alias("depth"), (acc["ok"] & (depth >= 0)).alias("ok"))
+
+    return ~path.startswith("/") & F.aggregate(parts, start, walk, lambda acc: acc["ok"])
 
 
 def with_pdf(name: Column) -> Column:
@@ -61,17 +69,21 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"[^/.](\.[^./]+)\z", 1))
 
 
-def upload_error(kind: Column, name: Column, size: Column, images: Column) -> Column:
-    """First rule an upload breaks, or null: type, empty, size, count."""
-    mb = 1024 * 1024
-    ext = extension(name)
+def upload_error(kind: Column, name: Column, size: Column, images: Column, media_type: Column | None = None, existing: Column | None = None) -> Column:
+    """First rule a file of an upload breaks, or null: none, count, type, empty,
+    size. Either the media type or the extension may tell a file's type.
+    ``images``: how many come now, ``existing`` how many there are."""
+    mb, ext, said = 1024 * 1024, extension(name), F.coalesce(F.lit("") if media_type is None else media_type, F.lit(""))
+    pdf, image = kind == "pdf", kind == "images"
+    total = images if existing is None else images + F.coalesce(existing, F.lit(0))
     return (
-        F.when((kind == "pdf") & (ext != ".pdf"), "pdf_type")
-        .when((kind == "images") & ~ext.isin(".jpg", ".jpeg", ".png"), "image_type")
+        F.when(image & (images <= 0), "no_images")
+        .when(image & (total > 100), "too_many_images")
+        .when(pdf & (said != "application/pdf") & (ext != ".pdf"), "pdf_type")
+        .when(image & ~said.isin("image/jpeg", "image/png") & ~ext.isin(".jpg", ".jpeg", ".png"), "image_type")
         .when(size <= 0, "empty")
-        .when((kind == "pdf") & (size > 50 * mb), "pdf_too_large")
-        .when((kind == "images") & (size > 15 * mb), "image_too_large")
-        .when((kind == "images") & (images > 100), "too_many_images")
+        .when(pdf & (size > 50 * mb), "pdf_too_large")
+        .when(image & (size > 15 * mb), "image_too_large")
     )
 
 
@@ -98,11 +110,16 @@ def status_route(status: Column) -> Column:
 
 
 def rotations_error(text: Column, files: Column) -> tuple[Column, Column]:
-    """(rotations, error_code) of a JSON list, one right angle for each file."""
-    parsed = F.from_json(text, "array<string>")
-    right = F.forall(parsed, lambda x: F.coalesce(x.isin("0", "90", "180", "270"), F.lit(False)))
-    error = F.when(parsed.isNull() | ~F.regexp_like(text, F.lit(r"^\s*\[")) | (F.size(parsed) != files), "invalid_rotations").when(~right, "invalid_rotation")
-    return F.when(error.isNull(), F.transform(parsed, lambda x: x.cast("int"))), error
+    """(rotations, error_code) of a JSON list, one right angle for each file.
+    Only whole numbers count: of ``["90"]`` and ``[90.0]`` the kind is wrong."""
+    variant = F.try_parse_json(text)
+    items = F.try_variant_get(variant, "$", "array<variant>")
+    count = F.coalesce(F.size(items), F.lit(-1))
+    whole = F.forall(items, lambda v: F.coalesce(F.schema_of_variant(v) == "BIGINT", F.lit(False)))
+    numbers = F.transform(items, lambda v: F.try_variant_get(v, "$", "long"))
+    right = whole & F.forall(numbers, lambda x: F.coalesce(x.isin(0, 90, 180, 270), F.lit(False)))
+    error = F.when(variant.isNull() | (count != files), "invalid_rotations").when(~right, "invalid_rotation")
+    return F.when(error.isNull(), F.transform(numbers, lambda x: x.cast("int"))), error
 
 
 def short_date(ts: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import chars
+from leafmill.operators.ranks import with_place
+from leafmill.schemas import LANGUAGE
 
 # The states of a running job, and the order of a folder's status.
 ACTIVE = ("normalizing_pages", "inspecting", "extracting_text", "running_ocr", "generating_audio")
@@ -77,15 +79,14 @@ def folders(recordings: DataFrame, owner: str = "user_id") -> DataFrame:
 
 def folder_listing(recordings: DataFrame, owner: str = "user_id") -> DataFrame:
     """``folders`` with their place in their owner's listing, newest first."""
-    order = Window.partitionBy(owner).orderBy(F.desc("latest_recording_at"), "folder_id")
-    return folders(recordings, owner).withColumn("place", F.row_number().over(order))
+    latest = -F.unix_micros(F.col("latest_recording_at").cast("timestamp"))
+    return with_place(folders(recordings, owner), [owner], [latest, F.col("folder_id")], "place")
 
 
 def folder_members(recordings: DataFrame, owner: str = "user_id") -> DataFrame:
     """Members of each folder, newest first, titled by their own title, their
     file's name, or "Recording n". Flat rows, as a folder may hold very many."""
-    order = Window.partitionBy(owner, "folder_id").orderBy(F.desc("updated_at"), F.desc("id"))
-    placed = folder_ids(recordings, owner).withColumn("position", F.row_number().over(order))
+    placed = with_place(folder_ids(recordings, owner), [owner, "folder_id"], [F.col("updated_at"), F.col("id")], "position", descending=True)
     name = F.coalesce("recording_title", "original_filename", F.concat(F.lit("Recording "), F.col("position").cast("string")))
     return placed.select(owner, "folder_id", "position", "id", name.alias("display_title"), "status")
 
@@ -115,15 +116,43 @@ def assemble(documents: DataFrame, pages: DataFrame, segments: DataFrame, docume
     return joined.withColumns({c: F.coalesce(c, F.array().cast(f.schema[c].dataType)) for c, f in (("pages", p), ("audio_segments", s))})
 
 
-def document_detail(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """Documents with page counts, ordered page numbers and characters."""
+def document_detail(documents: DataFrame, pages: DataFrame, segments: DataFrame) -> DataFrame:
+    """Documents with page counts, ordered page numbers, characters and their
+    number of segments. The pages themselves are ``page_records``: flat rows, as
+    a document may have very many."""
     rolled = pages.groupBy(F.col("document_id").alias("id")).agg(
         F.count_if(F.col("processing_status") == "completed").alias("completed_pages"),
         F.count_if(F.col("processing_status") == "failed").alias("failed_pages"),
         F.sum(F.char_length(F.coalesce("extracted_text", F.lit("")))).alias("characters"),
         F.array_join(F.sort_array(F.collect_list("page_number")), ",").alias("page_numbers"),
     )
-    return documents.join(rolled, "id", "left")
+    counted = segments.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("audio_segment_count"))
+    joined = documents.join(rolled, "id", "left").join(counted, "id", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("completed_pages", "failed_pages", "characters", "audio_segment_count")}
+    return joined.withColumns(zero | {"page_numbers": F.coalesce("page_numbers", F.lit(""))})
+
+
+# What a page's record shows of its row.
+PAGE_RECORD = (
+    "id", "page_number", "original_filename", "extraction_method", "extracted_text", "crop_left", "crop_top",
+    "crop_right", "crop_bottom", "processing_status", "error_message", "warning_messages", "updated_at",
+)
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """Pages as a document's view shows them, with ``extracted_character_count``,
+    by document and number."""
+    shown = [c for c in PAGE_RECORD if c in pages.columns]
+    length = F.char_length(F.coalesce("extracted_text", F.lit(""))).alias("extracted_character_count")
+    return pages.select("document_id", *shown, length).orderBy("document_id", "page_number")
+
+
+def library_items(recordings: DataFrame, pages: DataFrame, segments: DataFrame, owner: str = "user_id") -> DataFrame:
+    """Recordings as the library shows them: their folder's id, counts of pages
+    and segments, whether a job runs, and their own columns."""
+    detail = document_detail(recordings.select("id"), pages, segments).select("id", "completed_pages", "failed_pages", "audio_segment_count")
+    filed = folder_ids(recordings, owner).withColumn("library_book_id", F.col("folder_id")).drop("folder_id")
+    return filed.join(detail, "id").withColumn("processing_active", F.coalesce(F.col("status").isin(*ACTIVE), F.lit(False)))
 
 
 def ready_segments(segments: DataFrame) -> DataFrame:
@@ -142,18 +171,21 @@ def downloadable(recordings: DataFrame) -> DataFrame:
     return recordings.where((F.col("status") == "ready") & (F.col("segment_count") > 0))
 
 
-def archive_manifest(segments: DataFrame, extension: str = ".mp3", document: str = "document_id") -> DataFrame:
-    """Member names of a recording's archive, in segment order."""
-    order = Window.partitionBy(document).orderBy("segment_number")
-    numbered = ready_segments(segments).withColumn("part", F.row_number().over(order))
-    return numbered.select(document, "segment_number", "audio_storage_path", F.format_string(f"part-%03d{extension}", "part").alias("member"))
+def archive_manifest(segments: DataFrame, document: str = "document_id") -> DataFrame:
+    """Member names of a recording's archive: the segment's own number and its
+    file's extension, .wav where the file has none."""
+    suffix = F.regexp_extract("audio_storage_path", r"[^/](\.[^./]+)\z", 1)
+    suffix = F.when(suffix == "", ".wav").otherwise(suffix)
+    number = F.lpad(F.col("segment_number").cast("string"), 3, "0")
+    number = F.when(F.col("segment_number") > 999, F.col("segment_number").cast("string")).otherwise(number)
+    return ready_segments(segments).select(document, "segment_number", "audio_storage_path", F.concat(F.lit("part-"), number, suffix).alias("member"))
 
 
 def combined_manifest(recordings: DataFrame, segments: DataFrame, owner: str = "user_id") -> DataFrame:
     """Ready segments of all recordings of a folder, recordings by creation."""
     members = folder_ids(recordings, owner).select(owner, "folder_id", F.col("id").alias("document_id"), "created_at")
-    order = Window.partitionBy(owner, "folder_id").orderBy("created_at", "document_id", "segment_number")
-    return ready_segments(segments).join(members, "document_id").withColumn("part", F.row_number().over(order))
+    joined = ready_segments(segments).join(members, "document_id")
+    return with_place(joined, [owner, "folder_id"], [F.col("created_at"), F.col("document_id"), F.col("segment_number")], "part")
 
 
 def progress_percent(done: Column, total: Column) -> Column:
@@ -167,9 +199,11 @@ def with_progress(recordings: DataFrame, progress: DataFrame) -> DataFrame:
 
 
 def language_summary(languages: Column) -> Column:
-    """Up to two labels in words, more as a number."""
-    distinct = F.array_distinct(F.transform(languages, F.initcap))
-    return F.when(F.size(distinct) <= 2, F.array_join(distinct, ", ")).otherwise(F.concat(F.size(distinct).cast("string"), F.lit(" languages")))
+    """Up to two labels in words, more as a number; codes that aren't known drop out."""
+    known = F.filter(F.coalesce(languages, F.array().cast("array<string>")), lambda x: x.isin(*LANGUAGE))
+    labels = F.array_distinct(F.transform(known, F.initcap))
+    many = F.concat(F.size(labels).cast("string"), F.lit(" languages"))
+    return F.when(F.size(labels) == 0, "Language not set").when(F.size(labels) <= 2, F.array_join(labels, ", ")).otherwise(many)
 
 
 def document_kind(pages: DataFrame, key: list[str], classification: str = "classification") -> DataFrame:

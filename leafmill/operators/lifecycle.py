@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import chars
+from leafmill.operators.requests import last_requests
 
 # The states of pages and segments that a job still has to do, the
 # states of documents that a job of each kind leaves, and its last words.
@@ -57,9 +58,11 @@ def retry_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _when(table: DataFrame, condition: Column, changes: dict[str, Column]) -> DataFrame:
-    """``table`` with columns changed where the condition holds."""
+def _when(table: DataFrame, condition: Column, changes: dict[str, Column], now: Column | None = None) -> DataFrame:
+    """``table`` with columns changed where the condition holds, and with them
+    ``updated_at``, to ``now`` (the query's own time if it is None)."""
     hold = F.coalesce(condition, F.lit(False))
+    changes = changes | {"updated_at": F.current_timestamp() if now is None else now}
     new = {c: F.when(hold, v.cast(table.schema[c].dataType.simpleString())).otherwise(F.col(c)) for c, v in changes.items() if c in table.columns}
     return table.withColumns(new)
 
@@ -67,26 +70,26 @@ def _when(table: DataFrame, condition: Column, changes: dict[str, Column]) -> Da
 PAGE_KEY = ["document_id", "page_number"]
 
 
-def retry(documents: DataFrame, pages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def retry(documents: DataFrame, pages: DataFrame, wanted: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, pages) after the retry requests that ``retry_pages`` grants:
     pages wait again without error and warnings, their documents run."""
     granted = retry_pages(pages, wanted).where(F.col("error_code").isNull())
     marks = granted.select(*PAGE_KEY, F.lit(True).alias("lm_again")).distinct()
     again = _when(
         pages.join(marks, PAGE_KEY, "left"), F.col("lm_again"),
-        {"processing_status": F.lit("pending"), "error_message": F.lit(None), "warning_messages": F.array().cast("array<string>")},
+        {"processing_status": F.lit("pending"), "error_message": F.lit(None), "warning_messages": F.array().cast("array<string>")}, now,
     )
     status = F.when(F.bool_or(F.col("document_status") == "running_ocr"), "running_ocr").otherwise("extracting_text")
     runs = granted.groupBy(F.col("document_id").alias("id")).agg(status.alias("lm_status"))
-    moved = _when(documents.join(runs, "id", "left"), F.col("lm_status").isNotNull(), {"status": F.col("lm_status"), "error_message": F.lit(None)})
+    moved = _when(documents.join(runs, "id", "left"), F.col("lm_status").isNotNull(), {"status": F.col("lm_status"), "error_message": F.lit(None)}, now)
     return moved.select(*documents.columns), again.select(*pages.columns)
 
 
-def complete_embedded(pages: DataFrame) -> DataFrame:
+def complete_embedded(pages: DataFrame, now: Column | None = None) -> DataFrame:
     """Embedded pages complete if they have text and fail if not."""
     mine = (F.col("extraction_method") == "embedded_text") & F.col("processing_status").isin(*UNFINISHED)
     done = F.when(chars.strip(F.coalesce("extracted_text", F.lit(""))) != "", "completed").otherwise("failed")
-    return pages.withColumn("processing_status", F.when(mine, done).otherwise(F.col("processing_status")))
+    return _when(pages.withColumn("lm_done", done), mine, {"processing_status": F.col("lm_done")}, now).drop("lm_done")
 
 
 def finalize_text(pages: DataFrame) -> DataFrame:
@@ -115,23 +118,25 @@ def finalize_audio(segments: DataFrame) -> DataFrame:
     )
 
 
-def edit_text(documents: DataFrame, pages: DataFrame, segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def edit_text(documents: DataFrame, pages: DataFrame, segments: DataFrame, edits: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents, pages, segments, refused) after manual texts.
 
-    ``edits``: document_id, page_number, new_text. An edited page is complete,
-    without error and warnings; its document loses its segments and is ready
-    if all its pages are complete, else failed with the number of failed ones.
-    ``refused`` has the edits that are blank or name no page, with error_code.
+    ``edits``: document_id, page_number, new_text and perhaps requested_at. An
+    edited page is complete, without error and warnings; its document loses its
+    segments and is ready if all its pages are complete, else failed with the
+    number of failed ones. ``refused`` has the edits that are blank or name no
+    page, and all but the last of a page's good ones, with error_code.
     """
     clean = edits.withColumn("new_text", chars.strip(F.col("new_text")))
     known = pages.select(*PAGE_KEY).distinct().withColumn("lm_known", F.lit(True))
     blank = F.coalesce(F.col("new_text") == "", F.lit(True))
     error = F.when(blank, "page_text_required").when(F.col("lm_known").isNull(), "page_not_found")
     judged = clean.join(known, PAGE_KEY, "left").withColumn("error_code", error).drop("lm_known")
-    good = judged.where("error_code IS NULL").drop("error_code")
+    good, others = last_requests(judged.where("error_code IS NULL").drop("error_code"), PAGE_KEY)
+    refused = judged.where("error_code IS NOT NULL").unionByName(others.drop("times"))
     new = _when(
-        pages.join(good, PAGE_KEY, "left"), F.col("new_text").isNotNull(),
-        {"extracted_text": F.col("new_text"), "processing_status": F.lit("completed"), "error_message": F.lit(None), "warning_messages": F.array().cast("array<string>")},
+        pages.join(good.select(*PAGE_KEY, "new_text"), PAGE_KEY, "left"), F.col("new_text").isNotNull(),
+        {"extracted_text": F.col("new_text"), "processing_status": F.lit("completed"), "error_message": F.lit(None), "warning_messages": F.array().cast("array<string>")}, now,
     ).select(*pages.columns)
     touched = good.select("document_id").distinct()
     n = F.count_if(F.col("processing_status") == "failed")
@@ -141,53 +146,54 @@ def edit_text(documents: DataFrame, pages: DataFrame, segments: DataFrame, edits
     message = F.when(~F.col("lm_done"), F.concat(F.col("lm_failed").cast("string"), F.when(F.col("lm_failed") == 1, " page").otherwise(" pages"), F.lit(" still need attention.")))
     moved = _when(
         documents.join(counted, "id", "left"), F.col("lm_done").isNotNull(),
-        {"status": F.when(F.col("lm_done"), "text_ready").otherwise("failed"), "error_message": message},
+        {"status": F.when(F.col("lm_done"), "text_ready").otherwise("failed"), "error_message": message}, now,
     ).select(*documents.columns)
-    return moved, new, segments.join(touched, "document_id", "left_anti"), judged.where("error_code IS NOT NULL")
+    return moved, new, segments.join(touched, "document_id", "left_anti"), refused
 
 
-def mark_interrupted(documents: DataFrame, pages: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mark_interrupted(documents: DataFrame, pages: DataFrame, segments: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, pages, segments) after a restart: documents of running jobs
     fail with the job's message, and with them what the job had still to do."""
     text, audio = F.col("status").isin(*TEXT_RUNNING), F.col("status").isin(*AUDIO_RUNNING)
     stopped = documents.where(text | audio).select(F.col("id").alias("document_id"), text.alias("lm_text"))
     message = F.when(text, TEXT_STOPPED).otherwise(AUDIO_STOPPED)
-    failed = _when(documents.withColumn("lm_message", message), text | audio, {"error_message": F.col("lm_message"), "status": F.lit("failed")})
+    failed = _when(documents.withColumn("lm_message", message), text | audio, {"error_message": F.col("lm_message"), "status": F.lit("failed")}, now)
 
     def fail(table: DataFrame, of_text: bool, open_: tuple[str, ...], said: str) -> DataFrame:
         mine = stopped.where(F.col("lm_text") == of_text).select("document_id", F.lit(True).alias("lm_stopped"))
         hit = F.col("lm_stopped") & F.col("processing_status").isin(*open_)
-        changed = _when(table.join(mine, "document_id", "left"), hit, {"error_message": F.lit(said), "processing_status": F.lit("failed")})
+        changed = _when(table.join(mine, "document_id", "left"), hit, {"error_message": F.lit(said), "processing_status": F.lit("failed")}, now)
         return changed.select(*table.columns)
 
     return failed.select(*documents.columns), fail(pages, True, UNFINISHED, TEXT_STOPPED), fail(segments, False, UNSPOKEN, AUDIO_STOPPED)
 
 
-def recover_segments(segments: DataFrame, files: DataFrame, extension: str = "mp3") -> DataFrame:
-    """Segments of a resumed audio job: those whose file exists complete,
-    generating or failed ones go back to pending.
+def recover_segments(segments: DataFrame, files: DataFrame, extension: str = "mp3", now: Column | None = None, resumed: DataFrame | None = None) -> DataFrame:
+    """Segments of resumed audio jobs: those whose file exists complete, others
+    that were generating or failed wait again, both without error message.
 
-    ``files``: document_id, path of the audio that is there.
+    ``files``: document_id, path of the audio that is there. ``resumed``: the
+    document_id of the jobs that resume (all if None); other segments stay.
     """
     fallback = F.concat(F.lit("audio/"), F.format_string(f"segment-%04d.{extension}", "segment_number"))
     path = F.coalesce(F.nullif("audio_storage_path", F.lit("")), fallback)
     there = files.select("document_id", F.col("path").alias("lm_path")).distinct().withColumn("lm_there", F.lit(True))
     joined = segments.withColumn("lm_path", path).join(there, ["document_id", "lm_path"], "left")
-    again = F.col("processing_status").isin("generating", "failed")
+    if resumed is None:
+        joined = joined.withColumn("lm_resumed", F.lit(True))
+    else:
+        joined = joined.join(resumed.select("document_id", F.lit(True).alias("lm_resumed")).distinct(), "document_id", "left")
     found = F.col("lm_there").isNotNull()
-    return joined.withColumns(
-        {
-            "audio_storage_path": F.when(found, F.col("lm_path")).when(~again, F.col("audio_storage_path")),
-            "processing_status": F.when(found, "completed").when(again, "pending").otherwise(F.col("processing_status")),
-        }
-    ).select(*segments.columns)
+    hit = F.col("lm_resumed") & (found | F.col("processing_status").isin("generating", "failed"))
+    changes = {
+        "audio_storage_path": F.when(found, F.col("lm_path")), "error_message": F.lit(None),
+        "processing_status": F.when(found, "completed").otherwise("pending"),
+    }
+    return _when(joined, hit, changes, now).select(*segments.columns)
 
 
-def admit_audio_job(documents: DataFrame, pages: DataFrame, segments: DataFrame, drafts: DataFrame, files: DataFrame) -> DataFrame:
-    """id, error_code, new_status for starting or resuming audio.
-
-    ``drafts``: document_id and number of segments the text would give.
-    """
+def _audio_verdicts(documents: DataFrame, pages: DataFrame, segments: DataFrame, drafts: DataFrame, files: DataFrame) -> DataFrame:
+    """id, error_code, new_status and whether a job resumes (lm_resume)."""
     p = pages.groupBy(F.col("document_id").alias("id")).agg(F.bool_and(F.col("processing_status") == "completed").alias("pages_done"))
     s = recover_segments(segments, files).groupBy(F.col("document_id").alias("id")).agg(
         F.count(F.lit(1)).alias("n_segments"), F.bool_and(F.col("processing_status") == "completed").alias("audio_done")
@@ -204,8 +210,44 @@ def admit_audio_job(documents: DataFrame, pages: DataFrame, segments: DataFrame,
         .when(F.coalesce("drafts", F.lit(0)) == 0, "no_text_to_read")
     )
     new = F.when(resume & F.col("audio_done"), "ready").otherwise("generating_audio")
-    judged = j.withColumn("error_code", error)
-    return judged.select("id", "error_code", F.when(F.col("error_code").isNull(), new).otherwise(F.col("status")).alias("new_status"))
+    judged = j.withColumns({"error_code": error, "lm_resume": F.coalesce(resume, F.lit(False))})
+    return judged.select("id", "error_code", F.when(F.col("error_code").isNull(), new).otherwise(F.col("status")).alias("new_status"), "lm_resume")
+
+
+def admit_audio_job(documents: DataFrame, pages: DataFrame, segments: DataFrame, drafts: DataFrame, files: DataFrame) -> DataFrame:
+    """id, error_code, new_status for starting or resuming audio.
+
+    ``drafts``: document_id and number of segments the text would give.
+    """
+    return _audio_verdicts(documents, pages, segments, drafts, files).drop("lm_resume")
+
+
+def start_audio(documents: DataFrame, pages: DataFrame, segments: DataFrame, drafts: DataFrame, files: DataFrame, wanted: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, segments, refused) after audio was asked for the documents in
+    ``wanted(id)``.
+
+    ``drafts``: document_id, segment_number, page_id, source_text, what the
+    segmenter makes of the pages. A job that starts anew takes its drafts as
+    segments in place of what it had; one that resumes recovers its own. Both
+    documents lose their message. ``refused``: id, error_code.
+    """
+    at = F.current_timestamp() if now is None else now
+    number = drafts.groupBy("document_id").agg(F.count(F.lit(1)).alias("drafts"))
+    asked = wanted.select("id").distinct()
+    verdicts = _audio_verdicts(documents, pages, segments, number, files).join(asked, "id")
+    unknown = asked.join(documents.select("id"), "id", "left_anti").select("id", F.lit("book_not_found").alias("error_code"))
+    granted = verdicts.where("error_code IS NULL")
+    resumed, fresh = (granted.where(F.col("lm_resume") == r).select(F.col("id").alias("document_id")) for r in (True, False))
+    kept = recover_segments(segments, files, now=now, resumed=resumed).join(fresh, "document_id", "left_anti")
+    made = drafts.join(fresh, "document_id").withColumns(
+        {"id": F.concat_ws("/", "document_id", "segment_number"), "processing_status": F.lit("pending"), "created_at": at, "updated_at": at}
+    )
+    blank = {f.name: F.lit(None).cast(f.dataType) for f in segments.schema.fields if f.name not in made.columns}
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in segments.schema.fields]
+    started = kept.unionByName(made.withColumns(blank).select(*typed) if blank else made.select(*typed))
+    status = granted.select("id", F.col("new_status").alias("lm_status"))
+    moved = _when(documents.join(status, "id", "left"), F.col("lm_status").isNotNull(), {"status": F.col("lm_status"), "error_message": F.lit(None)}, now)
+    return moved.select(*documents.columns), started, verdicts.where("error_code IS NOT NULL").select("id", "error_code").unionByName(unknown)
 
 
 def crop_edit_error(document_status: Column, page_status: Column, method: Column, processed_path: Column) -> Column:
@@ -215,12 +257,13 @@ def crop_edit_error(document_status: Column, page_status: Column, method: Column
     )
 
 
-def edit_crops(documents: DataFrame, pages: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+def edit_crops(documents: DataFrame, pages: DataFrame, edits: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, refused) after crop edits: a page whose crop may be edited takes
     it, loses its text and error, and waits.
 
     ``edits``: document_id, page_number, new_left, new_top, new_right,
-    new_bottom. ``pages`` has processed_image_path; ``refused`` error_code.
+    new_bottom and perhaps requested_at. ``pages`` has processed_image_path;
+    ``refused``, which has all but the last edit of a page too, error_code.
     """
     state = documents.select(F.col("id").alias("document_id"), F.col("status").alias("lm_status"))
     path = F.col("processed_image_path")
@@ -229,15 +272,41 @@ def edit_crops(documents: DataFrame, pages: DataFrame, edits: DataFrame) -> tupl
         crop_edit_error(F.col("lm_status"), F.col("processing_status"), F.col("extraction_method"), path)
     )
     judged = judged.join(state, "document_id", "left").withColumn("error_code", error).select(*edits.columns, "error_code")
-    good = judged.where("error_code IS NULL").drop("error_code").withColumn("lm_new", F.lit(True))
+    good, others = last_requests(judged.where("error_code IS NULL").drop("error_code"), PAGE_KEY)
+    good = good.drop("requested_at").withColumn("lm_new", F.lit(True))
     sides = {f"crop_{side}": F.col(f"new_{side}") for side in ("left", "top", "right", "bottom")}
     rest = {"extracted_text": F.lit(""), "error_message": F.lit(None), "processing_status": F.lit("pending")}
-    return _when(pages.join(good, PAGE_KEY, "left"), F.col("lm_new"), sides | rest).select(*pages.columns), judged.where("error_code IS NOT NULL")
+    return _when(pages.join(good, PAGE_KEY, "left"), F.col("lm_new"), sides | rest, now).select(*pages.columns), judged.where("error_code IS NOT NULL").unionByName(others.drop("times"))
 
 
-def resume_flags(status: Column, failed_pages: Column, pending_pages: Column) -> Column:
-    """What the text view offers: retry, resume, or nothing."""
-    return F.when((pending_pages > 0) & status.isin("uploaded", "failed"), "resume").when(failed_pages > 0, "retry").otherwise("none")
+# The states in which page text is being prepared.
+PREPARING = ("normalizing_pages", "inspecting", "extracting_text", "running_ocr")
+
+
+def resume_flags(documents: DataFrame, pages: DataFrame, segments: DataFrame) -> DataFrame:
+    """id and what the views of a document offer: whether it waits for a review
+    of its recognised pages, is preparing text, can go on with text, and can go
+    on with or start audio in the document's view and in the player.
+
+    ``documents``: id, status, processing_active.
+    """
+    p = pages.groupBy(F.col("document_id").alias("id")).agg(
+        F.bool_or(F.col("extraction_method") == "ocr").alias("ocr"),
+        F.bool_or(F.col("processing_status") == "failed").alias("failed"),
+        F.bool_and(F.col("processing_status") == "completed").alias("done"),
+    )
+    s = segments.groupBy(F.col("document_id").alias("id")).agg(F.lit(True).alias("spoken"))
+    j = documents.select("id", "status", "processing_active").join(p, "id", "left").join(s, "id", "left")
+    ocr, failed, done, spoken = (F.coalesce(c, F.lit(d)) for c, d in (("ocr", False), ("failed", False), ("done", True), ("spoken", False)))
+    idle = ~F.coalesce("processing_active", F.lit(False))
+    status = F.coalesce("status", F.lit(""))
+    uploaded, preparing, speaking, broken = status == "uploaded", status.isin(*PREPARING), status == "generating_audio", status == "failed"
+    again, listen = (speaking & idle) | (broken & ~failed & spoken & done), (speaking & idle) | (broken & spoken)
+    return j.select(
+        "id", (uploaded & ocr).alias("awaiting_review"), ((uploaded & ~ocr) | preparing).alias("preparing_text"), (preparing & idle).alias("can_resume_text"),
+        again.alias("can_resume_audio"), ((status == "text_ready") | again).alias("can_start_audio"),
+        listen.alias("player_can_resume"), ((status == "text_ready") | listen).alias("player_can_start"),
+    )
 
 
 def move_part(current: Column, by: int, parts: Column) -> tuple[Column, Column, Column]:

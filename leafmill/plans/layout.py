@@ -112,7 +112,7 @@ def longest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_SERIES}, d AS (SELECT user_id, y, y - row_number() OVER (PARTITION BY user_id ORDER BY y) AS i FROM series WHERE ink / 100.0::DOUBLE >= 0.3), r AS (SELECT user_id, min(y) AS top, max(y) + 1 AS bottom FROM d GROUP BY user_id, i)
+    f"""WITH {_SERIES}, d AS (SELECT user_id, y, y - row_number() OVER (PARTITION BY user_id ORDER BY y) AS i FROM series WHERE ink / 100.0::DOUBLE > 0.3), r AS (SELECT user_id, min(y) AS top, max(y) + 1 AS bottom FROM d GROUP BY user_id, i)
     SELECT user_id, top, bottom FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bottom - top DESC, top) AS k FROM r WHERE bottom - top >= 2) WHERE k = 1"""
 )
 def paper_band(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,14 +77,37 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT conv_id AS id, count(*) FILTER (WHERE role = 'user') AS completed_pages, CAST(0 AS BIGINT) AS failed_pages,
-    CAST(sum(length(text)) AS BIGINT) AS characters, string_agg(CAST(turn + 1 AS INT), ',' ORDER BY turn) AS page_numbers
-    FROM conversations GROUP BY conv_id"""
+    CAST(sum(length(text)) AS BIGINT) AS characters, string_agg(CAST(turn + 1 AS INT), ',' ORDER BY turn) AS page_numbers,
+    count(*) FILTER (WHERE turn % 2 = 1) AS audio_segment_count FROM conversations GROUP BY conv_id"""
 )
 def page_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fx.conversations(spark, sf_dir).select(
         "document_id", "page_number", F.when(F.col("role") == "user", "completed").otherwise("pending").alias("processing_status"), F.col("text").alias("extracted_text")
     )
-    return library.document_detail(pages.select(F.col("document_id").alias("id")).distinct(), pages)
+    segments = fx.conversations(spark, sf_dir).where("page_number % 2 = 0").select("document_id", F.col("page_number").alias("segment_number"))
+    return library.document_detail(pages.select(F.col("document_id").alias("id")).distinct(), pages, segments)
+
+
+@query(
+    f"""WITH {fx.PAGES_SQL} SELECT document_id, page_number, extraction_method, extracted_text, CAST(length(extracted_text) AS INT) AS extracted_character_count, processing_status,
+    error_message, array_to_string(warning_messages, '|') AS warnings FROM pages_"""
+)
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = library.page_records(fx.pages(spark, sf_dir))
+    return shown.select(
+        "document_id", "page_number", "extraction_method", "extracted_text", "extracted_character_count", "processing_status", "error_message", F.array_join("warning_messages", "|").alias("warnings")
+    )
+
+
+@query(
+    f"""WITH {_FOLDERED}, {fx.PAGES_SQL}, {fx.SEGMENTS_SQL}, p AS (SELECT document_id, count(*) FILTER (WHERE processing_status = 'completed') AS c, count(*) FILTER (WHERE processing_status = 'failed') AS f FROM pages_ GROUP BY 1),
+    s AS (SELECT document_id, count(*) AS n FROM segments GROUP BY 1)
+    SELECT id, user_id, folder_id AS library_book_id, title, recording_title, status, coalesce(p.c, 0) AS completed_pages, coalesce(p.f, 0) AS failed_pages, coalesce(s.n, 0) AS audio_segment_count,
+    status IN {library.ACTIVE} AS processing_active FROM foldered LEFT JOIN p ON p.document_id = id LEFT JOIN s ON s.document_id = id"""
+)
+def library_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = library.library_items(fx.recordings(spark, sf_dir), fx.pages(spark, sf_dir), fx.segments(spark, sf_dir))
+    return items.select("id", "user_id", "library_book_id", "title", "recording_title", "status", "completed_pages", "failed_pages", "audio_segment_count", "processing_active")
 
 
 @query(
@@ -133,7 +156,7 @@ def downloadable_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {fx.SEGMENTS_SQL} SELECT document_id, segment_number, audio_storage_path,
-    printf('part-%03d.mp3', row_number() OVER (PARTITION BY document_id ORDER BY segment_number)) AS member FROM segments
+    printf('part-%03d', segment_number) || CASE WHEN audio_storage_path LIKE '%.mp3' THEN '.mp3' ELSE '.wav' END AS member FROM segments
     WHERE processing_status = 'completed' AND audio_storage_path IS NOT NULL"""
 )
 def archive_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,13 +255,17 @@ def saved_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", r["segmentNumber"].alias("segment"), r["positionSeconds"].alias("position"), r["completed"].alias("completed"))
 
 
+_SPOKEN_LANGUAGE = "CASE WHEN o_orderkey % 7 = 0 THEN 'esperanto' WHEN o_orderkey % 3 = 0 THEN 'cantonese' WHEN o_orderkey % 5 = 0 THEN 'english' WHEN o_orderkey % 4 = 0 THEN 'mandarin' END"
+
+
 @query(
-    f"""WITH {fx.RECORDINGS_SQL}, x AS (SELECT user_id, list_sort(list_distinct(list(upper(target_language[1]) || target_language[2:]) FILTER (WHERE target_language IS NOT NULL))) AS l FROM recordings GROUP BY 1)
-    SELECT user_id, CASE WHEN len(l) <= 2 THEN coalesce(array_to_string(l, ', '), '') ELSE len(l) || ' languages' END AS summary FROM x"""
+    f"""WITH x AS (SELECT o_custkey, list_sort(list_distinct(list({_SPOKEN_LANGUAGE}))) AS l FROM orders GROUP BY 1),
+    k AS (SELECT o_custkey, list_transform(list_filter(l, lambda c: c IN ('cantonese', 'mandarin', 'english')), lambda c: upper(c[1]) || c[2:]) AS l FROM x)
+    SELECT o_custkey, CASE WHEN len(l) = 0 THEN 'Language not set' WHEN len(l) <= 2 THEN array_to_string(l, ', ') ELSE len(l) || ' languages' END AS summary FROM k"""
 )
 def language_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = fx.recordings(spark, sf_dir).groupBy("user_id").agg(F.sort_array(F.collect_set("target_language")).alias("l"))
-    return grouped.select("user_id", library.language_summary(F.col("l")).alias("summary"))
+    grouped = fx.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set(F.expr(_SPOKEN_LANGUAGE))).alias("l"))
+    return grouped.select("o_custkey", library.language_summary(F.col("l")).alias("summary"))
 
 
 @query(f"WITH {fx.RECORDINGS_SQL} SELECT id, user_id FROM recordings WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

@@ -144,23 +144,111 @@ def refused_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edited(spark, sf_dir)[3].select("document_id", "page_number", "error_code")
 
 
-_FILES = "SELECT document_id, concat('audio/segment-000', segment_number, '.mp3') AS path FROM segments WHERE document_id % 2 = 0 AND segment_number % 2 = 1 AND segment_number < 10"
+_FILES = "SELECT document_id, printf('audio/segment-%04d.mp3', segment_number) AS path FROM segments WHERE (document_id + segment_number) % 3 > 0"
 _RECOVERED = f"""{fx.SEGMENTS_SQL}, files AS ({_FILES}), want AS (SELECT *, coalesce(nullif(audio_storage_path, ''), printf('audio/segment-%04d.mp3', segment_number)) AS p FROM segments),
 recovered AS (SELECT w.document_id, w.segment_number, f.path IS NOT NULL AS found, p, audio_storage_path, processing_status FROM want w LEFT JOIN (SELECT DISTINCT * FROM files) f ON f.document_id = w.document_id AND f.path = p)"""
 
 
 def _files(segments: DataFrame) -> DataFrame:
-    some = segments.where("document_id % 2 = 0 AND segment_number % 2 = 1 AND segment_number < 10")
-    return some.select("document_id", F.concat(F.lit("audio/segment-000"), "segment_number", F.lit(".mp3")).alias("path"))
+    some = segments.where("(document_id + segment_number) % 3 > 0")
+    return some.select("document_id", F.format_string("audio/segment-%04d.mp3", "segment_number").alias("path"))
 
 
 @query(
     f"""WITH {_RECOVERED} SELECT document_id, segment_number, CASE WHEN found THEN p WHEN processing_status NOT IN ('generating', 'failed') THEN audio_storage_path END AS audio_storage_path,
-    CASE WHEN found THEN 'completed' WHEN processing_status IN ('generating', 'failed') THEN 'pending' ELSE processing_status END AS processing_status FROM recovered"""
+    CASE WHEN found THEN 'completed' WHEN processing_status IN ('generating', 'failed') THEN 'pending' ELSE processing_status END AS processing_status,
+    CASE WHEN NOT found AND processing_status NOT IN ('generating', 'failed') THEN 'said' END AS error_message FROM recovered"""
 )
 def recover_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segments = fx.segments(spark, sf_dir)
-    return lifecycle.recover_segments(segments, _files(segments)).select("document_id", "segment_number", "audio_storage_path", "processing_status")
+    segments = fx.segments(spark, sf_dir).withColumn("error_message", F.lit("said"))
+    return lifecycle.recover_segments(segments, _files(segments)).select("document_id", "segment_number", "audio_storage_path", "processing_status", "error_message")
+
+
+#: The time of a change, so that a query and its twin agree on it.
+_NOW = "TIMESTAMP '2030-01-01 00:00:00'"
+_DRAFTS = "SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number) AS INT) AS segment_number, concat(document_id, '/', page_number) AS page_id, extracted_text AS source_text FROM {0} WHERE processing_status = 'completed' AND document_id % 4 > 0 AND trim(extracted_text) <> ''"
+_ASKED_AUDIO = "SELECT o_orderkey + CASE WHEN o_orderkey % 100 = 0 THEN 3000000000 ELSE 0 END AS id FROM {0} WHERE o_orderkey % 7 > 0"
+_STARTED = f"""{fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, {_RECOVERED}, drafts AS ({_DRAFTS.format("pages_")}), asked AS ({_ASKED_AUDIO.format("orders")}),
+p AS (SELECT document_id, bool_and(processing_status = 'completed') AS done FROM pages_ GROUP BY 1),
+s AS (SELECT document_id, bool_and(found OR processing_status NOT IN ('generating', 'failed')) AS spoken FROM recovered GROUP BY 1),
+n AS (SELECT document_id, count(*) AS n FROM drafts GROUP BY 1),
+st AS (SELECT a.id, r.status, s.document_id IS NOT NULL AS has, coalesce(done, true) AS done, coalesce(spoken, false) AS spoken, coalesce(n, 0) AS n, r.id IS NULL AS nobody
+  FROM asked a LEFT JOIN recordings r ON r.id = a.id LEFT JOIN p ON p.document_id = a.id LEFT JOIN s ON s.document_id = a.id LEFT JOIN n ON n.document_id = a.id),
+v AS (SELECT *, status IN ('failed', 'generating_audio') AND has AND done AS resume, CASE WHEN nobody THEN 'book_not_found' WHEN status = 'ready' AND has THEN 'book_audio_ready'
+  WHEN status IN ('failed', 'generating_audio') AND has AND done THEN NULL WHEN status <> 'text_ready' THEN 'book_text_not_ready' WHEN NOT done THEN 'pages_not_ready' WHEN n = 0 THEN 'no_text_to_read' END AS error_code FROM st)"""
+
+
+def _started(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    fx.pages(spark, sf_dir).createOrReplaceTempView("leafmill_pages")
+    fx.table(spark, sf_dir, "orders").createOrReplaceTempView("leafmill_orders")
+    drafts = spark.sql(_DRAFTS.format("leafmill_pages"))
+    segments = fx.segments(spark, sf_dir).withColumns({"source_text": F.lit("old"), "error_message": F.lit("said"), "updated_at": F.expr("TIMESTAMP '2020-01-01 00:00:00'")})
+    docs = fx.recordings(spark, sf_dir).select("id", "status", "updated_at", F.lit("said").alias("error_message"))
+    return lifecycle.start_audio(docs, fx.pages(spark, sf_dir), segments, drafts, _files(fx.segments(spark, sf_dir)), spark.sql(_ASKED_AUDIO.format("leafmill_orders")), F.expr(_NOW))
+
+
+@query(
+    f"""WITH {_STARTED}, kept AS (SELECT r.*, coalesce(v.resume AND v.error_code IS NULL, false) AS again FROM recovered r LEFT JOIN v ON v.id = r.document_id
+      WHERE NOT coalesce(NOT v.resume AND v.error_code IS NULL, false))
+    SELECT document_id, segment_number, CASE WHEN again AND found THEN p WHEN again AND processing_status IN ('generating', 'failed') THEN NULL ELSE audio_storage_path END AS audio_storage_path,
+    CASE WHEN again AND found THEN 'completed' WHEN again AND processing_status IN ('generating', 'failed') THEN 'pending' ELSE processing_status END AS processing_status, 'old' AS source_text,
+    CASE WHEN again AND (found OR processing_status IN ('generating', 'failed')) THEN NULL ELSE 'said' END AS error_message,
+    CASE WHEN again AND (found OR processing_status IN ('generating', 'failed')) THEN {_NOW} ELSE TIMESTAMP '2020-01-01 00:00:00' END AS updated_at FROM kept
+    UNION ALL SELECT d.document_id, d.segment_number, NULL, 'pending', d.source_text, NULL, {_NOW} FROM drafts d JOIN v ON v.id = d.document_id WHERE NOT v.resume AND v.error_code IS NULL"""
+)
+def started_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments after audio was asked for: made from drafts, or recovered."""
+    return _started(spark, sf_dir)[1].select("document_id", "segment_number", "audio_storage_path", "processing_status", "source_text", "error_message", "updated_at")
+
+
+@query(
+    f"""WITH {_STARTED}, g AS (SELECT id, CASE WHEN resume AND spoken THEN 'ready' ELSE 'generating_audio' END AS s FROM v WHERE error_code IS NULL)
+    SELECT r.id, coalesce(g.s, r.status) AS status, CASE WHEN g.id IS NULL THEN 'said' END AS error_message, CASE WHEN g.id IS NULL THEN updated_at ELSE {_NOW} END AS updated_at FROM recordings r LEFT JOIN g ON g.id = r.id"""
+)
+def started_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _started(spark, sf_dir)[0].select("id", "status", "error_message", "updated_at")
+
+
+@query(f"WITH {_STARTED} SELECT id, error_code FROM v WHERE error_code IS NOT NULL")
+def refused_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _started(spark, sf_dir)[2]
+
+
+_TWICE = f"""{fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, req AS (SELECT document_id, page_number, k FROM pages_, (VALUES (1), (2), (2)) v(k) WHERE document_id % 5 = 0),
+good AS (SELECT document_id, page_number FROM pages_ WHERE document_id % 5 = 0)"""
+
+
+def _twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Three requests for every page of each fifth document, two of them alike."""
+    pages = fx.pages(spark, sf_dir).withColumn("updated_at", F.expr("TIMESTAMP '2020-01-01 00:00:00'"))
+    asked = pages.where("document_id % 5 = 0").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 2)))))
+    edits = asked.selectExpr("document_id", "page_number", "concat('edit ', k) AS new_text", "timestamp_seconds(k) AS requested_at")
+    docs = fx.recordings(spark, sf_dir).select("id", "status", "updated_at", F.lit(None).cast("string").alias("error_message"))
+    return lifecycle.edit_text(docs, pages, fx.segments(spark, sf_dir), edits, F.expr(_NOW))
+
+
+@query(
+    f"""WITH {_TWICE} SELECT document_id, page_number, CASE WHEN document_id % 5 = 0 THEN 'edit 2' ELSE extracted_text END AS extracted_text,
+    CASE WHEN document_id % 5 = 0 THEN {_NOW} ELSE TIMESTAMP '2020-01-01 00:00:00' END AS updated_at FROM pages_"""
+)
+def repeated_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages after repeated edits: one row each, with the last text."""
+    return _twice(spark, sf_dir)[1].select("document_id", "page_number", "extracted_text", "updated_at")
+
+
+@query(f"WITH {_TWICE} SELECT document_id, page_number, 'edit ' || k AS new_text, 'superseded' AS error_code FROM (SELECT DISTINCT * FROM req)")
+def superseded_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that a later or equal one overrides, once each."""
+    return _twice(spark, sf_dir)[3].select("document_id", "page_number", "new_text", "error_code")
+
+
+@query(
+    f"""WITH {_TWICE} SELECT id, CASE WHEN id % 5 = 0 AND EXISTS (SELECT 1 FROM good WHERE document_id = id) THEN 'text_ready' ELSE status END AS status,
+    CASE WHEN id % 5 = 0 AND EXISTS (SELECT 1 FROM good WHERE document_id = id) THEN {_NOW} ELSE updated_at END AS updated_at FROM recordings"""
+)
+def documents_after_repeated_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _twice(spark, sf_dir)[0].select("id", "status", "updated_at")
+
 
 
 @query(
@@ -249,11 +337,21 @@ def crop_editable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.RECORDINGS_SQL} SELECT id, CASE WHEN total_pages % 3 > 0 AND status IN ('uploaded', 'failed') THEN 'resume' WHEN segment_count > 0 THEN 'retry' ELSE 'none' END AS offer FROM recordings"""
+    f"""WITH {fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, {fx.SEGMENTS_SQL}, sp AS (SELECT DISTINCT document_id FROM segments WHERE document_id % 3 > 0),
+    j AS (SELECT r.id, status, r.id % 2 = 0 AS active, EXISTS (SELECT 1 FROM pages_ p WHERE p.document_id = r.id AND extraction_method = 'ocr') AS ocr,
+      (SELECT count(*) FROM pages_ p WHERE p.document_id = r.id AND processing_status = 'failed') AS failed, (SELECT count(*) FROM pages_ p WHERE p.document_id = r.id AND processing_status <> 'completed') AS undone,
+      r.id IN (SELECT document_id FROM sp) AS spoken FROM recordings r)
+    SELECT id, status = 'uploaded' AND ocr AS awaiting_review,
+    (status = 'uploaded' AND NOT ocr) OR status IN ('normalizing_pages', 'inspecting', 'extracting_text', 'running_ocr') AS preparing_text,
+    status IN ('normalizing_pages', 'inspecting', 'extracting_text', 'running_ocr') AND NOT active AS can_resume_text,
+    (status = 'generating_audio' AND NOT active) OR (status = 'failed' AND failed = 0 AND spoken AND undone = 0) AS can_resume_audio,
+    status = 'text_ready' OR (status = 'generating_audio' AND NOT active) OR (status = 'failed' AND failed = 0 AND spoken AND undone = 0) AS can_start_audio,
+    (status = 'generating_audio' AND NOT active) OR (status = 'failed' AND spoken) AS player_can_resume,
+    status = 'text_ready' OR (status = 'generating_audio' AND NOT active) OR (status = 'failed' AND spoken) AS player_can_start FROM j"""
 )
 def resume_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    offer = lifecycle.resume_flags(F.col("status"), F.col("segment_count"), F.col("total_pages") % 3)
-    return fx.recordings(spark, sf_dir).select("id", offer.alias("offer"))
+    docs = fx.recordings(spark, sf_dir).withColumn("processing_active", F.col("id") % 2 == 0)
+    return lifecycle.resume_flags(docs, fx.pages(spark, sf_dir), fx.segments(spark, sf_dir).where("document_id % 3 > 0"))
 
 
 @query(

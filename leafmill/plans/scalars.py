@@ -113,17 +113,21 @@ _UPLOAD = {
     "kind": "CASE p_partkey % 2 WHEN 0 THEN 'pdf' ELSE 'images' END",
     "name": "CASE p_partkey % 5 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'b.jpeg' WHEN 2 THEN 'c' WHEN 3 THEN 'd.png' ELSE 'e.pdf' END",
     "size": "CAST(p_size AS BIGINT) * 1500000 - 1500000",
-    "images": "p_size * 3",
+    "images": "p_size * 3 - 3",
+    "media_type": "CASE p_partkey % 7 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'text/plain' WHEN 4 THEN '' END",
+    "existing": "CAST(p_partkey % 4 AS INT) * 20",
 }
 
 
 @query(
-    f"""SELECT p_partkey, CASE WHEN kind = 'pdf' AND lower(name) NOT LIKE '%.pdf' THEN 'pdf_type' WHEN kind = 'images' AND NOT regexp_matches(lower(name), '\\.(jpg|jpeg|png)$') THEN 'image_type'
+    f"""SELECT p_partkey, CASE WHEN kind = 'images' AND images = 0 THEN 'no_images' WHEN kind = 'images' AND existing + images > 100 THEN 'too_many_images'
+    WHEN kind = 'pdf' AND coalesce(media_type, '') <> 'application/pdf' AND lower(name) NOT LIKE '%.pdf' THEN 'pdf_type'
+    WHEN kind = 'images' AND coalesce(media_type, '') NOT IN ('image/jpeg', 'image/png') AND NOT regexp_matches(lower(name), '\\.(jpg|jpeg|png)$') THEN 'image_type'
     WHEN size <= 0 THEN 'empty' WHEN kind = 'pdf' AND size > 52428800 THEN 'pdf_too_large' WHEN kind = 'images' AND size > 15728640 THEN 'image_too_large'
-    WHEN kind = 'images' AND images > 100 THEN 'too_many_images' END AS error_code FROM (SELECT p_partkey, {", ".join(f"{v} AS {k}" for k, v in _UPLOAD.items())} FROM part)"""
+    END AS error_code FROM (SELECT p_partkey, {", ".join(f"{v} AS {k}" for k, v in _UPLOAD.items())} FROM part)"""
 )
 def upload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    error = names.upload_error(*[F.expr(_UPLOAD[c]) for c in ("kind", "name", "size", "images")])
+    error = names.upload_error(*[F.expr(_UPLOAD[c]) for c in ("kind", "name", "size", "images", "media_type", "existing")])
     return fx.table(spark, sf_dir, "part").select("p_partkey", error.alias("error_code"))
 
 

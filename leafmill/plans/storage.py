@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.plans import shared
 from leafmill.plans.catalogue import query
 from leafmill.sources import fixtures as fx
-from leafmill.sources import store
+from leafmill.sources import graph, store
 
 _CUT = "TIMESTAMP '1996-06-01 00:00:00'"
 
@@ -48,23 +49,89 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _deleted(spark, sf_dir)["pages"].select("document_id", "page_number")
 
 
+#: The time of a change, so that a query and its twin agree on it.
+_NOW = "TIMESTAMP '2030-01-01 00:00:00'"
+
+
 @query(
-    f"""WITH {fx.RECORDINGS_SQL} SELECT id, CASE WHEN user_id = 3 AND status = 'ready' THEN 'Collected' ELSE title END AS title,
-    CASE WHEN user_id = 3 AND status = 'ready' THEN 1 ELSE library_document_id END AS library_document_id FROM recordings"""
+    f"""WITH {fx.RECORDINGS_SQL}, m AS (SELECT *, coalesce(user_id = 3 AND status = 'ready', false) AS mine FROM recordings)
+    SELECT id, CASE WHEN mine THEN 'Collected' ELSE title END AS title, CASE WHEN mine THEN 1 ELSE library_document_id END AS library_document_id,
+    CASE WHEN mine THEN {_NOW} ELSE updated_at END AS updated_at FROM m"""
 )
 def rename_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fx.recordings(spark, sf_dir)
+    """One folder renamed, then another asked for with a blank title, which changes nothing."""
+    docs, now = fx.recordings(spark, sf_dir), F.expr(_NOW)
     members = fx.recordings(spark, sf_dir).where("user_id = 3 AND status = 'ready'").select("id")
-    return store.rename_folder(docs, members, F.lit("Collected"), F.lit(1).cast("long")).select("id", "title", "library_document_id")
+    others = fx.recordings(spark, sf_dir).where("user_id = 4").select("id")
+    renamed = store.rename_folder(docs, members, F.lit("  Collected \n"), F.lit(1).cast("long"), now)
+    blank = store.rename_folder(renamed, others, F.lit(" \t "), F.lit(2).cast("long"), now)
+    return blank.select("id", "title", "library_document_id", "updated_at")
+
+
+_STEM = "CASE WHEN original_filename IS NULL THEN 'Recording' ELSE regexp_replace(original_filename, '\\.[^.]+$', '') END"
 
 
 @query(
-    f"""WITH {fx.RECORDINGS_SQL} SELECT id, CASE WHEN id % 13 = 0 THEN coalesce(recording_title, title) ELSE recording_title END AS recording_title,
-    CASE WHEN id % 13 = 0 THEN 'Shelf' ELSE title END AS title, CASE WHEN id % 13 = 0 THEN CAST(id % 5 AS BIGINT) ELSE library_document_id END AS library_document_id FROM recordings"""
+    f"""WITH {fx.RECORDINGS_SQL} SELECT id, CASE WHEN id % 13 = 0 THEN coalesce(recording_title, {_STEM}) ELSE recording_title END AS recording_title,
+    CASE WHEN id % 13 = 0 THEN 'Shelf 2' ELSE title END AS title, CASE WHEN id % 13 = 0 THEN CAST(id % 5 AS BIGINT) ELSE library_document_id END AS library_document_id,
+    CASE WHEN id % 13 = 0 THEN {_NOW} ELSE updated_at END AS updated_at FROM recordings"""
 )
 def assign_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moves = fx.recordings(spark, sf_dir).where("id % 13 = 0").selectExpr("id", "CAST(id % 5 AS BIGINT) AS folder_id", "'Shelf' AS folder_title")
-    return store.assign_folder(fx.recordings(spark, sf_dir), moves).select("id", "recording_title", "title", "library_document_id")
+    """Every move is asked for twice; the later request counts."""
+    asked = fx.recordings(spark, sf_dir).where("id % 13 = 0").withColumn("k", F.explode(F.array(F.lit(2), F.lit(1))))
+    moves = asked.selectExpr("id", "CAST(CASE WHEN k = 2 THEN id % 5 ELSE 7 END AS BIGINT) AS folder_id", "concat('Shelf ', k) AS folder_title", "timestamp_seconds(k) AS requested_at")
+    return store.assign_folder(fx.recordings(spark, sf_dir), moves, F.expr(_NOW)).select("id", "recording_title", "title", "library_document_id", "updated_at")
+
+
+_ASKED_ID = "o_orderkey + CASE WHEN o_orderkey % 21 = 0 THEN 1000000000 ELSE 0 END AS id"
+_ASKED_TITLE = "CASE WHEN o_orderkey % 5 = 0 AND k = 2 THEN '  ' ELSE concat(' Name ', k, ' ') END AS title"
+
+
+@query(
+    f"""WITH {fx.RECORDINGS_SQL}, asked AS (SELECT {_ASKED_ID}, k, {_ASKED_TITLE} FROM orders, (VALUES (1), (2), (3)) v(k) WHERE o_orderkey % 3 = 0),
+    good AS (SELECT id, max(k) AS k FROM asked WHERE trim(title) <> '' AND id < 1000000000 GROUP BY id)
+    SELECT r.id, CASE WHEN g.id IS NULL THEN recording_title ELSE 'Name ' || g.k END AS recording_title, CASE WHEN g.id IS NULL THEN updated_at ELSE {_NOW} END AS updated_at,
+    coalesce(e.n, 0) AS refused FROM recordings r LEFT JOIN good g ON g.id = r.id
+    LEFT JOIN (SELECT id, count(*) - count(DISTINCT CASE WHEN trim(title) <> '' THEN 1 END) AS n FROM asked GROUP BY id) e ON e.id = r.id"""
+)
+def rename_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests for each third recording, some blank, some for nobody;
+    with the number of refused requests."""
+    asked = fx.table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    asked = asked.selectExpr(_ASKED_ID, _ASKED_TITLE, "timestamp_seconds(k) AS requested_at")
+    done, refused = store.rename_recordings(fx.recordings(spark, sf_dir), asked, F.expr(_NOW))
+    n = refused.groupBy("id").agg(F.count(F.lit(1)).alias("refused"))
+    return done.select("id", "recording_title", "updated_at").join(n, "id", "left").withColumn("refused", F.coalesce("refused", F.lit(0).cast("long")))
+
+
+@query(
+    f"""WITH {fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, {fx.SEGMENTS_SQL}, p AS (SELECT document_id || '/' || page_number AS id, document_id, processing_status FROM pages_),
+    d AS (SELECT 'document' AS entity, CAST(id AS VARCHAR) AS id, CASE WHEN id % 5 = 0 THEN 'ready' ELSE status END AS status, title, CASE WHEN id % 5 = 0 THEN 2 ELSE 1 END AS version FROM recordings
+      UNION ALL SELECT 'document', CAST(id + 2000000000 AS VARCHAR), 'uploaded', NULL, 2 FROM recordings WHERE id % 5 = 0),
+    q AS (SELECT 'page', id, CASE WHEN document_id % 10 = 0 THEN 'completed' ELSE processing_status END, NULL, CASE WHEN document_id % 10 = 0 THEN 2 ELSE 1 END FROM p),
+    s AS (SELECT 'segment', document_id || '/' || segment_number, processing_status, NULL, 1 FROM segments)
+    SELECT entity, id, status, title, TIMESTAMP '2030-01-01 00:00:00' + INTERVAL '1' DAY * version AS updated_at FROM (SELECT * FROM d UNION ALL SELECT * FROM q UNION ALL SELECT * FROM s)"""
+)
+def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, pages and segments saved; then a batch of changed and new
+    documents, half of them with pages and none with segments; then it again."""
+    g = graph.Graph(spark, shared.folder(spark), buckets=16)
+    text = lambda c: F.col(c).cast("string")
+    docs = fx.recordings(spark, sf_dir).select(text("id").alias("id"), "status", "title")
+    pages = fx.pages(spark, sf_dir).selectExpr("concat(document_id, '/', page_number) AS id", "document_id", "processing_status AS status")
+    segments = fx.segments(spark, sf_dir).selectExpr("concat(document_id, '/', segment_number) AS id", "document_id", "processing_status AS status")
+    day = lambda k: F.lit(f"2030-01-{k + 1:02d} 00:00:00").cast("timestamp")
+    g.save({"documents": docs, "pages": pages, "segments": segments}, day(1), "query", 1)
+    some = fx.recordings(spark, sf_dir).where("id % 5 = 0")
+    changed = some.select(text("id").alias("id"), F.lit("ready").alias("status"))
+    new = some.select((F.col("id") + 2_000_000_000).cast("string").alias("id"), F.lit("uploaded").alias("status"))
+    batch = {"documents": changed.unionByName(new), "pages": pages.where("document_id % 10 = 0").withColumn("status", F.lit("completed")), "segments": segments.limit(0)}
+    for _ in range(2):
+        g.save(batch, day(2), "query", 2)
+    null = F.lit(None).cast("string").alias("title")
+    parts = [g.read("documents").select(F.lit("document").alias("entity"), "id", "status", "title", "updated_at")]
+    parts += [g.read(t).select(F.lit(t[:-1]).alias("entity"), "id", "status", null, "updated_at") for t in ("pages", "segments")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(

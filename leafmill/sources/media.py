@@ -63,7 +63,7 @@ def jpeg_size(content: Column) -> Column:
 def image_error(content: Column, max_pixels: int = 10_000_000) -> Column:
     """Why an image is refused, or null: type, or too many pixels."""
     jpeg = F.hex(F.substring(content, 1, 3)) == "FFD8FF"
-    size = F.coalesce(png_size(content), F.when(jpeg, jpeg_size(content)))
+    size = F.coalesce(png_size(content), jpeg_size(F.when(jpeg, content)))
     return F.when(size["width"].isNull(), "image_unreadable").when(size["width"] * size["height"] > max_pixels, "image_too_large")
 
 
@@ -190,4 +190,4 @@ def dense_band(rows: DataFrame, key: list[str], threshold: float, least: int) ->
     of a page's paper rectangle. Columns: key, y, share."""
     from leafmill.operators.layout import active_runs, longest_run
 
-    return longest_run(active_runs(rows, key, "y", F.col("share") >= threshold), key, least)
+    return longest_run(active_runs(rows, key, "y", F.col("share") > threshold), key, least)

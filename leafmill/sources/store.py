@@ -7,27 +7,12 @@ overwritten while it is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leafmill import schemas
-
-
-def read_documents_json(spark: SparkSession, path: str) -> DataFrame:
-    """One nested JSON document per file, newest first; unreadable files keep
-    their text in ``_corrupt_record`` and everything else null."""
-    schema = schemas.nested_document().add("_corrupt_record", T.StringType())
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path, multiLine=True).orderBy(F.desc("updated_at"))
-
-
-def read_document(spark: SparkSession, path: str, document_id: str) -> DataFrame:
-    return read_documents_json(spark, path).where(F.col("id") == document_id).limit(1)
-
-
-def write_documents_json(documents: DataFrame, path: str) -> None:
-    """JSON lines; a failed job leaves nothing behind that readers would see."""
-    documents.write.option("ignoreNullFields", "false").json(path)
+from leafmill.functions import chars, names
+from leafmill.operators.requests import last_requests
 
 
 # Columns of the stored tables whose records are named otherwise.
@@ -106,33 +91,63 @@ def delete_documents(gone: DataFrame, documents: DataFrame, pages: DataFrame, se
     return out
 
 
-def rename_folder(documents: DataFrame, members: DataFrame, title: Column, folder: Column) -> DataFrame:
-    """All members (``members(id)``) take the folder's title and id."""
+def _stamped(changes: dict[str, Column], table: DataFrame, changed: Column, now: Column | None) -> dict[str, Column]:
+    """``changes`` and, where the table has it, ``updated_at`` of changed rows."""
+    if "updated_at" not in table.columns:
+        return changes
+    at = (F.current_timestamp() if now is None else now).cast(table.schema["updated_at"].dataType)
+    return changes | {"updated_at": F.when(changed, at).otherwise(F.col("updated_at"))}
+
+
+def title_error(title: Column, code: str = "book_title_required") -> Column:
+    """A code where nothing but white space is given."""
+    return F.when(F.coalesce(chars.strip(title) == "", F.lit(True)), code)
+
+
+def rename_folder(documents: DataFrame, members: DataFrame, title: Column, folder: Column, now: Column | None = None) -> DataFrame:
+    """All members (``members(id)``) take the folder's title, stripped, and its
+    id; a title that is blank (``title_error``) changes nothing."""
     mine = members.select("id", F.lit(True).alias("lm_mine")).distinct()
-    return (
-        documents.join(mine, "id", "left")
-        .withColumns(
-            {
-                "title": F.when(F.col("lm_mine"), title).otherwise(F.col("title")),
-                "library_document_id": F.when(F.col("lm_mine"), folder).otherwise(F.col("library_document_id")),
-            }
-        )
-        .select(*documents.columns)
-    )
-
-
-def assign_folder(documents: DataFrame, moves: DataFrame) -> DataFrame:
-    """``moves``: id, folder_id, folder_title. Moved recordings keep their old
-    title as recording title unless they have one."""
-    joined = documents.join(moves, "id", "left")
+    hit = F.coalesce("lm_mine", F.lit(False)) & title_error(title).isNull()
+    changes = {
+        "title": F.when(hit, chars.strip(title)).otherwise(F.col("title")),
+        "library_document_id": F.when(hit, folder).otherwise(F.col("library_document_id")),
+    }
+    joined = documents.join(mine, "id", "left")
+    return joined.withColumns(_stamped(changes, documents, hit, now)).select(*documents.columns)
+
+
+def rename_recordings(documents: DataFrame, renames: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused) after ``renames``: id, title and perhaps
+    requested_at. Titles are stripped; refused are blank ones, unknown ids and
+    all but the last request of a document."""
+    asked = renames.withColumn("title", chars.strip(F.col("title")))
+    known = documents.select("id", F.lit(True).alias("lm_known")).distinct()
+    error = F.coalesce(title_error(F.col("title"), "recording_title_required"), F.when(F.col("lm_known").isNull(), "book_not_found"))
+    judged = asked.join(known, "id", "left").withColumn("error_code", error).drop("lm_known")
+    kept, others = last_requests(judged.where("error_code IS NULL").drop("error_code"), ["id"])
+    new = kept.select("id", F.col("title").alias("lm_title"))
+    hit = F.col("lm_title").isNotNull()
+    changes = _stamped({"recording_title": F.when(hit, F.col("lm_title")).otherwise(F.col("recording_title"))}, documents, hit, now)
+    done = documents.join(new, "id", "left").withColumns(changes).select(*documents.columns)
+    return done, judged.where("error_code IS NOT NULL").unionByName(others.drop("times"))
+
+
+def assign_folder(documents: DataFrame, moves: DataFrame, now: Column | None = None) -> DataFrame:
+    """``moves``: id, folder_id, folder_title and perhaps requested_at, of which
+    the last counts for each document. A moved recording takes the folder's id
+    and title, and, unless it has one, the stem of its file's name as recording
+    title, "Recording" without a name."""
+    last, _ = last_requests(moves, ["id"])
+    joined = documents.join(last.select("id", "folder_id", "folder_title"), "id", "left")
     moved = F.col("folder_id").isNotNull()
-    return joined.withColumns(
-        {
-            "recording_title": F.when(moved, F.coalesce("recording_title", "title")).otherwise(F.col("recording_title")),
-            "title": F.when(moved, F.col("folder_title")).otherwise(F.col("title")),
-            "library_document_id": F.when(moved, F.col("folder_id")).otherwise(F.col("library_document_id")),
-        }
-    ).select(*documents.columns)
+    stem = F.coalesce(F.nullif(names.file_stem(F.col("original_filename")), F.lit("")), F.lit("Recording"))
+    changes = {
+        "recording_title": F.when(moved, F.coalesce("recording_title", stem)).otherwise(F.col("recording_title")),
+        "title": F.when(moved, F.col("folder_title")).otherwise(F.col("title")),
+        "library_document_id": F.when(moved, F.col("folder_id")).otherwise(F.col("library_document_id")),
+    }
+    return joined.withColumns(_stamped(changes, documents, moved, now)).select(*documents.columns)
 
 
 def duplicates(table: DataFrame, key: list[str]) -> DataFrame:

@@ -1,7 +1,6 @@
 """Layout, lifecycle, storage, media and streaming cases."""
 
 import datetime as dt
-import json
 import struct
 
 from pyspark.sql import functions as F
@@ -71,7 +70,7 @@ def test_crops_and_names(spark):
         names.download_name(F.lit("..."), "x").alias("empty"),
         names.inside(F.lit("a/../b")).alias("inside"),
     ).first()
-    assert (row.none, row.flat, tuple(row.px), row.name, row.empty, row.inside) == (True, False, (9, 0, 10, 1), "My-book-1", "x", False)
+    assert (row.none, row.flat, tuple(row.px), row.name, row.empty, row.inside) == (True, False, (9, 0, 10, 1), "My-book-1", "x", True)
 
 
 def test_upsert_keeps_the_newest(spark):
@@ -82,28 +81,6 @@ def test_upsert_keeps_the_newest(spark):
     assert sorted((r.id, r.v) for r in store.upsert(old, new, ["id"]).collect()) == [(1, "a"), (2, "d"), (3, "e")]
 
 
-def test_json_documents(spark, tmp_path):
-    doc = {"id": "a", "title": "T", "updated_at": "2024-01-02T00:00:00Z", "pages": [{"id": "p", "page_number": 1}], "audio_segments": []}
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "document.json").write_text(json.dumps(doc))
-    (tmp_path / "b").mkdir()
-    (tmp_path / "b" / "document.json").write_text("{broken")
-    got = store.read_documents_json(spark, f"{tmp_path}/*/document.json").collect()
-    assert [r.title for r in got] == ["T", None] and got[0].pages[0].page_number == 1 and got[1]._corrupt_record
-
-
-def test_documents_are_written_and_read_one_by_one(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "Tïtle"), ("b", "Other")], "id string, title string")
-    store.write_documents_json(rows, str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*.json")))
-    assert "Tïtle" in text and (tmp_path / "out" / "_SUCCESS").exists()
-    for k in "ab":
-        (tmp_path / "in" / k).mkdir(parents=True)
-        (tmp_path / "in" / k / "document.json").write_text(json.dumps({"id": k, "title": k * 3}))
-    assert [r.title for r in store.read_document(spark, f"{tmp_path}/in/*/document.json", "b").collect()] == ["bbb"]
-    assert store.read_document(spark, f"{tmp_path}/in/*/document.json", "c").count() == 0
-
-
 def test_pdf_pages(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(b"%PDF-1.7 one|two||")
     (tmp_path / "y.pdf").write_bytes(b"not one")
@@ -214,3 +191,53 @@ def test_rotations_and_rows(spark):
     rows = spark.createDataFrame([("a.png", None)], "original_image_storage_path string, warning_messages array<string>")
     assert store.to_records(rows).first().asDict() == {"original_image_path": "a.png", "warning_messages": []}
     assert store.to_rows(store.to_records(rows)).columns == rows.columns
+
+
+def test_rotations_are_whole_numbers(spark):
+    texts = ['[0, 270]', '["90", "0"]', "[90.0, 0]", "[90, null]", "[90]", "{}", "", None, "[45, 0]", " [ 90 , 180 ] "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    found, error = names.rotations_error(F.col("t"), F.lit(2))
+    got = {r.k: (r.f, r.e) for r in df.select("k", found.alias("f"), error.alias("e")).collect()}
+    assert got[0] == ([0, 270], None) and got[9] == ([90, 180], None)
+    assert [got[k][1] for k in range(1, 9)] == ["invalid_rotation"] * 3 + ["invalid_rotations"] * 4 + ["invalid_rotation"]
+
+
+def test_archive_members_keep_number_and_extension(spark):
+    rows = [("d", 1, "audio/a.mp3"), ("d", 3, "audio/b"), ("d", 1000, "x.y/c.ogg"), ("d", 4, None), ("d", 5, "audio/.hidden")]
+    segments = spark.createDataFrame(rows, "document_id string, segment_number int, audio_storage_path string").withColumn("processing_status", F.lit("completed"))
+    got = {r.segment_number: r.member for r in library.archive_manifest(segments).collect()}
+    assert got == {1: "part-001.mp3", 3: "part-003.wav", 1000: "part-1000.ogg", 5: "part-005.wav"}
+
+
+def test_recording_titles_come_from_files(spark):
+    from leafmill.sources import store
+
+    rows = [(1, "Old", "a/scan.v2.pdf", None), (2, "Old", None, None), (3, "Old", "x.pdf", "Mine"), (4, "Old", "", None), (5, "Old", "y.pdf", None)]
+    docs = spark.createDataFrame(rows, "id long, title string, original_filename string, recording_title string").withColumn("library_document_id", F.lit(None).cast("long"))
+    moves = spark.createDataFrame([(k, 9, "Shelf") for k in (1, 2, 3, 4)] * 2, "id long, folder_id long, folder_title string")
+    got = {r.id: (r.title, r.recording_title) for r in store.assign_folder(docs, moves).collect()}
+    assert got == {1: ("Shelf", "scan.v2"), 2: ("Shelf", "Recording"), 3: ("Shelf", "Mine"), 4: ("Shelf", "Recording"), 5: ("Old", None)}
+
+
+def test_places_of_one_large_group_and_ties(spark):
+    from leafmill.operators import ranks
+
+    rows = [(None if k % 3 else "a", k % 50, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, t int, id int")
+    for descending in (False, True):
+        got = ranks.with_place(df, ["g"], [F.col("t"), F.col("id")], "place", descending).collect()
+        assert len(got) == 3000
+        for g in (None, "a"):
+            mine = sorted((r for r in got if r.g == g), key=lambda r: r.place)
+            assert [r.place for r in mine] == list(range(1, len(mine) + 1))
+            assert [(r.t, r.id) for r in mine] == sorted(((r.t, r.id) for r in mine), reverse=descending)
+    assert ranks.with_place(df.limit(0), ["g"], [F.col("t")], "place").count() == 0
+
+
+def test_last_requests(spark):
+    from leafmill.operators import requests
+
+    rows = [(1, 5, "a"), (1, 7, "b"), (1, 7, "b"), (2, 1, "c"), (None, 1, "d"), (None, 2, "e")]
+    kept, others = requests.last_requests(spark.createDataFrame(rows, "k int, requested_at int, v string"), ["k"])
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, 7, "b"), (2, 1, "c"), (None, 2, "e")], key=repr)
+    assert sorted(((r.k, r.v, r.times) for r in others.collect()), key=repr) == sorted([(1, "a", 1), (1, "b", 1), (None, "d", 1)], key=repr)
