@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import chars
@@ -268,9 +268,9 @@ def _glued(a: str, x: str) -> str:
     SELECT doc_id, unnest(range(len(t))) AS place, unnest(t) AS text FROM m"""
 )
 def glue_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segment._page_arrays(segment.paragraphs(_lines(spark, sf_dir), KEY), KEY)
-    merged = rows.select("doc_id", F.posexplode(segment.merge_fragments(F.col("texts"))).alias("place", "text"))
-    return merged.withColumn("place", F.col("place").cast("long"))
+    merged = segment.glue_fragments(segment.paragraphs(_lines(spark, sf_dir), KEY), KEY)
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("para")) - 1
+    return merged.select("doc_id", place.cast("long").alias("place"), "text")
 
 
 @query("SELECT conv_id AS document_id, CAST(turn + 1 AS INT) AS page_number, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS segment_number FROM conversations")

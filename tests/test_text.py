@@ -82,8 +82,28 @@ def test_headings_attach(spark):
 
 
 def test_fragments_glue_to_the_merged_tail(spark):
-    df = spark.createDataFrame([(["他走了很遠的路", "回家", "了", "The end", "完"],)], "t array<string>")
-    assert df.select(segment.merge_fragments(F.col("t")).alias("t")).first().t == ["他走了很遠的路回家了", "The end", "完"]
+    texts = ["他走了很遠的路", "回家", "了", "The end", "完", "「海」", "邊", "《長" + "路" * 40, "回"]
+    df = spark.createDataFrame([(k % 2, n, t) for k in range(2) for n, t in enumerate(texts)], "page int, para int, text string")
+    want = ["他走了很遠的路回家了", "The end", "完", "「海」", "邊", "《長" + "路" * 40 + "回"]
+    for page in range(2):
+        assert [r.text for r in segment.glue_fragments(df, ["page"]).where(F.col("page") == page).orderBy("para").collect()] == want
+
+
+def test_many_paragraphs_take_linear_time(spark):
+    """Twice the paragraphs of one page, less than three times the time."""
+    import time
+
+    def seconds(n):
+        text = "\n\n".join(f"Paragraph {k} of one page." for k in range(n))
+        pages = spark.createDataFrame([(1, 1, text)], "doc int, page int, text string")
+        began = time.perf_counter()
+        rows = segment.segment_pages(pages, "doc", "page", "text").collect()
+        took = time.perf_counter() - began
+        assert "\n\n".join(r.source_text for r in sorted(rows, key=lambda r: r.segment_number)) == text
+        return took
+
+    seconds(2000)
+    assert seconds(64_000) < 3 * seconds(32_000) + 2
 
 
 def test_seconds_agree(spark):
