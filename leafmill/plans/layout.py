@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import chars
-from leafmill.operators import layout
+from leafmill.operators import layout, likeness
 from leafmill.plans.catalogue import query
 from leafmill.sources import fixtures as fx
 from leafmill.sources import media
@@ -174,13 +174,22 @@ def normalize_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.normalize_predictions(raw, key)
 
 
+def similar_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of all conversations, and after each second one its words in
+    another order with a few of them changed."""
+    turns = fx.conversations(spark, sf_dir).selectExpr("document_id", "page_number * 2 AS pos", "text")
+    words = F.split("text", " ")
+    n = F.size(words)
+    moved = F.concat(F.slice(words, F.floor(n / 3).cast("int") + 1, n), F.array(F.lit("indeed")), F.slice(words, F.lit(1), F.floor(n / 3).cast("int")))
+    copies = turns.where("pos % 4 = 0").select("document_id", (F.col("pos") + 1).alias("pos"), F.array_join(moved, " ").alias("text"))
+    return turns.unionByName(copies)
+
+
 @query()
 def similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation that are like an earlier one of it."""
-    turns = fx.conversations(spark, sf_dir).select("document_id", "page_number", "text")
-    other = turns.select("document_id", F.col("page_number").alias("other"), F.col("text").alias("earlier"))
-    pairs = turns.join(other, "document_id").where(F.col("other") < F.col("page_number"))
-    return pairs.where(layout.similar_column(F.col("text"), F.col("earlier"))).select("document_id", "page_number", "other")
+    """Lines that are like an earlier one of their conversation, and which."""
+    found = likeness.first_like(similar_input(spark, sf_dir), ["document_id"])
+    return found.where("first_like IS NOT NULL").select("document_id", "pos", "first_like")
 
 
 def top_line_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -203,10 +212,31 @@ def merge_top_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.merge_top_lines(candidates, lines, KEY, bands=bands)
 
 
-@query()
+_PAGE = {
+    "gap": "CAST(12 + user_id % 25 AS DOUBLE)", "first_y": "CASE WHEN user_id % 17 > 0 THEN CAST(40 + user_id % 60 AS DOUBLE) + 0.5 END", "left": "CAST(user_id % 40 AS INT)",
+    "right": "CAST(200 + user_id % 11 * 60 AS INT)", "width": "CAST(400 + user_id % 5 * 300 AS INT)", "height": "CAST(60 + user_id % 90 AS INT)",
+}
+_PRINT = "CASE WHEN y % (20 + user_id % 21) < 12 THEN CAST(floor(ink) AS BIGINT) ELSE 0 END"
+
+
+@query(
+    f"""WITH {_SERIES}, printed AS (SELECT user_id, y, {_PRINT} AS ink FROM series), f AS (SELECT DISTINCT user_id, {", ".join(f'{v} AS "{k}"' for k, v in _PAGE.items())} FROM series),
+    m AS (SELECT *, greatest(0, round_even(first_y - 4 * gap, 0)) AS low, least(height, round_even(first_y + 0.45 * gap, 0)) AS high, CAST(greatest(1, round_even(0.05 * gap, 0)) AS BIGINT) AS r FROM f WHERE first_y IS NOT NULL AND "right" - "left" >= 0.2 * width),
+    n AS (SELECT m.*, y, ink FROM printed p JOIN m ON m.user_id = p.user_id WHERE high - low >= greatest(24, gap) AND y >= low AND y < high),
+    s AS (SELECT *, avg(ink) OVER (PARTITION BY user_id ORDER BY y ROWS BETWEEN r PRECEDING AND r FOLLOWING) AS smooth,
+      greatest(2, round_even(0.012 * ("right" - "left"), 0), round_even(0.08 * max(ink) OVER (PARTITION BY user_id), 0)) AS level FROM n),
+    g AS (SELECT user_id, gap, height, first_y, min(y) AS top, max(y) + 1 AS bottom FROM (SELECT *, y - row_number() OVER (PARTITION BY user_id ORDER BY y) AS i FROM s WHERE smooth >= level) GROUP BY user_id, gap, height, first_y, i),
+    k AS (SELECT *, CASE WHEN top - lag(bottom) OVER (PARTITION BY user_id ORDER BY top) <= greatest(3, round_even(0.18 * gap, 0)) THEN 0 ELSE 1 END AS opens FROM g WHERE bottom - top >= greatest(4, round_even(0.16 * gap, 0))),
+    j AS (SELECT user_id, gap, height, first_y, min(top) AS top, arg_max(bottom, top) AS bottom FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY top) AS c FROM k) GROUP BY user_id, gap, height, first_y, c),
+    p AS (SELECT *, greatest(0, top - greatest(8, round_even(0.45 * gap, 0))) AS t, least(height, bottom + greatest(8, round_even(0.45 * gap, 0))) AS b FROM j)
+    SELECT user_id, CAST(t AS BIGINT) AS top, CAST(b AS BIGINT) AS bottom FROM p WHERE b - t >= greatest(24, round_even(0.6 * gap, 0)) AND (t + b) / 2.0 <= first_y + 0.3 * gap
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t) <= 5"""
+)
 def ink_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _series(spark, sf_dir).withColumn("ink", F.col("ink") * (F.col("y") % 40 < 12).cast("int"))
-    return layout.ink_bands(rows, ["user_id"], gap=20, width=400, first_y=60)
+    """Pages of many sizes, each searched by its own gap, block and first line."""
+    series = _series(spark, sf_dir)
+    frames = series.select("user_id").distinct().selectExpr("user_id", *[f"{v} AS {k}" for k, v in _PAGE.items()])
+    return layout.ink_bands(series.select("user_id", "y", F.expr(_PRINT).alias("ink")), frames, ["user_id"])
 
 
 _VERDICTS = f"""v AS (SELECT doc_id, pos, length({_K}) AS k, {_K} AS bare, {_CJK} AS n, confidence, x_min, y_min, {_PUNCT} AS marks FROM p)"""

@@ -148,13 +148,56 @@ def test_segments(spark, small, name):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def likes(rows):
+    """{place: first earlier place whose text is like it}, by all pairs."""
+    rows = sorted(rows)
+    return {p: next((q for q, u in rows[:k] if u.split() and alike(t, u)), None) for k, (p, t) in enumerate(rows) if t.split()}
+
+
 def test_similar_lines(spark, small):
-    turns = {}
-    for r in spark.read.parquet(f"{small}/conversations.parquet").collect():
-        turns.setdefault(r.conv_id, []).append((r.turn + 1, r.text))
-    want = {(c, n, m) for c, rows in turns.items() for n, t in rows for m, u in rows if m < n and alike(t, u)}
-    got = {tuple(r) for r in QUERIES["similar_lines"](spark, small).select("document_id", "page_number", "other").collect()}
-    assert got == want
+    pages = {}
+    for r in plans.similar_input(spark, small).collect():
+        pages.setdefault(r.document_id, []).append((r.pos, r.text))
+    want = {(c, p, q) for c, rows in pages.items() for p, q in likes(rows).items() if q is not None}
+    got = {tuple(r) for r in QUERIES["similar_lines"](spark, small).select("document_id", "pos", "first_like").collect()}
+    assert got == want and len(want) > 20
+
+
+def planted_lines(seed, n):
+    """Lines of random letters, some of them changed copies of others, some equal."""
+    rng = np.random.default_rng(seed)
+    lines = ["".join(rng.choice(list("abcdefgh ijklmnop海邊的"), int(rng.integers(5, 40)))) for _ in range(n)]
+    for k in range(5, n, 4):
+        source = list(lines[int(rng.integers(0, k))])
+        for _ in range(int(rng.integers(0, 6))):
+            source[int(rng.integers(0, len(source)))] = str(rng.choice(list("xyz")))
+        lines[k] = "".join(source)
+    return lines
+
+
+def test_planted_likenesses_in_tiles(spark, monkeypatch):
+    from leafmill.operators import likeness
+
+    monkeypatch.setattr(likeness, "TILE", 16)
+    pages = {None: planted_lines(1, 150), 7: planted_lines(2, 90), 8: ["same line here"] * 40 + ["", "  "], 9: []}
+    rows = [(k, n, t) for k, lines in pages.items() for n, t in enumerate(lines)] + [(9, 0, None)]
+    got = likeness.first_like(spark.createDataFrame(rows, "page int, pos int, text string"), ["page"]).collect()
+    assert len(got) == len(rows)
+    found = {(r.page, r.pos): r.first_like for r in got}
+    for k, lines in pages.items():
+        want = likes(list(enumerate(lines)))
+        assert {p: found[k, p] for p in want} == want
+    assert found[9, 0] is None and found[8, 39] == 0 and sum(v is not None for v in found.values()) > 60
+
+
+def test_bounds_spare_most_comparisons_and_lose_none():
+    from leafmill.operators import likeness
+
+    lines = ["".join(t.split()) for t in planted_lines(3, 200)]
+    i, j = likeness.candidates(lines, lines)
+    kept = set(zip(i.tolist(), j.tolist()))
+    alike_ = {(a, b) for a, x in enumerate(lines) for b, y in enumerate(lines) if x != y and min(len(x), len(y)) >= 10 and layout.similar(x, y)}
+    assert alike_ <= kept and len(kept) < 0.5 * len(lines) ** 2
 
 
 def test_merge_top_lines(spark, small):
@@ -217,35 +260,36 @@ def test_merge_top_lines(spark, small):
     assert got == want
 
 
-def test_ink_bands(spark, small):
-    rows = {}
-    for r in plans._series(spark, small).collect():
-        rows.setdefault(r.user_id, {})[r.y] = r.ink * (r.y % 40 < 12)
-    gap, width, first, want = 20, 400, 60, {}
-    for user, ink in rows.items():
-        at = sorted(y for y in ink if first - 4 * gap <= y <= first + 0.45 * gap)
-        if not at:
+def test_ink_bands(spark):
+    """Pages of their own sizes, row by row."""
+    rng = np.random.default_rng(6)
+    rows, frames, want = [], [], set()
+    for page in range(60):
+        height, gap, width = int(rng.integers(80, 400)), int(rng.integers(12, 60)), int(rng.integers(200, 900))
+        left, right, first = int(rng.integers(0, 60)), int(rng.integers(80, width)), float(rng.integers(20, height))
+        ink, y = np.zeros(height, dtype=int), 0
+        while y < height:
+            tall = int(rng.integers(2, gap))
+            ink[y : y + tall] = rng.integers(3, 80, len(ink[y : y + tall]))
+            y += tall + int(rng.integers(1, gap))
+        rows += [(page, y, int(v)) for y, v in enumerate(ink)]
+        frames.append((page, float(gap), first if page % 9 else None, left, right, width, height))
+        low, high = max(0, round(first - 4 * gap)), min(height, round(first + 0.45 * gap))
+        if not page % 9 or right - left < 0.2 * width or high - low < max(24, gap):
             continue
-        level = max(2.0, round(0.012 * width), round(0.08 * max(ink[y] for y in at)))
-        smooth = {y: np.mean([ink[z] for z in at[max(0, k - 1) : k + 2]]) for k, y in enumerate(at)}
-        runs = []
-        for y in (y for y in at if smooth[y] >= level):
-            if runs and runs[-1][1] == y:
-                runs[-1][1] = y + 1
-            else:
-                runs.append([y, y + 1])
+        scan, reach = ink[low:high], max(1, round(gap * 0.05))
+        level = max(2, round((right - left) * 0.012), round(max(scan) * 0.08))
+        active = [np.mean(scan[max(0, k - reach) : k + reach + 1]) >= level for k in range(len(scan))]
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], active, [0]])))
+        runs = [(a, b) for a, b in edges.reshape(-1, 2).tolist() if b - a >= max(4, round(gap * 0.16))]
         merged = []
-        for a, b in (r for r in runs if r[1] - r[0] >= max(4, round(0.16 * gap))):
-            if merged and a - merged[-1][1] <= max(3, round(0.18 * gap)):
-                merged[-1][1] = b
-            else:
-                merged.append([a, b])
-        pad = max(8, round(0.45 * gap))
-        padded = [(max(0, a - pad), b + pad) for a, b in merged]
-        kept = [(a, b) for a, b in padded if b - a >= max(24, round(0.6 * gap)) and (a + b) / 2 <= first + 0.3 * gap]
-        if kept:
-            want[user] = kept[:5]
-    got = {}
-    for r in QUERIES["ink_bands"](spark, small).orderBy("top").collect():
-        got.setdefault(r.user_id, []).append((r.top, r.bottom))
-    assert got == want and want
+        for a, b in runs:
+            joins = merged and a - merged[-1][1] <= max(3, round(gap * 0.18))
+            merged = [*merged[:-1], (merged[-1][0], b)] if joins else [*merged, (a, b)]
+        pad = max(8, round(gap * 0.45))
+        boxes = [(max(0, low + a - pad), min(height, low + b + pad)) for a, b in merged]
+        kept = [(t, b) for t, b in boxes if b - t >= max(24, round(gap * 0.6)) and (t + b) / 2 <= first + 0.3 * gap]
+        want |= {(page, *box) for box in kept[:5]}
+    frame = "page int, gap double, first_y double, left int, right int, width int, height int"
+    got = layout.ink_bands(spark.createDataFrame(rows, "page int, y int, ink int"), spark.createDataFrame(frames, frame), ["page"])
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 40

@@ -16,7 +16,8 @@ LINE = "page long, pos int, text string, confidence double, y_min double, x_min
 def test_two_bands_from_two_bars(spark):
     rows = [(1, y, 100.0 if 40 <= y < 60 or 110 <= y < 130 else 0.0) for y in range(200)]
     df = spark.createDataFrame(rows, "page long, y long, ink double")
-    got = layout.ink_bands(df, ["page"], gap=40, width=200, first_y=180).orderBy("top").collect()
+    frame = spark.createDataFrame([(1, 40.0, 180.0, 0, 200, 200, 400)], "page long, gap double, first_y double, left int, right int, width int, height int")
+    got = layout.ink_bands(df, frame, ["page"]).orderBy("top").collect()
     assert [(r.top, r.bottom) for r in got] == [(20, 80), (90, 150)]  # two rows of smoothing, 18 of padding
 
 
