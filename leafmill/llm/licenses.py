@@ -8,7 +8,10 @@ rarest in the corpus first; a block that contains enough of a template must
 share a word with the template's prefix (its first |T| - ceil(theta |T|) + 1
 words), must have at least ceil(theta |T|) known words, and, given which prefix
 word is the first shared, must still be able to collect the rest (positional
-filter). Survivors are verified on the full sets.
+filter). The filters are applied to stretches around prefix words, as far as a
+block can reach from one; what survives is verified on the full sets. Every
+block contains a shortest one, so the shortest that don't overlap, leftmost
+first, are reported, as the places of a phrase would be.
 
 Phrases whose words must stand consecutively (the base labels) are found on
 the word sequence itself.
@@ -117,15 +120,46 @@ class Templates:
     def prefix(self, name: str) -> np.ndarray:
         return self.sets[name][: len(self.sets[name]) - self.need[name] + 1]
 
-    def candidates(self, known: np.ndarray) -> list[str]:
-        """Templates that a text with these distinct ranks may hold enough of."""
-        out = []
-        for name in self.names:
-            mine = self.sets[name]
-            shared = np.flatnonzero(np.isin(self.prefix(name), known))
-            # Words before the first shared one are missing; the rest must do.
-            if len(shared) and min(len(mine) - int(shared[0]), len(known)) >= self.need[name]:
-                out.append(name)
+    def may_hold(self, name: str, known: np.ndarray) -> bool:
+        """Whether a block of these distinct ranks may hold enough of a template."""
+        mine = self.sets[name]
+        shared = np.flatnonzero(np.isin(self.prefix(name), known))
+        # Words before the first shared one are missing; the rest must do.
+        return bool(len(shared)) and min(len(mine) - int(shared[0]), len(known)) >= self.need[name]
+
+    def stretches(self, name: str, at: np.ndarray, ranks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Parts of a text in which blocks of a template may lie: places and
+        ranks of its words within reach of its prefix's. ``at``: places of known
+        words, ascending."""
+        mine = np.isin(ranks, self.sets[name])
+        at, ranks = at[mine], ranks[mine]
+        seeds = at[np.isin(ranks, self.prefix(name))]
+        if not len(seeds):
+            return
+        gaps = np.flatnonzero(np.diff(seeds) > 2 * self.reach[name])
+        for low, high in zip(seeds[np.append(0, gaps + 1)] - self.reach[name], seeds[np.append(gaps, len(seeds) - 1)] + self.reach[name], strict=True):
+            a, b = np.searchsorted(at, [low, high + 1])
+            if self.may_hold(name, np.unique(ranks[a:b])):
+                yield at[a:b], ranks[a:b]
+
+    def blocks(self, name: str, at: np.ndarray, ranks: np.ndarray) -> list[tuple[int, int]]:
+        """(first word, last word) of the shortest blocks of a stretch that don't
+        overlap, by their ends; of equal ends the later start."""
+        places, codes = at.tolist(), ranks.tolist()
+        held: dict[int, int] = {}
+        out: list[tuple[int, int]] = []
+        low = 0
+        for high, code in enumerate(codes):
+            held[code] = held.get(code, 0) + 1
+            # Drop what is too far off, then what the block can do without.
+            while places[high] - places[low] >= self.reach[name] or (len(held) >= self.need[name] and held[codes[low]] > 1) or len(held) > self.need[name]:
+                held[codes[low]] -= 1
+                if not held[codes[low]]:
+                    del held[codes[low]]
+                low += 1
+            if len(held) >= self.need[name]:
+                out.append((places[low], places[high]))
+                held, low = {}, high + 1
         return out
 
     def best_block(self, name: str, at: np.ndarray, ranks: np.ndarray) -> tuple[float, int, int] | None:
@@ -152,8 +186,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, theta: float =
 
     Labels of templates join the base labels. ``score`` is the best
     containment, 1 if a base phrase stands in the text, else 0 without match.
-    ``blocks`` lists (label, first word, last word, containment) of the best
-    block of each template, of equal ones the earliest. Null or empty text: no
+    ``blocks`` lists (label, first word, last word, containment) of every block,
+    shortest and disjoint within a template, by first word, last word and label;
+    containment is that of the best block around. Null or empty text: no
     words, nulls, empty labels. Repeated rows stay repeated, null ids stay, an
     empty table gives no rows, other columns are ignored. The time for a text
     is linear in its words.
@@ -179,16 +214,20 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, theta: float =
                         count[o] += 1
                         first[o] = p if first[o] < 0 else min(first[o], p)
                         last[o] = max(last[o], p)
-                best: list[dict[str, tuple[float, int, int]]] = [{} for _ in range(n)]
+                best: list[dict[str, float]] = [{} for _ in range(n)]
+                blocks: list[list[dict]] = [[] for _ in range(n)]
                 ranks = rank[codes] if len(codes) else np.zeros(0, np.int64)
                 known = np.flatnonzero(ranks >= 0)
                 seeds = known[np.isin(ranks[known], model.rarest)]
                 for o in np.unique(np.searchsorted(rows, seeds, side="right") - 1).tolist():
                     mine = known[np.searchsorted(known, rows[o]) : np.searchsorted(known, rows[o + 1])]
-                    for name in model.candidates(np.unique(ranks[mine])):
-                        found = model.best_block(name, mine - rows[o], ranks[mine])
-                        if found:
-                            best[o][name] = found
+                    for name in model.names:
+                        for where, what in model.stretches(name, mine - rows[o], ranks[mine]):
+                            found = model.best_block(name, where, what)
+                            if found:
+                                best[o][name] = max(best[o].get(name, 0.0), found[0])
+                                blocks[o] += [{"label": name, "first": f, "last": g, "containment": found[0]} for f, g in model.blocks(name, where, what)]
+                    blocks[o].sort(key=lambda x: (x["first"], x["last"], x["label"]))
                 none = first < 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -199,8 +238,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, theta: float =
                         pa.array(last, mask=none),
                         pa.array([",".join(sorted(s)) for s in base]),
                         pa.array([",".join(sorted(s | set(m))) for s, m in zip(base, best, strict=True)]),
-                        pa.array([max([float(bool(s)), *(x[0] for x in m.values())]) for s, m in zip(base, best, strict=True)], pa.float64()),
-                        pa.array([[{"label": k, "first": f, "last": g, "containment": c} for k, (c, f, g) in sorted(m.items())] for m in best], block_kind),
+                        pa.array([max([float(bool(s)), *m.values()]) for s, m in zip(base, best, strict=True)], pa.float64()),
+                        pa.array(blocks, block_kind),
                     ],
                     names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"],
                 )

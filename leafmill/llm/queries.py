@@ -106,7 +106,9 @@ def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leafmill.llm import licenses
 
-    return licenses.scan(common.table(spark, sf_dir, "documents")).drop("blocks")
+    found = licenses.scan(common.table(spark, sf_dir, "documents"))
+    place = lambda b: F.concat_ws(":", b["label"], b["first"].cast("string"), b["last"].cast("string"))
+    return found.withColumn("blocks", F.array_join(F.transform("blocks", place), ","))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

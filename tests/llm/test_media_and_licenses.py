@@ -163,7 +163,7 @@ def test_containment_join_is_exact(spark):
             out += w + ("\n" if rng.random() < 0.15 else " ")
         rows.append((k, out))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: {b.label: b.containment for b in r.blocks} for r in licenses.scan(df).collect()}
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
     for k, text in rows:
         words, want = text.split(), {}
         for name, t in licenses.TEMPLATES.items():
@@ -171,7 +171,35 @@ def test_containment_join_is_exact(spark):
             best = max(len(needed & set(words[a : a + reach])) for a in range(len(words)))
             if best >= licenses.THETA * len(needed) - 1e-9:
                 want[name] = best / len(needed)
-        assert got[k] == want, k
+        assert {x for x in got[k].labels.split(",") if x} == set(want), k
+        assert got[k].score == max(want.values(), default=0) and {b.label for b in got[k].blocks} == set(want)
+        assert [(b.first, b.last, b.label) for b in got[k].blocks] == every_block(words)
+
+
+def every_block(words):
+    """By trying all runs: the shortest of enough words, by end, that begin after the last one taken."""
+    out = []
+    for name, t in licenses.TEMPLATES.items():
+        needed, reach = set(t.split()), licenses.STRETCH * len(t.split())
+        enough = licenses.THETA * len(needed) - 1e-9
+        runs = [(b, -a) for a in range(len(words)) if words[a] in needed for b in range(a, min(len(words), a + reach)) if words[b] in needed and len(needed & set(words[a : b + 1])) >= enough]
+        done = -1
+        for b, a in sorted(runs):
+            if -a > done:
+                out.append((-a, b, name))
+                done = b
+    return sorted(out)
+
+
+def test_every_notice_is_a_block(spark):
+    notice, other = licenses.TEMPLATES["bsd"].split(), licenses.TEMPLATES["mit-grant"].split()
+    filler = [f"word{k}" for k in range(60)]
+    texts = [notice + filler + notice, notice * 3, filler + notice + other + filler + other, notice[:10] + filler + notice[10:], filler * 5_000 + notice + filler * 5_000 + notice]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts[:4]):
+        assert [(b.first, b.last, b.label) for b in got[k].blocks] == every_block(text)
+    assert [len(got[k].blocks) for k in range(5)] == [2, 3, 3, 0, 2]
+    assert all(b.containment == 1 for k in (0, 1, 2, 4) for b in got[k].blocks)
 
 
 @pytest.mark.parametrize("width", [1, 5, 40])
