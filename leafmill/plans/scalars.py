@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import chars, geometry, names
-from leafmill.plans.catalogue import query
+from leafmill.operators import images
+from leafmill.plans.catalogue import ORACLES, query
 from leafmill.sources import fixtures as fx
 from leafmill.sources import media
 
@@ -109,6 +110,42 @@ def upright_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.upright_pixels(pixels, sizes.withColumns(crop), ["image"])
 
 
+@query(ORACLES["upright_pixels"])
+def normalized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pixels drawn into PNG files, which are put upright, turned and
+    cut as files, and read back."""
+    fx.table(spark, sf_dir, "lineitem").createOrReplaceTempView("leafmill_lineitem")
+    pixels = spark.sql(_PIXELS.replace("FROM lineitem", "FROM leafmill_lineitem"))
+    sizes = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image")).distinct()
+    sizes = sizes.selectExpr("image", "8 AS width", "6 AS height", "CAST(image % 9 AS INT) AS orientation")
+    sides = zip(images.CROP, (0.25, 0.0, 0.75, 1.0), strict=True)
+    crop = {c: F.when(F.col("image") % 5 > 0, F.lit(v)).cast("double") for c, v in sides}
+    files = images.draw(pixels, sizes, ["image"]).withColumns({"rotation": F.expr("CAST(image % 4 AS INT) * 90"), **crop})
+    read = images.read_pixels(images.normalize(files).select("image", "png"), "png")
+    return read.where("n > 0").select("image", "x", "y", F.col("n").cast("long").alias("n"))
+
+
+_SHEET = {
+    "w": "CAST(100 + p_size * 3 AS INT)", "h": "CAST(120 + p_partkey % 60 AS INT)", "x0": "CAST(p_partkey % 40 AS INT)", "y0": "CAST(p_partkey % 37 AS INT)",
+    "x1": "CAST(60 + p_size * 2 AS INT)", "y1": "CAST(80 + p_partkey % 41 AS INT)",
+}
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, {", ".join(f"{v} AS {k}" for k, v in _SHEET.items())} FROM part),
+    s AS (SELECT *, x1 > x0 AND y1 > y0 AND y1 - y0 > h * 0.30::DOUBLE AND x1 - x0 > w * 0.30::DOUBLE AND x1 - x0 >= w * 0.35::DOUBLE AND y1 - y0 >= h * 0.35::DOUBLE AS found FROM p),
+    b AS (SELECT *, greatest(0, x0 - round_even(w * 0.04, 0)) AS l, least(w, x1 + round_even(w * 0.04, 0)) AS r, greatest(0, y0 - round_even(h * 0.04, 0)) AS t, least(h, y1 + round_even(h * 0.04, 0)) AS b FROM s),
+    k AS (SELECT *, found AND (r - l) * (b - t) >= w * h * 0.40::DOUBLE AND NOT (r - l >= w * 0.98::DOUBLE AND b - t >= h * 0.98::DOUBLE) AS cuts FROM b)
+    SELECT p_partkey, CAST(CASE WHEN cuts THEN l ELSE 0 END AS INT) AS paper_left, CAST(CASE WHEN cuts THEN t ELSE 0 END AS INT) AS paper_top,
+    CAST(CASE WHEN cuts THEN r ELSE w END AS INT) AS paper_right, CAST(CASE WHEN cuts THEN b ELSE h END AS INT) AS paper_bottom FROM k"""
+)
+def paper_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photographs of a white sheet before a dark ground, sizes and places by part."""
+    rows = fx.table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{v} AS {k}" for k, v in _SHEET.items()])
+    found = images.detect_paper(images.draw_sheets(rows))
+    return found.select("p_partkey", "paper_left", "paper_top", "paper_right", "paper_bottom")
+
+
 _UPLOAD = {
     "kind": "CASE p_partkey % 2 WHEN 0 THEN 'pdf' ELSE 'images' END",
     "name": "CASE p_partkey % 5 WHEN 0 THEN 'a.PDF' WHEN 1 THEN 'b.jpeg' WHEN 2 THEN 'c' WHEN 3 THEN 'd.png' ELSE 'e.pdf' END",
