@@ -14,28 +14,35 @@ from pyspark.sql import functions as F
 SLICES, SAMPLE = 256, 8192
 
 
-def with_place(table: DataFrame, keys: list[str], order: list[Column], name: str, descending: bool = False) -> DataFrame:
-    """``table`` with ``name``, each row's place (from 1) in its group by
-    ``order``, whose columns must tell rows apart if places are to be certain.
+def sliced(table: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``table`` with ``name``, the number of the slice that each row's
+    ``order`` lies in; equal orders share a slice.
 
-    The sample is of the smallest hashes of the order, at most ``SAMPLE`` rows,
-    and only says where to cut: places are exact for any cuts.
+    Slices begin at values of the rows of the smallest hashes of the order, at
+    most ``SAMPLE`` rows, of which ``SLICES`` come into the plan as a constant:
+    every task cuts alike, whenever it runs.
     """
     marked = table.withColumn("lm_order", F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)]))
     kind = marked.schema["lm_order"].dataType
     seen = marked.select("lm_order").orderBy(F.xxhash64("lm_order")).limit(SAMPLE)
     step = max(1, SAMPLE // SLICES)
     sampled = seen.agg(F.sort_array(F.collect_list("lm_order")).alias("s"))
-    # At most SLICES values, as a constant of the plan.
     cuts = sampled.select(F.expr(f"filter(s, (x, i) -> i % {step} = 0)").alias("s")).first()["s"]
-    spark = table.sparkSession
-    bounds = spark.createDataFrame([(cuts,)], f"s array<{kind.simpleString()}>")
-    sliced = marked.crossJoin(F.broadcast(bounds))  # one row
-    sliced = sliced.withColumn("lm_slice", F.size(F.filter("s", lambda b: b <= F.col("lm_order")))).drop("s")
+    constant = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, kind.fields, strict=True)]) for cut in cuts])
+    constant = constant.cast(f"array<{kind.simpleString()}>")
+    return marked.withColumn(name, F.size(F.filter(constant, lambda b: b <= F.col("lm_order")))).drop("lm_order")
+
+
+def with_place(table: DataFrame, keys: list[str], order: list[Column], name: str, descending: bool = False) -> DataFrame:
+    """``table`` with ``name``, each row's place (from 1) in its group by
+    ``order``, whose columns must tell rows apart if places are to be certain.
+    The sample only says where to cut: places are exact for any cuts."""
+    kept = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)])
+    ordered = sliced(table, order, "lm_slice").withColumn("lm_order", kept)
     way = F.desc if descending else F.asc
     within = Window.partitionBy(*keys, "lm_slice").orderBy(way("lm_order"))
-    placed = sliced.withColumn("lm_row", F.row_number().over(within))
-    sizes = sliced.groupBy(*keys, "lm_slice").agg(F.count(F.lit(1)).alias("lm_n"))
+    placed = ordered.withColumn("lm_row", F.row_number().over(within))
+    sizes = ordered.groupBy(*keys, "lm_slice").agg(F.count(F.lit(1)).alias("lm_n"))
     earlier = Window.partitionBy(*keys).orderBy(way("lm_slice")).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("lm_before", F.coalesce(F.sum("lm_n").over(earlier), F.lit(0))).drop("lm_n")
     same = F.col("a.lm_slice") == F.col("b.lm_slice")

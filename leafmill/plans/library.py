@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import chars
-from leafmill.operators import library, lifecycle
+from leafmill.operators import library, lifecycle, timeline
 from leafmill.plans.catalogue import query
 from leafmill.sources import fixtures as fx
 from leafmill.sources import store
@@ -238,6 +238,33 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.windowed_counts(fx.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
+_HOT = "CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END"
+
+
+@query(
+    f"""WITH e AS (SELECT {_HOT} AS who, ts, value FROM events), o AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL '3' HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM e WINDOW w AS (PARTITION BY who ORDER BY ts)),
+    n AS (SELECT *, sum(opens) OVER (PARTITION BY who ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT who, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events, round(sum(value), 4) AS total FROM n GROUP BY who, k"""
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users, a third of all events having none."""
+    events = fx.table(spark, sf_dir, "events").withColumn("who", F.expr(_HOT))
+    return timeline.sessions(events, ["who"], "ts", "3 HOURS", "value").withColumn("total", F.round("total", 4))
+
+
+@query(
+    f"""WITH {_TRANSITION}, v AS (SELECT user_id, ts, event_id AS version, position_seconds, completed FROM saved WHERE event_id % 3 = 0)
+    SELECT e.event_id, e.user_id, CAST(v.version AS BIGINT) AS version, CAST(v.position_seconds AS DOUBLE) AS position_seconds, v.completed FROM events e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts"""
+)
+def progress_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the progress its user had saved by then."""
+    saved = progress.transition(progress_events(spark, sf_dir)).where("event_id % 3 = 0")
+    versions = saved.select("user_id", "ts", F.col("event_id").alias("version"), "position_seconds", "completed")
+    events = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    joined = timeline.as_of(events, versions, ["user_id"], "ts", ["version", "position_seconds", "completed"], "version")
+    return joined.drop("ts")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
 def parse_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
