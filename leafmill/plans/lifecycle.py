@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import chars
 from leafmill.operators import lifecycle
+from leafmill.plans import shared
 from leafmill.plans.catalogue import query
 from leafmill.sources import fixtures as fx
+from leafmill.sources import graph
+from leafmill.streaming import job
 
 _OPEN = f"processing_status IN {lifecycle.UNFINISHED}"
 
@@ -361,3 +364,26 @@ def resume_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def move_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     current, position, _ = lifecycle.move_part(F.col("segment_count"), 1, F.lit(2))
     return fx.recordings(spark, sf_dir).select("id", current.alias("current"), position.alias("position"))
+
+
+_SETTLED = f"""{fx.PAGES_SQL}, settled AS (SELECT document_id, page_number, CASE WHEN extraction_method = 'embedded_text' AND {_OPEN} THEN CASE WHEN {_BLANK} THEN 'failed' ELSE 'completed' END ELSE processing_status END AS s FROM pages_),
+c AS (SELECT document_id, count(*) AS n, count(*) FILTER (WHERE s = 'completed') AS c, count(*) FILTER (WHERE s = 'failed') AS f FROM settled GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_SETTLED} SELECT CAST(document_id AS VARCHAR) AS id, n AS seen_pages, c AS completed_pages, f AS failed_pages, CASE WHEN f > 0 THEN 'failed' WHEN c = n THEN 'text_ready' ELSE 'extracting_text' END AS status,
+    CASE WHEN f > 0 THEN f || CASE WHEN f = 1 THEN ' page' ELSE ' pages' END || ' still need attention.' END AS error_message FROM c"""
+)
+def page_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as a stream of three batches, then all of them again as a run
+    that has lost its checkpoint, which changes nothing; then the documents."""
+    folder = shared.folder(spark)
+    pages = fx.pages(spark, sf_dir).selectExpr("concat(document_id, '/', page_number) AS id", "CAST(document_id AS STRING) AS document_id", "page_number", "extraction_method", "extracted_text", "processing_status")
+    for part in range(3):
+        pages.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+    g = graph.Graph(spark, f"{folder}/graph", buckets=8)
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
+    job.prepare(g, stream, f"{folder}/offsets").awaitTermination()
+    # A new run from the first offset: every batch is there already.
+    job.prepare(g, stream, f"{folder}/other-offsets").awaitTermination()
+    return g.read("documents").select("id", *job.COUNTS, "status", "error_message")

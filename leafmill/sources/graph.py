@@ -72,6 +72,10 @@ class Graph:
     def _bucket(self, c: str) -> Column:
         return F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(self.buckets)).cast("int")
 
+    def touched(self, keys: DataFrame) -> list[int]:
+        """The buckets that keys lie in: at most as many as there are."""
+        return sorted(r[0] for r in keys.where(F.col(self.key).isNotNull()).select(self._bucket(self.key).alias("b")).distinct().collect())
+
     def read(self, table: str, manifest: Manifest | None = None, only: list[int] | None = None) -> DataFrame | None:
         """A table as a manifest has it (None if it has none); ``only``: buckets."""
         manifest = manifest or self.manifest()
@@ -123,8 +127,7 @@ class Graph:
         last = F.max(F.struct(*([F.col("updated_at")] if "updated_at" in rows.columns else []), *rest)).alias("r")
         mine = rows.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
         mine = mine.withColumn("lm_bucket", self._bucket(key))
-        # At most as many numbers as there are buckets.
-        touched = sorted(r[0] for r in mine.select("lm_bucket").distinct().collect())
+        touched = self.touched(mine)
         if not touched:
             return
         before = self.read(table, old, touched)

@@ -105,3 +105,58 @@ def test_listeners_go_idle(spark, tmp_path):
         spark.conf.unset(keyed.PROVIDER[0])
     idle = [(r.user_id, r.event_id) for r in spark.read.parquet(f"{tmp_path}/out").where("idle").orderBy("ts").collect()]
     assert idle[0] == (1, 1) and len(idle) == len(set(idle))
+
+
+PAGE = "id string, document_id string, page_number int, extraction_method string, extracted_text string, processing_status string"
+
+
+def test_the_page_job_survives_stops(spark, tmp_path, monkeypatch):
+    """Stopped before a save, after one, and between batches: the same tables."""
+    from leafmill.sources import graph
+    from leafmill.streaming import job
+
+    rng = random.Random(6)
+    rows = [(f"d{k % 9}/{k}", f"d{k % 9}", k, rng.choice(["embedded_text", "embedded_text", "ocr"]), rng.choice(["  text ", "", "more"]), rng.choice(["pending", "pending", "completed"])) for k in range(120)]
+    rows += [(i, d, p, "embedded_text", "again", "pending") for i, d, p, *_ in rows[:20]]  # pages that come once more
+    parts = [rows[:50], rows[50:90], rows[90:]]
+    for part in parts:
+        spark.createDataFrame(part, PAGE).coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
+    stream = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/pages")
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp")
+
+    def tables(g):
+        return [sorted(map(tuple, g.read(t).select(sorted(g.read(t).columns)).collect())) for t in ("documents", "pages")]
+
+    whole = graph.Graph(spark, f"{tmp_path}/whole", buckets=4)
+    job.prepare(whole, stream, f"{tmp_path}/whole-check", now).awaitTermination()
+    broken = graph.Graph(spark, f"{tmp_path}/broken", buckets=4)
+    plain, stops = job.apply, iter(["before", "after", "before", None, "after", None, None])
+
+    def stopping(g, batch, number, at_):
+        stop = next(stops)
+        if stop == "before":
+            raise RuntimeError("stopped before saving")
+        plain(g, batch, number, at_)
+        if stop == "after":
+            raise RuntimeError("stopped after saving")
+
+    monkeypatch.setattr(job, "apply", stopping)
+    runs = 0
+    while True:
+        runs += 1
+        try:
+            job.prepare(broken, stream, f"{tmp_path}/broken-check", now).awaitTermination()
+            break
+        except Exception as why:
+            assert "stopped" in str(why)
+    assert runs == 5 and broken.manifest().number == whole.manifest().number == 3
+    assert tables(broken) == tables(whole)
+    # And what the tables say is what all pages together say.
+    last = {}
+    for part in parts:
+        last |= {r[0]: r for r in part}
+    state = {i: ("completed" if t.strip() else "failed") if m == "embedded_text" and s == "pending" else s for i, _, _, m, t, s in last.values()}
+    for r in broken.read("documents").collect():
+        mine = [s for i, s in state.items() if last[i][1] == r.id]
+        assert (r.seen_pages, r.completed_pages, r.failed_pages) == (len(mine), mine.count("completed"), mine.count("failed"))
+        assert r.status == ("failed" if "failed" in mine else "text_ready" if set(mine) == {"completed"} else "extracting_text")
