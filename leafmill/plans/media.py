@@ -3,6 +3,7 @@ result SQL can tell."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from leafmill.plans import shared
 from leafmill.plans.catalogue import query
 from leafmill.plans.library import _TRANSITION, progress_events
 from leafmill.sources import fixtures as fx
-from leafmill.sources import files, media, store
+from leafmill.sources import files, media, pdf, store
 from leafmill.streaming import progress
 
 
@@ -42,17 +43,31 @@ def image_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT conv_id, string_agg(text, chr(12) ORDER BY turn) AS t FROM conversations GROUP BY 1),
-    p AS (SELECT conv_id, string_split(t, chr(12)) AS l FROM f)
-    SELECT conv_id, CAST(unnest(range(1, len(l) + 1)) AS INT) AS page_number, CAST(len(l) AS INT) AS page_count, unnest(l) AS embedded_text, NULL::VARCHAR AS error_code FROM p WHERE conv_id % 5 > 0
-    UNION ALL SELECT conv_id, NULL, NULL, NULL, 'pdf_invalid' FROM p WHERE conv_id % 5 = 0"""
+    """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS page_number, CAST(count(*) OVER (PARTITION BY conv_id) AS INT) AS page_count, text AS embedded_text, NULL::VARCHAR AS error_code
+    FROM conversations WHERE conv_id % 7 > 0 UNION ALL SELECT DISTINCT conv_id, NULL, NULL, NULL, 'pdf_invalid' FROM conversations WHERE conv_id % 7 = 0"""
 )
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as a file whose provider cuts it at form feeds."""
-    turns = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]), "\f")
-    files = fx.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("t"))
-    head = F.when(F.col("conv_id") % 5 > 0, "%PDF-1.7 ").otherwise("no header")
-    return media.pdf_pages(files.select("conv_id", F.encode(F.concat(head, "t"), "UTF-8").alias("content")), lambda raw: raw[9:].decode().split("\f"))
+    """Each conversation written as a PDF of its turns, some with compressed
+    objects, some without their cross-references, some without their header;
+    then read."""
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"])
+    files = fx.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("texts"))
+    return pdf.read_pages(written_pdfs(files).select("conv_id", "content"))
+
+
+def written_pdfs(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, texts) with ``content``: the PDF of the texts."""
+
+    @F.pandas_udf("binary")
+    def write(ids: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(number: int, pages: list[str]) -> bytes:
+            raw = pdf.compose(list(pages), compact=number % 2 == 1)
+            raw = raw.replace(b"startxref\n", b"startxref\n9") if number % 3 == 0 else raw
+            return raw.replace(b"%PDF-", b"%NOT-", 1) if number % 7 == 0 else raw
+
+        return pd.Series([one(n, t) for n, t in zip(ids, texts, strict=True)])
+
+    return rows.withColumn("content", write("conv_id", "texts"))
 
 
 @query("SELECT page_id, html AS text, CASE WHEN html IS NULL OR html = '' THEN NULL ELSE 0.93::DOUBLE END AS confidence, CASE WHEN html IS NULL OR html = '' THEN 'ocr_failed' END AS error_code FROM pages")

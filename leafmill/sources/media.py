@@ -88,7 +88,6 @@ def mock_frames(text: Column, rate: int = 16_000) -> Column:
 
 
 Speech = Callable[[str], bytes | None]
-Pages = Callable[[bytes], list[str]]
 Reader = Callable[[bytes], tuple[str, float] | None]
 
 
@@ -153,38 +152,6 @@ def recognize(pages: DataFrame, provider: Reader | None, image: str = "content")
     return read.withColumn("error_code", F.when(F.col("text").isNull(), "ocr_failed"))
 
 
-def pdf_pages(files: DataFrame, provider: Pages | None = None, content: str = "content") -> DataFrame:
-    """One row for each page of each file: page_number, page_count and the text
-    that is embedded in it, as a provider (bytes to page texts) gives them.
-
-    A file without a PDF header, one that the provider can't read or one without
-    pages gives one row with an error_code, as does any file without provider.
-    Rendering pages needs a runtime of its own and isn't part of this.
-    """
-    rest = [c for c in files.columns if c != content]
-    header = F.coalesce(is_pdf(F.col(content)), F.lit(False))
-    if provider is None:
-        error = F.when(~header, "pdf_invalid").otherwise("pdf_text_disabled")
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("page_number", "int"), ("page_count", "int"), ("embedded_text", "string"))]
-        return files.select(*rest, *none, error.alias("error_code"))
-
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def texts(raw: bytes | None) -> list[str] | None:
-            try:
-                return None if raw is None else list(provider(raw))
-            except ValueError:  # what a provider raises for a broken file
-                return None
-
-        for files_ in batches:
-            yield files_.map(texts)
-
-    read = files.withColumn("lm_pages", run(F.when(header, F.col(content))))
-    error = F.when(~header, "pdf_invalid").when(F.coalesce(F.size("lm_pages"), F.lit(0)) <= 0, "pdf_unreadable")
-    flat = read.withColumns({"error_code": error, "page_count": F.size("lm_pages")}).select(*rest, "page_count", "error_code", F.posexplode_outer("lm_pages").alias("lm_at", "embedded_text"))
-    return flat.select(*rest, (F.col("lm_at") + 1).alias("page_number"), F.when(F.col("error_code").isNull(), F.col("page_count")).alias("page_count"), "embedded_text", "error_code")
-
-
 def dense_band(rows: DataFrame, key: list[str], threshold: float, least: int) -> DataFrame:
     """Longest stretch of rows whose share of bright pixels is high: one side
     of a page's paper rectangle. Columns: key, y, share."""

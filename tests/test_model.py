@@ -82,22 +82,6 @@ def test_upsert_keeps_the_newest(spark):
     assert sorted((r.id, r.v) for r in store.upsert(old, new, ["id"]).collect()) == [(1, "a"), (2, "d"), (3, "e")]
 
 
-def test_pdf_pages(spark, tmp_path):
-    (tmp_path / "x.pdf").write_bytes(b"%PDF-1.7 one|two||")
-    (tmp_path / "y.pdf").write_bytes(b"not one")
-    (tmp_path / "z.pdf").write_bytes(b"%PDF-1.7 broken")
-
-    def provider(raw):
-        if b"broken" in raw:
-            raise ValueError
-        return raw.decode()[9:-1].split("|")
-
-    files = media.read_files(spark, str(tmp_path)).withColumn("name", F.substring_index("path", "/", -1)).select("name", "content")
-    got = [tuple(r) for r in media.pdf_pages(files, provider).orderBy("name", "page_number").collect()]
-    assert got == [("x.pdf", 1, 3, "one", None), ("x.pdf", 2, 3, "two", None), ("x.pdf", 3, 3, "", None), ("y.pdf", None, None, None, "pdf_invalid"), ("z.pdf", None, None, None, "pdf_unreadable")]
-    assert [r.error_code for r in media.pdf_pages(files).orderBy("name").collect()] == ["pdf_text_disabled", "pdf_invalid", "pdf_text_disabled"]
-
-
 def test_folders_without_owner_or_title(spark):
     at = lambda d: dt.datetime(2024, 1, d)
     rows = [(1, None, "Walk", None, "ready", 2, at(2)), (2, None, "walk ", None, "failed", 3, at(1)), (3, 9, None, None, "ready", 1, at(3)), (4, 9, "Walk", None, "ready", 1, at(3))]
