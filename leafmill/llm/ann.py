@@ -185,19 +185,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
     dimension meet. A row of the query's own id is no candidate. Scores are
     cosines of the original vectors in double precision; ties go to smaller
     ids. Fewer candidates than k: all of them. Repeated rows count as often as
-    they occur. Other columns are ignored; an empty table gives no rows. Shards
-    and query blocks are bounded.
+    they occur; a query id with several vectors is asked with each of them, and
+    equal query rows once. Other columns are ignored; an empty table gives no
+    rows. Rows go to shards by id and vector, after equal ones are counted, so
+    neither a frequent id nor a frequent vector makes a shard of its own.
     """
-    one = vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")
-    )
-    ask = queries.where(F.col(id_col).isNotNull() & usable(vector_col)).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")
-    ).groupBy("id").agg(F.min("v").alias("v"))  # one vector for each query id
+    def rows(table: DataFrame) -> DataFrame:
+        kept = table.where(F.col(id_col).isNotNull() & usable(vector_col))
+        return kept.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).groupBy("id", "v").agg(F.count(F.lit(1)).alias("copies"))
+
+    # Of equal rows no more than k can be among the k nearest.
+    one = rows(vectors).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long"))))).drop("copies")
+    one = common.materialize(one, "vectors")
+    ask = common.materialize(rows(queries).drop("copies").withColumn("q", F.monotonically_increasing_id()), "asked")
     n = one.count()
     shards = max(1, math.ceil(n / shard_rows))
     blocks = max(1, math.ceil(ask.count() / block_rows))
-    keyed = one.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
+    keyed = one.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), "id", "v")
 
     def build(table: pa.Table) -> pa.Table:
         tree = Tree.build(table.column("id").to_numpy(), _matrix(table.column("v")))
@@ -207,20 +211,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
         })
 
     def bundle(table: pa.Table) -> pa.Table:
-        ids, vectors = table.column("id").to_numpy(), _matrix(table.column("v"))
+        ids, vectors = np.stack([table.column("q").to_numpy(), table.column("id").to_numpy()]), _matrix(table.column("v"))
         return pa.table({"dim": table.column("dim").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary())})
 
     index = common.materialize(
         keyed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"), "trees", codec="none"
     )
-    asked = ask.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(blocks)).cast("int")})
+    asked = ask.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")})
     asked = common.materialize(asked.groupBy("dim", "block").applyInArrow(bundle, "dim int, ids binary, vectors binary"), "queries", codec="none")
     # Queries go to the trees, block by block; each tree is sent once and stays.
     none = F.lit(None).cast("binary")
     trees = index.select("dim", "shard", F.lit(0).alias("kind"), "tree", none.alias("ids"), none.alias("vectors"))
-    visits = asked.join(common.reread(index).select("dim", "shard"), "dim").select("dim", "shard", F.lit(1).alias("kind"), none.alias("tree"), "ids", "vectors")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    visits = asked.select("dim", every, F.lit(1).alias("kind"), none.alias("tree"), "ids", "vectors")
 
-    def nearest_of(tree: Tree, q_ids: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+    def nearest_of(tree: Tree, q: np.ndarray, q_ids: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
         # Rows of the query's own id are no candidates, so that many more are sought.
         own = np.unique(tree.ids[np.isin(tree.ids, q_ids)], return_counts=True)[1].max(initial=1)
         who, rows = tree.search(unit_rows(raw), min(k + int(own), max(1, len(tree.unit))), factor)
@@ -228,13 +233,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
         # Of equal vectors only so many of the smallest ids can matter.
         many = np.minimum(np.diff(tree.id_rows)[rows], k + int(own))
         at = np.repeat(tree.id_rows[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        query, vec, score = np.repeat(q_ids[who], many), tree.ids[at], np.repeat(score, many)
-        keep = query != vec
+        query, vec, score = np.repeat(who, many), tree.ids[at], np.repeat(score, many)
+        keep = q_ids[query] != vec
         query, vec, score = query[keep], vec[keep], score[keep]
         order = np.lexsort((vec, -score, query))
         query, vec, score = query[order], vec[order], score[order]
         keep = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (query, vec, score)], names=["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q[query], q_ids[query], vec, score)], names=["q", "query_id", "vec_id", "score"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, of = None, None
@@ -244,12 +249,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float =
                 if kind == 0:
                     tree, of = Tree.load(batch.column(3)[row].as_py()), (dim, shard)
                 elif of == (dim, shard):
-                    q_ids = np.frombuffer(batch.column(4)[row].as_py(), dtype=np.int64)
-                    yield nearest_of(tree, q_ids, np.frombuffer(batch.column(5)[row].as_py(), dtype=np.float64).reshape(len(q_ids), dim))
+                    q, q_ids = np.frombuffer(batch.column(4)[row].as_py(), dtype=np.int64).reshape(2, -1)
+                    yield nearest_of(tree, q, q_ids, np.frombuffer(batch.column(5)[row].as_py(), dtype=np.float64).reshape(len(q_ids), dim))
 
     met = trees.unionByName(visits).repartition(common.shuffle_partitions(vectors.sparkSession), "dim", "shard")
-    found = met.sortWithinPartitions("dim", "shard", "kind").mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.sortWithinPartitions("dim", "shard", "kind").mapInArrow(search, "q long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     )

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leafmill.llm import ann, graph, lines, neardup, queries, simhash
 
@@ -262,6 +263,48 @@ def test_a_query_with_many_vectors_of_its_own_id(spark):
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
 
 
+def test_every_query_row_is_asked_and_frequent_ids_are_dealt(spark):
+    """One id with a third of all rows and many vectors, and one vector with
+    another third, over several shards of real depth."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(1800, 8))
+    vectors[600:1200] = vectors[600]
+    ids = [50 if k < 600 else k + 1000 for k in range(1800)]
+    rows = [(i, [float(x) for x in v]) for i, v in zip(ids, vectors)]
+    rows += rows[:40] + [(7, rows[3][1])] * 9  # equal rows, asked once, counted as often as they are
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sizes = df.groupBy(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(4))).count().collect()
+    assert max(r["count"] for r in sizes) < 0.4 * len(rows)
+    got = ann.nearest(df, df.where("vec_id = 50"), factor=1.0, shard_rows=450, block_rows=64)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.rank, []).append((r.vec_id, round(r.score, 12)))
+    asked = sorted({tuple(v) for i, v in rows if i == 50})
+    m = np.array([v for i, v in rows if i != 50])
+    others = [i for i, _ in rows if i != 50]
+    want = {}
+    for v in asked:
+        s = (m * np.array(v)).sum(1) / (np.sqrt((m * m).sum(1)) * np.sqrt((np.array(v) ** 2).sum()))
+        for rank, j in enumerate(sorted(range(len(m)), key=lambda j: (-s[j], others[j]))[:5], 1):
+            want.setdefault(rank, []).append((others[j], round(float(s[j]), 12)))
+    assert len(asked) == 600 and {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("spread", [0.3, 1.0])
+def test_recall_of_the_relaxed_factor_over_deep_shards(spark, spread):
+    """At 0.5 over four shards of several levels, clustered and unclustered."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 24))
+    vectors = centres[rng.integers(0, 40, 8000)] + spread * rng.normal(size=(8000, 24))
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    want = nearest(list(range(8000)), vectors)
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0"), factor=0.5, shard_rows=2000).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {v for v, _ in x}) for q, x in want.items())
+    assert hits >= 0.9 * 5 * len(want)
+
+
 def test_unusable_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (1, [nan, 1.0]), (2, [inf, 1.0]), (3, [None, 1.0]), (4, [1.0, 1.0]), (None, [1.0, 0.0]), (5, []), (6, [1.0, 0.0, 0.0])]
