@@ -25,6 +25,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written as codes, in id order, and read back. Odd rows are as in the operator."""
     from leafmill.llm import dac
 
     segments = dac.write_segments(
@@ -34,6 +35,7 @@ def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with its significant passages as first:last words. Odd rows are as in the operator."""
     from leafmill.llm import toxicity
 
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -44,10 +46,12 @@ def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         "n_passages",
+        F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["first"].cast("string"), p["last"].cast("string"))), ",").alias("passages"),
     )
 
 
 def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what they decode to. Odd rows are as in the operator."""
     import public_tokenizers
 
     from leafmill.llm import bpe
@@ -60,6 +64,7 @@ def op4_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document. Odd rows are as in the operator."""
     from leafmill.llm import quality
 
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -73,6 +78,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences. Odd rows are as in the operator."""
     from leafmill.llm import packing
 
     cut = packing.pieces(
@@ -82,6 +88,7 @@ def op3_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth id. Odd rows are as in the operator."""
     from leafmill.llm import ann
 
     vectors = common.table(spark, sf_dir, "embeddings")
@@ -89,6 +96,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and the groups they are linked to. Odd rows are as in the operator."""
     from leafmill.llm import simhash
 
     found = simhash.components(common.table(spark, sf_dir, "documents"), size=3, radius=3)
@@ -98,12 +106,14 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored audio of all texts, read back, with its features and PCM. Odd rows are as in the operator."""
     from leafmill.llm import audio
 
     return audio.digest(audio.store_texts(common.table(spark, sf_dir, "documents")))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document; blocks as label:first:last. Odd rows are as in the operator."""
     from leafmill.llm import licenses
 
     found = licenses.scan(common.table(spark, sf_dir, "documents"))
@@ -112,6 +122,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated passages of lines. Odd rows are as in the operator."""
     from leafmill.llm import lines
 
     return lines.dedup(common.table(spark, sf_dir, "documents"))

@@ -235,9 +235,11 @@ def calibrate(model: Model, facts: list[tuple[int, float, list, int]]) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS, least_z: float = 4.0, prior: float = 100.0, least: float = 1.5) -> Model:
     """Learn from at most ``rows`` labelled documents outside the held-out fold.
 
+    ``least_z``, ``prior`` and ``least`` as in ``log_odds``: words whose log-odds
+    are less sure or smaller score nothing.
     Of several rows of one id the one of smallest text hash counts. Terms of
     three documents or more come to the driver; their number is bounded by the
     sample. Without labels of both kinds every score is the same.
@@ -259,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         .where("a + b >= 3")
         .orderBy("kind", "term")
     )
-    model = log_odds([(r["kind"], r["term"], r["a"], r["b"]) for r in terms.collect()], n1, n0)
+    model = log_odds([(r["kind"], r["term"], r["a"], r["b"]) for r in terms.collect()], n1, n0, least_z, prior, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}

@@ -157,3 +157,101 @@ def test_statistics_of_simple_texts():
     assert not got[0].any()
     assert got[1, at["distinct_words"]] == 2 / 3 and got[1, at["repeated_neighbour"]] == 1 / 3
     assert got[2, at["upper_words"]] == 1 and got[2, at["distinct_lines"]] == 0.5
+
+
+def plain_statistics(text):
+    """The statistics of one text, a character and a word at a time."""
+    import math
+
+    raw = text.encode()
+    n = max(len(raw), 1)
+    kind = {}
+    for c in range(256):
+        kind[c] = (
+            "newline" if c == 10 else "space" if c in b" \t\x0b\x0c\r" else "beyond_ascii" if c >= 128 else "lower" if 97 <= c <= 122 else "upper" if 65 <= c <= 90 else "digit" if 48 <= c <= 57
+            else "punctuation" if c in b".,;:!?'\"()-" else "symbol" if 33 <= c <= 126 else "control"
+        )
+    count = {}
+    for c in raw:
+        count[kind[c]] = count.get(kind[c], 0) + 1
+    words = [w for w in "".join(chr(c) if c not in b" \t\n\x0b\x0c\r" else " " for c in raw).split(" ") if w]
+    lines = [x for x in raw.split(b"\n") if x]
+    m = max(len(words), 1)
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / m
+    upper = sum(any("A" <= c <= "Z" for c in w) and not any("a" <= c <= "z" for c in w) for w in words)
+    ends = [w[-1] for w in words]
+    return {
+        "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(words)), "log_lines": math.log1p(len(lines)),
+        **{k: count.get(k, 0) / n for k in ("beyond_ascii", "lower", "upper", "digit", "newline", "punctuation", "symbol", "control")},
+        "exclamation": raw.count(b"!") / n, "word_length": mean, "word_length_spread": math.sqrt(max(sum(s * s for s in sizes) / m - mean**2, 0)),
+        "distinct_words": len(set(words)) / m, "top_word": max((words.count(w) for w in set(words)), default=0) / m,
+        "repeated_neighbour": sum(a == b for a, b in zip(words, words[1:])) / m, "upper_words": upper / m,
+        "marked_words": sum(e in "!&%$#*|" or kind[ord(e)] == "symbol" for e in ends) / m, "long_words": sum(s > 20 for s in sizes) / m,
+        "stops_per_word": sum(e in ".?" for e in ends) / m, "distinct_lines": len(set(lines)) / len(lines) if lines else 0,
+    }
+
+
+def test_op5_scores_by_plain_walks(spark, small, corpus):
+    """Every statistic and every tree of the query's own model, one document at a time."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in queries.op5_quality_classifier(spark, small).collect()}
+    for row in [r for r in corpus if len(r["text"] or "") < 4000][:80]:
+        facts = plain_statistics(row["text"] or "")
+        x = [facts[n] for n in statistics.NAMES]
+        assert np.allclose(x, statistics.features(pa.array([row["text"] or ""]))[0], rtol=1e-12, atol=1e-12)
+        total = forest.base
+        for f, t, v in zip(forest.feature, forest.threshold, forest.value):
+            n = 0
+            for _ in range(forest.depth):
+                n = 2 * n + 1 + int(x[f[n]] > t[n])
+            total += v[n]
+        assert got[row["doc_id"]] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def plain_toxicity(text, model):
+    """(score, significant passages) of one text by loops over its words."""
+    import math
+
+    words = [w for w in text.translate({c: " " for c in (9, 10, 11, 12, 13)}).split(" ") if w]
+    scores = []
+    for k, w in enumerate(words):
+        bare = w.strip(toxicity.MARKS).lower()
+        if k and words[k - 1] == w:
+            gain = 0.0
+        elif bare in model.word:
+            gain = model.word[bare]
+        else:
+            gain = model.stem.get(bare[: toxicity.STEM], 0.0) if len(bare) > toxicity.STEM else 0.0
+        scores.append(gain - toxicity.DRIFT)
+    found = maximal_segments(scores)
+    x = sorted((model.lam * s - math.log(model.k * max(len(words), 1)) for _, _, s in found), reverse=True)
+    alone, together = 0.0, 0.0
+    if x:
+        nats = []
+        for r, v in enumerate(x, 1):
+            m = math.exp(-min(max(v, -50), 50))
+            nats.append((r * (math.log(r) + v) - r + m if m < r else 0.0) - math.log(r))
+        alone, together = min(max(x[0], 0), 40), math.log1p(min(max(max(nats), 0), 400))
+    a, b, c = model.curve
+    strong = [(i, j) for i, j, s in found if model.lam * s - math.log(model.k * max(len(words), 1)) > 3.0]
+    return 1 / (1 + math.exp(-min(max(a + b * alone + c * together, -30), 30))), strong
+
+
+def test_op2_scores_by_plain_loops(spark, medium):
+    """The query's own model over short documents, many of them toxic."""
+    docs, labels = (spark.read.parquet(f"{medium}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    short = docs.where("length(text) < 900").join(labels.select("doc_id", "toxic"), "doc_id", "left").orderBy(F.desc_nulls_last("toxic"), "doc_id").limit(60).collect()
+    scored = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    asked = {r.doc_id: r.score for r in queries.op2_toxic_passages(spark, medium).collect()}
+    passages = 0
+    for row in short:
+        score, strong = plain_toxicity(row.text, model)
+        assert scored[row.doc_id].score == pytest.approx(score, abs=1e-9) and asked[row.doc_id] == scored[row.doc_id].score
+        assert [(p["first"], p["last"]) for p in scored[row.doc_id].passages] == strong
+        passages += len(strong)
+    assert passages > 10
