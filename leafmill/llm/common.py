@@ -68,6 +68,13 @@ def written() -> int:
     return len(_WRITTEN)
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ..., which clash with none of ours, and the
+    new name of each old one."""
+    names = [f"c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 def reread(df: DataFrame) -> DataFrame:
     """What ``materialize`` wrote, as a second source with columns of its own."""
     out = df.sparkSession.read.schema(df.schema).parquet(df._leafmill_path)

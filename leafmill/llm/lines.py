@@ -237,13 +237,12 @@ def dedup(
     changed texts. Other columns stay as they are, whatever their names; an
     empty table gives no rows.
     """
-    keys = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))), F.xxhash64(F.col(id_col).isNull(), F.coalesce(text_col, F.lit("")))]
-    cuts = repeated_chunks(docs, id_col, text_col, least_words, long_words).select(
-        F.col("k1").alias("leafmill_k1"), F.col("k2").alias("leafmill_k2"), F.col("cuts").alias("leafmill_cuts")
-    )
-    joined = docs.withColumns({"leafmill_k1": keys[0], "leafmill_k2": keys[1]}).join(cuts.hint("merge"), ["leafmill_k1", "leafmill_k2"], "left")
+    cuts = repeated_chunks(docs, id_col, text_col, least_words, long_words).select("k1", "k2", "cuts")
+    plain, name = common.plain_names(docs)
+    id_, text = F.col(name[id_col]), F.col(name[text_col])
+    keys = {"k1": F.coalesce(id_.cast("long"), F.lit(-(1 << 62))), "k2": F.xxhash64(id_.isNull(), F.coalesce(text, F.lit("")))}
     columns = docs.columns
-    joined = joined.select(*columns, "leafmill_cuts")
+    joined = plain.withColumns(keys).join(cuts.hint("merge"), ["k1", "k2"], "left").select(*name.values(), "cuts")
     at, last = columns.index(text_col), len(columns)
     size = columns.index(length_col) if length_col in columns else None
 

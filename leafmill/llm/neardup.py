@@ -430,8 +430,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     keys = first.select(
         F.coalesce("f.doc_id", F.lit(0)).alias("leafmill_id"), F.col("f.known").alias("leafmill_known"), F.col("f.node").alias("leafmill_node")
     )
-    keyed = named_texts(docs, text_col).withColumns(
-        {"leafmill_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "leafmill_known": F.col(id_col).isNotNull()}
-    )
+    plain, name = common.plain_names(docs)
+    id_ = F.col(name[id_col])
+    keyed = named_texts(plain, name[text_col]).withColumns({"leafmill_id": F.coalesce(id_.cast("long"), F.lit(0)), "leafmill_known": id_.isNotNull()})
     by = ["leafmill_id", "leafmill_known", "leafmill_node"]
-    return keyed.dropDuplicates(by).join(keys.hint("merge"), by, "left_semi").select(*docs.columns)
+    return keyed.dropDuplicates(by).join(keys.hint("merge"), by, "left_semi").select(*plain.columns).toDF(*docs.columns)

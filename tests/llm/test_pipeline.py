@@ -76,3 +76,18 @@ def test_near_dedup_by_brute_force(spark, small):
         got = corpus_pipeline.near_dedup_stage(spark, docs.repartition(n), small)
         assert sorted(r.doc_id for r in got.collect()) == want
     assert len(want) < len(rows)
+
+
+def test_columns_may_have_any_name(spark):
+    """Those that the stages use for themselves are left as they are."""
+    from leafmill.llm import lines, neardup
+
+    passage = "\n".join(" ".join(f"shared{k}w{j}" for j in range(12)) for k in range(5))
+    names = ["leafmill_k1", "leafmill_k2", "leafmill_cuts", "leafmill_node", "leafmill_id", "leafmill_h", "k1", "cuts", "c0", "c7"]
+    rows = [(k, f"own {k} text\n{passage}" if k < 4 else " ".join(f"{k}word{j}" for j in range(30)), 3, *range(len(names))) for k in range(8)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "n_chars int", *(f"{n} int" for n in names)]))
+    for out, n in ((lines.dedup(docs), 8), (neardup.keep_one(docs), 5)):
+        found = out.collect()
+        assert out.columns == docs.columns and len(found) == n
+        assert all(tuple(r)[3:] == tuple(range(len(names))) for r in found)
+    assert sum("shared" in r.text for r in lines.dedup(docs).collect()) == 1
