@@ -42,6 +42,18 @@ def admit_text_job(documents: DataFrame, pages: DataFrame) -> DataFrame:
     return judged.select("id", "error_code", F.when(F.col("error_code").isNull(), new).otherwise(F.col("status")).alias("new_status"))
 
 
+def start_text(documents: DataFrame, pages: DataFrame, wanted: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, refused) after text preparation was asked for the documents in
+    ``wanted(id)``: those that are admitted take their new status and lose their
+    message; ``refused`` has id and error_code, unknown ids too."""
+    asked = wanted.select("id").distinct()
+    verdicts = admit_text_job(documents.join(asked, "id", "left_semi"), pages)
+    unknown = asked.join(documents.select("id"), "id", "left_anti").select("id", F.lit("book_not_found").alias("error_code"))
+    granted = verdicts.where("error_code IS NULL").select("id", F.col("new_status").alias("lm_status"))
+    moved = _when(documents.join(granted, "id", "left"), F.col("lm_status").isNotNull(), {"status": F.col("lm_status"), "error_message": F.lit(None)}, now)
+    return moved.select(*documents.columns), verdicts.where("error_code IS NOT NULL").select("id", "error_code").unionByName(unknown)
+
+
 def retry_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Wanted pages with verdict and state after the retry request.
 

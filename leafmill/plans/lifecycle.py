@@ -217,6 +217,32 @@ def refused_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _started(spark, sf_dir)[2]
 
 
+_PREPARED = f"""{fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, asked AS ({_ASKED_AUDIO.format("orders")}),
+c AS (SELECT document_id, count(*) FILTER (WHERE {_OPEN}) AS o, count(*) FILTER (WHERE {_OPEN} AND extraction_method = 'ocr') AS r, count(*) FILTER (WHERE processing_status = 'failed') AS f FROM pages_ GROUP BY 1),
+v AS (SELECT a.id, CASE WHEN d.id IS NULL THEN 'book_not_found' WHEN d.status = 'text_ready' THEN 'book_text_ready' WHEN coalesce(o, 0) = 0 AND coalesce(f, 0) > 0 THEN 'failed_pages_require_retry' END AS error_code,
+  CASE WHEN coalesce(r, 0) > 0 THEN 'running_ocr' ELSE 'extracting_text' END AS s FROM asked a LEFT JOIN recordings d ON d.id = a.id LEFT JOIN c ON c.document_id = a.id)"""
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    fx.table(spark, sf_dir, "orders").createOrReplaceTempView("leafmill_orders")
+    docs = fx.recordings(spark, sf_dir).select("id", "status", "updated_at", F.lit("said").alias("error_message"))
+    return lifecycle.start_text(docs, fx.pages(spark, sf_dir), spark.sql(_ASKED_AUDIO.format("leafmill_orders")), F.expr(_NOW))
+
+
+@query(
+    f"""WITH {_PREPARED}, g AS (SELECT id, s FROM v WHERE error_code IS NULL) SELECT d.id, coalesce(g.s, d.status) AS status, CASE WHEN g.id IS NULL THEN 'said' END AS error_message,
+    CASE WHEN g.id IS NULL THEN updated_at ELSE {_NOW} END AS updated_at FROM recordings d LEFT JOIN g ON g.id = d.id"""
+)
+def prepared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after text was asked for most of them."""
+    return _prepared(spark, sf_dir)[0].select("id", "status", "error_message", "updated_at")
+
+
+@query(f"WITH {_PREPARED} SELECT id, error_code FROM v WHERE error_code IS NOT NULL")
+def refused_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prepared(spark, sf_dir)[1]
+
+
 _TWICE = f"""{fx.RECORDINGS_SQL}, {fx.PAGES_SQL}, req AS (SELECT document_id, page_number, k FROM pages_, (VALUES (1), (2), (2)) v(k) WHERE document_id % 5 = 0),
 good AS (SELECT document_id, page_number FROM pages_ WHERE document_id % 5 = 0)"""
 
