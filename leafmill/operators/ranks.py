@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES, SAMPLE = 256, 8192
+SLICES, SAMPLE = 64, 4096
 
 
 def sliced(table: DataFrame, order: list[Column], name: str) -> DataFrame:
