@@ -1,9 +1,10 @@
 """Lines of a page that are like an earlier line of it.
 
 Likeness is the ratio of matching blocks, which a loop over both texts finds.
-Before that loop, two bounds that no similar pair fails: by lengths, and by
+Before that loop, bounds that no similar pair fails: by lengths; by
 characters: the blocks' characters are common to both texts, so what the texts
-have in common as multisets of characters bounds the ratio from above. Texts of
+have in common as multisets of characters bounds the ratio from above; and by
+their longest common subsequence, which the blocks are part of. Texts of
 a page are compared once each, however often they stand there, in tiles of
 texts of like length, and only similar pairs leave a tile.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions import chars
-from leafmill.operators.layout import similar
+from leafmill.operators.layout import Known, alike
 from leafmill.operators.ranks import with_place
 
 # Texts under LEAST characters are like equal ones alone; others
@@ -71,7 +72,12 @@ def links(lines: DataFrame, key: list[str], pos: str = "pos", text: str = "text"
         F.min("lm_size").alias("lm_low"), F.max("lm_size").alias("lm_high"), F.collect_list("lm_pos").alias("lm_at"), F.collect_list("lm_key").alias("lm_texts")
     )
     salted = blocks.withColumn("lm_salt", F.pmod("lm_tile", F.lit(SALTS)))
-    every = blocks.withColumn("lm_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # A page of few tiles goes to as many salts as it has tiles.
+    tops = blocks.groupBy(*[F.col(k).alias(f"lm_{k}") for k in key]).agg(F.least(F.max("lm_tile"), F.lit(SALTS - 1).cast("long")).alias("lm_top"))
+    page = F.lit(True)
+    for k in key:
+        page &= F.col(k).eqNullSafe(F.col(f"lm_{k}"))
+    every = blocks.join(tops, page).withColumn("lm_salt", F.explode(F.sequence(F.lit(0).cast("long"), "lm_top")))
     same = F.col("a.lm_salt") == F.col("b.lm_salt")
     for k in key:
         same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
@@ -84,13 +90,16 @@ def links(lines: DataFrame, key: list[str], pos: str = "pos", text: str = "text"
         for batch in batches:
             for row in range(batch.num_rows):
                 tile_a, at_a, a, tile_b, at_b, b = (batch.column(len(key) + c)[row].as_py() for c in range(6))
-                found = []
-                for i, j in zip(*candidates(a, b), strict=True):
-                    if tile_a == tile_b and i >= j:
-                        continue
-                    (p, later), (q, earlier) = sorted([(at_a[i], a[i]), (at_b[j], b[j])], reverse=True)
-                    if similar(later, earlier):
-                        found.append((p, q))
+                found, fit = [], {}
+                for i, j in zip(*map(np.ndarray.tolist, candidates(a, b)), strict=True):
+                    if tile_a < tile_b or i < j:
+                        fit.setdefault(i, set()).add(j)
+                known = Known(b) if fit else None
+                for i, those in fit.items():
+                    for j in those.intersection(known.near(a[i])):
+                        (p, later), (q, earlier) = sorted([(at_a[i], a[i]), (at_b[j], b[j])], reverse=True)
+                        if alike(later, earlier):
+                            found.append((p, q))
                 of = pa.array(np.full(len(found), row))
                 pair = [pa.array([x[side] for x in found], pa.int64()) for side in range(2)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(len(key))), *pair], names=[*key, "pos", "other"])
