@@ -151,3 +151,10 @@ def test_paper_on_large_photographs():
     assert abs(left - (90 - 41)) <= 4 and abs(right - (960 + 41)) <= 4 and abs(top - (150 - 61)) <= 4 and abs(bottom - (1380 + 61)) <= 4
     flat = images.shrink(np.full((90, 60, 3), 77, dtype=np.uint8), 20, 30)
     assert flat.shape == (30, 20, 3) and (flat == 77).all()
+
+
+def test_one_task_of_rows_is_dealt_over_many(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(64).coalesce(1).selectExpr("id", "120 AS w", "110 AS h", "5 AS x0", "5 AS y0", "90 AS x1", "90 AS y1")
+    assert images.detect_paper(images.draw_sheets(rows)).select(F.spark_partition_id().alias("p")).distinct().count() > 8
