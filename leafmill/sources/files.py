@@ -12,12 +12,13 @@ Readers list nothing for a point read: a document's path follows from its id.
 
 from __future__ import annotations
 
-import contextlib
 import json
+import os
 import posixpath
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from leafmill import schemas
+from leafmill.operators.spread import spread
 
 NAME, STAGING, MANIFEST = "document.json", ".staging", "manifest.json"
 
@@ -118,7 +120,7 @@ def write_documents(documents: DataFrame, path: str) -> DataFrame:
     rows = documents.where(usable_id(id_)).groupBy(id_.alias("id")).agg(F.max(F.struct(when.alias("at"), F.concat(body, F.lit("\n")).alias("body"))).alias("last"))
     spark.dataSource.register(DocumentFiles)
     job = uuid.uuid4().hex
-    rows.select("id", "last.body").write.format("leafmill_documents").option("path", path).option("job", job).mode("append").save()
+    spread(rows.select("id", "last.body")).write.format("leafmill_documents").option("path", path).option("job", job).mode("append").save()
     publish(spark, path, job)
     return documents.where(~usable_id(id_)).select(id_.alias("id"), F.lit("document_id_invalid").alias("error_code"))
 
@@ -181,28 +183,59 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-@contextlib.contextmanager
-def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
-    """List folders with a few tasks a core, not with one task a folder."""
-    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(4 * spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def _names(fs: pafs.FileSystem, folder: str) -> Iterator[str]:
+    """What a folder holds, on a local disk without a list of all of it."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            yield from (entry.name for entry in found)
+    else:
+        yield from (info.base_name for info in fs.get_file_info(pafs.FileSelector(folder)))
+
+
+def _texts(path: str, shares: int, bound: int = 8 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each share of the names in a folder the bytes of the documents below
+    them, some megabytes at a time."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _open(path)
+        held, size = [], 0
+        mine = {share for batch in batches for share in batch.column(0).to_pylist()}
+        for name in _names(fs, root) if mine else ():
+            if _hidden(name) or zlib.crc32(name.encode("utf-8", "surrogateescape")) % shares not in mine:
+                continue
+            top = posixpath.join(root, name)
+            is_folder = fs.get_file_info(top).type == pafs.FileType.Directory
+            for info in fs.get_file_info(pafs.FileSelector(top, recursive=True)) if is_folder else [fs.get_file_info(top)]:
+                inner = posixpath.relpath(info.path, root).split("/")
+                if info.type != pafs.FileType.File or inner[-1] != NAME or any(map(_hidden, inner)):
+                    continue
+                with fs.open_input_stream(info.path) as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size > bound:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+                    held, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+
+    return read
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """All documents below a folder, newest first, with ``error_code``; files
     that aren't a document keep their text in ``_corrupt_record``, everything
-    else null. Other files, and folders without a document, are passed over."""
+    else null. Other files, and folders without a document, are passed over.
+
+    Each task goes through the folder's names and opens its share of them, so
+    that neither a list of all files nor a task for some files each is made."""
     if not _exists(spark, path):
         return _parsed(spark.createDataFrame([], "value string"))
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", NAME)
-    with _few_listing_tasks(spark):
-        texts = reader.text(path, wholetext=True)
-    return _parsed(texts).orderBy(F.desc("updated_at"))
+    shares = 4 * spark.sparkContext.defaultParallelism
+    texts = spark.range(0, shares, 1, shares).mapInArrow(_texts(path, shares), "value binary")
+    return _parsed(texts.select(F.col("value").cast("string").alias("value"))).orderBy(F.desc("updated_at"))
 
 
 def read_document(spark: SparkSession, path: str, document_id: str) -> DataFrame:

@@ -147,3 +147,24 @@ def test_graph_repeats_nulls_and_conflicts(spark, tmp_path):
         g.save({"other": rows}, at(9))
     # What the batch that failed wrote is named by no manifest.
     assert g.vacuum(keep=1) >= 1 and g.read("documents").count() == 2
+
+
+def test_documents_are_read_by_shares(spark, tmp_path):
+    """Any depth, hidden names passed over; every file in one share, whatever
+    leaves at once."""
+    for name in ("a", "b/c", ".hidden", "_part", "k=1", "_k=1"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "document.json").write_text('{"id": "%s"}' % name)
+    (tmp_path / "a" / "other.json").write_text("{}")
+    (tmp_path / "document.json").write_bytes(b"\xff no document")
+    (tmp_path / "empty").mkdir()
+    found = files.read_documents(spark, str(tmp_path))
+    rows = found.collect()
+    assert sorted(r.id for r in rows if r.id) == ["_k=1", "a", "b/c", "k=1"]
+    assert [r.error_code for r in rows if not r.id] == ["document_metadata_invalid"]
+    many = tmp_path / "many"
+    for k in range(200):
+        (many / str(k)).mkdir(parents=True)
+        (many / str(k) / "document.json").write_text('{"id": "%d"}' % k)
+    texts = spark.range(0, 5, 1, 5).mapInArrow(files._texts(str(many), 5, bound=64), "value binary").collect()
+    assert len({r.value for r in texts}) == len(texts) == 200
