@@ -6,6 +6,7 @@ interfaces are here with mock and disabled providers.
 
 from __future__ import annotations
 
+import functools
 import io
 import math
 import struct
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators.spread import spread
+
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of files below a folder."""
@@ -67,16 +70,21 @@ def image_error(content: Column, max_pixels: int = 10_000_000) -> Column:
     return F.when(size["width"].isNull(), "image_unreadable").when(size["width"] * size["height"] > max_pixels, "image_too_large")
 
 
+@functools.lru_cache(maxsize=4)
+def _sine(n: int, rate: int, hertz: float, amplitude: int) -> bytes:
+    return struct.pack(f"<{n}h", *(int(amplitude * math.sin(2 * math.pi * hertz * k / rate)) for k in range(n)))
+
+
 def mock_tone(seconds: float, rate: int = 16_000, hertz: float = 440.0, amplitude: int = 1_800) -> bytes:
-    """16-bit mono WAVE of a sine."""
+    """16-bit mono WAVE of a sine: the beginning of one of full eights of
+    seconds, which a process computes once."""
     n = int(rate * seconds)
-    samples = [int(amplitude * math.sin(2 * math.pi * hertz * k / rate)) for k in range(n)]
     out = io.BytesIO()
     with wave.open(out, "wb") as w:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes(struct.pack(f"<{n}h", *samples))
+        w.writeframes(_sine(-(-n // (8 * rate)) * 8 * rate, rate, hertz, amplitude)[: 2 * n])
     return out.getvalue()
 
 
@@ -97,7 +105,8 @@ def mock_speech(text: str) -> bytes:
 
 def synthesize(segments: DataFrame, provider: Speech = mock_speech, text: str = "source_text") -> DataFrame:
     """Segments with ``audio`` (null where the provider gives none or fails) and
-    ``duration_seconds`` of a WAVE result. The provider loads once a task."""
+    ``duration_seconds`` of a WAVE result. The provider loads once a task, and
+    some megabytes of audio leave at once."""
 
     def heard(said: str) -> bytes | None:
         try:
@@ -105,14 +114,24 @@ def synthesize(segments: DataFrame, provider: Speech = mock_speech, text: str =
         except (OSError, ValueError, RuntimeError):  # one failed text fails alone
             return None
 
+    def seconds(audio: bytes | None) -> float | None:
+        if audio is None:
+            return None
+        with wave.open(io.BytesIO(audio)) as w:
+            return w.getnframes() / w.getframerate()
+
     @F.pandas_udf("audio binary, duration_seconds double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            audio = [None if t is None else heard(t) for t in texts]
-            lengths = [None if a is None else wave.open(io.BytesIO(a)).getnframes() / wave.open(io.BytesIO(a)).getframerate() for a in audio]
-            yield pd.DataFrame({"audio": audio, "duration_seconds": lengths})
-
-    return segments.withColumn("lm_speech", run(F.col(text))).select("*", "lm_speech.*").drop("lm_speech")
+            audio, held, last = [], 0, len(texts) - 1
+            for k, said in enumerate(texts):
+                audio.append(None if said is None else heard(said))
+                held += len(audio[-1] or b"")
+                if held > 8 << 20 or k == last:
+                    yield pd.DataFrame({"audio": pd.Series(audio, dtype=object), "duration_seconds": pd.Series(map(seconds, audio), dtype=float)})
+                    audio, held = [], 0
+
+    return spread(segments).withColumn("lm_speech", run(F.col(text))).select("*", "lm_speech.*").drop("lm_speech")
 
 
 NO_AUDIO = "Could not create audio for this segment."

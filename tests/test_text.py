@@ -135,3 +135,24 @@ def test_segments_number_over_pages(spark):
     pages = spark.createDataFrame([(1, 2, "second page."), (1, 1, "first page."), (1, 3, "  "), (2, 1, None)], "doc long, page int, text string")
     got = segment.segment_pages(pages, "doc", "page", "text").orderBy("segment_number").collect()
     assert [(r.doc, r.page, r.segment_number, r.source_text) for r in got] == [(1, 1, 1, "first page."), (1, 2, 2, "second page.")]
+
+
+def test_speech_is_dealt_over_tasks_and_its_tone_is_the_sine(spark):
+    import io
+    import math
+    import struct
+    import wave
+
+    from pyspark.sql import functions as F
+
+    from leafmill.sources import media
+
+    rows = spark.range(64).coalesce(1).selectExpr("id", "repeat('x', CAST(id * 5 AS INT)) AS source_text")
+    said = media.synthesize(rows).withColumn("p", F.spark_partition_id()).select("p", "id", "audio", "duration_seconds").collect()
+    assert len({r.p for r in said}) > 8
+    for r in said:
+        with wave.open(io.BytesIO(bytes(r.audio))) as w:
+            n, raw = w.getnframes(), w.readframes(w.getnframes())
+        assert n == int(16_000 * min(8.0, max(1.2, r.id * 5 / 35))) and r.duration_seconds == n / 16_000
+        assert list(struct.unpack(f"<{n}h", raw)) == [int(1_800 * math.sin(2 * math.pi * 440.0 * k / 16_000)) for k in range(n)]
+    assert len(media.mock_tone(9.5)) == 44 + 2 * int(16_000 * 9.5)
