@@ -118,7 +118,7 @@ def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph.Graph(spark, shared.folder(spark), buckets=16)
     text = lambda c: F.col(c).cast("string")
     docs = fx.recordings(spark, sf_dir).select(text("id").alias("id"), "status", "title")
-    pages = fx.pages(spark, sf_dir).selectExpr("concat(document_id, '/', page_number) AS id", "document_id", "processing_status AS status")
+    pages = fx.pages(spark, sf_dir, dealt=True).selectExpr("concat(document_id, '/', page_number) AS id", "document_id", "processing_status AS status")
     segments = fx.segments(spark, sf_dir).selectExpr("concat(document_id, '/', segment_number) AS id", "document_id", "processing_status AS status")
     day = lambda k: F.lit(f"2030-01-{k + 1:02d} 00:00:00").cast("timestamp")
     g.save({"documents": docs, "pages": pages, "segments": segments}, day(1), "query", 1)

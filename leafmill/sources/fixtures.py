@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators.spread import by_key
+
 RECORDING = {
     "id": "o_orderkey",
     "user_id": "CASE WHEN o_orderkey % 17 > 0 THEN o_custkey % 100 END",
@@ -93,12 +95,15 @@ def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(table(spark, sf_dir, "orders"), RECORDING)
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(table(spark, sf_dir, "lineitem"), PAGE)
+def pages(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """``dealt``: over as many tasks as there are, for the sort that numbers the
+    pages; not worth it where the number isn't read."""
+    lines = table(spark, sf_dir, "lineitem")
+    return _view(by_key(lines, "l_orderkey") if dealt else lines, PAGE)
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(table(spark, sf_dir, "lineitem"), SEGMENT)
+    return _view(by_key(table(spark, sf_dir, "lineitem"), "l_orderkey"), SEGMENT)
 
 
 def chinese_lines(spark: SparkSession) -> DataFrame:

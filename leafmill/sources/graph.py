@@ -123,13 +123,16 @@ class Graph:
     def _merge(self, table: str, rows: DataFrame, now: Column, old: Manifest, new: Manifest) -> None:
         key = self.key
         rest = [c for c in rows.columns if c not in (key, "updated_at")]
-        # One row a key, combined before the shuffle.
+        # Where nothing is stored yet, rows are shuffled once, to their buckets,
+        # and keys are combined there; else the buckets come from the keys alone.
         last = F.max(F.struct(*([F.col("updated_at")] if "updated_at" in rows.columns else []), *rest)).alias("r")
-        mine = rows.where(F.col(key).isNotNull()).groupBy(key).agg(last).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
-        mine = mine.withColumn("lm_bucket", self._bucket(key))
-        touched = self.touched(mine)
+        there = table in old.schemas
+        touched = self.touched(rows) if there else list(range(self.buckets))
         if not touched:
             return
+        placed = self._placed(rows.where(F.col(key).isNotNull()), len(touched))
+        by = [key] if there else ["lm_bucket", "lm_salt", key]
+        mine = (rows.where(F.col(key).isNotNull()) if there else placed).groupBy(*by).agg(last).select(*by, *[F.col(f"r.{c}").alias(c) for c in rest])
         before = self.read(table, old, touched)
         if before is None:
             merged = mine.withColumn("lm_new", F.lit(True))
@@ -149,18 +152,28 @@ class Graph:
                 else:
                     columns.append(F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
             kept = F.col("o.updated_at") if "updated_at" in before.columns else F.lit(None).cast("timestamp")
-            merged = sides.select(*columns, kept.alias("lm_kept"), hit.alias("lm_new"), self._bucket(key).alias("lm_bucket"))
+            merged = sides.select(*columns, kept.alias("lm_kept"), hit.alias("lm_new"))
+            merged = self._placed(merged, len(touched))
         stamp = now.cast("timestamp")
         past = F.col("lm_kept") if "lm_kept" in merged.columns else F.lit(None).cast("timestamp")
         merged = merged.withColumn("updated_at", F.when(F.col("lm_new"), stamp).otherwise(past))
         if "created_at" in merged.columns:
             merged = merged.withColumn("created_at", F.coalesce("created_at", F.when(F.col("lm_new"), stamp)))
-        out = merged.drop("lm_new", "lm_kept")
+        out = merged.drop("lm_new", "lm_kept", "lm_salt")
         folder = f"data/{new.number:012d}-{uuid.uuid4().hex}/{table}"
-        # Several tasks share a bucket where the data asks for it; files stay few.
-        out.repartition(len(touched), "lm_bucket").write.partitionBy("lm_bucket").parquet(f"{self.path}/{folder}")
-        new.schemas[table] = out.drop("lm_bucket").schema.json()
-        new.folders.setdefault(table, {}).update({str(b): f"{folder}/lm_bucket={b}" for b in touched})
+        out.write.partitionBy("lm_bucket").parquet(f"{self.path}/{folder}")
+        full = sorted(int(n.removeprefix("lm_bucket=")) for n in self._listed(folder) if n.startswith("lm_bucket="))
+        if full:
+            new.schemas[table] = out.drop("lm_bucket").schema.json()
+            new.folders.setdefault(table, {}).update({str(b): f"{folder}/lm_bucket={b}" for b in full})
+
+    def _placed(self, rows: DataFrame, buckets: int) -> DataFrame:
+        """``rows`` with their bucket, dealt by it over all tasks: several share
+        a bucket where there are more of them."""
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 4 * self.spark.sparkContext.defaultParallelism)
+        share = F.pmod(F.xxhash64(F.col(self.key).cast("string"), F.lit(1)), F.lit(max(1, tasks // buckets))).cast("int")
+        marked = rows.withColumns({"lm_bucket": self._bucket(self.key), "lm_salt": share})
+        return marked.repartition(max(tasks, buckets), "lm_bucket", "lm_salt")
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete all but the last ``keep`` manifests and the batches' folders

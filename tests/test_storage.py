@@ -168,3 +168,16 @@ def test_documents_are_read_by_shares(spark, tmp_path):
         (many / str(k) / "document.json").write_text('{"id": "%d"}' % k)
     texts = spark.range(0, 5, 1, 5).mapInArrow(files._texts(str(many), 5, bound=64), "value binary").collect()
     assert len({r.value for r in texts}) == len(texts) == 200
+
+
+def test_a_first_save_shuffles_rows_once(spark, tmp_path):
+    """Rows of tables that aren't there yet go straight to their buckets, over
+    more tasks than there are buckets, and equal keys are still one row."""
+    g = graph.Graph(spark, f"file://{tmp_path}", buckets=2)
+    rows = spark.range(4000).selectExpr("CAST(id % 2000 AS STRING) AS id", "CAST(id AS STRING) AS status")
+    placed = g._placed(rows, 2).withColumn("p", F.spark_partition_id()).groupBy("lm_bucket").agg(F.countDistinct("p").alias("n"))
+    assert all(r.n > 2 for r in placed.collect())
+    g.save({"documents": rows, "pages": rows.limit(0)}, F.lit("2030-01-01").cast("timestamp"))
+    got = g.read("documents").collect()
+    assert len(got) == 2000 and all(r.status == max(str(int(r.id)), str(int(r.id) + 2000)) for r in got)
+    assert g.read("pages") is None
