@@ -182,7 +182,7 @@ v AS (SELECT *, status IN ('failed', 'generating_audio') AND has AND done AS res
 
 
 def _started(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    fx.pages(spark, sf_dir).createOrReplaceTempView("leafmill_pages")
+    fx.pages(spark, sf_dir, dealt=True).createOrReplaceTempView("leafmill_pages")
     fx.table(spark, sf_dir, "orders").createOrReplaceTempView("leafmill_orders")
     drafts = spark.sql(_DRAFTS.format("leafmill_pages"))
     segments = fx.segments(spark, sf_dir).withColumns({"source_text": F.lit("old"), "error_message": F.lit("said"), "updated_at": F.expr("TIMESTAMP '2020-01-01 00:00:00'")})
@@ -404,11 +404,12 @@ def page_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as a stream of three batches, then all of them again as a run
     that has lost its checkpoint, which changes nothing; then the documents."""
     folder = shared.folder(spark)
-    pages = fx.pages(spark, sf_dir).selectExpr("concat(document_id, '/', page_number) AS id", "CAST(document_id AS STRING) AS document_id", "page_number", "extraction_method", "extracted_text", "processing_status")
+    pages = fx.pages(spark, sf_dir, dealt=True).selectExpr("concat(document_id, '/', page_number) AS id", "CAST(document_id AS STRING) AS document_id", "page_number", "extraction_method", "extracted_text", "processing_status")
+    files = 4 * spark.sparkContext.defaultParallelism
     for part in range(3):
-        pages.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/pages")
+        pages.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).repartition(files).write.mode("append").parquet(f"{folder}/pages")
     g = graph.Graph(spark, f"{folder}/graph", buckets=8)
-    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/pages")
+    stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/pages")
     job.prepare(g, stream, f"{folder}/offsets").awaitTermination()
     # A new run from the first offset: every batch is there already.
     job.prepare(g, stream, f"{folder}/other-offsets").awaitTermination()

@@ -226,3 +226,16 @@ def test_last_requests(spark):
     kept, others = requests.last_requests(spark.createDataFrame(rows, "k int, requested_at int, v string"), ["k"])
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, 7, "b"), (2, 1, "c"), (None, 2, "e")], key=repr)
     assert sorted(((r.k, r.v, r.times) for r in others.collect()), key=repr) == sorted([(1, "a", 1), (1, "b", 1), (None, "d", 1)], key=repr)
+
+
+def test_what_a_key_deals_stays_dealt(spark):
+    """A number of tasks that is asked for isn't put together again."""
+    from pyspark.sql import functions as F
+
+    from leafmill.operators import lifecycle
+
+    pages = spark.range(3000).selectExpr("id % 1000 AS document_id", "'failed' AS processing_status", "'ocr' AS extraction_method")
+    docs = spark.range(1000).selectExpr("id", "'uploaded' AS status", "'' AS error_message", "current_timestamp() AS updated_at")
+    asked = spark.range(500, 1500).select("id").unionByName(spark.range(1400, 1500).select("id"))
+    refused = lifecycle.start_text(docs, pages, asked)[1].withColumn("p", F.spark_partition_id()).collect()
+    assert sorted(r.id for r in refused) == list(range(500, 1500)) and len({r.p for r in refused}) > 8
