@@ -50,8 +50,8 @@ LOOKALIKE_OVERRIDE = {chr(0x2ED1): "長"}
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end."""
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    """Without white space at either end; only the ends are looked at."""
+    return F.btrim(c, F.lit("".join(chr(k) for a, b in SPACE_RANGES for k in range(a, b + 1))))
 
 
 def key(c: Column) -> Column:

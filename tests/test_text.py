@@ -156,3 +156,11 @@ def test_speech_is_dealt_over_tasks_and_its_tone_is_the_sine(spark):
         assert n == int(16_000 * min(8.0, max(1.2, r.id * 5 / 35))) and r.duration_seconds == n / 16_000
         assert list(struct.unpack(f"<{n}h", raw)) == [int(1_800 * math.sin(2 * math.pi * 440.0 * k / 16_000)) for k in range(n)]
     assert len(media.mock_tone(9.5)) == 44 + 2 * int(16_000 * 9.5)
+
+
+def test_strip_looks_at_the_ends_alone(spark):
+    spaces = [chr(k) for k in range(0x3001) if chr(k).isspace()]
+    texts = [None, "", "a", " a  b ", "".join(spaces), *[f"{s}{s}x{s}y漢{s}" for s in spaces], "​x​", "😀 "]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", chars.strip(F.col("t")).alias("s")).collect()
+    assert {r.k: r.s for r in got} == {k: None if t is None else t.strip() for k, t in enumerate(texts)}
+    assert "regexp" not in str(chars.strip(F.col("t")))
