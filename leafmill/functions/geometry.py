@@ -72,30 +72,46 @@ def turned(x: Column, y: Column, width: Column, height: Column, quarters: Column
     )
 
 
-def upright_pixels(pixels: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are computed once a row. A filter takes the
+    whole expression of each plain column it names down to the table, as often
+    as it names it; columns that rest on each other multiply, until a row costs
+    more than a thousand of others."""
+    return rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
+def upright_pixels(pixels: DataFrame, sizes: DataFrame | None, key: list[str]) -> DataFrame:
     """Pixels (key, x, y, …) put upright: by the orientation mark, then turned
     by ``rotation`` degrees, then cut to the crop and moved to its corner.
 
     ``sizes``: key, width, height, orientation, rotation, crop_left, crop_top,
     crop_right, crop_bottom (null: no crop). Pixels of images without a size go.
+    None: the pixels have these columns themselves.
     """
-    columns = pixels.columns
-    marks = F.create_map(*[F.lit(v) for k, (mirror, turns) in ORIENTATIONS.items() for v in (k, turns + 4 * mirror)])
-    mark = F.coalesce(F.try_element_at(marks, F.coalesce("orientation", F.lit(1))), F.lit(0))
-    joined = pixels.join(sizes, key).withColumns({"lm_mirror": mark >= 4, "lm_turns": mark % 4})
-    flipped = joined.withColumn("x", F.when(F.col("lm_mirror"), F.col("width") - 1 - F.col("x")).otherwise(F.col("x")))
-    out = flipped
-    for quarters in (F.col("lm_turns"), (F.col("rotation") / 90).cast("int")):
-        x, y = turned(F.col("x"), F.col("y"), F.col("width"), F.col("height"), quarters)
-        w, h = rotated_size(F.col("width"), F.col("height"), quarters * 90)
-        out = out.withColumns({"x": x, "y": y, "width": w, "height": h})
+    size = ("width", "height", "orientation", "rotation", "crop_left", "crop_top", "crop_right", "crop_bottom")
+    columns = [c for c in pixels.columns if sizes is not None or c not in size]
+    joined = pixels if sizes is None else pixels.join(sizes, key)
+    turns, mirror = F.lit(0), F.lit(False)
+    for mark in sorted(ORIENTATIONS):
+        flip, quarters = ORIENTATIONS[mark]
+        if quarters:
+            turns = F.when(F.col("orientation") == mark, quarters).otherwise(turns)
+        if flip:
+            mirror |= F.coalesce(F.col("orientation") == mark, F.lit(False))
+    more = (F.col("rotation") / 90).cast("int")
+    turns = (turns + F.when(more.isin(1, 2, 3), more).otherwise(0)) % 4
+    marked = computed(joined, lm_mirror=mirror, lm_turns=turns)
+    width, height, turns = F.col("width"), F.col("height"), F.col("lm_turns")
+    x, y = turned(F.when(F.col("lm_mirror"), width - 1 - F.col("x")).otherwise(F.col("x")), F.col("y"), width, height, turns)
+    w, h = rotated_size(width, height, turns * 90)
+    placed = computed(marked, lm_x=x, lm_y=y, lm_w=w, lm_h=h)
     sides = [F.col(f"crop_{s}") for s in ("left", "top", "right", "bottom")]
-    box = F.when(sides[0].isNotNull(), crop_pixels(*sides, F.col("width"), F.col("height")))
-    cut = out.withColumn("lm_box", box)
+    cut = computed(placed, lm_box=F.when(sides[0].isNotNull(), crop_pixels(*sides, F.col("lm_w"), F.col("lm_h"))))
     inside = F.col("lm_box").isNull() | (
-        (F.col("x") >= F.col("lm_box.left")) & (F.col("x") < F.col("lm_box.right")) & (F.col("y") >= F.col("lm_box.top")) & (F.col("y") < F.col("lm_box.bottom"))
-    )
-    moved = {"x": F.col("x") - F.coalesce("lm_box.left", F.lit(0)), "y": F.col("y") - F.coalesce("lm_box.top", F.lit(0))}
+        (F.col("lm_x") >= F.col("lm_box.left")) & (F.col("lm_x") < F.col("lm_box.right"))
+        & (F.col("lm_y") >= F.col("lm_box.top")) & (F.col("lm_y") < F.col("lm_box.bottom"))
+    )
+    moved = {"x": F.col("lm_x") - F.coalesce("lm_box.left", F.lit(0)), "y": F.col("lm_y") - F.coalesce("lm_box.top", F.lit(0))}
     return cut.where(inside).withColumns(moved).select(*columns)
 
 

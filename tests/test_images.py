@@ -197,3 +197,24 @@ def test_pixels_are_drawn_by_image_over_batches(spark):
         assert {(r.a, r.x, r.y): r.n for r in images.read_pixels(carried, least=1).collect()} == {k: n for k, n in want.items() if n}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def test_upright_pixels_computes_each_step_once(spark, small):
+    """The filter doesn't carry the steps before it, and sizes beside the pixels
+    give what sizes on them give."""
+    from leafmill.functions import geometry
+    from leafmill.plans import scalars
+
+    plan = scalars.upright_pixels(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("CASE WHEN") < 40
+    marks = [(k, 5, 3, (None, *range(10))[k % 11], (None, 0, 90, 180, 270)[k % 5], *((0.2, 0.0, 0.9, 0.7) if k % 3 else [None] * 4)) for k in range(165)]
+    names = ["crop_left", "crop_top", "crop_right", "crop_bottom"]
+    sizes = spark.createDataFrame(marks, "k int, width int, height int, orientation int, rotation int, " + ", ".join(f"{c} double" for c in names))
+    pixels = sizes.selectExpr("k", "explode(sequence(0, 14)) AS n").selectExpr("k", "n % 5 AS x", "CAST(n DIV 5 AS INT) AS y", "n")
+    want = {}
+    for k, w, h, mark, degrees, *box in marks:
+        grid = images.upright(np.arange(w * h).reshape(h, w), mark if mark in images.ORIENTATIONS else 1, degrees or 0)
+        grid = grid if box[0] is None else images.cut(grid, box)
+        want |= {(k, x, y): int(grid[y, x]) for y in range(grid.shape[0]) for x in range(grid.shape[1])}
+    for got in (geometry.upright_pixels(pixels, sizes, ["k"]), geometry.upright_pixels(pixels.join(sizes, "k"), None, ["k"])):
+        assert got.columns == ["k", "x", "y", "n"] and {(r.k, r.x, r.y): r.n for r in got.collect()} == want
