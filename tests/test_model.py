@@ -219,6 +219,18 @@ def test_places_of_one_large_group_and_ties(spark):
     assert ranks.with_place(df.limit(0), ["g"], [F.col("t")], "place").count() == 0
 
 
+def test_slices_are_found_by_halving(spark):
+    """As many cuts as lie at or under a value, in seven looks at 64."""
+    from leafmill.operators import ranks
+
+    for n in (0, 1, 2, 3, 63, 64, 65):
+        cuts = [(k // 2, "x") for k in range(n)]
+        constant = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in cuts]).cast("array<struct<a:int,b:string>>")
+        values = spark.createDataFrame([(a, b) for a in range(-1, 35) for b in ("w", "x", "y")] + [(None, "x")], "a int, b string")
+        got = values.select("a", "b", ranks._upto(constant, n, F.struct("a", "b")).alias("at")).collect()
+        assert all(r.at == (0 if r.a is None else sum(c <= (r.a, r.b) for c in cuts)) for r in got)
+
+
 def test_last_requests(spark):
     from leafmill.operators import requests
 
