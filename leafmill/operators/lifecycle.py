@@ -6,7 +6,7 @@ many documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import chars
@@ -192,21 +192,33 @@ def recover_segments(segments: DataFrame, files: DataFrame, extension: str = "mp
     ``files``: document_id, path of the audio that is there. ``resumed``: the
     document_id of the jobs that resume (all if None); other segments stay.
     """
-    fallback = F.concat(F.lit("audio/"), F.format_string(f"segment-%04d.{extension}", "segment_number"))
-    path = F.coalesce(F.nullif("audio_storage_path", F.lit("")), fallback)
-    there = files.select("document_id", F.col("path").alias("lm_path")).distinct().withColumn("lm_there", F.lit(True))
-    joined = segments.withColumn("lm_path", path).join(there, ["document_id", "lm_path"], "left")
     if resumed is None:
-        joined = joined.withColumn("lm_resumed", F.lit(True))
+        asked = segments.withColumn("lm_resumed", F.lit(True))
     else:
-        joined = joined.join(resumed.select("document_id", F.lit(True).alias("lm_resumed")).distinct(), "document_id", "left")
-    found = F.col("lm_there").isNotNull()
+        asked = segments.join(resumed.select("document_id", F.lit(True).alias("lm_resumed")).distinct(), "document_id", "left")
+    return _recovered(asked, files, extension, now).select(*segments.columns)
+
+
+def _recovered(segments: DataFrame, files: DataFrame, extension: str, now: Column | None) -> DataFrame:
+    """``recover_segments`` of those that lm_resumed marks. Segments and files
+    meet in a window over both, which leaves them where they are if they are
+    dealt by document; a join by document and path would shuffle both again."""
+    fallback = F.concat(F.lit("audio/"), F.format_string(f"segment-%04d.{extension}", "segment_number"))
+    path = F.coalesce(F.nullif("audio_storage_path", F.lit("")), fallback)
+    document, kind = F.col("document_id"), segments.schema["document_id"].dataType
+    if files.schema["document_id"].dataType != kind:
+        document = document.cast(kind).alias("document_id")
+    there = files.select(document, F.col("path").alias("lm_path"), F.lit(True).alias("lm_file"))
+    both = segments.withColumns({"lm_path": path, "lm_file": F.lit(False)}).unionByName(there, allowMissingColumns=True)
+    met = F.bool_or("lm_file").over(Window.partitionBy("document_id", "lm_path"))
+    joined = both.withColumn("lm_there", met).where(~F.col("lm_file"))
+    found = F.col("lm_there") & F.col("document_id").isNotNull()
     hit = F.col("lm_resumed") & (found | F.col("processing_status").isin("generating", "failed"))
     changes = {
         "audio_storage_path": F.when(found, F.col("lm_path")), "error_message": F.lit(None),
         "processing_status": F.when(found, "completed").otherwise("pending"),
     }
-    return _when(joined, hit, changes, now).select(*segments.columns)
+    return _when(joined, hit, changes, now)
 
 
 def _audio_verdicts(documents: DataFrame, pages: DataFrame, segments: DataFrame, drafts: DataFrame, files: DataFrame) -> DataFrame:
@@ -255,8 +267,10 @@ def start_audio(documents: DataFrame, pages: DataFrame, segments: DataFrame, dra
     verdicts = _audio_verdicts(documents, pages, segments, number, files).join(asked, "id", "left_semi")
     unknown = _unknown(asked, documents)
     granted = verdicts.where("error_code IS NULL")
-    resumed, fresh = (granted.where(F.col("lm_resume") == r).select(F.col("id").alias("document_id")) for r in (True, False))
-    kept = recover_segments(segments, files, now=now, resumed=resumed).join(fresh, "document_id", "left_anti")
+    fresh = granted.where(~F.col("lm_resume")).select(F.col("id").alias("document_id"))
+    jobs = granted.groupBy(F.col("id").alias("document_id")).agg(F.bool_and("lm_resume").alias("lm_resumed"))
+    own = segments.join(jobs, "document_id", "left").where(F.coalesce("lm_resumed", F.lit(True)))
+    kept = _recovered(own, files, "mp3", now).select(*segments.columns)
     made = drafts.join(fresh, "document_id").withColumns(
         {"id": F.concat_ws("/", "document_id", "segment_number"), "processing_status": F.lit("pending"), "created_at": at, "updated_at": at}
     )

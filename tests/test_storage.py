@@ -181,3 +181,31 @@ def test_a_first_save_shuffles_rows_once(spark, tmp_path):
     got = g.read("documents").collect()
     assert len(got) == 2000 and all(r.status == max(str(int(r.id)), str(int(r.id) + 2000)) for r in got)
     assert g.read("pages") is None
+
+
+def test_recovered_segments_meet_their_files_where_they_are(spark, small):
+    """No shuffle by path where segments are dealt by document; files that are
+    listed twice, of no segment or of no document change nothing."""
+    from pyspark.sql import functions as F
+
+    from leafmill.operators import lifecycle
+    from leafmill.plans import lifecycle as plans
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.started_segments(spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "lm_path" in line.split("Exchange")[1]]
+    rows = [(1, 1, "a.mp3", "failed"), (1, 2, "", "failed"), (1, 3, "c.mp3", "completed"), (2, 1, "a.mp3", "generating"), (None, 1, "a.mp3", "failed")]
+    segments = spark.createDataFrame(rows, "document_id long, segment_number int, audio_storage_path string, processing_status string")
+    files = spark.createDataFrame([(1, "a.mp3"), (1, "a.mp3"), (1, "audio/segment-0002.mp3"), (3, "a.mp3"), (None, "a.mp3"), (2, None)], "document_id int, path string")
+    got = lifecycle.recover_segments(segments, files)
+    assert got.columns == segments.columns
+    done, wait = "completed", "pending"
+    want = {(1, 1): ("a.mp3", done), (1, 2): ("audio/segment-0002.mp3", done), (1, 3): ("c.mp3", done), (2, 1): (None, wait), (None, 1): (None, wait)}
+    assert {(r[0], r[1]): (r[2], r[3]) for r in got.collect()} == want and got.count() == 5
+    resumed = spark.createDataFrame([(2,), (2,), (None,)], "document_id long")
+    some = lifecycle.recover_segments(segments, files, resumed=resumed).where(F.col("processing_status") == wait).collect()
+    assert [(r[0], r[1]) for r in some] == [(2, 1)]
