@@ -218,3 +218,107 @@ def test_upright_pixels_computes_each_step_once(spark, small):
         want |= {(k, x, y): int(grid[y, x]) for y in range(grid.shape[0]) for x in range(grid.shape[1])}
     for got in (geometry.upright_pixels(pixels, sizes, ["k"]), geometry.upright_pixels(pixels.join(sizes, "k"), None, ["k"])):
         assert got.columns == ["k", "x", "y", "n"] and {(r.k, r.x, r.y): r.n for r in got.collect()} == want
+
+
+def calls(f):
+    """Python and C functions called by ``f``."""
+    import sys
+
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_rows_like_the_one_above_are_read_once():
+    """A sheet that is ten times as high, and forty of one size, take hardly more calls."""
+
+    def sheet(h):
+        pixels = np.full((h, 120, 3), (60, 40, 30), dtype=np.uint8)
+        pixels[h // 10 : h // 2, 10:90] = 245
+        return pixels
+
+    low, high = images.encode(sheet(100)), images.encode(sheet(1000))
+    assert (images.decode(high)[0] == sheet(1000)).all()
+    assert calls(lambda: images.decode(high)) <= calls(lambda: images.decode(low)) + 10
+    rng = np.random.default_rng(1)
+    some, many = (rng.integers(0, 256, (n, 110, 120, 3), dtype=np.uint8) for n in (1, 40))
+    assert calls(lambda: images.encode_all(many)) <= calls(lambda: images.encode_all(some)) + 39 * 20
+    assert calls(lambda: images.paper_boxes(many)) <= calls(lambda: images.paper_boxes(some)) + 39 * 30
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 4), st.integers(1, 9), st.integers(1, 6), st.sampled_from([1, 3]), st.integers(0, 999))
+def test_rows_that_repeat_are_filtered_as_by_loops(n, h, w, pixel, seed):
+    """Stacks in which rows repeat the one above, blank ones too: the first of the
+    smallest filters, byte by byte, and back."""
+    rng = np.random.default_rng(seed)
+    stack = rng.integers(0, 256, (n, h, w, pixel), dtype=np.uint8)
+    stack[rng.random((n, h)) < 0.3] = 0
+    for y in range(1, h):
+        again = rng.random(n) < 0.5
+        stack[again, y] = stack[again, y - 1]
+    for raw, pixels in zip(images.encode_all(stack if pixel == 3 else stack[..., 0]), stack, strict=True):
+        rows = [bytes(r) for r in pixels.reshape(h, -1)]
+        want = b""
+        for y, row in enumerate(rows):
+            tried = [filtered([rows[y - 1], row], [0, k], pixel)[len(row) + 1 :] if y else filtered([row], [k], pixel) for k in range(3)]
+            want += min(tried, key=lambda line: sum(min(v, 256 - v) for v in line[1:]))
+        assert images.opened(raw, 10**6)[3] == want
+    lines = np.concatenate([rng.integers(0, 3, (n, h, 1), dtype=np.uint8), stack.reshape(n, h, -1)], axis=2)
+    lines[..., 1:][rng.random((n, h)) < 0.5] = 0
+    for got, one in zip(images.unfilter(lines, pixel), lines, strict=True):
+        above = [0] * (w * pixel)
+        for row, (kind, *line) in zip(got.tolist(), one.tolist(), strict=True):
+            made = []
+            for x, v in enumerate(line):
+                made.append((v + (0, made[x - pixel] if x >= pixel else 0, above[x])[kind]) & 255)
+            assert row == made
+            above = made
+
+
+def test_photographs_of_a_batch_are_searched_together(spark):
+    """Files of several sizes and kinds in one batch, some that are no image:
+    each row gets its own box, as by loops."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(60):
+        h, w = ((110, 130), (120, 101), (90, 140))[k % 3]
+        pixels = rng.integers(0, 120, (h, w, 3)).astype(np.uint8)
+        if k % 4:
+            pixels[:] = pixels[:1]
+        x, y, a, b = (int(v) for v in rng.integers((0, 0, 40, 40), (30, 30, 110, 110)))
+        pixels[y : y + b, x : x + a] = rng.integers(170, 256)
+        pixels = pixels[..., 0] if k % 5 == 0 else pixels
+        rows.append((k, pixels, images.encode(pixels)))
+    bad = {60: (b"\xff\xd8\xff\xe0", "image_codec_missing"), 61: (None, "unsupported_image"), 62: (rows[0][2][:-20], "invalid_image")}
+    given = [(k, bytearray(raw)) for k, _, raw in rows] + [(k, raw and bytearray(raw)) for k, (raw, _) in bad.items()]
+    files = spark.createDataFrame([given[k * 25 % 63] for k in range(63)], "k int, content binary").coalesce(1)
+    got = {r.k: r for r in images.detect_paper(files).collect()}
+    assert len(got) == 63
+    boxes = []
+    for k, pixels, _ in rows:
+        colour = pixels if pixels.ndim == 3 else np.repeat(pixels[..., None], 3, axis=2)
+        boxes.append(plain_paper(colour.tolist()))
+        assert (got[k].paper_left, got[k].paper_top, got[k].paper_right, got[k].paper_bottom, got[k].error_code) == (*boxes[-1], None)
+    assert len({b for b, (_, p, _) in zip(boxes, rows, strict=True) if b != (0, 0, p.shape[1], p.shape[0])}) > 5
+    assert {k: (got[k].paper_left, got[k].error_code) for k in bad} == {k: (None, why) for k, (_, why) in bad.items()}
+
+
+def test_sheets_are_drawn_by_size(spark):
+    """Rows in any order keep their own numbers, and their sheet."""
+    given = [(k, 100 + k % 3, 110 + k % 2, k % 7, k % 5, 60 + k % 11, 70 + k % 13) for k in range(80)]
+    rows = spark.createDataFrame([given[k * 27 % 80] for k in range(80)], "k int, w int, h int, x0 int, y0 int, x1 int, y1 int")
+    got = {r.k: r for r in images.draw_sheets(rows).collect()}
+    assert len(got) == 80
+    for k, w, h, x0, y0, x1, y1 in given:
+        want = np.full((h, w, 3), (60, 40, 30), dtype=np.uint8)
+        want[y0:y1, x0:x1] = 245
+        assert tuple(got[k])[:7] == given[k] and (images.decode(bytes(got[k].content))[0] == want).all()
